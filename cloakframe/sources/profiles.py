@@ -9,9 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe import schemas
+from cloakframe.functions.sqltext import quote
 from cloakframe.options import DEFAULT_FUZZY_THRESHOLD, DEFAULT_THRESHOLDS, check_type_name
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table as literals: Spark knows its exact size, so it decides on broadcasting by itself."""
+    columns = [c.strip().rsplit(" ", 1) for c in ddl.split(",")]
+
+    def literal(value, kind: str) -> str:
+        text = "NULL" if value is None else quote(value) if isinstance(value, str) else str(value)
+        return f"cast({text} AS {kind})"
+
+    values = ", ".join(f"({', '.join(literal(v, k) for v, (_, k) in zip(row, columns))})" for row in rows)
+    if not rows:
+        values = f"({', '.join(literal(None, k) for _, k in columns)})"
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(n for n, _ in columns)})")
+    return table if rows else table.limit(0)
+
+
 @dataclass(frozen=True)
 class DictionaryValue:
     entity_type: str
@@ -151,7 +167,7 @@ class ProfileSet:
             for name, p in self.profiles.items()
             for t, v in (p.get("thresholds") or {}).items()
         ]
-        return spark.createDataFrame(rows, schemas.PROFILE_THRESHOLD)
+        return literal_table(spark, rows, schemas.PROFILE_THRESHOLD)
 
     def entity_table(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -159,28 +175,23 @@ class ProfileSet:
             for name, p in self.profiles.items()
             for v in _values(p.get("custom_entities") or {})
         ]
-        return spark.createDataFrame(rows, schemas.PROFILE_ENTITY)
+        return literal_table(spark, rows, schemas.PROFILE_ENTITY)
 
     def fuzzy_table(self, spark: SparkSession) -> DataFrame:
         rows = []
         for name in self.profiles:
             r = self.resolve(name)
             rows += [(name, r.fuzzy_enabled, t, int(v)) for t, v in r.fuzzy_thresholds.items()]
-        return spark.createDataFrame(rows, schemas.PROFILE_FUZZY)
+        return literal_table(spark, rows, schemas.PROFILE_FUZZY)
 
     def skip_table(self, spark: SparkSession) -> DataFrame:
         rows = [(name, str(t)) for name, p in self.profiles.items() for t in (p.get("skip_terms") or [])]
-        return spark.createDataFrame(rows, schemas.PROFILE_SKIP)
+        return literal_table(spark, rows, schemas.PROFILE_SKIP)
 
     def resolved_thresholds(self, spark: SparkSession) -> DataFrame:
         """(profile, entity_type, threshold): defaults and profiles, full outer, the profile's value first."""
-        names = spark.createDataFrame([(n,) for n in self.profiles], "profile STRING")
-        defaults = names.select(
-            "profile",
-            F.explode(F.create_map(*[F.lit(x) for kv in DEFAULT_THRESHOLDS.items() for x in kv])).alias(
-                "entity_type", "base"
-            ),
-        )
+        rows = [(name, t, float(v)) for name in self.profiles for t, v in DEFAULT_THRESHOLDS.items()]
+        defaults = literal_table(spark, rows, schemas.PROFILE_THRESHOLD).withColumnRenamed("threshold", "base")
         own = self.threshold_table(spark)
         return defaults.join(own, ["profile", "entity_type"], "full").select(
             "profile", "entity_type", F.coalesce("threshold", "base").alias("threshold")
