@@ -35,7 +35,7 @@ def compare_profiles(spans: DataFrame, thresholds: DataFrame, profiles: list[str
     """Spans each profile would redact, per type, one column per profile."""
     each = spans.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
     kept = apply_thresholds(each, thresholds)
-    return kept.groupBy("entity_type").pivot("profile", profiles).agg(F.count("*")).na.fill(0)
+    return kept.groupBy("entity_type").pivot("profile", profiles).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def apply_thresholds(spans: DataFrame, thresholds: DataFrame, keep_all: bool = False) -> DataFrame:

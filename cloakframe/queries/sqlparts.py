@@ -102,7 +102,7 @@ SELECT {k}, {q(d.entity_type)} AS entity_type, CAST(span_start AS INT) AS span_s
        CAST(span_start + length(value) AS INT) AS span_end, value, {score} AS score
 FROM (
   SELECT {k}, t_, value, right(gap, 1) AS before, left(nxt, 2) AS after,
-         sum(length(gap) + length(whole)) OVER (PARTITION BY {k} ORDER BY i) - length(value) AS span_start
+         CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY {k} ORDER BY i) AS BIGINT) - length(value) AS span_start
   FROM (
     SELECT {k}, t_, unnest(m) AS whole, unnest(vs) AS value, unnest(g[1:len(m)]) AS gap, unnest(g[2:]) AS nxt,
            unnest(range(len(m))) AS i
