@@ -19,7 +19,7 @@ from cloakframe.schemas import ENTITIES
 
 PATH_ENTITY = "STRUCT<path: STRING, " + ENTITIES[len("ARRAY<STRUCT<") : -1]
 PATH_ENTITIES = f"ARRAY<{PATH_ENTITY}>"
-LEAVES = "ARRAY<STRUCT<path: STRING, text: STRING>>"
+LEAVES = "ARRAY<STRUCT<key: STRING, path: STRING, text: STRING>>"
 
 LeafBody = Callable[[str, str, str], str]  # (text, path, skipped) -> SQL
 
@@ -45,11 +45,16 @@ def has_strings(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.MapType) and has_strings(dtype.valueType)
 
 
+# Between the keys of a leaf's internal key: unlike a dot, it cannot make a key "a.b" meet a nested a -> b.
+KEY_MARK = "\x01"
+
+
 def annotate(
     dtype: T.DataType, ref: str, path: str, body: LeafBody, skipped: str = "false",
-    name: str = "", top: bool = False, skip_system: bool = True,
+    name: str = "", top: bool = False, skip_system: bool = True, mark: str = ".",
 ) -> str:
-    """A value of the same shape in which every string leaf became body(text, path, skipped)."""
+    """A value of the same shape in which every string leaf became body(text, path, skipped).
+    `mark` stands between the keys of a path."""
     if isinstance(dtype, T.StringType):
         return body(ref, path, skipped)
     if not has_strings(dtype):
@@ -58,8 +63,8 @@ def annotate(
         parts = []
         for f in dtype.fields:
             inner = annotate(
-                f.dataType, f"{ref}.`{f.name}`", f"concat({path}, {quote('.' + f.name)})", body, skipped,
-                f.name, False, skip_system,
+                f.dataType, f"{ref}.`{f.name}`", f"concat({path}, {quote(mark + f.name)})", body, skipped,
+                f.name, False, skip_system, mark,
             )
             parts.append(f"{quote(f.name)}, {inner}")
         return f"CASE WHEN {ref} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
@@ -69,14 +74,14 @@ def annotate(
         def item(x: str, i: str) -> str:
             skip = f"({skipped} OR coalesce({x}.role = 'system', false))" if system else skipped
             return annotate(
-                dtype.elementType, x, f"concat({path}, '[', {i}, ']')", body, skip, "", False, skip_system
+                dtype.elementType, x, f"concat({path}, '[', {i}, ']')", body, skip, "", False, skip_system, mark
             )
 
         return transform(ref, item, 2)
     value = dtype.valueType
     return (
         f"transform_values({ref}, (k_, w_) -> "
-        f"{annotate(value, 'w_', f'concat({path}, {chr(39)}.{chr(39)}, k_)', body, skipped, '', False, skip_system)})"
+        f"{annotate(value, 'w_', f'concat({path}, {quote(mark)}, k_)', body, skipped, '', False, skip_system, mark)})"
     )
 
 
@@ -99,26 +104,35 @@ def rewrite(dtype: T.DataType, ref: str, leaf: Callable[[str], str]) -> str:
     return annotate(dtype, ref, "''", lambda text, _path, _skip: leaf(text), skip_system=False)
 
 
-def typed_leaves(
-    df: DataFrame, keys: list[str], columns: list[str], skip_system: bool = False
-) -> DataFrame:
-    """(keys, path, text): every string leaf of typed columns (N1, N3, N4); with `skip_system` without
-    the system items of a top-level `messages` list (N5)."""
+def leaf_array(schema: T.StructType, columns: list[str], skip_system: bool) -> str:
+    """SQL for LEAVES: key, path and text of every string leaf of the columns (N1, N3, N4); with
+    `skip_system` without the system items of a top-level `messages` list (N5)."""
     parts = []
     for c in columns:
-        dtype = df.schema[c].dataType
+        dtype = schema[c].dataType
         if not has_strings(dtype):
             continue
-        pair = lambda text, path, skip: struct(path=path, text=text, skipped=skip)
-        marked = annotate(dtype, f"`{c}`", quote(c), pair, name=c, top=True, skip_system=skip_system)
+
+        def mark_leaf(text: str, path: str, skip: str) -> str:
+            return struct(key=path, text=text, skipped=skip)
 
         def leaf(x: str) -> str:
-            return f"CASE WHEN NOT {x}.skipped AND {x}.text IS NOT NULL THEN array(named_struct('path', {x}.path, 'text', {x}.text)) END"
+            row = struct(key=f"{x}.key", path=f"replace({x}.key, {quote(KEY_MARK)}, '.')", text=f"{x}.text")
+            return f"CASE WHEN NOT {x}.skipped AND {x}.text IS NOT NULL THEN array({row}) END"
 
+        marked = annotate(
+            dtype, f"`{c}`", quote(c), mark_leaf, name=c, top=True, skip_system=skip_system, mark=KEY_MARK
+        )
         parts.append(let(marked, lambda m, d=dtype: gather(d, m, leaf, LEAVES)))
-    found = f"concat({', '.join(parts)})" if parts else empty(LEAVES)
+    return f"concat({', '.join(parts)})" if parts else empty(LEAVES)
+
+
+def typed_leaves(
+    df: DataFrame, keys: list[str], columns: list[str], skip_system: bool = False
+) -> DataFrame:
+    """(keys, path, text): one row per string leaf of typed columns."""
     return (
-        df.select(*keys, F.expr(found).alias("_leaves"))
+        df.select(*keys, F.expr(leaf_array(df.schema, columns, skip_system)).alias("_leaves"))
         .select(*keys, F.explode_outer("_leaves").alias("_l"))
         .where(F.col("_l").isNotNull())
         .select(*keys, "_l.path", "_l.text")

@@ -7,14 +7,16 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.sqltext import empty, let, quote, struct, transform
+from cloakframe.functions.sqltext import keep, let, quote, struct, transform
 from cloakframe.functions.text import substitute_tokens
 from cloakframe.operators.detect import Detector
 from cloakframe.operators.nested import (
+    KEY_MARK,
     PATH_ENTITIES,
     annotate,
     gather,
     has_strings,
+    leaf_array,
     rebuild_json,
     rewrite,
     stamp_metadata,
@@ -25,7 +27,6 @@ from cloakframe.operators.restore import needed_tokens, resolve_tokens
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
 from cloakframe.plans.columns import redact_column, redaction
-from cloakframe.schemas import ENTITIES
 from cloakframe.sources.profiles import ProfileSet
 
 
@@ -45,39 +46,39 @@ def redact_payload(
     resolved = (profiles or ProfileSet(default=options.default_profile)).resolve(profile)
     chosen = None if detectors is None else list(detectors)
     walked = [c for c in (columns or df.columns) if c not in keys and has_strings(df.schema[c].dataType)]
-    staged = df.select("*", F.expr(mapping_id(options, *keys)).alias("mapping_id"))
+    scope = token_scope(options, "mapping_id", "{leaf}.path")
 
-    def leaf(text: str, path: str, skipped: str) -> str:
-        def at(p: str) -> str:
-            done = redaction(text, resolved, token_scope(options, "mapping_id", p), options, chosen)
-            untouched = struct(text=text, entities=empty(ENTITIES))
-            picked = done if skipped == "false" else f"CASE WHEN {skipped} THEN {untouched} ELSE {done} END"
-            return let(picked, lambda r: struct(text=f"{r}.text", entities=f"{r}.entities", path=p))
+    def redacted_leaf(x: str) -> str:
+        done = redaction(f"{x}.text", resolved, scope.format(leaf=x), options, chosen)
+        return let(done, lambda r: struct(key=f"{x}.key", path=f"{x}.path", text=f"{r}.text", entities=f"{r}.entities"))
 
-        return let(path, at)
+    hits = keep(transform(leaf_array(df.schema, walked, skip_system), redacted_leaf), lambda x: f"size({x}.entities) > 0")
+    staged = df.select("*", F.expr(mapping_id(options, *keys)).alias("mapping_id")).withColumn("_hits", F.expr(hits))
+    changed = staged.withColumn(
+        "_changed", F.expr(f"map_from_entries({transform('_hits', lambda h: struct(k=f'{h}.key', v=f'{h}.text'))})")
+    )
 
-    for c in walked:
-        body = annotate(df.schema[c].dataType, f"`{c}`", quote(c), leaf, name=c, top=True, skip_system=skip_system)
-        staged = staged.withColumn(f"_a_{c}", F.expr(body))
+    def rewritten(c: str) -> str:
+        new = annotate(
+            df.schema[c].dataType, f"`{c}`", quote(c),
+            lambda text, key, _: f"coalesce(try_element_at(_changed, {key}), {text})",
+            name=c, top=True, skip_system=False, mark=KEY_MARK,
+        )
+        return f"CASE WHEN size(_hits) = 0 THEN `{c}` ELSE {new} END"
 
-    def with_path(x: str) -> str:
+    def with_path(h: str) -> str:
         return transform(
-            f"{x}.entities",
+            f"{h}.entities",
             lambda e: struct(
-                path=f"{x}.path", placeholder=f"{e}.placeholder", entity_type=f"{e}.entity_type",
+                path=f"{h}.path", placeholder=f"{e}.placeholder", entity_type=f"{e}.entity_type",
                 original=f"{e}.original", score=f"{e}.score", source=f"{e}.source",
             ),
         )
 
-    parts = [gather(df.schema[c].dataType, f"`_a_{c}`", with_path, PATH_ENTITIES) for c in walked]
-    entities = f"concat({', '.join(parts)})" if parts else empty(PATH_ENTITIES)
-    redacted = staged.select(
-        *[
-            F.expr(rewrite(df.schema[c].dataType, f"`_a_{c}`", lambda x: f"{x}.text")).alias(c) if c in walked else F.col(c)
-            for c in df.columns
-        ],
+    redacted = changed.select(
+        *[F.expr(rewritten(c)).alias(c) if c in walked else F.col(c) for c in df.columns],
         "mapping_id",
-        F.expr(entities).alias("entities"),
+        F.expr(f"cast(flatten({transform('_hits', with_path)}) AS {PATH_ENTITIES})").alias("entities"),
     )
     return stamp_metadata(redacted, "mapping_id", metadata)
 

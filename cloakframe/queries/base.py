@@ -13,7 +13,7 @@ from cloakframe.plans.columns import mapping_rows, redact_column
 from cloakframe.queries.sqlparts import SALT
 from cloakframe.sources.payloads import payloads_from_turns
 from cloakframe.sources.profiles import STARTER_PROFILES, ProfileSet
-from cloakframe.sources.tables import load_table
+from cloakframe.sources.tables import load_table, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,6 +79,12 @@ def redacted_documents(spark: SparkSession, folder: str, options: Options = OPTI
     return redact_column(documents(spark, folder), "text", ["doc_id"], PROFILES, how.pop("profile", "bare"), options=options, **how)
 
 
+def staged_documents(spark: SparkSession, folder: str, options: Options = OPTIONS) -> DataFrame:
+    """Redacted documents as restoration finds them: written by an earlier job."""
+    done = redacted_documents(spark, folder, options)
+    return stage(done.select("doc_id", "mapping_id", "redacted", "entities"), "redacted")
+
+
 def document_mappings(redacted: DataFrame, options: Options = OPTIONS) -> DataFrame:
     return mapping_rows(redacted, "text", created_at=F.expr(EPOCH), options=options)
 

@@ -12,7 +12,7 @@ from cloakframe.queries.base import ALL, EPOCH, OPTIONS, documents, payloads, qu
 from cloakframe.queries.sqlparts import mapping_id as mid_sql
 from cloakframe.queries.sqlparts import redaction_ctes
 from cloakframe.sources.payloads import MAX_TURNS, PAYLOAD, parse_payloads, split_quarantine
-from cloakframe.sources.tables import load_table
+from cloakframe.sources.tables import load_table, stage
 
 CHUNK = ["conv_id", "chunk"]
 _TURNS = f"""t AS (SELECT conv_id, CAST(turn // {MAX_TURNS} AS BIGINT) AS chunk, turn, role, text,
@@ -130,7 +130,7 @@ def mapping_by_path(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("restore_payload", "SELECT doc_id, text AS system_text, text AS user_text, source AS origin, lang FROM documents")
 def restored_payload(spark: SparkSession, folder: str) -> DataFrame:
-    done = redact_payload(document_payloads(spark, folder), ["doc_id"], options=OPTIONS)
+    done = stage(redact_payload(document_payloads(spark, folder), ["doc_id"], options=OPTIONS), "payloads")
     known = payload_mapping_rows(done, created_at=F.expr(EPOCH), options=OPTIONS)
     back = restore_payload(done.drop("entities", "mapping_id"), known, ["doc_id"], options=OPTIONS)
     return back.select(

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from cloakframe.functions.similarity import indel_ratio
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators import audit, fuzzy
-from cloakframe.operators.detect import BUILT_IN, Detector, DetectorRegistry, detect, rescore, span_rows
+from cloakframe.operators.detect import Detector, DetectorRegistry, detect, rescore, span_rows
 from cloakframe.operators.gazetteer import WORD, gazetteer_spans
 from cloakframe.operators.model import model_spans
 from cloakframe.operators.overlap import resolve_overlaps, spans_positioned
 from cloakframe.operators.restore import find_tokens, has_token, ids_in_text, restore_column, unresolved_tokens
 from cloakframe.operators.tokens import mint_token
 from cloakframe.options import DEFAULT_THRESHOLDS
-from cloakframe.plans.columns import mapping_rows, redact_column
+from cloakframe.plans.columns import redact_column
 from cloakframe.queries.base import (
-    ALL, EPOCH, OPTIONS, PROFILE_BY_SOURCE, PROFILES, document_mappings, documents, profile_of_source, query,
-    redacted_documents, turns,
+    ALL, OPTIONS, PROFILE_BY_SOURCE, PROFILES, document_mappings, documents, profile_of_source, query,
+    redacted_documents, staged_documents, turns,
 )
 from cloakframe.queries.sqlparts import (
     claim, lcs_ctes, mapping_id, over_threshold, q, rebuilt, redaction_ctes, spans, token, values,
@@ -527,12 +527,12 @@ def pred_has_token(spark: SparkSession, folder: str) -> DataFrame:
 {token('mid', 'kept[i].entity_type', 'kept[i].value')} AS placeholder FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM red WHERE kept IS NOT NULL)""",
 )
 def found_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return find_tokens(redacted_documents(spark, folder), DOC, "redacted")
+    return find_tokens(staged_documents(spark, folder), DOC, "redacted")
 
 
 @query("restore_by_id", "SELECT doc_id, text AS restored FROM documents")
 def restore_by_id(spark: SparkSession, folder: str) -> DataFrame:
-    done = redacted_documents(spark, folder)
+    done = staged_documents(spark, folder)
     responses = done.select("doc_id", "mapping_id", "redacted")
     return restore_column(responses, "redacted", document_mappings(done), DOC).select("doc_id", "restored")
 
@@ -542,7 +542,7 @@ def restore_by_id(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_RED} SELECT doc_id, mid AS mapping_id FROM red WHERE kept IS NOT NULL",
 )
 def id_in_text(spark: SparkSession, folder: str) -> DataFrame:
-    done = redacted_documents(spark, folder)
+    done = staged_documents(spark, folder)
     responses = done.select("doc_id", F.concat_ws(" ref ", "redacted", "mapping_id").alias("response"))
     return ids_in_text(responses, DOC, "response", document_mappings(done))
 
@@ -550,7 +550,7 @@ def id_in_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("restore_any", "SELECT doc_id, text AS restored FROM documents")
 def restore_any(spark: SparkSession, folder: str) -> DataFrame:
     shared = replace(OPTIONS, scope="global")
-    done = redacted_documents(spark, folder, shared)
+    done = staged_documents(spark, folder, shared)
     responses = done.select("doc_id", F.lit(None).cast("string").alias("mapping_id"), "redacted")
     return restore_column(responses, "redacted", document_mappings(done, shared), DOC, any_mapping=True).select("doc_id", "restored")
 
@@ -563,7 +563,7 @@ m AS (SELECT doc_id, map(list(entity_type), list(original)) AS firsts FROM f GRO
 SELECT doc_id, {rebuilt('text', 'kept', 'firsts[kept[i].entity_type]')} AS restored FROM red LEFT JOIN m USING (doc_id)""",
 )
 def restore_type_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    done = redacted_documents(spark, folder)
+    done = staged_documents(spark, folder)
     known = document_mappings(done)
     one_each = known.groupBy("mapping_id", "path", "entity_type").agg(
         F.min("placeholder").alias("placeholder"), F.min_by("original", "placeholder").alias("original"),
@@ -582,7 +582,7 @@ _LOST = "IP_ADDRESS"
     + token('mid', 'kept[i].entity_type', 'kept[i].value') + " ELSE kept[i].value END")} AS restored FROM red""",
 )
 def restore_text(spark: SparkSession, folder: str) -> DataFrame:
-    done = redacted_documents(spark, folder)
+    done = staged_documents(spark, folder)
     known = document_mappings(done).where(F.col("entity_type") != _LOST)
     return restore_column(done.select("doc_id", "mapping_id", "redacted"), "redacted", known, DOC).select("doc_id", "restored")
 
@@ -592,7 +592,7 @@ def restore_text(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_RED} SELECT doc_id, mid AS mapping_id, placeholder FROM maps WHERE entity_type = '{_LOST}'",
 )
 def unresolved(spark: SparkSession, folder: str) -> DataFrame:
-    done = redacted_documents(spark, folder)
+    done = staged_documents(spark, folder)
     known = document_mappings(done).where(F.col("entity_type") != _LOST)
     return unresolved_tokens(done, DOC, "redacted", known)
 
@@ -602,11 +602,14 @@ def unresolved(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_RED} SELECT count(*) AS n_docs, count(kept) AS n_redacted, CAST(0 AS BIGINT) AS n_failures FROM red",
 )
 def round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    done = redacted_documents(spark, folder)
-    restored = restore_column(done.select("doc_id", "mapping_id", "text", "redacted"), "redacted", document_mappings(done), DOC)
-    return restored.agg(
+    done = staged_documents(spark, folder)
+    restored = restore_column(done, "redacted", document_mappings(done), DOC).select(
+        "doc_id", "restored", (F.size("entities") > 0).alias("touched")
+    )
+    both = documents(spark, folder).select("doc_id", "text").join(restored, DOC)
+    return both.agg(
         F.count("*").alias("n_docs"),
-        F.count_if(F.col("redacted") != F.col("text")).alias("n_redacted"),
+        F.count_if("touched").alias("n_redacted"),
         F.count_if(~F.col("restored").eqNullSafe(F.col("text"))).alias("n_failures"),
     )
 

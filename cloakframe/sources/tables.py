@@ -31,3 +31,11 @@ def work_folder(spark: SparkSession, label: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"run-{label}-")
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result once and read it back: later steps neither recompute it nor
+    depend on its lineage, and it survives lost executors."""
+    folder = work_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
