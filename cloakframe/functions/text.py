@@ -28,19 +28,25 @@ def words(text: str) -> str:
     return keep(f"split({text}, {quote(WHITESPACE)}, -1)", lambda w: f"{w} <> ''")
 
 
-def phrases(text: str, max_words: int = 5, longer_than: int = 2) -> str:
-    """ARRAY<STRUCT<i, n, phrase>>: every window of 1..max_words words, longer than `longer_than`."""
+def phrases(text: str, max_words: int = 5, longer_than: int = 2, lengths: tuple[int, int] | None = None) -> str:
+    """ARRAY<STRUCT<i, n, phrase>>: every window of 1..max_words words, longer than `longer_than`.
+    With `lengths` only windows whose lowercase form has a length in that range."""
+
+    def wanted(p: str) -> str:
+        test = f"length({p}.phrase) > {longer_than}"
+        if lengths is not None:
+            test += f" AND length(lower({p}.phrase)) BETWEEN {lengths[0]} AND {lengths[1]}"
+        return test
 
     def windows(ws: str) -> str:
-        per_start = transform(
-            ws,
-            lambda _, i: transform(
+        def from_word(_: str, i: str) -> str:
+            rows = transform(
                 f"sequence(1, least({max_words}, size({ws}) - {i}))",
                 lambda n: struct(i=i, n=n, phrase=f"array_join(slice({ws}, {i} + 1, {n}), ' ')"),
-            ),
-            2,
-        )
-        return keep(f"flatten({per_start})", lambda p: f"length({p}.phrase) > {longer_than}")
+            )
+            return keep(rows, wanted)
+
+        return f"flatten({transform(ws, from_word, 2)})"
 
     return let(words(text), windows)
 

@@ -19,7 +19,7 @@ def asof_latest(
     time: str,
     request_id: str,
     keep: list[str],
-    bucket: str = "hour",
+    bucket: str = "minute",
     to: str = "latest_id",
 ) -> DataFrame:
     """responses (session, time, keep) with the latest request at or before them, and its time.

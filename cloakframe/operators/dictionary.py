@@ -15,6 +15,7 @@ from cloakframe.functions.sqltext import empty, keep, quote, struct, transform
 from cloakframe.options import PRIORITY
 from cloakframe.schemas import CANDIDATES
 from cloakframe.sources.profiles import DictionaryValue
+from cloakframe.sources.tables import broadcast_if_small
 
 BLOCK = 512
 
@@ -63,7 +64,7 @@ def dictionary_hits_join(leaves: DataFrame, keys: list[str], text: str, dictiona
     blocks = leaves.select(*keys, F.explode(F.expr(text_blocks(text, max(lengths) - 1))).alias("_block"))
     found = blocks.select(*keys, F.explode(F.expr(windows("_block"))).alias("value"))
     return (
-        found.join(known, "value")
+        found.join(broadcast_if_small(known, "value"), "value")
         .select(*keys, "entity_type", "type_ord", "value", "value_ord")
         .distinct()
     )

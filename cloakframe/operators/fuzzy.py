@@ -1,8 +1,9 @@
 """Fuzzy dictionary matching.
 
-Phrases meet only dictionary values whose length can reach the threshold (an equi-join on the
-length), then cheap exact bounds cut almost all pairs before the costly ratio is computed.
-The dictionary is a profile's own list, bounded by fold_limit, so broadcasting it is safe.
+Up to fold_limit values the dictionary is broadcast and phrases meet only values whose length can
+reach the threshold. Beyond, phrases and values meet on a shared piece: a value cut into one piece
+more than the edits its threshold allows must keep one piece whole, so the equi-join on pieces
+finds every match and never pairs whole groups. Either way cheap exact bounds run before the ratio.
 """
 
 from __future__ import annotations
@@ -12,33 +13,88 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.similarity import indel_ratio, longest_partner, may_reach, shortest_partner
 from cloakframe.functions.text import phrases
-from cloakframe.operators.dictionary import dictionary_candidates
+from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join
 from cloakframe.options import PRIORITY, Options
 from cloakframe.sources.profiles import ResolvedProfile, literal_table
 
-DICTIONARY = (
-    "entity_type STRING, type_ord INT, value STRING, value_ord INT, threshold DOUBLE"
-)
+DICTIONARY = "entity_type STRING, type_ord INT, value STRING, value_ord INT, threshold DOUBLE"
+COLUMNS = ["entity_type", "type_ord", "value", "value_ord"]
 
+# Under this threshold a value can be shorter than the number of edits allowed, and no piece is sure to stay.
+LOWEST_PIECE_THRESHOLD = 67
 
-def phrase_rows(leaves: DataFrame, keys: list[str], text: str, options: Options = Options()) -> DataFrame:
+
+def phrase_rows(
+    leaves: DataFrame, keys: list[str], text: str, options: Options = Options(), lengths: tuple[int, int] | None = None
+) -> DataFrame:
     """(keys, i, n, phrase): word windows."""
-    found = phrases(text, options.max_phrase_words, options.min_entity_length)
+    found = phrases(text, options.max_phrase_words, options.min_entity_length, lengths)
     return leaves.select(*keys, F.expr(f"inline({found})"))
 
 
-def fuzzy_dictionary(leaves: DataFrame, profile: ResolvedProfile, options: Options = Options()) -> DataFrame:
-    """Dictionary rows, one per phrase length that can reach the value's threshold."""
-    if len(profile.dictionary) > options.fold_limit:
-        raise ValueError(f"fuzzy dictionaries are limited to fold_limit = {options.fold_limit} values")
+def dictionary_frame(leaves: DataFrame, profile: ResolvedProfile, options: Options = Options()) -> DataFrame:
     rows = [
         (v.entity_type, v.type_ord, v.value, v.value_ord, float(profile.fuzzy_threshold(v.entity_type)))
         for v in profile.dictionary
         if len(v.value) >= options.min_entity_length
     ]
-    base = literal_table(leaves.sparkSession, rows, DICTIONARY).withColumn("_lowered", F.lower("value"))
+    return literal_table(leaves.sparkSession, rows, DICTIONARY)
+
+
+def _banded(dictionary: DataFrame) -> DataFrame:
+    """One row per dictionary value and phrase length that can reach its threshold."""
     lo, hi = shortest_partner("length(_lowered)", "threshold"), longest_partner("length(_lowered)", "threshold")
-    return base.withColumn("_length", F.explode(F.expr(f"sequence({lo}, {hi})")))
+    return dictionary.withColumn("_lowered", F.lower("value")).withColumn(
+        "_length", F.explode(F.expr(f"sequence({lo}, {hi})"))
+    )
+
+
+def _range(banded: DataFrame) -> tuple[int, int]:
+    lo, hi = banded.agg(F.min("_length"), F.max("_length")).first()
+    return (0, 0) if lo is None else (lo, hi)
+
+
+def _with_edits(rows: DataFrame) -> DataFrame:
+    """The most insertions and deletions that still reach the threshold."""
+    return rows.withColumn(
+        "_edits", F.expr("cast(floor((100.0D - threshold) * (_value_length + _length) / 100.0D + 1e-9D) AS int)")
+    )
+
+
+def _piece_table(combos: DataFrame) -> DataFrame:
+    """(threshold, _value_length, _length, _k, _from, _size): how values of a length are cut."""
+    return _with_edits(combos).select(
+        "threshold", "_value_length", "_length", "_edits",
+        F.expr(
+            "inline(transform(sequence(0, _edits), k -> named_struct('_k', k, "
+            "'_from', k * (_value_length div (_edits + 1)) + least(k, _value_length % (_edits + 1)), "
+            "'_size', _value_length div (_edits + 1) + if(k < _value_length % (_edits + 1), 1, 0))))"
+        ),
+    )
+
+
+def piece_pairs(phrase: DataFrame, keys: list[str], banded: DataFrame) -> DataFrame:
+    """Candidate pairs over a shared piece. `phrase` has keys, i, n, phrase, _p, _length."""
+    values = banded.withColumn("_value_length", F.length("_lowered"))
+    # Bounded by the lengths and thresholds that occur, not by the number of values.
+    cuts = _piece_table(values.select("threshold", "_value_length", "_length").distinct())
+    by = ["threshold", "_value_length", "_length"]
+    pieces = values.join(cuts, by).withColumn("_piece", F.expr("substr(_lowered, cast(_from + 1 AS int), cast(_size AS int))"))
+    shifts = cuts.withColumn(
+        "_at",
+        F.explode(
+            F.expr(
+                "sequence(greatest(_from - (_edits + _value_length - _length) div 2, 0), "
+                "greatest(least(_from + (_edits + _length - _value_length) div 2, _length - _size), "
+                "greatest(_from - (_edits + _value_length - _length) div 2, 0)))"
+            )
+        ),
+    ).select(*by, "_k", "_at", "_size")
+    probes = phrase.join(F.broadcast(shifts), "_length").withColumn(
+        "_piece", F.expr("substr(_p, cast(_at + 1 AS int), cast(_size AS int))")
+    )
+    met = probes.join(pieces.select(*by, "_k", "_piece", "_lowered", *COLUMNS), [*by, "_k", "_piece"])
+    return met.select(*keys, "i", "n", "phrase", "_p", "_lowered", "threshold", *COLUMNS).distinct()
 
 
 def fuzzy_hits(
@@ -46,35 +102,46 @@ def fuzzy_hits(
 ) -> DataFrame:
     """(keys, entity_type, type_ord, value, value_ord, phrase, score): per value the exact hit
     (score 100) or the first phrase over the threshold in (start, words) order (Z3)."""
-    dictionary = fuzzy_dictionary(leaves, profile, options)
-    lowered = phrase_rows(leaves, keys, text, options).withColumn("_p", F.lower("phrase")).withColumn(
-        "_length", F.length("_p")
+    banded = _banded(dictionary_frame(leaves, profile, options))
+    values = [v for v in profile.dictionary if len(v.value) >= options.min_entity_length]
+    small = len(values) <= options.fold_limit
+    lowered = (
+        phrase_rows(leaves, keys, text, options, _range(banded))
+        .withColumn("_p", F.lower("phrase"))
+        .withColumn("_length", F.length("_p"))
     )
+    if small:
+        pairs = lowered.join(F.broadcast(banded), "_length")
+    else:
+        low = min(profile.fuzzy_threshold(v.entity_type) for v in values)
+        if low < LOWEST_PIECE_THRESHOLD:
+            raise ValueError(f"dictionaries beyond fold_limit need fuzzy thresholds of at least {LOWEST_PIECE_THRESHOLD}")
+        pairs = piece_pairs(lowered, keys, banded)
     near = (
-        lowered.join(F.broadcast(dictionary), "_length")
-        .where(F.expr(may_reach("_p", "_lowered", "threshold")))
+        pairs.where(F.expr(may_reach("_p", "_lowered", "threshold")))
         .withColumn("score", F.expr(indel_ratio("_p", "_lowered")))
         .where(F.col("score") >= F.col("threshold"))
     )
-    columns = ["entity_type", "type_ord", "value", "value_ord"]
-    fuzzy = near.select(*keys, *columns, F.struct("i", "n", "phrase", "score").alias("_hit"))
-    values = [v for v in profile.dictionary if len(v.value) >= options.min_entity_length]
-    exact = (
-        leaves.select(*keys, F.explode_outer(F.expr(dictionary_candidates(text, values))).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .select(
-            *keys,
-            *[F.col(f"_v.{c}").alias(c) for c in columns],
-            F.struct(
-                F.lit(-1).alias("i"), F.lit(0).alias("n"), F.col("_v.value").alias("phrase"), F.lit(100.0).alias("score")
-            ).alias("_hit"),
+    fuzzy = near.select(*keys, *COLUMNS, F.struct("i", "n", "phrase", "score").alias("_hit"))
+    if small:
+        exact = (
+            leaves.select(*keys, F.explode_outer(F.expr(dictionary_candidates(text, values))).alias("_v"))
+            .where(F.col("_v").isNotNull())
+            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in COLUMNS])
         )
+    else:
+        exact = dictionary_hits_join(leaves, keys, text, dictionary_frame(leaves, profile, options).drop("threshold"))
+    whole = exact.select(
+        *keys, *COLUMNS,
+        F.struct(
+            F.lit(-1).alias("i"), F.lit(0).alias("n"), F.col("value").alias("phrase"), F.lit(100.0).alias("score")
+        ).alias("_hit"),
     )
     return (
-        exact.unionByName(fuzzy)
-        .groupBy(*keys, *columns)
+        whole.unionByName(fuzzy)
+        .groupBy(*keys, *COLUMNS)
         .agg(F.min("_hit").alias("_hit"))
-        .select(*keys, *columns, F.col("_hit.phrase").alias("phrase"), F.col("_hit.score").alias("score"))
+        .select(*keys, *COLUMNS, F.col("_hit.phrase").alias("phrase"), F.col("_hit.score").alias("score"))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions.sqltext import let, quote, struct, transform
 from cloakframe.functions.text import running_starts
 from cloakframe.options import PRIORITY
+from cloakframe.sources.tables import broadcast_if_small
 
 # Fixed value: what separates words here; ASCII only, so every engine reads it alike.
 WORD = "[^ \\t\\r\\n.,;:!?()\"<>]+"
@@ -32,12 +33,12 @@ def gazetteer_spans(
     leaves: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, max_words: int = 3
 ) -> DataFrame:
     """(keys, span fields) from a gazetteer (entity_type, value, score), whose values are unique.
-    Spark broadcasts it when its measured size allows, else both sides are hashed on the value."""
+    It is broadcast when its measured size allows, else both sides are hashed on the value."""
     one = gazetteer.groupBy("value").agg(F.max(F.struct("score", "entity_type")).alias("_g")).select(
         "value", "_g.score", "_g.entity_type"
     )
     windows = leaves.select(*keys, F.expr(f"inline({word_windows(text, max_words)})"))
-    return windows.join(one, "value").select(
+    return windows.join(broadcast_if_small(one, "value"), "value").select(
         *keys,
         "entity_type",
         "start",

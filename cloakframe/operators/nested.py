@@ -177,6 +177,13 @@ def variant_leaves(df: DataFrame, keys: list[str], body: str, max_depth: int = 8
     )
 
 
+def system_items(body: str) -> str:
+    """SQL for ARRAY<INT>: positions of system-role items in the top-level `messages` list of a JSON text."""
+    items = f"try_variant_get(try_parse_json({body}), '$.messages', 'array<variant>')"
+    found = transform(items, lambda m, i: f"CASE WHEN try_variant_get({m}, '$.role', 'string') = 'system' THEN {i} END", 2)
+    return f"coalesce(filter({found}, p_ -> p_ IS NOT NULL), {empty('array<int>')})"
+
+
 @F.pandas_udf(T.StringType())
 def put_leaves(body: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
     """Put new texts at their paths into JSON of any shape; only rows with changes come here."""

@@ -19,6 +19,7 @@ from cloakframe.operators.nested import (
     leaf_array,
     rebuild_json,
     rewrite,
+    system_items,
     stamp_metadata,
     strip_metadata,
     variant_leaves,
@@ -156,13 +157,11 @@ def redact_json(
     System items of a top-level `messages` list stay as they are. Declare a schema and use
     redact_payload where the shape is known: that needs no shuffle.
     """
-    leaves = variant_leaves(df, keys, body, max_depth)
-    roles = leaves.where(F.col("path").rlike(r"^messages\[[0-9]+\]\.role$") & (F.col("text") == "system")).select(
-        *keys, F.regexp_extract("path", r"^(messages\[[0-9]+\])", 1).alias("_item")
+    leaves = variant_leaves(
+        df.withColumn("_system", F.expr(system_items(body))), [*keys, "_system"], body, max_depth
     )
-    scanned = leaves.withColumn("_item", F.regexp_extract("path", r"^(messages\[[0-9]+\])\.", 1)).join(
-        roles, [*keys, "_item"], "left_anti"
-    ).drop("_item")
+    item = F.regexp_extract("path", r"^messages\[([0-9]+)\]\.", 1)
+    scanned = leaves.where(~F.array_contains("_system", F.when(item != "", item.cast("int")).otherwise(F.lit(-1)))).drop("_system")
     done = redact_column(scanned, "text", keys, profiles, profile, options=options, detectors=detectors)
     changed = done.where(~F.col("text").eqNullSafe(F.col("redacted")))
     out = rebuild_json(df, keys, body, changed.select(*keys, "path", F.col("redacted").alias("text")), "redacted")

@@ -309,8 +309,10 @@ LEFT JOIN (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS value FROM
 )
 def profile_tables(spark: SparkSession, folder: str) -> DataFrame:
     words = documents(spark, folder).select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("value"))
-    counts = words.groupBy("value").agg(F.count("*").alias("n"))
-    return PROFILES.entity_table(spark).join(counts, "value", "left").select(
+    table = PROFILES.entity_table(spark)
+    known = words.join(table.select("value").distinct(), "value", "left_semi")
+    counts = known.groupBy("value").agg(F.count("*").alias("n"))
+    return table.join(counts, "value", "left").select(
         "profile", "entity_type", "value", F.coalesce("n", F.lit(0)).alias("n_docs")
     )
 
@@ -355,11 +357,25 @@ ph AS (SELECT * FROM (SELECT doc_id, i, 1 AS n, w AS phrase FROM wl
 sum(length(phrase)) AS n_chars, min(phrase) AS first_phrase, max(phrase) AS last_phrase FROM ph GROUP BY doc_id, n""",
 )
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fuzzy.phrase_rows(documents(spark, folder), DOC, "text")
-    return rows.groupBy("doc_id", "n").agg(
-        F.count("*").alias("n_phrases"), F.countDistinct("phrase").alias("n_distinct"),
-        F.sum(F.length("phrase")).alias("n_chars"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"),
-    )
+    from cloakframe.functions.sqltext import keep, let, struct, transform
+    from cloakframe.functions.text import phrases as phrase_array
+
+    def figures(all_phrases: str) -> str:
+        def of_size(n: str) -> str:
+            mine = transform(keep(all_phrases, lambda p: f"{p}.n = {n}"), lambda p: f"{p}.phrase")
+            return let(
+                mine,
+                lambda m: struct(
+                    n=n, n_phrases=f"size({m})", n_distinct=f"size(array_distinct({m}))",
+                    n_chars=f"aggregate({m}, 0L, (a_, p_) -> a_ + length(p_))",
+                    first_phrase=f"array_min({m})", last_phrase=f"array_max({m})",
+                ),
+            )
+
+        return transform("sequence(1, 5)", of_size)
+
+    rows = documents(spark, folder).select("doc_id", F.explode(F.expr(let(phrase_array("text"), figures))).alias("f"))
+    return rows.select("doc_id", "f.*").where("n_phrases > 0")
 
 
 @query(

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
@@ -33,6 +34,12 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return tempfile.mkdtemp(prefix=f"run-{label}-")
 
 
+def broadcast_if_small(df: DataFrame, text: str, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Broadcast a lookup side only after measuring it; a larger one is left to a shuffle join."""
+    bytes_held = df.agg(F.count("*") * 64 + F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return F.broadcast(df) if bytes_held <= max_bytes else df
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate result once and read it back: later steps neither recompute it nor
     depend on its lineage, and it survives lost executors."""
