@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from cloakframe.functions.checks import luhn_valid
 from cloakframe.functions.similarity import indel_ratio
-from cloakframe.functions.text import is_uuid_shaped, phrases
+from cloakframe.functions.text import is_uuid_shaped
 from cloakframe.operators.detect import BUILT_IN, detect
 from cloakframe.operators.tokens import mint_token
 from cloakframe.options import Options
@@ -24,9 +24,6 @@ def register_functions(
         "is_uuid_shaped(t STRING) RETURNS BOOLEAN": is_uuid_shaped("t", options.uuid_length, options.uuid_dashes),
         "luhn_valid(t STRING) RETURNS BOOLEAN": luhn_valid("t"),
         "indel_ratio(a STRING, b STRING) RETURNS DOUBLE": indel_ratio("a", "b"),
-        "text_phrases(t STRING) RETURNS ARRAY<STRUCT<i: INT, n: INT, phrase: STRING>>": phrases(
-            "t", options.max_phrase_words, options.min_entity_length
-        ),
         "mint_token(scope STRING, entity_type STRING, value STRING) RETURNS STRING": mint_token(
             options, "scope", "entity_type", "value"
         ),

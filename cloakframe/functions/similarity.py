@@ -42,7 +42,7 @@ def may_reach(a: str, b: str, threshold: str) -> str:
     total = f"(length({a}) + length({b}))"
     most = f"least(length({a}) - length(translate({a}, {b}, '')), length({b}) - length(translate({b}, {a}, '')))"
     budget = f"cast(floor((100.0D - {threshold}) * {total} / 100.0D + 1e-9D) AS int)"
-    return f"(200.0D * {most} >= {threshold} * {total} AND levenshtein({a}, {b}) <= {budget})"
+    return f"(levenshtein({a}, {b}, {budget}) >= 0 AND 200.0D * {most} >= {threshold} * {total})"
 
 
 def shortest_partner(length: str, threshold: str) -> str:

@@ -28,66 +28,67 @@ def words(text: str) -> str:
     return keep(f"split({text}, {quote(WHITESPACE)}, -1)", lambda w: f"{w} <> ''")
 
 
-def phrases(text: str, max_words: int = 5, longer_than: int = 2, lengths: tuple[int, int] | None = None) -> str:
-    """ARRAY<STRUCT<i, n, phrase>>: every window of 1..max_words words, longer than `longer_than`.
-    With `lengths` only windows whose lowercase form has a length in that range."""
-
-    def wanted(p: str) -> str:
-        test = f"length({p}.phrase) > {longer_than}"
-        if lengths is not None:
-            test += f" AND length(lower({p}.phrase)) BETWEEN {lengths[0]} AND {lengths[1]}"
-        return test
-
-    def windows(ws: str) -> str:
-        def from_word(_: str, i: str) -> str:
-            rows = transform(
-                f"sequence(1, least({max_words}, size({ws}) - {i}))",
-                lambda n: struct(i=i, n=n, phrase=f"array_join(slice({ws}, {i} + 1, {n}), ' ')"),
-            )
-            return keep(rows, wanted)
+def literal_regex(value: str) -> str:
+    """A regex that matches `value` itself."""
+    return f"concat('\\\\Q', replace({value}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
 
-        return f"flatten({transform(ws, from_word, 2)})"
 
-    return let(words(text), windows)
+RUN = 256
 
 
-def literal_regex(value: str) -> str:
-    """A regex that matches `value` itself."""
-    return f"concat('\\\\Q', replace({value}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
+def starts_of(gaps: str, lengths: str) -> str:
+    """0-based start of every match, from the gap before it and its length.
+
+    The sum runs in blocks of RUN matches: appending one by one over the whole text would copy
+    the array once per match.
+    """
+
+    def blocks(steps: str) -> str:
+        def block(k: str) -> str:
+            return f"slice({steps}, {k} * {RUN} + 1, {RUN})"
+
+        def within(k: str, first: str) -> str:
+            return fold(
+                block(k),
+                struct(pos=first, out=empty("array<int>")),
+                lambda acc, x: struct(pos=f"{acc}.pos + {x}.g + {x}.n", out=f"array_append({acc}.out, {acc}.pos + {x}.g)"),
+                lambda acc: f"{acc}.out",
+            )
+
+        ids = f"sequence(0, cast(greatest(size({steps}) - 1, 0) / {RUN} AS int))"
+        totals = transform(ids, lambda k: fold(block(k), "0", lambda acc, x: f"{acc} + {x}.g + {x}.n"))
+        firsts = fold(
+            totals,
+            struct(pos="0", out=empty("array<int>")),
+            lambda acc, t: struct(pos=f"{acc}.pos + {t}", out=f"array_append({acc}.out, {acc}.pos)"),
+            lambda acc: f"{acc}.out",
+        )
+        many = let(firsts, lambda f: f"flatten({transform(f, lambda first, k: within(k, first), 2)})")
+        return f"CASE WHEN size({steps}) <= {RUN} THEN {within('0', '0')} ELSE {many} END"
+
+    steps = f"zip_with(slice({gaps}, 1, size({lengths})), {lengths}, (g_, n_) -> named_struct('g', length(g_), 'n', n_))"
+    return let(steps, blocks)
 
 
 def running_starts(gaps: str, matches: str) -> str:
     """0-based start of every match, from the gaps around the matches."""
-    zero = struct(pos="0", out=empty("array<int>"))
-    pairs = f"zip_with(slice({gaps}, 1, size({matches})), {matches}, (g_, m_) -> named_struct('g', g_, 'm', m_))"
-    return fold(
-        pairs,
-        zero,
-        lambda acc, p: struct(
-            pos=f"{acc}.pos + length({p}.g) + length({p}.m)",
-            out=f"array_append({acc}.out, {acc}.pos + length({p}.g))",
-        ),
-        lambda acc: f"{acc}.out",
-    )
+    return starts_of(gaps, f"transform({matches}, m_ -> length(m_))")
 
 
 def occurrences(text: str, value: str) -> str:
     """0-based starts of all non-overlapping occurrences of `value`, left to right."""
 
     def located(gaps: str) -> str:
-        return fold(
-            f"slice({gaps}, 1, size({gaps}) - 1)",
-            struct(pos="0", out=empty("array<int>")),
-            lambda acc, g: struct(
-                pos=f"{acc}.pos + length({g}) + length({value})",
-                out=f"array_append({acc}.out, {acc}.pos + length({g}))",
-            ),
-            lambda acc: f"{acc}.out",
-        )
+        return starts_of(gaps, f"transform(slice({gaps}, 2, size({gaps})), x_ -> length({value}))")
 
     return let(f"split({text}, {literal_regex(value)}, -1)", located)
 
 
+def shifted(array: str, by: int) -> str:
+    """The array without its first `by` elements, to be zipped with itself."""
+    return f"slice({array}, {by + 1}, greatest(size({array}), 1))" if by else array
+
+
 def substitute_tokens(text: str, pattern: str, lookup: str) -> str:
     """Replace every match of `pattern` that `lookup` (MAP<STRING,STRING>) knows; leave the rest."""
 

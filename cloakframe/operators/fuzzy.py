@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.similarity import indel_ratio, longest_partner, may_reach, shortest_partner
-from cloakframe.functions.text import phrases
+from cloakframe.functions.text import shifted, words
 from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join
 from cloakframe.options import PRIORITY, Options
 from cloakframe.sources.profiles import ResolvedProfile, literal_table
@@ -24,12 +24,48 @@ COLUMNS = ["entity_type", "type_ord", "value", "value_ord"]
 LOWEST_PIECE_THRESHOLD = 67
 
 
+def word_rows(leaves: DataFrame, keys: list[str], text: str, max_words: int) -> DataFrame:
+    """(keys, i, w0.., l0..): every word with the words after it, as written and in lower case.
+
+    The word arrays are zipped with themselves, shifted; all of it stays in generated code.
+    """
+    split = leaves.select(
+        *keys, F.expr(words(text)).alias("_w"), F.expr(words(f"lower({text})")).alias("_l")
+    )
+    zipped = [f"{shifted(a, k)} AS {a}{k}" for a in ("_w", "_l") for k in range(max_words)]
+    names = [f"{a}{k}" for a in ("_w", "_l") for k in range(max_words)]
+    arrays = split.select(*keys, *[F.expr(z) for z in zipped])
+    rows = arrays.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("i", "_z"))
+    return rows.select(*keys, "i", *[F.col(f"_z.{n}").alias(n) for n in names])
+
+
 def phrase_rows(
     leaves: DataFrame, keys: list[str], text: str, options: Options = Options(), lengths: tuple[int, int] | None = None
 ) -> DataFrame:
-    """(keys, i, n, phrase): word windows."""
-    found = phrases(text, options.max_phrase_words, options.min_entity_length, lengths)
-    return leaves.select(*keys, F.expr(f"inline({found})"))
+    """(keys, i, n, _p, words): windows of 1..max_phrase_words words, longer than min_entity_length.
+    `_p` is the window in lower case; with `lengths` only windows of such a length. `written_phrase`
+    gives the window as written."""
+    n_words = options.max_phrase_words
+    rows = word_rows(leaves, keys, text, n_words)
+    cases = []
+    for n in range(1, n_words + 1):
+        size = " + ".join(f"length(_l{k})" for k in range(n)) + f" + {n - 1}"
+        written = " + ".join(f"length(_w{k})" for k in range(n)) + f" + {n - 1}"
+        test = f"{written} > {options.min_entity_length} AND _w{n - 1} IS NOT NULL"
+        if lengths is not None:
+            test += f" AND {size} BETWEEN {lengths[0]} AND {lengths[1]}"
+        parts = ", ".join(f"_l{k}" for k in range(n))
+        cases.append(f"{n}, CASE WHEN {test} THEN concat_ws(' ', {parts}) END")
+    kept = [f"_w{k}" for k in range(n_words)]
+    return rows.select(*keys, "i", *kept, F.expr(f"stack({n_words}, {', '.join(cases)}) AS (n, _p)")).where("_p IS NOT NULL")
+
+
+def written_phrase(options: Options = Options()) -> str:
+    """SQL over a row of phrase_rows: the window as it stands in the text."""
+    cases = " ".join(
+        f"WHEN {n} THEN concat_ws(' ', {', '.join(f'_w{k}' for k in range(n))})" for n in range(1, options.max_phrase_words + 1)
+    )
+    return f"CASE n {cases} END"
 
 
 def dictionary_frame(leaves: DataFrame, profile: ResolvedProfile, options: Options = Options()) -> DataFrame:
@@ -107,7 +143,6 @@ def fuzzy_hits(
     small = len(values) <= options.fold_limit
     lowered = (
         phrase_rows(leaves, keys, text, options, _range(banded))
-        .withColumn("_p", F.lower("phrase"))
         .withColumn("_length", F.length("_p"))
     )
     if small:
@@ -116,12 +151,15 @@ def fuzzy_hits(
         low = min(profile.fuzzy_threshold(v.entity_type) for v in values)
         if low < LOWEST_PIECE_THRESHOLD:
             raise ValueError(f"dictionaries beyond fold_limit need fuzzy thresholds of at least {LOWEST_PIECE_THRESHOLD}")
-        pairs = piece_pairs(lowered, keys, banded)
+        phrase = lowered.withColumn("phrase", F.expr(written_phrase(options)))
+        pairs = piece_pairs(phrase.select(*keys, "i", "n", "phrase", "_p", "_length"), keys, banded)
     near = (
         pairs.where(F.expr(may_reach("_p", "_lowered", "threshold")))
         .withColumn("score", F.expr(indel_ratio("_p", "_lowered")))
         .where(F.col("score") >= F.col("threshold"))
     )
+    if small:
+        near = near.withColumn("phrase", F.expr(written_phrase(options)))
     fuzzy = near.select(*keys, *COLUMNS, F.struct("i", "n", "phrase", "score").alias("_hit"))
     if small:
         exact = (

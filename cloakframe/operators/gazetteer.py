@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.sqltext import let, quote, struct, transform
-from cloakframe.functions.text import running_starts
+from cloakframe.functions.sqltext import quote
+from cloakframe.functions.text import running_starts, shifted
 from cloakframe.options import PRIORITY
 from cloakframe.sources.tables import broadcast_if_small
 
@@ -14,19 +14,31 @@ from cloakframe.sources.tables import broadcast_if_small
 WORD = "[^ \\t\\r\\n.,;:!?()\"<>]+"
 
 
-def word_windows(text: str, max_words: int) -> str:
-    """SQL for ARRAY<STRUCT<start, value>>: windows of words that single blanks separate."""
-    parts = struct(m=f"regexp_extract_all({text}, {quote(WORD)}, 0)", g=f"split({text}, {quote(WORD)}, -1)")
+def word_windows(leaves: DataFrame, keys: list[str], text: str, max_words: int) -> DataFrame:
+    """(keys, start, value): windows of words that single blanks separate.
 
-    def windows(p: str) -> str:
-        def at(start: str, i: str) -> str:
-            counts = f"sequence(1, least({max_words}, size({p}.m) - {i}))"
-            joined = f"filter({counts}, c_ -> forall(slice({p}.g, {i} + 2, c_ - 1), s_ -> s_ = ' '))"
-            return transform(joined, lambda n: struct(start=start, value=f"array_join(slice({p}.m, {i} + 1, {n}), ' ')"))
-
-        return f"flatten({transform(running_starts(f'{p}.g', f'{p}.m'), at, 2)})"
-
-    return let(parts, windows)
+    Words, gaps and starts are zipped with themselves, shifted, so each word's row holds the
+    next ones and the windows are built in generated code.
+    """
+    split = leaves.where(F.col(text).isNotNull()).select(
+        *keys,
+        F.expr(f"regexp_extract_all({text}, {quote(WORD)}, 0)").alias("_m"),
+        F.expr(f"split({text}, {quote(WORD)}, -1)").alias("_g"),
+    )
+    located = split.withColumn("_s", F.expr(running_starts("_g", "_m")))
+    ahead = [f"{shifted('_m', k)} AS _m{k}" for k in range(max_words)] + [
+        f"{shifted('_g', k)} AS _g{k}" for k in range(1, max_words)
+    ]
+    names = ["_s", *[f"_m{k}" for k in range(max_words)], *[f"_g{k}" for k in range(1, max_words)]]
+    rows = located.select(*keys, "_s", *[F.expr(a) for a in ahead]).select(*keys, F.inline(F.arrays_zip(*names)))
+    cases = []
+    for n in range(1, max_words + 1):
+        parts = ", ".join(f"_m{k}" for k in range(n))
+        blanks = " AND ".join([f"_m{n - 1} IS NOT NULL", *[f"_g{k} = ' '" for k in range(1, n)]])
+        cases.append(f"CASE WHEN {blanks} THEN concat_ws(' ', {parts}) END")
+    return rows.select(*keys, F.col("_s").alias("start"), F.expr(f"stack({max_words}, {', '.join(cases)}) AS (value)")).where(
+        "value IS NOT NULL"
+    )
 
 
 def gazetteer_spans(
@@ -37,7 +49,7 @@ def gazetteer_spans(
     one = gazetteer.groupBy("value").agg(F.max(F.struct("score", "entity_type")).alias("_g")).select(
         "value", "_g.score", "_g.entity_type"
     )
-    windows = leaves.select(*keys, F.expr(f"inline({word_windows(text, max_words)})"))
+    windows = word_windows(leaves, keys, text, max_words)
     return windows.join(broadcast_if_small(one, "value"), "value").select(
         *keys,
         "entity_type",

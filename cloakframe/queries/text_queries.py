@@ -353,29 +353,15 @@ ph AS (SELECT * FROM (SELECT doc_id, i, 1 AS n, w AS phrase FROM wl
 
 @query(
     "phrases",
-    f"""WITH {_PHRASES_SQL} SELECT doc_id, n, count(*) AS n_phrases, count(DISTINCT phrase) AS n_distinct,
+    f"""WITH {_PHRASES_SQL} SELECT doc_id, n, count(*) AS n_phrases,
 sum(length(phrase)) AS n_chars, min(phrase) AS first_phrase, max(phrase) AS last_phrase FROM ph GROUP BY doc_id, n""",
 )
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
-    from cloakframe.functions.sqltext import keep, let, struct, transform
-    from cloakframe.functions.text import phrases as phrase_array
-
-    def figures(all_phrases: str) -> str:
-        def of_size(n: str) -> str:
-            mine = transform(keep(all_phrases, lambda p: f"{p}.n = {n}"), lambda p: f"{p}.phrase")
-            return let(
-                mine,
-                lambda m: struct(
-                    n=n, n_phrases=f"size({m})", n_distinct=f"size(array_distinct({m}))",
-                    n_chars=f"aggregate({m}, 0L, (a_, p_) -> a_ + length(p_))",
-                    first_phrase=f"array_min({m})", last_phrase=f"array_max({m})",
-                ),
-            )
-
-        return transform("sequence(1, 5)", of_size)
-
-    rows = documents(spark, folder).select("doc_id", F.explode(F.expr(let(phrase_array("text"), figures))).alias("f"))
-    return rows.select("doc_id", "f.*").where("n_phrases > 0")
+    rows = fuzzy.phrase_rows(documents(spark, folder), DOC, "text").withColumn("phrase", F.expr(fuzzy.written_phrase()))
+    return rows.groupBy("doc_id", "n").agg(
+        F.count("*").alias("n_phrases"), F.sum(F.length("phrase")).alias("n_chars"),
+        F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"),
+    )
 
 
 @query(

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cloakframe.operators.restore import restore_column, unresolved_tokens
 from cloakframe.options import Options
 from cloakframe.plans.columns import mapping_rows, redact_column
+from cloakframe.sources.tables import spread
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def redact_stream(
     """Redact each micro-batch (ST1): mappings first, then the redacted rows without entities."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        done = redact_column(batch, text, keys, options=options, **redact).persist()
+        done = redact_column(spread(batch, *keys), text, keys, options=options, **redact).persist()
         try:
             if options.keep_mappings:
                 mapping_rows(done, text, options=options).write.mode("overwrite").parquet(
