@@ -147,26 +147,23 @@ def variant_nodes(df: DataFrame, keys: list[str], body: str, max_depth: int = 8)
     """
     spark = df.sparkSession
     level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(body).alias("node"))
-    for _ in range(max_depth):
+    for depth in range(max_depth + 1):
         kind = F.schema_of_variant("node")
         inner = F.when(kind.rlike("^(?:OBJECT|ARRAY)<"), F.col("node"))
         step = level.withColumn("_inner", inner).lateralJoin(spark.tvf.variant_explode_outer(F.col("_inner").outer()))
-        child = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit("")), "key"))
-        item = F.when(F.col("pos").isNotNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        found = F.col("pos").isNotNull()
+        if depth == max_depth:
+            found = F.when(found, F.raise_error(F.lit("JSON deeper than max_depth")).cast("boolean")).otherwise(F.lit(False))
+        prefix = F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit(""))
+        child = F.when(F.col("key").isNotNull(), F.concat(prefix, "key")).otherwise(
+            F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+        )
         level = step.select(
             *keys,
-            F.coalesce(child, item, F.col("path")).alias("path"),
-            F.when(F.col("pos").isNotNull(), F.col("value")).otherwise(F.col("node")).alias("node"),
+            F.when(found, child).otherwise(F.col("path")).alias("path"),
+            F.when(found, F.col("value")).otherwise(F.col("node")).alias("node"),
         )
-    kind = F.schema_of_variant("node")
-    return level.select(
-        *keys,
-        "path",
-        F.when(kind.rlike("^(?:OBJECT|ARRAY)<[^>]"), F.raise_error(F.lit("JSON deeper than max_depth")).cast("string"))
-        .otherwise(kind)
-        .alias("kind"),
-        "node",
-    )
+    return level.select(*keys, "path", F.schema_of_variant("node").alias("kind"), "node")
 
 
 def variant_leaves(df: DataFrame, keys: list[str], body: str, max_depth: int = 8) -> DataFrame:

@@ -97,12 +97,12 @@ def mapping_rows(
     redacted: DataFrame,
     path: Column | str,
     profile: str = "default",
-    created_at: Column | None = None,
+    created_at: str | None = None,
     options: Options = Options(),
 ) -> DataFrame:
     """Flat mapping rows (S6, T6) of a redact_column result. With document or leaf scope a leaf's
     entities are already distinct, so no shuffle; with global scope they are combined map-side."""
-    stamp = F.current_timestamp() if created_at is None else created_at
+    stamp = F.expr(created_at or "current_timestamp()")
     where = F.lit(path) if isinstance(path, str) else path
     rows = (
         redacted.select("mapping_id", where.alias("path"), stamp.alias("created_at"), F.explode_outer("entities").alias("e"))

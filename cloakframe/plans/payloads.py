@@ -85,10 +85,10 @@ def redact_payload(
 
 
 def payload_mapping_rows(
-    redacted: DataFrame, profile: str = "default", created_at=None, options: Options = Options()
+    redacted: DataFrame, profile: str = "default", created_at: str | None = None, options: Options = Options()
 ) -> DataFrame:
     """Flat mapping rows of a redact_payload result, keyed by path."""
-    stamp = F.current_timestamp() if created_at is None else created_at
+    stamp = F.expr(created_at or "current_timestamp()")
     rows = (
         redacted.select("mapping_id", stamp.alias("created_at"), F.explode_outer("entities").alias("e"))
         .where(F.col("e").isNotNull())

@@ -86,7 +86,7 @@ def staged_documents(spark: SparkSession, folder: str, options: Options = OPTION
 
 
 def document_mappings(redacted: DataFrame, options: Options = OPTIONS) -> DataFrame:
-    return mapping_rows(redacted, "text", created_at=F.expr(EPOCH), options=options)
+    return mapping_rows(redacted, "text", created_at=EPOCH, options=options)
 
 
 def profile_of_source():

@@ -121,7 +121,7 @@ string_agg(placeholder, ',' ORDER BY placeholder) AS placeholders FROM maps GROU
 )
 def mapping_by_path(spark: SparkSession, folder: str) -> DataFrame:
     done = redact_payload(document_payloads(spark, folder), ["doc_id"], options=OPTIONS)
-    rows = payload_mapping_rows(done, created_at=F.expr(EPOCH), options=OPTIONS)
+    rows = payload_mapping_rows(done, created_at=EPOCH, options=OPTIONS)
     return rows.groupBy("mapping_id", "path").agg(
         F.count("*").alias("n_entities"),
         F.array_join(F.array_sort(F.collect_list("placeholder")), ",").alias("placeholders"),
@@ -131,7 +131,7 @@ def mapping_by_path(spark: SparkSession, folder: str) -> DataFrame:
 @query("restore_payload", "SELECT doc_id, text AS system_text, text AS user_text, source AS origin, lang FROM documents")
 def restored_payload(spark: SparkSession, folder: str) -> DataFrame:
     done = stage(redact_payload(document_payloads(spark, folder), ["doc_id"], options=OPTIONS), "payloads")
-    known = payload_mapping_rows(done, created_at=F.expr(EPOCH), options=OPTIONS)
+    known = payload_mapping_rows(done, created_at=EPOCH, options=OPTIONS)
     back = restore_payload(done.drop("entities", "mapping_id"), known, ["doc_id"], options=OPTIONS)
     return back.select(
         "doc_id",
