@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.sqltext import empty, quote
+from cloakframe.functions.sqltext import empty, keep, let, quote
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators.detect import BUILT_IN, Detector, detect
-from cloakframe.operators.dictionary import dictionary_candidates
+from cloakframe.operators.dictionary import dictionary_candidates, literal_dictionary
 from cloakframe.operators.redact import redact_candidates, redact_spans, spans_to_candidates
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
@@ -18,9 +18,49 @@ from cloakframe.schemas import CANDIDATES, SPANS
 from cloakframe.sources.profiles import ProfileSet, ResolvedProfile
 
 
+class RowProfiles:
+    """Settings looked up per row by a profile column: one expression, however many profiles there are."""
+
+    def __init__(self, column: str, profiles: ProfileSet) -> None:
+        names = ", ".join(quote(n) for n in profiles.names)
+        asked = f"coalesce({column}, {quote(profiles.default)})"
+        # The key '' holds the bare defaults that unknown names get.
+        self.key = f"CASE WHEN {asked} IN ({names}) THEN {asked} ELSE '' END" if names else "''"
+        self.profiles = {n: profiles.resolve(n) for n in profiles.names} | {"": ProfileSet({}).resolve()}
+        self.largest = max(len(p.dictionary) for p in self.profiles.values())
+
+    def _map(self, value, array_type: str) -> str:
+        pairs = ", ".join(f"{quote(n)}, {value(p)}" for n, p in self.profiles.items())
+        return f"cast(map({pairs}) AS map<string, {array_type}>)"
+
+    def over_threshold(self, spans: str) -> str:
+        def literal(p: ResolvedProfile) -> str:
+            return "map(" + ", ".join(f"{quote(t)}, {float(v)}D" for t, v in p.thresholds.items()) + ")"
+
+        def reached(cuts: str) -> str:
+            return keep(
+                spans, lambda s: f"{s}.score >= coalesce(try_element_at({cuts}, {s}.entity_type), try_element_at({cuts}, 'DEFAULT'))"
+            )
+
+        return let(f"try_element_at({self._map(literal, 'map<string, double>')}, {self.key})", reached)
+
+    def dictionary(self, text: str) -> str:
+        if not self.largest:
+            return empty(CANDIDATES)
+        values = self._map(lambda p: literal_dictionary(list(p.dictionary)), CANDIDATES)
+        return keep(f"try_element_at({values}, {self.key})", lambda v: f"contains({text}, {v}.value)")
+
+    def skipped(self, text: str, parity: bool) -> str:
+        def terms(p: ResolvedProfile) -> str:
+            wanted = sorted({t if parity else t.lower() for t in p.skip_terms})
+            return f"array({', '.join(quote(t) for t in wanted)})"
+
+        return f"coalesce(array_contains(try_element_at({self._map(terms, 'array<string>')}, {self.key}), lower({text})), false)"
+
+
 def redaction(
     text: str,
-    profile: ResolvedProfile,
+    profile: ResolvedProfile | RowProfiles,
     scope: str,
     options: Options = Options(),
     detectors: Iterable[Detector] | None = None,
@@ -32,20 +72,28 @@ def redaction(
     `extra` is an ARRAY<candidate> from elsewhere: large dictionaries, fuzzy hits, a model.
     """
     chosen = BUILT_IN if detectors is None else list(detectors)
-    if len(profile.dictionary) > options.fold_limit:
+    per_row = isinstance(profile, RowProfiles)
+    n_values = profile.largest if per_row else len(profile.dictionary)
+    if n_values > options.fold_limit:
         raise ValueError(
-            f"profile {profile.name} has {len(profile.dictionary)} dictionary values; beyond fold_limit "
+            f"a profile has {n_values} dictionary values; beyond fold_limit "
             "pass the hits of dictionary_hits_join as extra candidates"
         )
-    spans = detect(text, chosen, profile.thresholds, lang, options.disabled_types)
+    if per_row:
+        spans = profile.over_threshold(detect(text, chosen, None, lang, options.disabled_types))
+        values = profile.dictionary(text)
+        skipped = profile.skipped(text, options.skip_parity)
+    else:
+        spans = detect(text, chosen, profile.thresholds, lang, options.disabled_types)
+        values = dictionary_candidates(text, list(profile.dictionary))
+        skipped = is_skip_term(text, list(profile.skip_terms), options.skip_parity)
     touched = (
-        f"{eligible(text, options.min_text_length)}"
-        f" AND NOT {is_skip_term(text, list(profile.skip_terms), options.skip_parity)}"
+        f"{eligible(text, options.min_text_length)} AND NOT {skipped}"
         f" AND NOT {is_uuid_shaped(text, options.uuid_length, options.uuid_dashes)}"
     )
-    if not options.all_occurrences and not profile.dictionary and extra is None:
+    if not options.all_occurrences and not n_values and extra is None:
         return redact_spans(options, text, scope, f"CASE WHEN {touched} THEN {spans} ELSE {empty(SPANS)} END")
-    parts = [dictionary_candidates(text, list(profile.dictionary)), spans_to_candidates(spans)]
+    parts = [values, spans_to_candidates(spans)]
     if extra is not None:
         parts.append(f"coalesce(cast({extra} AS {CANDIDATES}), {empty(CANDIDATES)})")
     found = f"CASE WHEN {touched} THEN concat({', '.join(parts)}) ELSE {empty(CANDIDATES)} END"
@@ -73,16 +121,8 @@ def redact_column(
     chosen = None if detectors is None else list(detectors)
     scope = token_scope(options, "mapping_id", quote(path or text))
 
-    def for_profile(name: str | None) -> str:
-        return redaction(text, profiles.resolve(name), scope, options, chosen, lang, extra)
-
-    if profile_column is None:
-        result = for_profile(profile)
-    else:
-        row_profile = f"coalesce({profile_column}, {quote(profiles.default)})"
-        cases = " ".join(f"WHEN {quote(n)} THEN {for_profile(n)}" for n in profiles.names)
-        bare = ProfileSet({}).resolve()
-        result = f"CASE {row_profile} {cases} ELSE {redaction(text, bare, scope, options, chosen, lang, extra)} END"
+    settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
+    result = redaction(text, settings, scope, options, chosen, lang, extra)
     kept = [c for c in df.columns if c not in ("mapping_id", extra)]
     staged = df.select(*kept, *([extra] if extra else []), F.expr(mapping_id(options, *keys)).alias("mapping_id"))
     return staged.withColumn("_redaction", F.expr(result)).select(

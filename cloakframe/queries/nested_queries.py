@@ -28,7 +28,7 @@ def bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "src_payload_json",
-    f"WITH {_TURNS} SELECT conv_id, chunk, CAST(count(*) AS INT) AS n_messages, sum(length(text)) AS n_chars FROM t GROUP BY 1, 2",
+    f"WITH {_TURNS} SELECT conv_id, chunk, CAST(count(*) AS INT) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM t GROUP BY 1, 2",
 )
 def src_payload_json(spark: SparkSession, folder: str) -> DataFrame:
     parsed = parse_payloads(bodies(spark, folder), "body", PAYLOAD)

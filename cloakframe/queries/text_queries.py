@@ -184,7 +184,7 @@ def dict_exact(spark: SparkSession, folder: str) -> DataFrame:
 
     found = transform(
         dictionary_candidates("text", list(_WORDS.dictionary)),
-        lambda c: struct(entity_type=f"{c}.entity_type", value=f"{c}.value", n=f"size({occurrences('text', f'{c}.value')})"),
+        lambda c: struct(entity_type=f"{c}.entity_type", value=f"{c}.value", n=f"cast(size({occurrences('text', f'{c}.value')}) AS bigint)"),
     )
     rows = documents(spark, folder).select("doc_id", F.expr(found).alias("h")).select("doc_id", F.explode_outer("h").alias("h"))
     return rows.where(F.col("h").isNotNull()).select("doc_id", "h.*")
@@ -260,7 +260,7 @@ def profile_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     "profile_choice",
     f"""WITH d AS (SELECT coalesce({_SOURCE_CASE}, 'default') AS profile FROM documents),
 t AS (SELECT profile, threshold FROM {_RESOLVED_SQL} WHERE entity_type = 'DEFAULT')
-SELECT d.profile, t.profile IS NOT NULL AS known, coalesce(max(t.threshold), 0.85) AS default_threshold, count(*) AS n_docs
+SELECT d.profile, t.profile IS NOT NULL AS known, coalesce(max(t.threshold), CAST(0.85 AS DOUBLE)) AS default_threshold, count(*) AS n_docs
 FROM d LEFT JOIN t ON d.profile = t.profile GROUP BY d.profile, t.profile""",
 )
 def profile_choice(spark: SparkSession, folder: str) -> DataFrame:
@@ -354,7 +354,7 @@ ph AS (SELECT * FROM (SELECT doc_id, i, 1 AS n, w AS phrase FROM wl
 @query(
     "phrases",
     f"""WITH {_PHRASES_SQL} SELECT doc_id, n, count(*) AS n_phrases,
-sum(length(phrase)) AS n_chars, min(phrase) AS first_phrase, max(phrase) AS last_phrase FROM ph GROUP BY doc_id, n""",
+CAST(sum(length(phrase)) AS BIGINT) AS n_chars, min(phrase) AS first_phrase, max(phrase) AS last_phrase FROM ph GROUP BY doc_id, n""",
 )
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
     rows = fuzzy.phrase_rows(documents(spark, folder), DOC, "text").withColumn("phrase", F.expr(fuzzy.written_phrase()))
@@ -427,7 +427,7 @@ def fuzzy_redact(spark: SparkSession, folder: str) -> DataFrame:
         docs.join(candidates, DOC, "left"), "text", DOC, PROFILES, "typos", options=OPTIONS, extra="candidates"
     )
     tokens = F.size(F.regexp_extract_all("redacted", F.lit(OPTIONS.token_pattern), F.lit(0)))
-    return done.select("doc_id", "redacted", tokens.alias("n_spans"))
+    return done.select("doc_id", "redacted", tokens.cast("long").alias("n_spans"))
 
 
 # -- tokens and redaction -------------------------------------------------------------------
@@ -503,7 +503,28 @@ SELECT doc_id, redacted, coalesce(n, 0) AS n_entities FROM red LEFT JOIN (SELECT
 )
 def anonymize_text(spark: SparkSession, folder: str) -> DataFrame:
     done = redacted_documents(spark, folder, profile="words")
-    return done.select("doc_id", "redacted", F.size("entities").alias("n_entities"))
+    return done.select("doc_id", "redacted", F.size("entities").cast("long").alias("n_entities"))
+
+
+def _profile_red(name: str, where: str) -> str:
+    """Reference redaction of the documents of one profile."""
+    resolved = PROFILES.resolve(name)
+    rows = [(v.entity_type, v.type_ord, v.value, v.value_ord) for v in resolved.dictionary]
+    source = f"(SELECT * FROM documents WHERE {where})"
+    ctes = redaction_ctes(source, DOC, "text", ALL, rows, resolved.thresholds, resolved.skip_terms)
+    return f"(WITH {ctes} SELECT doc_id, redacted FROM red)"
+
+
+@query(
+    "anonymize_by_profile",
+    " UNION ALL ".join(
+        [_profile_red(p, f"source = '{s}'") for s, p in PROFILE_BY_SOURCE.items()]
+        + [_profile_red("default", f"source NOT IN ({', '.join(q(s) for s in PROFILE_BY_SOURCE)})")]
+    ),
+)
+def anonymize_by_profile(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumn("profile", profile_of_source())
+    return redact_column(docs, "text", DOC, PROFILES, profile_column="profile", options=OPTIONS).select("doc_id", "redacted")
 
 
 @query(
