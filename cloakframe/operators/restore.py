@@ -113,20 +113,29 @@ def restore_column(
 ) -> DataFrame:
     """`df` with the restored text in `to` (V7). `keys` name a row; `mapping_id` is its scope
     (the column of that name by default). Unknown tokens stay in the text."""
-    scope = F.col("mapping_id") if mapping_id is None else mapping_id
-    tagged = df.where(has_token(F.col(text), options))
-    plain = df.where(~has_token(F.col(text), options)).withColumn(to, F.col(text))
-    needed = needed_tokens(tagged, keys, [tokens_in(F.col(text), options)], scope, options)
-    known = (
+    scope = F.coalesce(F.col("mapping_id") if mapping_id is None else mapping_id, F.lit(""))
+    found = has_token(F.col(text), options)
+    tagged = df.where(found).withColumn("_scope", scope)
+    plain = df.where(~found).withColumn(to, F.col(text))
+    needed = needed_tokens(tagged, keys, [tokens_in(F.col(text), options)], F.col("_scope"), options)
+    known = known_tokens(needed, keys, mappings, any_mapping, type_fallback)
+    restored = tagged.join(known, [*keys, "_scope"], "left").withColumn(
+        to, F.expr(substitute_tokens(text, options.token_pattern, "_known"))
+    )
+    return plain.unionByName(restored.drop("_known", "_scope").select(*plain.columns))
+
+
+def known_tokens(
+    needed: DataFrame, keys: list[str], mappings: DataFrame, any_mapping: bool = False, type_fallback: str = "off"
+) -> DataFrame:
+    """(keys, _scope, _known): per row the originals of its own tokens, as a map. Copies of a row
+    share one map: the set is combined map-side and holds no more than the row's tokens."""
+    return (
         resolve_tokens(needed, keys, mappings, any_mapping, type_fallback)
         .where(F.col("original").isNotNull())
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_known"))
-    )
-    restored = tagged.join(known, keys, "left").withColumn(
-        to, F.expr(substitute_tokens(text, options.token_pattern, "_known"))
+        .groupBy(*keys, F.col("mapping_id").alias("_scope"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "original"))).alias("_known"))
     )
-    return plain.unionByName(restored.drop("_known"))
 
 
 def unresolved_tokens(

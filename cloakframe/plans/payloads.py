@@ -24,7 +24,7 @@ from cloakframe.operators.nested import (
     strip_metadata,
     variant_leaves,
 )
-from cloakframe.operators.restore import needed_tokens, resolve_tokens
+from cloakframe.operators.restore import known_tokens, needed_tokens
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
 from cloakframe.plans.columns import redact_column, redaction
@@ -119,16 +119,11 @@ def restore_payload(
         F.expr(gather(df.schema[c].dataType, f"`{c}`", lambda x: f"regexp_extract_all({x}, {pattern}, 0)", "array<string>"))
         for c in walked
     ]
-    staged = df.withColumn("_tokens", F.array_distinct(F.concat(*tokens)))
+    handle = F.coalesce(F.col(f"{metadata}.privacy_mapping_id"), F.lit(""))
+    staged = df.withColumn("_tokens", F.array_distinct(F.concat(*tokens))).withColumn("_scope", handle)
     tagged, plain = staged.where(F.size("_tokens") > 0), staged.where(F.size("_tokens") == 0)
-    needed = needed_tokens(tagged, keys, [F.col("_tokens")], F.col(f"{metadata}.privacy_mapping_id"), options)
-    known = (
-        resolve_tokens(needed, keys, mappings, any_mapping, type_fallback)
-        .where(F.col("original").isNotNull())
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("_known"))
-    )
-    joined = tagged.join(known, keys, "left")
+    needed = needed_tokens(tagged, keys, [F.col("_tokens")], F.col("_scope"), options)
+    joined = tagged.join(known_tokens(needed, keys, mappings, any_mapping, type_fallback), [*keys, "_scope"], "left")
     restored = joined.select(
         *[
             F.expr(
@@ -139,7 +134,7 @@ def restore_payload(
             for c in df.columns
         ]
     )
-    return strip_metadata(plain.drop("_tokens").unionByName(restored), metadata)
+    return strip_metadata(plain.drop("_tokens", "_scope").unionByName(restored), metadata)
 
 
 def redact_json(

@@ -281,3 +281,26 @@ def test_redaction_plan_has_no_shuffle(spark):
     plan = redact_column(spark.range(10).selectExpr("id", "'a@b.co' AS text"), "text", ["id"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_copies_of_a_row_are_all_restored(spark):
+    known = spark.createDataFrame(
+        [("m1", "p", "<PERSON_12345678>", "PERSON", "Ann", 1), ("m2", "p", "<PERSON_12345678>", "PERSON", "Bob", 1)],
+        "mapping_id string, path string, placeholder string, entity_type string, original string, created_at int",
+    )
+    rows = [(1, "m1", "hi <PERSON_12345678>")] * 50 + [(1, "m2", "hi <PERSON_12345678>")] * 3
+    asked = spark.createDataFrame(rows, "id long, mapping_id string, text string")
+    counts = restore_column(asked, "text", known, ["id"]).groupBy("restored").count().collect()
+    assert {(r["restored"], r["count"]) for r in counts} == {("hi Ann", 50), ("hi Bob", 3)}
+
+
+def test_written_products_restore(spark, tmp_path):
+    from cloakframe.operators.store import read_mappings
+    from cloakframe.sources.sinks import write_redacted_column
+
+    done = redact_column(texts(spark, "mail a@b.co", "plain words"), "text", ["id"])
+    write_redacted_column(done, "text", str(tmp_path / "out"), str(tmp_path / "maps"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert set(written.columns) == {"id", "mapping_id", "redacted"}
+    back = restore_column(written, "redacted", read_mappings(spark, str(tmp_path / "maps")), ["id"])
+    assert [r["restored"] for r in back.orderBy("id").collect()] == ["mail a@b.co", "plain words"]
