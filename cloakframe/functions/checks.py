@@ -17,7 +17,7 @@ def luhn_valid(value: str) -> str:
 
 
 def octets_valid(value: str) -> str:
-    return f"forall(split({value}, '[.]'), o_ -> int(o_) <= 255)"
+    return f"forall(split({value}, '\\\\.'), o_ -> int(o_) <= 255)"
 
 
 def ipv6_valid(value: str) -> str:

@@ -70,18 +70,50 @@ def starts_of(gaps: str, lengths: str) -> str:
     return let(steps, blocks)
 
 
+# Up to here matches are located one after another; beyond, from the gaps, which is linear in the text.
+FEW = 64
+
+
+def starts_in_turn(text: str, values: str) -> str:
+    """0-based starts of values that follow one another in the text.
+
+    A match of a pattern without anchors or lookaround is also the next place its own text occurs,
+    so its start is found without running the pattern again.
+    """
+    return fold(
+        values,
+        struct(pos="0", out=empty("array<int>")),
+        lambda acc, v: let(
+            f"locate({v}, {text}, {acc}.pos + 1) - 1",
+            lambda at: struct(pos=f"{at} + length({v})", out=f"array_append({acc}.out, {at})"),
+        ),
+        lambda acc: f"{acc}.out",
+    )
+
+
 def running_starts(gaps: str, matches: str) -> str:
     """0-based start of every match, from the gaps around the matches."""
     return starts_of(gaps, f"transform({matches}, m_ -> length(m_))")
 
 
+def match_starts(text: str, pattern: str, matches: str) -> str:
+    """0-based start of every match of `pattern`, given the matches."""
+    dense = let(f"split({text}, {quote(pattern)}, -1)", lambda g: running_starts(g, matches))
+    return f"CASE WHEN size({matches}) <= {FEW} THEN {starts_in_turn(text, matches)} ELSE {dense} END"
+
+
 def occurrences(text: str, value: str) -> str:
     """0-based starts of all non-overlapping occurrences of `value`, left to right."""
 
-    def located(gaps: str) -> str:
-        return starts_of(gaps, f"transform(slice({gaps}, 2, size({gaps})), x_ -> length({value}))")
+    def located(n: str) -> str:
+        dense = let(
+            f"split({text}, {literal_regex(value)}, -1)",
+            lambda g: starts_of(g, f"transform(slice({g}, 2, size({g})), x_ -> length({value}))"),
+        )
+        return f"CASE WHEN {n} <= {FEW} THEN {starts_in_turn(text, f'array_repeat({value}, {n})')} ELSE {dense} END"
 
-    return let(f"split({text}, {literal_regex(value)}, -1)", located)
+    count = f"cast((length({text}) - length(replace({text}, {value}, ''))) / length({value}) AS int)"
+    return let(count, located)
 
 
 def shifted(array: str, by: int) -> str:

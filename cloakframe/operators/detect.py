@@ -1,12 +1,13 @@
 """Pattern detectors (E1-E7, E10-E12) and the detector registry.
 
-A detector is a regex both Java and RE2 read alike (no lookaround, ASCII classes), checks on
+A detector is a regex both Java and RE2 read alike (ASCII classes, no lookaround, no anchors), checks on
 the characters next to a match, an optional validator and a base score. A detector's result
 for a text is an array of spans, so any number of detectors share one scan and no shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions.checks import iban_valid, ipv6_valid, iso_date_valid, luhn_valid, octets_valid
 from cloakframe.functions.sqltext import empty, keep, let, quote, struct, transform
-from cloakframe.functions.text import running_starts
+from cloakframe.functions.text import match_starts
 from cloakframe.options import PRIORITY, check_type_name
 from cloakframe.schemas import SPANS
 
+# Matches are located by their own text, so a pattern must not depend on what stands around it.
+ANCHORS = re.compile(r"(?<![\\\[])\^|\\[bBAzZG]|(?<!\\)\$(?![^\[]*\])|\(\?<?[=!]")
 CONTEXT_WIDTH = 40
 CONTEXT_BOOST = 0.35
 
@@ -42,15 +45,17 @@ class Detector:
 
     def __post_init__(self) -> None:
         check_type_name(self.entity_type)
+        if ANCHORS.search(self.pattern):
+            raise ValueError(f"detector {self.name}: use left_not and right_not, not anchors or lookaround")
 
     @property
     def best_score(self) -> float:
         return min(self.score + CONTEXT_BOOST, 1.0) if self.context else self.score
 
     def _matches(self, text: str) -> str:
-        """ARRAY<STRUCT<start, value, before, after>> of raw pattern matches."""
+        """ARRAY<STRUCT<start, value, ...>> of raw pattern matches, with the characters the guards look at."""
         pattern = quote(self.pattern)
-        parts = {"m": f"regexp_extract_all({text}, {pattern}, 0)", "g": f"split({text}, {pattern}, -1)"}
+        parts = {"m": f"regexp_extract_all({text}, {pattern}, 0)"}
         if self.lead:
             parts["v"] = f"regexp_extract_all({text}, {pattern}, 2)"
 
@@ -59,14 +64,14 @@ class Detector:
                 whole = f"get({p}.m, {i})"
                 value = f"get({p}.v, {i})" if self.lead else whole
                 shift = f" + length({whole}) - length({value})" if self.lead else ""
-                return struct(
-                    start=f"{start}{shift}",
-                    value=value,
-                    before=f"right(get({p}.g, {i}), 1)",
-                    after=f"left(get({p}.g, {i} + 1), 2)",
-                )
-
-            return transform(running_starts(f"{p}.g", f"{p}.m"), one, 2)
+                fields = {"start": f"{start}{shift}", "value": value}
+                if self.left_not:
+                    fields["before"] = f"substr({text}, {start}, if({start} > 0, 1, 0))"
+                if self.right_not:
+                    fields["after"] = f"substr({text}, {start} + length({whole}) + 1, 2)"
+                return struct(**fields)
+
+            return transform(match_starts(text, self.pattern, f"{p}.m"), one, 2)
 
         return let(struct(**parts), located)
 
