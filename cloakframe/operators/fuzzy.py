@@ -134,13 +134,20 @@ def piece_pairs(phrase: DataFrame, keys: list[str], banded: DataFrame) -> DataFr
 
 
 def fuzzy_hits(
-    leaves: DataFrame, keys: list[str], text: str, profile: ResolvedProfile, options: Options = Options()
+    leaves: DataFrame, keys: list[str], text: str, profile: ResolvedProfile | None = None,
+    options: Options = Options(), dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, entity_type, type_ord, value, value_ord, phrase, score): per value the exact hit
-    (score 100) or the first phrase over the threshold in (start, words) order (Z3)."""
-    banded = _banded(dictionary_frame(leaves, profile, options))
-    values = [v for v in profile.dictionary if len(v.value) >= options.min_entity_length]
-    small = len(values) <= options.fold_limit
+    (score 100) or the first phrase over the threshold in (start, words) order (Z3).
+
+    The values come from `profile`, or from a `dictionary` table with the DICTIONARY columns.
+    """
+    values = [v for v in profile.dictionary if len(v.value) >= options.min_entity_length] if profile else []
+    small = dictionary is None and len(values) <= options.fold_limit
+    known = dictionary_frame(leaves, profile, options) if dictionary is None else dictionary.where(
+        F.length("value") >= options.min_entity_length
+    )
+    banded = _banded(known)
     lowered = (
         phrase_rows(leaves, keys, text, options, _range(banded))
         .withColumn("_length", F.length("_p"))
@@ -148,8 +155,8 @@ def fuzzy_hits(
     if small:
         pairs = lowered.join(F.broadcast(banded), "_length")
     else:
-        low = min(profile.fuzzy_threshold(v.entity_type) for v in values)
-        if low < LOWEST_PIECE_THRESHOLD:
+        low = known.agg(F.min("threshold")).first()[0]
+        if low is not None and low < LOWEST_PIECE_THRESHOLD:
             raise ValueError(f"dictionaries beyond fold_limit need fuzzy thresholds of at least {LOWEST_PIECE_THRESHOLD}")
         phrase = lowered.withColumn("phrase", F.expr(written_phrase(options)))
         pairs = piece_pairs(phrase.select(*keys, "i", "n", "phrase", "_p", "_length"), keys, banded)
@@ -168,7 +175,7 @@ def fuzzy_hits(
             .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in COLUMNS])
         )
     else:
-        exact = dictionary_hits_join(leaves, keys, text, dictionary_frame(leaves, profile, options).drop("threshold"))
+        exact = dictionary_hits_join(leaves, keys, text, known.drop("threshold"))
     whole = exact.select(
         *keys, *COLUMNS,
         F.struct(

@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cloakframe.options import PRIORITY, check_type_name
+from cloakframe.options import PRIORITY, TYPE_NAME
 
 # text -> [(entity_type, start, end, score), ...]
 Model = Callable[[str], list[tuple[str, int, int, float]]]
 
 
 def model_spans(
-    leaves: DataFrame, keys: list[str], text: str, load: Callable[[], Model], batch_rows: int | None = None
+    leaves: DataFrame, keys: list[str], text: str, load: Callable[[], Model]
 ) -> DataFrame:
     """Span rows of a model, loaded once per task and fed Arrow batches."""
     schema = T.StructType(
@@ -29,6 +29,9 @@ def model_spans(
         ]
     )
 
+    # Plain values only, so executors need not have this package.
+    names, priority, well_formed = schema.names, PRIORITY["model"], TYPE_NAME
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
@@ -36,10 +39,9 @@ def model_spans(
             for row in batch.itertuples(index=False):
                 *key, content = row
                 for entity_type, start, end, score in model(content) if content else []:
-                    rows.append(
-                        (*key, check_type_name(entity_type), start, end, content[start:end], float(score),
-                         "model", PRIORITY["model"], 0, 0)
-                    )
-            yield pd.DataFrame(rows, columns=schema.names)
+                    if not well_formed.match(entity_type):
+                        raise ValueError(f"entity type must match [A-Z_]+: {entity_type!r}")
+                    rows.append((*key, entity_type, start, end, content[start:end], float(score), "model", priority, 0, 0))
+            yield pd.DataFrame(rows, columns=names)
 
     return leaves.select(*keys, text).mapInPandas(run, schema)

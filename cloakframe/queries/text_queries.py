@@ -155,16 +155,16 @@ def detect_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
     return shown_spans(gazetteer_spans(documents(spark, folder), DOC, "text", gazetteer, 2), DOC)
 
 
-def _capital_words():
-    import re
-
-    pattern = re.compile("[A-Z][a-z]+ing")
-    return lambda text: [("PERSON", m.start(), m.end(), 0.9) for m in pattern.finditer(text)]
-
-
 @query("detect_model_hook")
 def detect_model_hook(spark: SparkSession, folder: str) -> DataFrame:
-    return shown_spans(model_spans(documents(spark, folder), DOC, "text", _capital_words), DOC)
+    def load():
+        """A stand-in for a name model: capitalised words of one ending."""
+        import re
+
+        pattern = re.compile("[A-Z][a-z]+ing")
+        return lambda text: [("PERSON", m.start(), m.end(), 0.9) for m in pattern.finditer(text)]
+
+    return shown_spans(model_spans(documents(spark, folder), DOC, "text", load), DOC)
 
 
 _WORDS = PROFILES.resolve("words")

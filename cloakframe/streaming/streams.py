@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from cloakframe.operators.restore import restore_column, unresolved_tokens
 from cloakframe.options import Options
 from cloakframe.plans.columns import mapping_rows, redact_column
+from cloakframe.plans.payloads import payload_mapping_rows, redact_payload, restore_payload
+from cloakframe.sources.payloads import parse_payloads, split_quarantine
 from cloakframe.sources.tables import spread
 
 
@@ -75,6 +77,40 @@ def restore_stream(
     return _each_batch(stream, checkpoint, work, trigger)
 
 
+def redact_payload_stream(
+    stream: DataFrame, keys: list[str], body: str, schema: str, out: str, mappings_out: str, quarantine_out: str,
+    checkpoint: str, options: Options = Options(), trigger: dict | None = None, **redact,
+) -> StreamingQuery:
+    """Redact JSON requests of a declared schema (ST1). Unreadable bodies go to the quarantine, never on."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        readable, refused = split_quarantine(batch, body, options.on_error)
+        refused.write.mode("overwrite").parquet(f"{quarantine_out}/batch_id={batch_id}")
+        typed = parse_payloads(readable, body, schema, "_payload").select(*keys, "_payload.*")
+        done = redact_payload(spread(typed, *keys), keys, options=options, **redact).persist()
+        try:
+            if options.keep_mappings:
+                payload_mapping_rows(done, options=options).write.mode("overwrite").parquet(f"{mappings_out}/batch_id={batch_id}")
+            done.drop("entities").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            done.unpersist()
+
+    return _each_batch(stream, checkpoint, work, trigger)
+
+
+def restore_payload_stream(
+    stream: DataFrame, keys: list[str], mappings: Callable[[], DataFrame], out: str, checkpoint: str,
+    options: Options = Options(), trigger: dict | None = None, **restore,
+) -> StreamingQuery:
+    """Restore typed payloads by the handle in their metadata (ST2)."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        done = restore_payload(batch, mappings(), keys, options=options, **restore)
+        done.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return _each_batch(stream, checkpoint, work, trigger)
+
+
 def ttl_join(
     mappings: DataFrame, responses: DataFrame, on: str, created: str, asked: str, ttl_seconds: int,
     delay: str = "10 minutes", how: str = "inner",

@@ -87,6 +87,16 @@ def test_fuzzy_hits_match_brute_force(spark, threshold, fold_limit):
     assert got == {(i, *h) for i, t in rows for h in brute_force(t, values, threshold)}
 
 
+def test_fuzzy_hits_from_a_dictionary_table(spark):
+    rows = [("PERSON", 0, "John Doe", 0, 80.0), ("LOCATION", 1, "Springfield", 0, 90.0), ("LOCATION", 1, "x", 1, 90.0)]
+    dictionary = spark.createDataFrame(rows, fuzzy.DICTIONARY)
+    df = spark.createDataFrame([(1, "jon doe of Springfeld"), (2, "John Doe"), (3, None)], "id long, text string")
+    got = {(r["id"], r["value"], r["phrase"]) for r in fuzzy.fuzzy_hits(df, ["id"], "text", dictionary=dictionary).collect()}
+    assert got == {(1, "John Doe", "jon doe"), (1, "Springfield", "Springfeld"), (2, "John Doe", "John Doe")}
+    with pytest.raises(ValueError):
+        fuzzy.fuzzy_hits(df, ["id"], "text", dictionary=dictionary.withColumn("threshold", F.lit(50.0)))
+
+
 def test_fuzzy_redaction_hides_the_misspelling(spark):
     profiles = ProfileSet(
         {"t": {"custom_entities": {"PERSON": ["John Doe"]}, "fuzzy_match": {"enabled": True, "thresholds": {"DEFAULT": 80}}}}
@@ -320,3 +330,21 @@ def test_sql_functions(spark):
     ).first()
     assert (row["a"], row["b"]) == (False, 66.67)
     assert row["c"].startswith("<PERSON_") and row["d"].startswith("mail <EMAIL_ADDRESS_") and row["e"] >= 1
+
+
+def test_patterns_must_not_look_around():
+    for pattern in ("^a", "a$", r"\bx", "(?=a)b", "(?<!a)b"):
+        with pytest.raises(ValueError):
+            Detector("x", "T", pattern, 1.0)
+    Detector("x", "T", r"[^a][$]\^b", 1.0)
+
+
+def test_adjacent_and_repeated_matches_are_located(spark):
+    rule = Detector("r", "T", "a+b?", 1.0)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("aabc ", k=rng.choice([0, 1, 20, 400])))) for i in range(40)]
+    import re
+
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["id"], r["start"], r["value"]) for r in span_rows(df, ["id"], detect("text", [rule])).collect()}
+    assert got == {(i, m.start(), m.group()) for i, t in rows for m in re.finditer("a+b?", t)}

@@ -70,3 +70,30 @@ def test_counts_are_the_same_as_batch(spark):
     assert sliding.agg(F.sum("n")).first()[0] == 200
     assert streams.session_counts(events, "ts", "user", "10 minutes").count() == 100
     assert streams.session_counts(events, "ts", "user", "20 minutes").count() == 3
+
+
+def test_payload_requests_and_responses(spark, tmp_path):
+    import json
+
+    where = {n: str(tmp_path / n) for n in ("in", "out", "maps", "refused", "back", "c1", "c2")}
+    rows = [
+        (1, json.dumps({"messages": [{"role": "system", "content": "x@y.org"}, {"role": "user", "content": "mail a@b.co"}]})),
+        (2, '{"messages": [broken a@b.co'),
+    ]
+    df = spark.createDataFrame(rows, "id long, body string")
+    df.write.parquet(where["in"])
+    schema = "STRUCT<messages: ARRAY<STRUCT<role: STRING, content: STRING>>>"
+    streams.redact_payload_stream(
+        spark.readStream.schema(df.schema).parquet(where["in"]), ["id"], "body", schema,
+        where["out"], where["maps"], where["refused"], where["c1"],
+    ).awaitTermination()
+    written = spark.read.parquet(where["out"])
+    row = written.first()
+    assert written.count() == 1 and row["messages"][0]["content"] == "x@y.org"
+    assert row["messages"][1]["content"].startswith("mail <EMAIL_ADDRESS_")
+    assert [(r["id"], r["reason"]) for r in spark.read.parquet(where["refused"]).collect()] == [(2, "invalid_json")]
+    streams.restore_payload_stream(
+        spark.readStream.schema(written.drop("batch_id", "mapping_id").schema).parquet(where["out"]), ["id"],
+        lambda: spark.read.parquet(where["maps"]), where["back"], where["c2"],
+    ).awaitTermination()
+    assert spark.read.parquet(where["back"]).first()["messages"][1]["content"] == "mail a@b.co"
