@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sqltext import let, quote
+from cloakframe.sources.profiles import ProfileSet, type_cut
+
 
 def mappings_per_document(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("mapping_id").agg(F.countDistinct("path").alias("n_paths"), F.count("*").alias("n_mappings"))
@@ -31,24 +34,21 @@ def store_growth(access: DataFrame, time: str, mapping_id: str, width: str) -> D
     )
 
 
-def compare_profiles(spans: DataFrame, thresholds: DataFrame, profiles: list[str]) -> DataFrame:
-    """Spans each profile would redact, per type, one column per profile."""
-    each = spans.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
-    kept = apply_thresholds(each, thresholds)
-    return kept.groupBy("entity_type").pivot("profile", profiles).agg(F.count(F.lit(1))).na.fill(0)
+def compare_profiles(spans: DataFrame, profiles: ProfileSet, names: list[str]) -> DataFrame:
+    """Spans each profile would redact, per type, one column per profile (A7). One pass: a span adds
+    to a profile's count when it reaches that profile's threshold."""
+    reached = [
+        F.count_if(F.expr(f"score >= {type_cut(profiles.cuts_sql(quote(n)), 'entity_type')}")).alias(n) for n in names
+    ]
+    return spans.groupBy("entity_type").agg(*reached)
 
 
-def apply_thresholds(spans: DataFrame, thresholds: DataFrame, keep_all: bool = False) -> DataFrame:
-    """Spans that reach the threshold of their type in their row's profile, else the profile's DEFAULT
-    (P7, R2, J2). `thresholds` comes from a ProfileSet: literals whose size Spark knows."""
-    by_type = thresholds.select("profile", "entity_type", F.col("threshold").alias("_own"))
-    fallback = thresholds.where(F.col("entity_type") == "DEFAULT").select("profile", F.col("threshold").alias("_default"))
-    joined = (
-        spans.join(by_type, ["profile", "entity_type"], "left")
-        .join(fallback, "profile", "left")
-        .withColumn("threshold", F.coalesce("_own", "_default"))
-        .drop("_own", "_default")
-    )
+def apply_thresholds(spans: DataFrame, profiles: ProfileSet, keep_all: bool = False) -> DataFrame:
+    """Spans that reach the threshold of their type in their row's `profile`, else the profile's DEFAULT
+    (P7, R2, J2). The few profiles are looked up in a literal map, so spans are never shuffled on
+    the handful of types, where a third of them may be one type."""
+    cut = F.expr(let(profiles.cuts_sql("profile"), lambda cuts: type_cut(cuts, "entity_type")))
+    joined = spans.withColumn("threshold", cut)
     return joined if keep_all else joined.where(F.col("score") >= F.col("threshold"))
 
 

@@ -15,18 +15,16 @@ from cloakframe.operators.redact import redact_candidates, redact_spans, spans_t
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
 from cloakframe.schemas import CANDIDATES, SPANS
-from cloakframe.sources.profiles import ProfileSet, ResolvedProfile
+from cloakframe.sources.profiles import ProfileSet, ResolvedProfile, type_cut
 
 
 class RowProfiles:
     """Settings looked up per row by a profile column: one expression, however many profiles there are."""
 
     def __init__(self, column: str, profiles: ProfileSet) -> None:
-        names = ", ".join(quote(n) for n in profiles.names)
-        asked = f"coalesce({column}, {quote(profiles.default)})"
-        # The key '' holds the bare defaults that unknown names get.
-        self.key = f"CASE WHEN {asked} IN ({names}) THEN {asked} ELSE '' END" if names else "''"
-        self.profiles = {n: profiles.resolve(n) for n in profiles.names} | {"": ProfileSet({}).resolve()}
+        self.key = profiles.key_sql(column)
+        self.cuts = profiles.cuts_sql(column)
+        self.profiles = profiles.per_profile()
         self.largest = max(len(p.dictionary) for p in self.profiles.values())
 
     def _map(self, value, array_type: str) -> str:
@@ -34,15 +32,7 @@ class RowProfiles:
         return f"cast(map({pairs}) AS map<string, {array_type}>)"
 
     def over_threshold(self, spans: str) -> str:
-        def literal(p: ResolvedProfile) -> str:
-            return "map(" + ", ".join(f"{quote(t)}, {float(v)}D" for t, v in p.thresholds.items()) + ")"
-
-        def reached(cuts: str) -> str:
-            return keep(
-                spans, lambda s: f"{s}.score >= coalesce(try_element_at({cuts}, {s}.entity_type), try_element_at({cuts}, 'DEFAULT'))"
-            )
-
-        return let(f"try_element_at({self._map(literal, 'map<string, double>')}, {self.key})", reached)
+        return let(self.cuts, lambda cuts: keep(spans, lambda s: f"{s}.score >= {type_cut(cuts, f'{s}.entity_type')}"))
 
     def dictionary(self, text: str) -> str:
         if not self.largest:

@@ -221,13 +221,6 @@ def profiled_spans(spark: SparkSession, folder: str) -> DataFrame:
     return shown_spans(span_rows(df, ["doc_id", "profile"], detect("text", ALL)), ["doc_id", "profile"])
 
 
-def resolved_with_bare(spark: SparkSession) -> DataFrame:
-    """Resolved thresholds, with the unlisted profile's bare defaults."""
-    from cloakframe.sources.profiles import ProfileSet
-
-    return ProfileSet({**PROFILES.profiles, "unlisted": {}}).resolved_thresholds(spark)
-
-
 _BARE = values(_RESOLVED + [("unlisted", t, v) for t, v in DEFAULT_THRESHOLDS.items()], "profile, entity_type, threshold")
 _PROFILED = f"""s AS (SELECT doc_id, coalesce({_SOURCE_CASE}, 'default') AS profile, {SPAN_SQL}
  FROM ({_ALL_SPANS}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
@@ -238,7 +231,7 @@ st AS (SELECT s.*, coalesce(t.threshold, d.threshold) AS threshold FROM s LEFT J
 
 @query("span_threshold", f"WITH {_PROFILED} SELECT *, score >= threshold AS kept FROM st")
 def span_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    judged = audit.apply_thresholds(profiled_spans(spark, folder), resolved_with_bare(spark), keep_all=True)
+    judged = audit.apply_thresholds(profiled_spans(spark, folder), PROFILES, keep_all=True)
     return judged.withColumn("kept", F.col("score") >= F.col("threshold"))
 
 
@@ -328,9 +321,10 @@ LEFT JOIN (SELECT entity_type, count(*) AS nk FROM k GROUP BY 1) USING (entity_t
 def profile_default(spark: SparkSession, folder: str) -> DataFrame:
     from cloakframe.sources.profiles import ProfileSet, load_profiles
 
-    resolved = ProfileSet(load_profiles("/nonexistent/profiles.yaml")).resolved_thresholds(spark)
+    fallback = ProfileSet(load_profiles(None))
+    resolved = fallback.resolved_thresholds(spark)
     found = span_rows(documents(spark, folder), DOC, detect("text", ALL)).withColumn("profile", F.lit("default"))
-    judged = audit.apply_thresholds(found, resolved, keep_all=True)
+    judged = audit.apply_thresholds(found, fallback, keep_all=True)
     counts = judged.groupBy("entity_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("k")
     )
@@ -692,4 +686,4 @@ _PIVOT = ", ".join(
 @query("agg_profile_compare", f"WITH s AS ({_ALL_SPANS}) SELECT entity_type, {_PIVOT} FROM s GROUP BY 1")
 def agg_profile_compare(spark: SparkSession, folder: str) -> DataFrame:
     found = span_rows(documents(spark, folder), DOC, detect("text", ALL)).select("entity_type", "score")
-    return audit.compare_profiles(found, PROFILES.resolved_thresholds(spark), _COMPARED)
+    return audit.compare_profiles(found, PROFILES, _COMPARED)

@@ -191,11 +191,39 @@ class ProfileSet:
     def resolved_thresholds(self, spark: SparkSession) -> DataFrame:
         """(profile, entity_type, threshold): defaults and profiles, full outer, the profile's value first."""
         rows = [(name, t, float(v)) for name in self.profiles for t, v in DEFAULT_THRESHOLDS.items()]
-        defaults = literal_table(spark, rows, schemas.PROFILE_THRESHOLD).withColumnRenamed("threshold", "base")
-        own = self.threshold_table(spark)
-        return defaults.join(own, ["profile", "entity_type"], "full").select(
-            "profile", "entity_type", F.coalesce("threshold", "base").alias("threshold")
-        )
+        return overlay_thresholds(literal_table(spark, rows, schemas.PROFILE_THRESHOLD), self.threshold_table(spark))
+
+    def key_sql(self, profile: str) -> str:
+        """SQL: the row's profile name, the default for none, '' (bare defaults) for an unknown one."""
+        asked = f"coalesce({profile}, {quote(self.default)})"
+        names = ", ".join(quote(n) for n in self.names)
+        return f"CASE WHEN {asked} IN ({names}) THEN {asked} ELSE '' END" if names else "''"
+
+    def per_profile(self) -> dict[str, ResolvedProfile]:
+        """Resolved settings by key, with the bare defaults under ''."""
+        return {n: self.resolve(n) for n in self.names} | {"": ProfileSet({}).resolve()}
+
+    def cuts_sql(self, profile: str) -> str:
+        """SQL for MAP<entity_type, threshold> of the row's profile: a literal, so no join is needed."""
+
+        def cuts(p: ResolvedProfile) -> str:
+            return "map(" + ", ".join(f"{quote(t)}, {float(v)}D" for t, v in p.thresholds.items()) + ")"
+
+        pairs = ", ".join(f"{quote(n)}, {cuts(p)}" for n, p in self.per_profile().items())
+        return f"try_element_at(map({pairs}), {self.key_sql(profile)})"
+
+
+def overlay_thresholds(defaults: DataFrame, own: DataFrame) -> DataFrame:
+    """Profile rows over default rows, per profile and type."""
+    base = defaults.withColumnRenamed("threshold", "_base")
+    return base.join(own, ["profile", "entity_type"], "full").select(
+        "profile", "entity_type", F.coalesce("threshold", "_base").alias("threshold")
+    )
+
+
+def type_cut(cuts: str, entity_type: str) -> str:
+    """SQL: the type's threshold, else the DEFAULT one (R2)."""
+    return f"coalesce(try_element_at({cuts}, {entity_type}), try_element_at({cuts}, 'DEFAULT'))"
 
 
 def _values(custom_entities: dict[str, list[str]]) -> list[DictionaryValue]:

@@ -348,3 +348,18 @@ def test_adjacent_and_repeated_matches_are_located(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     got = {(r["id"], r["start"], r["value"]) for r in span_rows(df, ["id"], detect("text", [rule])).collect()}
     assert got == {(i, m.start(), m.group()) for i, t in rows for m in re.finditer("a+b?", t)}
+
+
+def test_thresholds_per_row_profile(spark):
+    from cloakframe.operators import audit
+
+    profiles = ProfileSet({"default": {}, "p": {"thresholds": {"PERSON": 0.2, "DEFAULT": 0.4}}})
+    rows = [("PERSON", 0.3, "p"), ("PERSON", 0.3, None), ("OTHER", 0.5, "p"), ("OTHER", 0.5, "who"), ("URL", 0.8, "p"), ("URL", 0.79, "p")]
+    df = spark.createDataFrame(rows, "entity_type string, score double, profile string")
+    kept = audit.apply_thresholds(df, profiles)
+    assert {(r["entity_type"], r["score"], r["profile"]) for r in kept.collect()} == {("PERSON", 0.3, "p"), ("OTHER", 0.5, "p"), ("URL", 0.8, "p")}
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    counts = {r["entity_type"]: (r["default"], r["p"]) for r in audit.compare_profiles(df, profiles, ["default", "p"]).collect()}
+    assert counts == {"PERSON": (0, 2), "OTHER": (0, 2), "URL": (1, 1)}
+    both = {(r["profile"], r["entity_type"]): r["threshold"] for r in profiles.resolved_thresholds(spark).collect()}
+    assert both[("p", "PERSON")] == 0.2 and both[("p", "URL")] == 0.8 and both[("default", "DEFAULT")] == 0.85
