@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators import audit

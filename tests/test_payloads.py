@@ -4,7 +4,6 @@ import json
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from cloakframe.operators import nested
 from cloakframe.plans.payloads import payload_mapping_rows, redact_json, redact_payload, restore_payload
