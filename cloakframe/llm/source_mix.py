@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import NULL_ID, n_words
 
 #: Rows that one range of a source holds at most, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, most_epochs: int = 3) -> DataFrame:
