@@ -77,16 +77,17 @@ def with_prints(df: DataFrame, text: str, out: str, lexicon: list[int]) -> DataF
     def hashed(kept: str) -> Column:
         part = lambda c: F.filter(kept, lambda h: F.shiftright(h, 16).bitwiseAND(PARTS - 1) == c)
         hash_of = lambda p: F.when(F.size(p) > 0, F.xxhash64(p))
-        return F.transform(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part), hash_of)
+        full = F.transform(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part), hash_of)
+        return F.when(F.size(kept) > 0, full).otherwise(F.array_repeat(F.lit(None).cast("long"), PARTS))
 
     df = df.withColumn(step("terms"), terms(F.col(text)))
     df = df.withColumn(step("member"), F.filter(step("terms"), member))
-    band = F.array_sort(F.when(F.size(step("member")) > 0, F.col(step("member"))).otherwise(F.col(step("terms"))))
+    band = F.sort_array(F.when(F.size(step("member")) > 0, F.col(step("member"))).otherwise(F.col(step("terms"))))
     df = df.withColumn(step("band"), band)
     level = F.floor(F.log2(F.size(step("band")) / (PARTS * _TERMS_PER_PART)))
     df = df.withColumn(step("level"), F.greatest(F.lit(0), F.coalesce(level, F.lit(0))).cast("int"))
     for name, more in (("own", 0), ("next", 1)):
-        mask = F.pow(F.lit(2), F.col(step("level")) + more).cast("long") - 1
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(step("level")) + more) - 1
         df = df.withColumn(step("mask"), mask)
         df = df.withColumn(step("thin"), F.filter(step("band"), lambda h: h.bitwiseAND(F.col(step("mask"))) == 0))
         df = df.withColumn(step(name), hashed(step("thin")))
@@ -161,12 +162,11 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     first = first.groupBy("range").agg(F.min(F.struct("id", "text", "fp")).alias("border"))
     first = first.select(F.when(F.col("range") > 1, F.col("range") - 1).otherwise(n).alias("range"), "border")
     order = Window.partitionBy("range").orderBy("id", "text")
-    rows = rows.withColumn("after", F.lead(F.struct("id", "text", "fp")).over(order)).join(first, "range", "left")
-    rows = rows.withColumn("after", F.coalesce("after", "border"))
+    rows = rows.select("*", *[F.lead(c).over(order).alias(f"after_{c}") for c in ("text", "fp")]).join(first, "range", "left")
     length = F.char_length("text")
     cut = F.floor(length / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), length - cut), F.substring(F.col("after.text"), F.lit(1), cut))
-    rows = rows.select("doc_id", "text", "fp", F.col("after.fp").alias("next_fp"), edited.alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), length - cut), F.substring(F.coalesce("after_text", "border.text"), F.lit(1), cut))
+    rows = rows.select("doc_id", "text", "fp", F.coalesce("after_fp", "border.fp").alias("next_fp"), edited.alias("edited"))
     rows = with_prints(rows, "edited", "edited_fp", lexicon)
     return rows.select(
         "doc_id",

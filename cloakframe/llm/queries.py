@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import imatch, line_dedup, source_mix
+from cloakframe.llm import imatch, line_dedup, packing, source_mix, topk_search
 from cloakframe.llm.common import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.scaled(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -37,12 +42,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op5_source_mix": op5_source_mix,
     "op7_imatch": op7_imatch,
     "op8_line_dedup": op8_line_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_topk_search": topk_search.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
