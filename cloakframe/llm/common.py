@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,8 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word: a longest run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
-_BLANKS = "\t\n\x0b\x0c\r"
-_TO_SPACE = str.maketrans(_BLANKS, " " * len(_BLANKS))
+_WORD = re.compile(r"[^ \t-\r]+")
 
 #: Stands for a null id where rows are joined or ordered.
 NULL_ID = -(2**63)
@@ -20,7 +21,13 @@ NULL_ID = -(2**63)
 
 def words(text: str | None) -> list[str]:
     """The words of a text; none for null."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w] if text else []
+    if not text:
+        return []
+    found = text.split()
+    # split() knows more kinds of white space; most texts have none of them
+    if len(text) - len("".join(found)) == sum(map(text.count, " \n\t\r\x0b\x0c")):
+        return found
+    return _WORD.findall(text)
 
 
 def n_words(text: Column) -> Column:
@@ -37,13 +44,18 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k2")]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder and read from there on."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # unset in tests only
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder in spark.checkpoint.dir and read from there on."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="staged-")  # one machine only, as in tests
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
