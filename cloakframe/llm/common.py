@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,39 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by `keys`; a table may hold several groups, one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = int(group_starts(batch, keys)[-2])  # the last group may go on in the next batch
+        if held and any(held[-1].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """First row of each group, and the number of rows."""
+    change = np.zeros(table.num_rows - 1, dtype=bool)
+    for k in keys:
+        values = table[k].to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[k].to_numpy()
+        change |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+
+#: Rows of ids that are broadcast at most; larger tables of ids are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """The rows marked for broadcast if a count finds at most BROADCAST_ROWS of them."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import imatch, language_id, line_dedup, packing, quality, source_mix, substring_dedup, topk_search
+from cloakframe.llm import imatch, language_id, line_dedup, ngram_join, packing, quality, source_mix, substring_dedup, topk_search
 from cloakframe.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_near(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_source_mix": op5_source_mix,
     "op6_quality": op6_quality,
     "op7_imatch": op7_imatch,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import NULL_ID, row_key, slices, staged, words
+from cloakframe.llm.common import NULL_ID, group_starts, row_key, slices, sorted_groups, staged, words
 
 WINDOW = 50
 #: Words of a minimiser.
@@ -41,18 +41,19 @@ _KEPT_WORDS = 500_000
 class WordCodes(dict):
     """64-bit codes of words, kept for the next time they occur."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) > _KEPT_WORDS:
             self.clear()
-        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        data = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
+        code = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
         self[word] = code
         return code
 
-    def of(self, text_words: list[str]) -> np.ndarray:
+    def of(self, text_words: list[str] | list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, text_words), dtype=np.uint64, count=len(text_words))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
@@ -68,10 +69,10 @@ def runs_of(codes: np.ndarray, k: int) -> np.ndarray:
                 parts = (out, have)
             else:
                 n = len(codes) - parts[1] - have + 1
-                parts = (_mixed(parts[0][:n] * _MIX + out[parts[1] : parts[1] + n]), parts[1] + have)
+                parts = (mixed(parts[0][:n] * _MIX + out[parts[1] : parts[1] + n]), parts[1] + have)
         if have * 2 > k:
             return parts[0]
-        out, have = _mixed(out[: len(out) - have] * _MIX + out[have:]), have * 2
+        out, have = mixed(out[: len(out) - have] * _MIX + out[have:]), have * 2
 
 
 def window_minimum(x: np.ndarray, k: int) -> np.ndarray:
@@ -86,7 +87,7 @@ def super_kmers(codes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray,
     """(minimiser, first window, number of windows) of each run of windows that share their minimiser."""
     if len(codes) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    least = window_minimum(_mixed(runs_of(codes, seed)), window - seed + 1)
+    least = window_minimum(mixed(runs_of(codes, seed)), window - seed + 1)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return least[starts].view(np.int64), starts, np.diff(np.append(starts, len(least)))
 
@@ -182,40 +183,20 @@ def _removed_in_buckets(packed: DataFrame, window: int) -> DataFrame:
     """(k1, k2, from, to): word ranges to remove, by buckets that lie together in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(rows: pa.Table) -> pa.RecordBatch:
-            bucket = rows["bucket"].to_numpy()
+        for rows in sorted_groups(batches, ["bucket"]):
             texts, ids, starts = rows["packed"].to_pylist(), rows["k1"].to_pylist(), rows["start"].to_pylist()
             at, froms, tos = [], [], []
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+            cuts = group_starts(rows, ["bucket"]).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 for i, ranges in enumerate(repeated_windows(texts[a:b], ids[a:b], window), start=a):
                     for f, t in ranges:
                         at.append(i)
                         froms.append(starts[i] + f)
                         tos.append(starts[i] + t)
-            keys = pa.array(at, pa.int64())
-            flat = rows.combine_chunks()
-            columns = [pa.concat_arrays(flat[c].chunks).take(keys) if flat.num_rows else pa.array([], pa.int64()) for c in ("k1", "k2")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["k1", "k2", "from", "to"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column("bucket").to_numpy()
-            last = int(np.searchsorted(bucket, bucket[-1], side="left"))  # the last bucket may go on in the next batch
-            if held and held[-1].column("bucket")[0].as_py() != bucket[0]:
-                yield solved(pa.Table.from_batches(held))
-                held = []
-            if last:
-                yield solved(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield solved(pa.Table.from_batches(held))
-
-    parts = F.col("bucket")
-    rows = packed.repartition(parts).sortWithinPartitions("bucket", "k1")
+            keys = [pa.array(rows[c].to_numpy()[at] if at else [], pa.int64()) for c in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["k1", "k2", "from", "to"])
+
+    rows = packed.repartition("bucket").sortWithinPartitions("bucket", "k1")
     return rows.mapInArrow(run, "k1 long, k2 long, from int, to int")
 
 
