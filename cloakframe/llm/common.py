@@ -45,16 +45,21 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k2")]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet to the shared folder in spark.checkpoint.dir and read from there on."""
-    spark = df.sparkSession
+def staging_folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; a folder of this machine only where all tasks run in the driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="staged-")  # one machine only, as in tests
+        folder = tempfile.mkdtemp(prefix="staged-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    return folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read from there on."""
+    spark = df.sparkSession
+    path = f"{staging_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.llm.common import slices
 
@@ -191,8 +192,7 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
                 scores.append(0.0 if p is None else float(p.max()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds if f.name != "text")
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([f for f in kinds if f.name != "text"]).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.llm.common import slices
 
@@ -189,8 +190,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS
     key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(5))
     rows = pieces.withColumn("packer", F.pmod(key, F.lit(packers))).withColumn("turn", F.xxhash64(key, F.lit(9)))
     rows = rows.repartition(packers, "packer").sortWithinPartitions("packer", "turn", "doc_id", "piece", "length", "ids_crc32")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    return rows.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return rows.mapInArrow(run, T.StructType(kinds.fields).add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import imatch, language_id, line_dedup, ngram_join, packing, quality, source_mix, substring_dedup, topk_search
+from cloakframe.llm import html_text, imatch, language_id, line_dedup, ngram_join, packing, quality, source_mix, substring_dedup, topk_search
 from cloakframe.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return done.select("page_id", F.char_length("text").cast("long").alias("n_chars"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_imatch": op7_imatch,
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE: dict[str, str] = {
