@@ -129,11 +129,17 @@ def boosted(score: str, text: str, start: str, context: Iterable[str]) -> str:
 
 # Patterns, scores and context words of the built-in detectors.
 _ALNUM = "[0-9A-Za-z]"
-_TLD = "com|org|net|edu|gov|mil|int|info|biz|io|co|de|fr|es|uk|eu|ch|at"
+# Every ending of two letters is a country's; of longer ones those in wide use count.
+_TLD = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|aero|coop|museum|travel|jobs|asia|app|dev|cloud|online|site|shop|"
+    "store|tech|blog|news|live|email|xyz|club|space|world|agency|health|bank|[a-z][a-z]"
+)
+# A name's part: a capital, a lower-case letter (or an apostrophe and a capital), then letters of any script and case.
+_NAME = r"\p{Lu}(?:\p{Ll}|['’]\p{Lu})(?:[\p{L}\p{M}]|['’-]\p{L})*"
 BUILT_IN: tuple[Detector, ...] = (
     Detector(
         "email", "EMAIL_ADDRESS",
-        r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}",
+        r"[A-Za-z0-9._%+-]{1,1000}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}",
         1.0, any_of=("@",),
     ),
     Detector(
@@ -197,13 +203,13 @@ BUILT_IN: tuple[Detector, ...] = (
     ),
     Detector(
         "person_intro_en", "PERSON",
-        r"((?:[Mm]y name is|I'm|I am|[Hh]ello|[Hh]i|[Dd]ear|Mr\.|Mrs\.|Ms\.|Dr\.) )([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})",
+        rf"((?:[Mm]y name is|I'm|I am|[Hh]ello|[Hh]i|[Dd]ear|Mr\.|Mrs\.|Ms\.|Dr\.) )({_NAME}(?: {_NAME}){{0,3}})",
         0.85, lang="en", lead=True, left_not=_ALNUM,
         any_of=("y name is ", "I'm ", "I am ", "ello ", "Hi ", "hi ", "ear ", "Mr. ", "Mrs. ", "Ms. ", "Dr. "),
     ),
     Detector(
         "person_intro_de", "PERSON",
-        r"((?:[Mm]ein Name ist|[Ii]ch bin|[Hh]allo|Herr|Frau) )([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})",
+        rf"((?:[Mm]ein Name ist|[Ii]ch bin|[Hh]allo|Herr|Frau) )({_NAME}(?: {_NAME}){{0,3}})",
         0.85, lang="de", lead=True, left_not=_ALNUM,
         any_of=("ein Name ist ", "ch bin ", "allo ", "Herr ", "Frau "),
     ),
