@@ -3,16 +3,15 @@
 A document's set holds its distinct word n-grams, hashed to 64 bits. Sets that are equal are one class, and only one
 document of each class takes part in the search.
 
-Candidates. The number range of hashes is cut into parts; two sets within the similarity differ in at most H members,
-so of H + 1 + SPARE parts at least 1 + SPARE hold the same members in both. Each non-empty part's hash is a key, and
-linked documents share one. (H depends on size: documents are keyed by size classes, those near a limit in two. A
-document with more than SPARE empty parts has one more key, as only two of this kind could share empty parts alone.)
-Members of a key meet as points: members are hashed into GROUPS groups, and a set's group counts are a point of an
-R-tree. The sum of the smaller coordinates bounds the overlap from above, for a point by its counts and for a node by
-its largest ones; pairs that pass are verified with whole sets.
-
-Groups of copies. First each document is verified with one partner only, the smallest id of the key that it shares most
-keys with. Components of these links leave few keys with documents of more than one component; only those go through
+Candidates. Sets that are similar enough share a member among their first ones in any common order, the first
+n - ceil(percent * n / 100) + 1 of n. The order puts rare members first, by a sketch of document frequencies (SKETCH
+counters, filled by all documents), so that these keys are rare. Documents with a key in common meet as points: members
+are hashed into GROUPS groups, and a set's group counts are a point of an R-tree. The sum of the smaller coordinates
+bounds the overlap from above, for a point by its counts and for a node by its largest ones; pairs that pass are
+verified with whole sets.
+
+Groups of copies. First each document is verified with one partner only: of the smallest ids of its keys whose points
+allow a link, the one that it shares most keys with. Components of these links leave few keys with documents of more than one component; only those go through
 the R-tree, in blocks of at most BLOCK documents, and pairs inside a component are left out. No link between different
 components is lost, and no group gives all its pairs.
 
@@ -36,7 +35,9 @@ from cloakframe.llm.substring_dedup import WordCodes, mixed, runs_of
 
 #: Least similarity in hundredths, and words of an n-gram.
 PERCENT, NGRAM = 90, 3
-GROUPS, SPARE, BLOCK, FANOUT = 64, 2, 512, 16
+GROUPS, BLOCK, FANOUT = 128, 512, 16
+#: Counters of document frequencies.
+SKETCH = 1 << 16
 #: Members of one task's share of a partner's documents.
 SHARE = 5_000
 
@@ -50,41 +51,32 @@ def shingle_set(text: str | None, codes: WordCodes, n: int = NGRAM) -> np.ndarra
     return np.unique(mixed(runs_of(codes.of(own), k) + np.uint64(k)))
 
 
-def size_limits(most: int, growth: float = 1.5) -> list[int]:
-    """Upper limits of the size classes up to the one that holds `most`."""
-    out = [1]
-    while out[-1] < most:
-        out.append(max(out[-1] + 1, int(out[-1] * growth)))
-    return out
+def _counter(members: np.ndarray) -> np.ndarray:
+    return ((members >> np.uint64(7)) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def most_different(size: int, percent: int = PERCENT) -> int:
-    """Members that two linked sets of at most this size may differ in: 100 * overlap >= percent * union."""
-    return 2 * size * (100 - percent) // (100 + percent)
+def frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
+    """Documents of rows (text) by counter of their members; at most SKETCH rows a task leave the executors."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, total = WordCodes(), np.zeros(SKETCH, dtype=np.int64)
+        for batch in slices(batches, "text", 2 << 20):
+            at = np.concatenate([np.empty(0, np.int64), *(_counter(shingle_set(t.as_py(), codes, n)) for t in batch.column("text"))])
+            total += np.bincount(at, minlength=SKETCH)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["counter", "n"])
+
+    out = np.zeros(SKETCH, dtype=np.int64)
+    for r in rows.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        out[r["counter"]] = r["n"]
+    return out
 
-def keys_of(members: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys of a set; linked sets that aren't equal share one."""
+
+def keys_of(members: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The keys of a set, its rarest members; similar sets share one."""
     n = len(members)
-    if not n:
-        return np.empty(0, np.int64)
-    limits = size_limits(n)
-    classes = [(len(limits) - 1, limits[-1])]
-    if 100 * n >= percent * (limits[-1] + 1):  # may be linked with a set of the next class
-        classes.append((len(limits), size_limits(limits[-1] + 1)[-1]))
-    out = []
-    for number, limit in classes:
-        apart = most_different(limit, percent)
-        if not apart:
-            continue  # only equal sets are linked
-        parts = apart + 1 + SPARE
-        place = np.minimum((members >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.uint64(parts - 1)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        sums = np.add.reduceat(mixed(members + np.uint64(number)), starts)
-        out.append(mixed(sums + (place[starts] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)))
-        if parts - len(starts) > SPARE:
-            out.append(mixed(np.array([number], dtype=np.uint64) + np.uint64(0x51ED270B)))
-    return np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64)
+    first = n + percent * -n // 100 + 1 if n else 0
+    return members[np.argsort(sketch[_counter(members)], kind="stable")[:first]].view(np.int64)
 
 
 def counts_of(members: np.ndarray) -> np.ndarray:
@@ -117,7 +109,7 @@ class CountTree:
         return self.order[nodes[enough]]
 
 
-def described(rows: DataFrame, n: int, percent: int) -> DataFrame:
+def described(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """(id, n, c1, c2, counts, keys) of rows (id, text): set size, two sums that tell sets apart, point and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +119,7 @@ def described(rows: DataFrame, n: int, percent: int) -> DataFrame:
             sums = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
             more = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(more, pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array([keys_of(s, percent) for s in sets], pa.list_(pa.int64()))],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(more, pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array([keys_of(s, sketch, percent) for s in sets], pa.list_(pa.int64()))],
                 ["id", "n", "c1", "c2", "counts", "keys"],
             )
 
@@ -180,6 +172,22 @@ def verified(rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return found.mapInArrow(check, "u long, v long")
 
 
+def allowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The rows of `pairs` (id, partner, times) whose points (id, n, counts) allow a link."""
+    own = points.select("id", "n", "counts").dropDuplicates(["id"])
+    other = own.select(F.col("id").alias("partner"), F.col("n").alias("n2"), F.col("counts").alias("counts2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("counts", "counts2"))
+            sizes = batch.column("n").to_numpy() + batch.column("n2").to_numpy()
+            fits = (100 + percent) * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= percent * sizes
+            yield batch.select(["id", "partner", "times"]).filter(pa.array(fits))
+
+    sized = pairs.join(own, "id").join(other, "partner").where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    return sized.mapInArrow(run, "id long, partner long, times long")
+
+
 def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (id, partner) of rows (key, id, component, n, counts) whose points allow a link.
 
@@ -217,7 +225,7 @@ def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
 def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    about = staged(described(rows, n, percent))
+    about = staged(described(rows, frequency_sketch(rows, n), n, percent))
     known = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("n", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     equal = known.select("id", "n", "c1", "c2").join(
@@ -232,6 +240,7 @@ def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
 
     often = members.where(F.col("id") != F.col("least")).groupBy("id", F.col("least").alias("partner")).agg(F.count("*").alias("times"))
     best = Window.partitionBy("id").orderBy(F.desc("times"), "partner")
+    often = allowed(often, firsts, percent)
     pairs = staged(often.withColumn("turn", F.row_number().over(best)).where("turn = 1").select("id", "partner"))
     texts = rows.where(F.col("id").isNotNull())
     links = staged(verified(texts, pairs, n, percent))
