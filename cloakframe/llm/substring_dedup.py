@@ -8,8 +8,9 @@ and counted exactly, word by word. Three steps keep the traffic small and the bu
    only can't have a window in common with another, and their windows stay at home.
 2. A document's shared minimisers are joined back to its text, and only their super-k-mers are packed. In a bucket,
    equal strings are one from then on.
-3. A bucket of more than BUCKET_WINDOWS windows is not gathered: its windows become rows, whose smallest ids are
-   aggregated map-side and joined back. Both ways give the same rows.
+3. A bucket of more than BUCKET_WINDOWS windows is not gathered: its distinct strings keep their smallest id by a
+   map-side aggregate, their windows become rows that are aggregated in the same way, and the smallest id of each window
+   is joined back to the string and then to its places. Both ways give the same rows.
 
 A word is removed if a window over it also starts in a document with a smaller id. Words are compared whole.
 
@@ -116,8 +117,8 @@ def _minimisers(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, bucket long, windows long")
 
 
-def _packed(shared: DataFrame, window: int, seed: int, one_by_one: bool) -> DataFrame:
-    """(k1, k2, bucket, start, packed) from rows with text and the buckets asked for: super-k-mers, or single windows."""
+def _packed(shared: DataFrame, window: int, seed: int) -> DataFrame:
+    """(k1, k2, bucket, start, packed): the super-k-mers of rows with text and the buckets asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -128,11 +129,10 @@ def _packed(shared: DataFrame, window: int, seed: int, one_by_one: bool) -> Data
                 b, starts, counts = super_kmers(codes.of(text_words), window, seed)
                 for at in np.flatnonzero(np.isin(b, np.array(asked.as_py(), dtype=np.int64))):
                     start, n = int(starts[at]), int(counts[at])
-                    cuts = [(j, j + window) for j in range(start, start + n)] if one_by_one else [(start, start + n + window - 1)]
-                    keys += [i] * len(cuts)
-                    buckets += [int(b[at])] * len(cuts)
-                    places += [s for s, _ in cuts]
-                    strings += [" ".join(text_words[s:e]) for s, e in cuts]
+                    keys.append(i)
+                    buckets.append(int(b[at]))
+                    places.append(start)
+                    strings.append(" ".join(text_words[start : start + n + window - 1]))
             ids = pa.array(keys, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k1").take(ids), batch.column("k2").take(ids), pa.array(buckets, pa.int64()), pa.array(places, pa.int32()), pa.array(strings, pa.string())],
@@ -142,41 +142,80 @@ def _packed(shared: DataFrame, window: int, seed: int, one_by_one: bool) -> Data
     return shared.mapInArrow(run, "k1 long, k2 long, bucket long, start int, packed string")
 
 
+def _cut_windows(text: str, window: int) -> list[str]:
+    ends = [at for at, c in enumerate(text) if c == " "]
+    starts, ends = [0, *(e + 1 for e in ends)], [*ends, len(text)]
+    return [text[starts[j] : ends[j + window - 1]] for j in range(len(starts) - window + 1)]
+
+
+def _ranges(least: list[int], id_: int, window: int) -> list[tuple[int, int]]:
+    """(from, to) of the words under windows whose smallest id is below `id_`, merged."""
+    out: list[tuple[int, int]] = []
+    for j, other in enumerate(least):
+        if other < id_:
+            if out and out[-1][1] >= j:
+                out[-1] = (out[-1][0], j + window)
+            else:
+                out.append((j, j + window))
+    return out
+
+
 def repeated_windows(packed: list[str], ids: list[int], window: int) -> list[list[tuple[int, int]]]:
     """For each string of a bucket the ranges of its words, (from, to), under windows that a smaller id has too."""
     first: dict[str, int] = {}
     for text, id_ in zip(packed, ids, strict=True):
         first[text] = min(id_, first.get(text, id_))
+    if len(first) == 1:
+        return [[(0, text.count(" ") + 1)] if first[text] < id_ else [] for text, id_ in zip(packed, ids, strict=True)]
     least: dict[str, list[int]] = {}
-    if len(first) > 1:
-        rows = []
-        for text, id_ in first.items():
-            ends = [at for at, c in enumerate(text) if c == " "]
-            starts, ends = [0, *(e + 1 for e in ends)], [*ends, len(text)]
-            n = len(starts) - window + 1
-            least[text] = [id_] * n
-            rows += [(text[starts[j] : ends[j + window - 1]], id_, text, j) for j in range(n)]
-        rows.sort()  # equal windows side by side, the smallest id first
-        head, id_ = None, 0
-        for own, own_id, text, j in rows:
-            if own != head:
-                head, id_ = own, own_id
-            least[text][j] = id_
-    out = []
-    for text, id_ in zip(packed, ids, strict=True):
-        ranges: list[tuple[int, int]] = []
-        if len(first) == 1:
-            if first[text] < id_:
-                ranges.append((0, text.count(" ") + 1))
-        else:
-            for j, other in enumerate(least[text]):
-                if other < id_:
-                    if ranges and ranges[-1][1] >= j:
-                        ranges[-1] = (ranges[-1][0], j + window)
-                    else:
-                        ranges.append((j, j + window))
-        out.append(ranges)
-    return out
+    rows = []
+    for text, id_ in first.items():
+        own = _cut_windows(text, window)
+        least[text] = [id_] * len(own)
+        rows += [(w, id_, text, j) for j, w in enumerate(own)]
+    rows.sort()  # equal windows side by side, the smallest id first
+    head, id_ = None, 0
+    for own_window, own_id, text, j in rows:
+        if own_window != head:
+            head, id_ = own_window, own_id
+        least[text][j] = id_
+    return [_ranges(least[text], id_, window) for text, id_ in zip(packed, ids, strict=True)]
+
+
+def _removed_in_large_buckets(packed: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, from, to) as of `_removed_in_buckets`, by aggregates and joins only."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", 1 << 18):
+            at, places, own = [], [], []
+            for i, text in enumerate(batch.column("packed").to_pylist()):
+                found = _cut_windows(text, window)
+                at += [i] * len(found)
+                places += range(len(found))
+                own += found
+            keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("string", "first")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(places, pa.int32()), pa.array(own, pa.string())], ["string", "first", "at", "own"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, froms, tos = [], [], []
+            for i, (id_, start, least) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k1", "start", "least")), strict=True)):
+                for f, t in _ranges([x["first"] for x in least], id_, window):
+                    at.append(i)
+                    froms.append(start + f)
+                    tos.append(start + t)
+            keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["k1", "k2", "from", "to"])
+
+    # strings travel once; behind that, a string is its 256-bit hash
+    packed = packed.withColumn("string", F.sha2("packed", 256))
+    strings = packed.groupBy("string").agg(F.min("k1").alias("first"), F.first("packed").alias("packed"))
+    windows = strings.mapInArrow(cut, "string string, first long, at int, own string")
+    windows = windows.select("string", "first", "at", F.sha2("own", 256).alias("own"))
+    least = windows.groupBy("own").agg(F.min("first").alias("first"))
+    known = windows.select("string", "at", "own").join(least, "own").groupBy("string").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("least"))
+    places = packed.select("k1", "k2", "start", "string").join(known, "string").select("k1", "k2", "start", "least")
+    return places.mapInArrow(merge, "k1 long, k2 long, from int, to int")
 
 
 def _removed_in_buckets(packed: DataFrame, window: int) -> DataFrame:
@@ -211,13 +250,10 @@ def removed_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED, buck
     )
     per_doc = staged(per_doc)
     some = known.join(per_doc.where(F.size("small") > 0).select("k1", "k2", F.col("small").alias("buckets")), ["k1", "k2"])
-    out = _removed_in_buckets(_packed(some, window, seed, False), window)
+    out = _removed_in_buckets(_packed(some, window, seed), window)
     large = per_doc.where(F.size("big") > 0).select("k1", "k2", F.col("big").alias("buckets"))
     if large.limit(1).count():
-        single = _packed(known.join(large, ["k1", "k2"]), window, seed, True)
-        least = single.groupBy("packed").agg(F.min("k1").alias("least"))
-        again = single.join(least, "packed").where(F.col("k1") > F.col("least"))
-        out = out.unionByName(again.select("k1", "k2", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
+        out = out.unionByName(_removed_in_large_buckets(_packed(known.join(large, ["k1", "k2"]), window, seed), window))
     return out
 
 
