@@ -8,13 +8,17 @@ finds every match and never pairs whole groups. Either way cheap exact bounds ru
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sqltext import keep, let, quote, struct, transform
 from cloakframe.functions.similarity import indel_ratio, longest_partner, may_reach, shortest_partner
 from cloakframe.functions.text import shifted, words
 from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join
 from cloakframe.options import PRIORITY, Options
+from cloakframe.schemas import CANDIDATES
 from cloakframe.sources.profiles import ResolvedProfile, literal_table
 
 DICTIONARY = "entity_type STRING, type_ord INT, value STRING, value_ord INT, threshold DOUBLE"
@@ -126,7 +130,7 @@ def piece_pairs(phrase: DataFrame, keys: list[str], banded: DataFrame) -> DataFr
             )
         ),
     ).select(*by, "_k", "_at", "_size")
-    probes = phrase.join(F.broadcast(shifts), "_length").withColumn(
+    probes = phrase.join(shifts, "_length").withColumn(
         "_piece", F.expr("substr(_p, cast(_at + 1 AS int), cast(_size AS int))")
     )
     met = probes.join(pieces.select(*by, "_k", "_piece", "_lowered", *COLUMNS), [*by, "_k", "_piece"])
@@ -142,6 +146,8 @@ def fuzzy_hits(
 
     The values come from `profile`, or from a `dictionary` table with the DICTIONARY columns.
     """
+    if profile is not None and dictionary is None and not profile.fuzzy_enabled:
+        profile = replace(profile, dictionary=())
     values = [v for v in profile.dictionary if len(v.value) >= options.min_entity_length] if profile else []
     small = dictionary is None and len(values) <= options.fold_limit
     known = dictionary_frame(leaves, profile, options) if dictionary is None else dictionary.where(
@@ -155,11 +161,11 @@ def fuzzy_hits(
     if small:
         pairs = lowered.join(F.broadcast(banded), "_length")
     else:
-        low = known.agg(F.min("threshold")).first()[0]
-        if low is not None and low < LOWEST_PIECE_THRESHOLD:
-            raise ValueError(f"dictionaries beyond fold_limit need fuzzy thresholds of at least {LOWEST_PIECE_THRESHOLD}")
-        phrase = lowered.withColumn("phrase", F.expr(written_phrase(options)))
-        pairs = piece_pairs(phrase.select(*keys, "i", "n", "phrase", "_p", "_length"), keys, banded)
+        phrase = lowered.withColumn("phrase", F.expr(written_phrase(options))).select(*keys, "i", "n", "phrase", "_p", "_length")
+        by_piece = banded.where(F.col("threshold") >= LOWEST_PIECE_THRESHOLD)
+        by_length = banded.where(F.col("threshold") < LOWEST_PIECE_THRESHOLD)
+        pairs = piece_pairs(phrase, keys, by_piece)
+        pairs = pairs.unionByName(phrase.join(by_length, "_length").select(pairs.columns))
     near = (
         pairs.where(F.expr(may_reach("_p", "_lowered", "threshold")))
         .withColumn("score", F.expr(indel_ratio("_p", "_lowered")))
@@ -190,10 +196,82 @@ def fuzzy_hits(
     )
 
 
+def folded_fuzzy(text: str, dictionary: str, bounds: tuple[int, int], options: Options = Options()) -> str:
+    """SQL: fuzzy candidates of a text from an array of dictionary values (`fuzzy_literal`), without a join.
+
+    Same rows as `fuzzy_hits`: per value that is not in the text as it stands, the first phrase over the threshold.
+    """
+    lo, hi = bounds
+
+    def phrases(split: str) -> str:
+        def of_start(i: str) -> str:
+            def of_length(n: str) -> str:
+                part = lambda a: f"array_join(slice({split}.{a}, {i} + 1, {n}), ' ')"
+                return struct(i=i, n=n, p=part("l"), w=part("w"))
+
+            return transform(f"sequence(1, least({options.max_phrase_words}, size({split}.w) - {i}))", of_length)
+
+        starts = f"if(size({split}.w) > 0, sequence(0, size({split}.w) - 1), cast(array() AS array<int>))"
+        every = f"flatten({transform(starts, of_start)})"
+        return keep(every, lambda w: f"length({w}.w) > {options.min_entity_length} AND length({w}.p) BETWEEN {lo} AND {hi}")
+
+    def hits(windows: str) -> str:
+        def near(v: str) -> str:
+            band = lambda w: f"length({w}.p) BETWEEN {v}.lo AND {v}.hi AND {may_reach(f'{w}.p', f'{v}.lowered', f'{v}.threshold')}"
+            scored = lambda w: struct(i=f"{w}.i", n=f"{w}.n", w=f"{w}.w", score=indel_ratio(f"{w}.p", f"{v}.lowered"))
+            over = keep(transform(keep(windows, band), scored), lambda h: f"{h}.score >= {v}.threshold")
+            trimmed = lambda h: f"regexp_replace({h}.w, {quote(PUNCTUATION)}, '')"
+
+            def candidate(h: str) -> str:
+                return struct(
+                    priority=str(PRIORITY["fuzzy"]), type_ord=f"{v}.type_ord", value_ord=f"{v}.value_ord", neg_score=f"-{h}.score / 100.0D",
+                    entity_type=f"{v}.entity_type", value=let(trimmed(h), lambda t: f"if({t} = '', {h}.w, {t})"), source="'fuzzy'",
+                )
+
+            return let(over, lambda o: transform(f"slice({o}, 1, 1)", candidate))
+
+        found = keep(dictionary, lambda v: f"NOT contains({text}, {v}.value)")
+        return f"cast(flatten({transform(found, near)}) AS {CANDIDATES})"
+
+    return let(struct(w=words(text), l=words(f"lower({text})")), lambda split: let(phrases(split), hits))
+
+
+FUZZY_VALUES = (
+    "ARRAY<STRUCT<entity_type: STRING, type_ord: INT, value: STRING, value_ord: INT, lowered: STRING, "
+    "threshold: DOUBLE, lo: INT, hi: INT>>"
+)
+PUNCTUATION = r"^[\p{Punct}]+|[\p{Punct}]+$"
+
+
+def fuzzy_literal(profile: ResolvedProfile, options: Options = Options()) -> str:
+    """The profile's fuzzy dictionary as an array literal; empty where fuzzy matching is off."""
+    rows = []
+    for v in profile.dictionary if profile.fuzzy_enabled else ():
+        if len(v.value) >= options.min_entity_length:
+            threshold, lowered = f"{float(profile.fuzzy_threshold(v.entity_type))}D", f"lower({quote(v.value)})"
+            rows.append(
+                struct(
+                    entity_type=quote(v.entity_type), type_ord=str(v.type_ord), value=quote(v.value), value_ord=str(v.value_ord),
+                    lowered=lowered, threshold=threshold,
+                    lo=shortest_partner(f"length({lowered})", threshold), hi=longest_partner(f"length({lowered})", threshold),
+                )
+            )
+    return f"cast(array({', '.join(rows)}) AS {FUZZY_VALUES})"
+
+
+def fuzzy_bounds(profile: ResolvedProfile, options: Options = Options()) -> tuple[int, int]:
+    """Lengths a phrase must have to be near any value, or a wider range."""
+    known = [(len(v.value), float(profile.fuzzy_threshold(v.entity_type))) for v in profile.dictionary if len(v.value) >= options.min_entity_length]
+    if not profile.fuzzy_enabled or not known:
+        return 1, 0
+    # lower-casing may change a value's length by a character or two
+    return min(int(t * (n - 2) / (200 - t)) for n, t in known), max(int((200 - t) * (n + 2) / max(t, 1e-9)) + 1 for n, t in known)
+
+
 def fuzzy_candidates(hits: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, candidates): hits as extra candidates for redact_column. The phrase found is redacted,
     without the punctuation around it, so restoring gives back what was written (Z4, Q8)."""
-    trimmed = F.regexp_replace("phrase", r"^[\p{Punct}]+|[\p{Punct}]+$", "")
+    trimmed = F.regexp_replace("phrase", PUNCTUATION, "")
     one = F.struct(
         F.lit(PRIORITY["fuzzy"]).alias("priority"),
         F.col("type_ord"),

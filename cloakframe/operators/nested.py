@@ -7,6 +7,7 @@ shuffled or put back together. JSON of unknown shape is exploded level by level
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.functions.sqltext import empty, let, quote, struct, transform
+from cloakframe.functions.sqltext import empty, fn, let, quote, struct, transform
 from cloakframe.schemas import ENTITIES
 
 PATH_ENTITY = "STRUCT<path: STRING, " + ENTITIES[len("ARRAY<STRUCT<") : -1]
@@ -78,11 +79,11 @@ def annotate(
             )
 
         return transform(ref, item, 2)
-    value = dtype.valueType
-    return (
-        f"transform_values({ref}, (k_, w_) -> "
-        f"{annotate(value, 'w_', f'concat({path}, {quote(mark)}, k_)', body, skipped, '', False, skip_system, mark)})"
-    )
+
+    def entry(k: str, w: str) -> str:
+        return annotate(dtype.valueType, w, f"concat({path}, {quote(mark)}, {k})", body, skipped, "", False, skip_system, mark)
+
+    return f"transform_values({ref}, {fn(entry, 2)})"
 
 
 def gather(dtype: T.DataType, ref: str, leaf: Callable[[str], str], array_type: str) -> str:
@@ -139,31 +140,44 @@ def typed_leaves(
     )
 
 
-def variant_nodes(df: DataFrame, keys: list[str], body: str, max_depth: int = 8) -> DataFrame:
-    """(keys, path, kind, node): every scalar of a JSON text column of any shape.
+# Before a list position in a leaf's address; KEY_MARK stands before a key.
+ITEM_MARK = "\x02"
+# The kind of a node that is nested deeper than the walk goes.
+DEEPER = "DEEPER"
+
+
+def variant_nodes(df: DataFrame, keys: list[str], body: str, max_depth: int = 8, fail_deeper: bool = True) -> DataFrame:
+    """(keys, path, address, kind, node): every scalar of a JSON text column of any shape.
 
-    One pass: at each level objects and arrays explode and finished leaves stay. A document
-    deeper than `max_depth` fails the job instead of losing leaves.
+    One pass: at each level objects and arrays explode and finished leaves stay. `path` is for reading; `address` tells
+    a key "a.b" from a nested a -> b. A document deeper than `max_depth` fails the job, or shows as a DEEPER node.
     """
     spark = df.sparkSession
-    level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(body).alias("node"))
+    level = df.select(*keys, F.lit("").alias("path"), F.lit("").alias("address"), F.try_parse_json(body).alias("node"))
     for depth in range(max_depth + 1):
         kind = F.schema_of_variant("node")
+        if depth == max_depth:
+            deeper = kind.rlike("^(?:OBJECT<.*[A-Z]|ARRAY<(?!VOID>))")
+            if fail_deeper:
+                kind = F.when(deeper, F.raise_error(F.lit("JSON deeper than max_depth")).cast("string")).otherwise(kind)
+            else:
+                kind = F.when(deeper, F.lit(DEEPER)).otherwise(kind)
+            break
         inner = F.when(kind.rlike("^(?:OBJECT|ARRAY)<"), F.col("node"))
         step = level.withColumn("_inner", inner).lateralJoin(spark.tvf.variant_explode_outer(F.col("_inner").outer()))
-        found = F.col("pos").isNotNull()
-        if depth == max_depth:
-            found = F.when(found, F.raise_error(F.lit("JSON deeper than max_depth")).cast("boolean")).otherwise(F.lit(False))
+        found, pos = F.col("pos").isNotNull(), F.col("pos").cast("string")
         prefix = F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit(""))
-        child = F.when(F.col("key").isNotNull(), F.concat(prefix, "key")).otherwise(
-            F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+        child = F.when(F.col("key").isNotNull(), F.concat(prefix, "key")).otherwise(F.concat("path", F.lit("["), pos, F.lit("]")))
+        place = F.when(F.col("key").isNotNull(), F.concat("address", F.lit(KEY_MARK), "key")).otherwise(
+            F.concat("address", F.lit(ITEM_MARK), pos)
         )
         level = step.select(
             *keys,
             F.when(found, child).otherwise(F.col("path")).alias("path"),
+            F.when(found, place).otherwise(F.col("address")).alias("address"),
             F.when(found, F.col("value")).otherwise(F.col("node")).alias("node"),
         )
-    return level.select(*keys, "path", F.schema_of_variant("node").alias("kind"), "node")
+    return level.select(*keys, "path", "address", kind.alias("kind"), "node")
 
 
 def variant_leaves(df: DataFrame, keys: list[str], body: str, max_depth: int = 8) -> DataFrame:
@@ -181,33 +195,52 @@ def system_items(body: str) -> str:
     return f"coalesce(filter({found}, p_ -> p_ IS NOT NULL), {empty('array<int>')})"
 
 
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+|\s+')
+
+
+def with_new_leaves(body: str, new: dict[str, str]) -> str:
+    """The JSON text with string leaves replaced by address; all else stays as it is written."""
+    out: list[str] = []
+    places: list[list] = []  # of each open container: the address before it, the key or position in it
+    at, key_next = "", False
+    for part in _JSON_PART.findall(body):
+        if part in "{[":
+            places.append([at, None if part == "{" else 0])
+            key_next = part == "{"
+            at = at if part == "{" else f"{at}{ITEM_MARK}0"
+        elif part in "}]":
+            at = places.pop()[0]
+            key_next = False
+        elif part == ",":
+            place = places[-1]
+            if place[1] is None:
+                key_next = True
+            else:
+                place[1] += 1
+                at = f"{place[0]}{ITEM_MARK}{place[1]}"
+        elif part[0] == '"':
+            if key_next:
+                at, key_next = f"{places[-1][0]}{KEY_MARK}{json.loads(part)}", False
+            elif at in new:
+                part = json.dumps(new[at], ensure_ascii=False)
+        out.append(part)
+    return "".join(out)
+
+
 @F.pandas_udf(T.StringType())
-def put_leaves(body: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
-    """Put new texts at their paths into JSON of any shape; only rows with changes come here."""
-
-    def put(value, path, new):
-        if isinstance(value, dict):
-            return {k: put(v, f"{path}.{k}" if path else k, new) for k, v in value.items()}
-        if isinstance(value, list):
-            return [put(v, f"{path}[{i}]", new) for i, v in enumerate(value)]
-        return new.get(path, value) if isinstance(value, str) else value
-
-    return pd.Series(
-        [
-            json.dumps(put(json.loads(b), "", dict(zip(p, t))), ensure_ascii=False, separators=(",", ":"))
-            for b, p, t in zip(body, paths, texts)
-        ]
-    )
+def put_leaves(body: pd.Series, addresses: pd.Series, texts: pd.Series) -> pd.Series:
+    """Put new texts at their addresses into JSON of any shape; only rows with changes come here."""
+    return pd.Series([with_new_leaves(b, dict(zip(a, t, strict=True))) for b, a, t in zip(body, addresses, texts, strict=True)])
 
 
 def rebuild_json(df: DataFrame, keys: list[str], body: str, leaves: DataFrame, to: str) -> DataFrame:
-    """`df` with `to`: the body with the (keys, path, text) rows of `leaves` put in (N6, any shape).
+    """`df` with `to`: the body with the (keys, address, text) rows of `leaves` put in (N6, any shape).
     `leaves` should hold changed leaves only; a document's own leaves bound each group."""
-    grouped = leaves.groupBy(*keys).agg(F.collect_list(F.struct("path", "text")).alias("_put"))
+    grouped = leaves.groupBy(*keys).agg(F.collect_list(F.struct("address", "text")).alias("_put"))
     joined = df.join(grouped, keys, "left")
     same = joined.where(F.col("_put").isNull()).withColumn(to, F.col(body))
     changed = joined.where(F.col("_put").isNotNull()).withColumn(
-        to, put_leaves(F.col(body), F.col("_put.path"), F.col("_put.text"))
+        to, put_leaves(F.col(body), F.col("_put.address"), F.col("_put.text"))
     )
     return same.unionByName(changed).drop("_put")
 

@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from cloakframe.functions.sqltext import empty, keep, let, quote
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators.detect import BUILT_IN, Detector, detect
-from cloakframe.operators.dictionary import dictionary_candidates, literal_dictionary
+from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join, literal_dictionary
+from cloakframe.operators.fuzzy import (
+    FUZZY_VALUES,
+    folded_fuzzy,
+    fuzzy_bounds,
+    fuzzy_candidates,
+    fuzzy_hits,
+    fuzzy_literal,
+)
 from cloakframe.operators.redact import redact_candidates, redact_spans, spans_to_candidates
 from cloakframe.operators.tokens import mapping_id, token_scope
-from cloakframe.options import Options
+from cloakframe.options import PRIORITY, Options
 from cloakframe.schemas import CANDIDATES, SPANS
-from cloakframe.sources.profiles import ProfileSet, ResolvedProfile, type_cut
+from cloakframe.sources.profiles import ProfileSet, ResolvedProfile, literal_table, type_cut
 
 
 class RowProfiles:
@@ -26,6 +34,7 @@ class RowProfiles:
         self.cuts = profiles.cuts_sql(column)
         self.profiles = profiles.per_profile()
         self.largest = max(len(p.dictionary) for p in self.profiles.values())
+        self.fuzzy_enabled = any(p.fuzzy_enabled and p.dictionary for p in self.profiles.values())
 
     def _map(self, value, array_type: str) -> str:
         pairs = ", ".join(f"{quote(n)}, {value(p)}" for n, p in self.profiles.items())
@@ -40,6 +49,12 @@ class RowProfiles:
         values = self._map(lambda p: literal_dictionary(list(p.dictionary)), CANDIDATES)
         return keep(f"try_element_at({values}, {self.key})", lambda v: f"contains({text}, {v}.value)")
 
+    def fuzzy(self, text: str, options: Options) -> str:
+        bounds = [fuzzy_bounds(p, options) for p in self.profiles.values() if p.fuzzy_enabled and p.dictionary]
+        values = self._map(lambda p: fuzzy_literal(p, options), FUZZY_VALUES)
+        chosen = f"coalesce(try_element_at({values}, {self.key}), {empty(FUZZY_VALUES)})"
+        return folded_fuzzy(text, chosen, (min(b[0] for b in bounds), max(b[1] for b in bounds)), options)
+
     def skipped(self, text: str, parity: bool) -> str:
         def terms(p: ResolvedProfile) -> str:
             wanted = sorted({t if parity else t.lower() for t in p.skip_terms})
@@ -56,26 +71,27 @@ def redaction(
     detectors: Iterable[Detector] | None = None,
     lang: str | None = None,
     extra: str | None = None,
+    joined: bool = False,
 ) -> str:
     """SQL for STRUCT<text, entities> of one text expression; usable inside transform() as well.
 
-    `extra` is an ARRAY<candidate> from elsewhere: large dictionaries, fuzzy hits, a model.
+    Dictionaries of any size and fuzzy matching are folded into the expression. `extra` is an ARRAY<candidate> from
+    elsewhere: gazetteers, a model, or dictionaries joined by `redact_column` (with `joined`, not folded again).
     """
     chosen = BUILT_IN if detectors is None else list(detectors)
     per_row = isinstance(profile, RowProfiles)
-    n_values = profile.largest if per_row else len(profile.dictionary)
-    if n_values > options.fold_limit:
-        raise ValueError(
-            f"a profile has {n_values} dictionary values; beyond fold_limit "
-            "pass the hits of dictionary_hits_join as extra candidates"
-        )
+    n_values = 0 if joined else profile.largest if per_row else len(profile.dictionary)
     if per_row:
         spans = profile.over_threshold(detect(text, chosen, None, lang, options.disabled_types))
-        values = profile.dictionary(text)
+        values = [profile.dictionary(text)] if n_values else []
+        if n_values and profile.fuzzy_enabled:
+            values.append(profile.fuzzy(text, options))
         skipped = profile.skipped(text, options.skip_parity)
     else:
         spans = detect(text, chosen, profile.thresholds, lang, options.disabled_types)
-        values = dictionary_candidates(text, list(profile.dictionary))
+        values = [dictionary_candidates(text, list(profile.dictionary))] if n_values else []
+        if n_values and profile.fuzzy_enabled:
+            values.append(folded_fuzzy(text, fuzzy_literal(profile, options), fuzzy_bounds(profile, options), options))
         skipped = is_skip_term(text, list(profile.skip_terms), options.skip_parity)
     touched = (
         f"{eligible(text, options.min_text_length)} AND NOT {skipped}"
@@ -83,13 +99,41 @@ def redaction(
     )
     if not options.all_occurrences and not n_values and extra is None:
         return redact_spans(options, text, scope, f"CASE WHEN {touched} THEN {spans} ELSE {empty(SPANS)} END")
-    parts = [values, spans_to_candidates(spans)]
+    parts = [*values, spans_to_candidates(spans)]
     if extra is not None:
         parts.append(f"coalesce(cast({extra} AS {CANDIDATES}), {empty(CANDIDATES)})")
     found = f"CASE WHEN {touched} THEN concat({', '.join(parts)}) ELSE {empty(CANDIDATES)} END"
     return redact_candidates(options, text, scope, found)
 
 
+JOINED = "_dictionary_hits"
+
+
+def with_dictionary_hits(df: DataFrame, text: str, profile: ResolvedProfile, options: Options, extra: str | None) -> DataFrame:
+    """`df` with the dictionary and fuzzy hits of its texts, and the candidates of `extra`, as column JOINED.
+
+    Hits depend on the text alone, so they are found once for each distinct text and joined on its hash.
+    """
+    rows = df.withColumn("_text_hash", F.xxhash64(text))
+    texts = rows.where(F.col(text).isNotNull()).select("_text_hash", F.col(text).alias("_text")).dropDuplicates(["_text_hash", "_text"])
+    every = [(v.entity_type, v.type_ord, v.value, v.value_ord) for v in profile.dictionary]
+    known = literal_table(df.sparkSession, every, "entity_type STRING, type_ord INT, value STRING, value_ord INT")
+    exact = dictionary_hits_join(texts, ["_text_hash"], "_text", known)
+    one = F.struct(
+        F.lit(PRIORITY["exact"]).alias("priority"), "type_ord", "value_ord", F.lit(-1.0).alias("neg_score"),
+        "entity_type", "value", F.lit("exact").alias("source"),
+    )
+    hits = exact.select("_text_hash", F.array(one).cast(CANDIDATES).alias("_c"))
+    if profile.fuzzy_enabled:
+        fuzzy = fuzzy_candidates(fuzzy_hits(texts, ["_text_hash"], "_text", profile, options), ["_text_hash"])
+        hits = hits.unionByName(fuzzy.select("_text_hash", F.col("candidates").cast(CANDIDATES).alias("_c")))
+    grouped = hits.groupBy("_text_hash").agg(F.flatten(F.collect_list("_c")).alias(JOINED))
+    found = rows.join(grouped, "_text_hash", "left").drop("_text_hash")
+    none = F.expr(empty(CANDIDATES))
+    own = F.coalesce(F.col(extra).cast(CANDIDATES), none) if extra else none
+    return found.withColumn(JOINED, F.concat(F.coalesce(F.col(JOINED), none), own))
+
+
 def redact_column(
     df: DataFrame,
     text: str,
@@ -102,18 +146,25 @@ def redact_column(
     lang: str | None = None,
     extra: str | None = None,
     path: str | None = None,
+    path_column: str | None = None,
 ) -> DataFrame:
-    """`df` plus mapping_id, redacted and entities. Narrow: no join, no shuffle.
+    """`df` plus mapping_id, redacted and entities. Narrow: no join, no shuffle, unless a dictionary has more than
+    `options.fold_limit` values: those are found by joins on the text's hash, with the same result.
 
     `keys` name the document; `profile_column` picks a profile per row (unknown: bare defaults).
     """
     profiles = profiles or ProfileSet(default=options.default_profile)
     chosen = None if detectors is None else list(detectors)
-    scope = token_scope(options, "mapping_id", quote(path or text))
+    scope = token_scope(options, "mapping_id", f"`{path_column}`" if path_column else quote(path or text))
 
     settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
-    result = redaction(text, settings, scope, options, chosen, lang, extra)
-    kept = [c for c in df.columns if c not in ("mapping_id", extra)]
+    joined = isinstance(settings, ResolvedProfile) and len(settings.dictionary) > options.fold_limit
+    given = extra
+    if joined:
+        df = with_dictionary_hits(df, text, settings, options, extra)
+        extra = JOINED
+    result = redaction(text, settings, scope, options, chosen, lang, extra, joined)
+    kept = [c for c in df.columns if c not in ("mapping_id", extra, given)]
     staged = df.select(*kept, *([extra] if extra else []), F.expr(mapping_id(options, *keys)).alias("mapping_id"))
     return staged.withColumn("_redaction", F.expr(result)).select(
         *kept,

@@ -11,6 +11,7 @@ from cloakframe.functions.sqltext import keep, let, quote, struct, transform
 from cloakframe.functions.text import substitute_tokens
 from cloakframe.operators.detect import Detector
 from cloakframe.operators.nested import (
+    DEEPER,
     KEY_MARK,
     PATH_ENTITIES,
     annotate,
@@ -22,12 +23,13 @@ from cloakframe.operators.nested import (
     system_items,
     stamp_metadata,
     strip_metadata,
-    variant_leaves,
+    variant_nodes,
 )
-from cloakframe.operators.restore import known_tokens, needed_tokens
+from cloakframe.operators.restore import known_tokens, needed_tokens, restore_column
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
 from cloakframe.plans.columns import redact_column, redaction
+from cloakframe.sources.payloads import split_quarantine
 from cloakframe.sources.profiles import ProfileSet
 
 
@@ -146,18 +148,35 @@ def redact_json(
     options: Options = Options(),
     detectors: Iterable[Detector] | None = None,
     max_depth: int = 8,
-) -> tuple[DataFrame, DataFrame]:
-    """(documents with `redacted`, mapping entities per leaf) for JSON text of unknown shape.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with `redacted`, mapping entities per leaf, quarantine) for JSON text of unknown shape.
 
-    System items of a top-level `messages` list stay as they are. Declare a schema and use
-    redact_payload where the shape is known: that needs no shuffle.
+    Bodies that are no JSON object, or nested deeper than `max_depth`, go to the quarantine with a `reason` and never
+    on; with on_error="raise" they fail the job. System items of a top-level `messages` list stay as they are. Declare
+    a schema and use redact_payload where the shape is known: that needs no shuffle.
     """
-    leaves = variant_leaves(
-        df.withColumn("_system", F.expr(system_items(body))), [*keys, "_system"], body, max_depth
+    readable, refused = split_quarantine(df, body, options.on_error)
+    nodes = variant_nodes(
+        readable.withColumn("_system", F.expr(system_items(body))), [*keys, "_system"], body, max_depth, options.on_error == "raise"
+    )
+    deep = nodes.where(F.col("kind") == DEEPER).select(*keys).distinct()
+    refused = refused.unionByName(readable.join(deep, keys, "left_semi").withColumn("reason", F.lit("too_deep")))
+    readable = readable.join(deep, keys, "left_anti")
+    leaves = nodes.where(F.col("kind") == "STRING").join(deep, keys, "left_anti").select(
+        *keys, "_system", "path", "address", F.variant_get("node", "$", "string").alias("text")
     )
     item = F.regexp_extract("path", r"^messages\[([0-9]+)\]\.", 1)
     scanned = leaves.where(~F.array_contains("_system", F.when(item != "", item.cast("int")).otherwise(F.lit(-1)))).drop("_system")
-    done = redact_column(scanned, "text", keys, profiles, profile, options=options, detectors=detectors)
+    done = redact_column(scanned, "text", keys, profiles, profile, options=options, detectors=detectors, path_column="path")
     changed = done.where(~F.col("text").eqNullSafe(F.col("redacted")))
-    out = rebuild_json(df, keys, body, changed.select(*keys, "path", F.col("redacted").alias("text")), "redacted")
-    return out, changed.select(*keys, "mapping_id", "path", "entities")
+    out = rebuild_json(readable, keys, body, changed.select(*keys, "address", F.col("redacted").alias("text")), "redacted")
+    return out, changed.select(*keys, "mapping_id", "path", "entities"), refused
+
+
+def restore_json(
+    df: DataFrame, keys: list[str], body: str, mappings: DataFrame, options: Options = Options(), **how
+) -> DataFrame:
+    """`df` plus `restored`: the JSON text with the originals of its tokens back, written as JSON strings are."""
+    written = F.to_json(F.struct(F.col("original").alias("o")))
+    escaped = F.substring(written, F.lit(7), F.length(written) - 8)  # between {"o":" and "}
+    return restore_column(df, body, mappings.withColumn("original", escaped), keys, options=options, **how)

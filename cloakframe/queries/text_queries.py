@@ -19,7 +19,7 @@ from cloakframe.operators.tokens import mint_token
 from cloakframe.options import DEFAULT_THRESHOLDS
 from cloakframe.plans.columns import redact_column
 from cloakframe.queries.base import (
-    ALL, OPTIONS, PROFILE_BY_SOURCE, PROFILES, document_mappings, documents, profile_of_source, query,
+    ALL, OPTIONS, ORACLE, PROFILE_BY_SOURCE, PROFILES, document_mappings, documents, profile_of_source, query,
     redacted_documents, staged_documents, turns,
 )
 from cloakframe.queries.sqlparts import (
@@ -424,6 +424,14 @@ def fuzzy_redact(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "redacted", tokens.cast("long").alias("n_spans"))
 
 
+@query("anonymize_text_fuzzy", ORACLE["fuzzy_redact"])
+def anonymize_text_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    """As fuzzy_redact, by the profile alone."""
+    done = redact_column(documents(spark, folder), "text", DOC, PROFILES, "typos", options=OPTIONS)
+    tokens = F.size(F.regexp_extract_all("redacted", F.lit(OPTIONS.token_pattern), F.lit(0)))
+    return done.select("doc_id", "redacted", tokens.cast("long").alias("n_spans"))
+
+
 # -- tokens and redaction -------------------------------------------------------------------
 
 _RED = redaction_ctes("documents", DOC, "text", ALL)

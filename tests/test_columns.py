@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators import audit
@@ -303,3 +304,48 @@ def test_written_products_restore(spark, tmp_path):
     assert set(written.columns) == {"id", "mapping_id", "redacted"}
     back = restore_column(written, "redacted", read_mappings(spark, str(tmp_path / "maps")), ["id"])
     assert [r["restored"] for r in back.orderBy("id").collect()] == ["mail a@b.co", "plain words"]
+
+
+FUZZY = {"PERSON": ["John Doe", "Anna"], "ORGANIZATION": ["Acme Corp"]}
+
+
+@pytest.mark.parametrize("threshold", [80, 60])
+def test_fuzzy_profiles_and_large_dictionaries(spark, threshold):
+    fuzzy = {"enabled": True, "thresholds": {"DEFAULT": threshold}}
+    many = [f"Nobody {i:05d}x" for i in range(300)]
+    profiles = ProfileSet({
+        "small": {"custom_entities": FUZZY, "fuzzy_match": fuzzy},
+        "large": {"custom_entities": {**FUZZY, "OTHER": many}, "fuzzy_match": fuzzy},
+        "off": {"custom_entities": {**FUZZY, "OTHER": many}, "fuzzy_match": {"enabled": False}},
+    })
+    texts = ["I met Jon Doe today, and Anna.", "At Acme Corp. with JOHN DOE!", "nothing to see here", None, "", "I met Jon Doe today, and Anna."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def redacted(name, **how):
+        rows = redact_column(df, "text", ["doc_id"], profiles, name, options=Options(salt="s", **how)).collect()
+        return {r["doc_id"]: re.sub("_[0-9a-f]{8}>", ">", r["redacted"] or "") for r in rows}
+
+    small = redacted("small")
+    assert "Doe" not in small[0] and "Anna" not in small[0] and "DOE" not in small[1]
+    assert redacted("large") == redacted("large", fold_limit=1000)
+    if threshold == 80:
+        assert small[0] == "I met <PERSON> today, and <PERSON>." == small[5]
+        assert redacted("large") == small
+    assert redacted("off") == redacted("off", fold_limit=1000)
+    assert redacted("off")[0] == "I met Jon Doe today, and <PERSON>."
+    per_row = redact_column(df.withColumn("p", F.lit("small")), "text", ["doc_id"], profiles, profile_column="p", options=Options(salt="s"))
+    assert {r["doc_id"]: re.sub("_[0-9a-f]{8}>", ">", r["redacted"] or "") for r in per_row.collect()} == small
+
+
+def test_no_part_of_a_value_stays(spark):
+    texts = {
+        "My name is José García.": "My name is <PERSON>.",
+        "Hello Anna Müller, hi": "Hello <PERSON>, hi",
+        "Guten Tag Herr Müller.": "Guten Tag Herr <PERSON>.",
+        "I'm Sean O'Brien-McDonald today": "I'm <PERSON> today",
+        "q" * 80 + "@mail.example.com": "<EMAIL_ADDRESS>",
+        "see shop.example.nl and site.jp": "see <DOMAIN_NAME> and <DOMAIN_NAME>",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = redact_column(df, "text", ["doc_id"], options=Options(salt="s")).collect()
+    assert [re.sub("_[0-9a-f]{8}>", ">", r["redacted"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == list(texts.values())

@@ -4,9 +4,10 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.operators import nested
-from cloakframe.plans.payloads import payload_mapping_rows, redact_json, redact_payload, restore_payload
+from cloakframe.plans.payloads import payload_mapping_rows, redact_json, redact_payload, restore_json, restore_payload
 from cloakframe.sources.payloads import parse_payloads, payloads_from_turns, read_payload_json, split_quarantine
 
 STAMP = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -96,7 +97,8 @@ def test_variant_leaves_equal_a_walk(spark):
 
 def test_redact_json_of_any_shape(spark):
     df = spark.createDataFrame([(1, json.dumps(BODY)), (2, '{"x": 1}')], "id long, body string")
-    out, changed = redact_json(df, ["id"], "body")
+    out, changed, refused = redact_json(df, ["id"], "body")
+    assert refused.count() == 0
     rows = {r["id"]: r["redacted"] for r in out.collect()}
     body = json.loads(rows[1])
     assert body["messages"][0]["content"] == "write to root@example.com"
@@ -106,6 +108,39 @@ def test_redact_json_of_any_shape(spark):
     assert {r["path"] for r in changed.collect()} >= {"note", "deep[0][0]", "tags.k"}
 
 
+def test_json_keeps_what_is_not_a_leaf(spark):
+    bodies = {
+        1: '{"a.b":"mail x@y.co","a":{"b":"plain words"}}',
+        2: '{ "n": 1.10, "s":"at x@y.co \\"q\\" é\\n", "l":["keep this", "or x@y.co"], "e": [], "o": {} }',
+        3: '{"note":"a@b.co"',
+        4: '{"d":' * 11 + '{"d":"deep a@b.co"}' + "}" * 11,
+        5: '{"a[0]":"first x@y.co","a":["second words"]}',
+    }
+    df = spark.createDataFrame(list(bodies.items()), "id long, body string")
+    out, entities, refused = redact_json(df, ["id"], "body")
+    got = {r["id"]: r["redacted"] for r in out.collect()}
+    token = r"<EMAIL_ADDRESS_[0-9a-f]{8}>"
+    assert re.fullmatch(r'\{"a\.b":"mail ' + token + r'","a":\{"b":"plain words"\}\}', got[1])
+    assert re.fullmatch(
+        r'\{ "n": 1\.10, "s":"at ' + token + r' \\"q\\" é\\n", "l":\["keep this", "or ' + token + r'"\], "e": \[\], "o": \{\} \}', got[2]
+    )
+    assert re.fullmatch(r'\{"a\[0\]":"first ' + token + r'","a":\["second words"\]\}', got[5])
+    assert {r["id"]: r["reason"] for r in refused.collect()} == {3: "invalid_json", 4: "too_deep"}
+    mappings = entities.select("id", "mapping_id", F.explode("entities").alias("e")).select(
+        "mapping_id", "e.placeholder", "e.entity_type", "e.original", F.lit("2024-01-01").cast("timestamp").alias("created_at")
+    )
+    handles = entities.select("id", "mapping_id").distinct()
+    back = restore_json(out.join(handles, "id").select("id", "mapping_id", "redacted"), ["id"], "redacted", mappings)
+    assert {r["id"]: r["restored"] for r in back.collect()} == {i: bodies[i] for i in (1, 2, 5)}
+
+
+def test_maps_of_maps(spark):
+    df = spark.createDataFrame([(1, {"o": {"i": "write to x@y.co now", "k": "plain words"}})], "id long, m map<string, map<string, string>>")
+    row = redact_payload(df, ["id"]).first()
+    assert row["m"]["o"]["k"] == "plain words" and "x@y.co" not in row["m"]["o"]["i"]
+    assert [e["path"] for e in row["entities"]] == ["m.o.i"]
+
+
 def test_key_differences_and_missing_columns(spark):
     df = spark.createDataFrame([(1, '{"a":1,"b":2}', '{"b":3,"c":4}')], "id long, before string, after string")
     row = nested.key_differences(df, ["id"], "before", "after").first()
