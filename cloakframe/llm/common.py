@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +68,31 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def freeing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task function that gives freed memory back to the system, as idle workers share an executor's memory."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with a dot a field of a struct column."""
+    top, _, field = name.partition(".")
+    return pa.compute.struct_field(batch.column(top), field) if field else batch.column(top)
+
+
+def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one take about `limit` bytes, or are one row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import slices
+from cloakframe.llm.common import freeing, slices
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>]+)))?")
@@ -51,6 +51,7 @@ ENDS = {
 }
 _ENDS_P = (SPACED | LINED) - frozenset("html body tr caption option legend".split())
 _P = (frozenset(["p"]), _SCOPE)
+_CELL = frozenset(["table", "td", "th"])
 _HEAD_ONLY = frozenset("head base link meta title style script template noscript".split())
 
 
@@ -109,7 +110,13 @@ class TreeBuilder:
             return
         if tag == "p" and not self.open.get("p"):
             self._push("p", "")
-        self._end(frozenset([tag]), frozenset() if tag in ("table", "head") or tag in _SCOPE else frozenset(["table", "td", "th"]) - {tag})
+        if tag in ("table", "head") or tag in _SCOPE:
+            limits = frozenset()
+        elif tag in SPACED or tag in LINED:
+            limits = _CELL - {tag}
+        else:  # the end of an inline element leaves the blocks in it open
+            limits = (SPACED | LINED | _CELL) - {tag}
+        self._end(frozenset([tag]), limits)
 
     def text(self, data: str) -> None:
         if data:
@@ -318,4 +325,4 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", page: str = "html"
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], ["page_id", "text"])
 
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(page).alias("page"))
-    return rows.mapInArrow(run, "page_id long, text string")
+    return rows.mapInArrow(freeing(run), "page_id long, text string")

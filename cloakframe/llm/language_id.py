@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import slices
+from cloakframe.llm.common import column, freeing, slices
 
 BUCKETS = 1 << 15
 #: Rows per language that the weights are trained on, about.
@@ -97,7 +97,7 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["bucket", "n"])
 
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(freeing(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -170,29 +170,29 @@ def fit(rows: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Model:
         t = temperature(raw, np.array([lang for _, _, lang in held], dtype=np.int64))
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary()), "temperature": pa.array([t])})
 
-    found = picked.select("turn", "lang", "text").mapInArrow(grams, "turn long, lang string, buckets array<int>, counts array<int>")
+    found = picked.select("turn", "lang", "text").mapInArrow(freeing(grams), "turn long, lang string, buckets array<int>, counts array<int>")
     got = found.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "weights binary, temperature double").collect()
     if not got:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), 1.0)
     return Model(langs, idf, np.frombuffer(got[0]["weights"], np.float32).reshape(BUCKETS, len(langs)), got[0]["temperature"])
 
 
-def predict(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to rows that have text; the text itself goes unless kept under another name."""
-    kinds = rows.schema
-    names = [f.name for f in kinds if f.name != "text"]
+def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds lang_pred and score to rows; `text` names their text, a column that goes or a field of a struct that stays."""
+    kinds = [f for f in rows.schema if f.name != text]
+    names = [f.name for f in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, text):
             langs, scores = [], []
-            for text in batch.column("text"):
-                raw = model.scores(text.as_py())
+            for own in column(batch, text):
+                raw = model.scores(own.as_py())
                 p = None if raw is None else _softmax(raw.astype(np.float64) / model.temperature)
                 langs.append(UNKNOWN if p is None else model.langs[int(p.argmax())])
                 scores.append(0.0 if p is None else float(p.max()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([f for f in kinds if f.name != "text"]).add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(freeing(run), T.StructType(kinds).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import group_starts, if_small, slices, sorted_groups, staged
+from cloakframe.llm.common import freeing, group_starts, if_small, slices, sorted_groups, staged
 from cloakframe.llm.components import components
 from cloakframe.llm.substring_dedup import WordCodes, mixed, runs_of
 
@@ -67,7 +67,7 @@ def frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["counter", "n"])
 
     out = np.zeros(SKETCH, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(freeing(run), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         out[r["counter"]] = r["n"]
     return out
 
@@ -123,7 +123,7 @@ def described(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                 ["id", "n", "c1", "c2", "counts", "keys"],
             )
 
-    return rows.mapInArrow(run, "id long, n long, c1 long, c2 long, counts binary, keys array<long>")
+    return rows.mapInArrow(freeing(run), "id long, n long, c1 long, c2 long, counts binary, keys array<long>")
 
 
 def verified(rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -167,9 +167,9 @@ def verified(rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], ["u", "v"])
 
-    found = texts.mapInArrow(sets, "partner long, share long, head int, id long, members binary")
+    found = texts.mapInArrow(freeing(sets), "partner long, share long, head int, id long, members binary")
     found = found.repartition("partner", "share").sortWithinPartitions("partner", "share", F.desc("head"))
-    return found.mapInArrow(check, "u long, v long")
+    return found.mapInArrow(freeing(check), "u long, v long")
 
 
 def allowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +185,7 @@ def allowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["id", "partner", "times"]).filter(pa.array(fits))
 
     sized = pairs.join(own, "id").join(other, "partner").where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-    return sized.mapInArrow(run, "id long, partner long, times long")
+    return sized.mapInArrow(freeing(run), "id long, partner long, times long")
 
 
 def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +219,7 @@ def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "partner"])
 
     rows = dealt.select(*place, "block", "id", "component", "n", "counts").repartition(*place).sortWithinPartitions(*place, "id")
-    return rows.mapInArrow(run, "id long, partner long").where(F.col("id") != F.col("partner")).distinct()
+    return rows.mapInArrow(freeing(run), "id long, partner long").where(F.col("id") != F.col("partner")).distinct()
 
 
 def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:

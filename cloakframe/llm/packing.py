@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import slices
+from cloakframe.llm.common import freeing, slices
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
 PACKER_PIECES = 100_000
-#: Words whose ids a worker keeps.
-_KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, of each kind.
+_KEPT_WORDS = 250_000
 
 
 class WordTokens:
@@ -167,7 +167,7 @@ def tokenized(
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(run, schema + ", ids binary" * with_ids)
+    return rows.mapInArrow(freeing(run), schema + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, packers: int = 1) -> DataFrame:
@@ -190,7 +190,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS
     key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(5))
     rows = pieces.withColumn("packer", F.pmod(key, F.lit(packers))).withColumn("turn", F.xxhash64(key, F.lit(9)))
     rows = rows.repartition(packers, "packer").sortWithinPartitions("packer", "turn", "doc_id", "piece", "length", "ids_crc32")
-    return rows.mapInArrow(run, T.StructType(kinds.fields).add("sequence_id", "long").add("offset", "long"))
+    return rows.mapInArrow(freeing(run), T.StructType(kinds.fields).add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import NULL_ID, group_starts, row_key, slices, sorted_groups, staged, words
+from cloakframe.llm.common import NULL_ID, freeing, group_starts, row_key, slices, sorted_groups, staged, words
 
 WINDOW = 50
 #: Words of a minimiser.
 SEED = 16
 BUCKET_WINDOWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 300_000
 
 
 class WordCodes(dict):
@@ -114,7 +114,7 @@ def _minimisers(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 ["k1", "k2", "bucket", "windows"],
             )
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, bucket long, windows long")
+    return docs.select("k1", "k2", "text").mapInArrow(freeing(run), "k1 long, k2 long, bucket long, windows long")
 
 
 def _packed(shared: DataFrame, window: int, seed: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _packed(shared: DataFrame, window: int, seed: int) -> DataFrame:
                 ["k1", "k2", "bucket", "start", "packed"],
             )
 
-    return shared.mapInArrow(run, "k1 long, k2 long, bucket long, start int, packed string")
+    return shared.mapInArrow(freeing(run), "k1 long, k2 long, bucket long, start int, packed string")
 
 
 def _cut_windows(text: str, window: int) -> list[str]:
@@ -210,12 +210,12 @@ def _removed_in_large_buckets(packed: DataFrame, window: int) -> DataFrame:
     # strings travel once; behind that, a string is its 256-bit hash
     packed = packed.withColumn("string", F.sha2("packed", 256))
     strings = packed.groupBy("string").agg(F.min("k1").alias("first"), F.first("packed").alias("packed"))
-    windows = strings.mapInArrow(cut, "string string, first long, at int, own string")
+    windows = strings.mapInArrow(freeing(cut), "string string, first long, at int, own string")
     windows = windows.select("string", "first", "at", F.sha2("own", 256).alias("own"))
     least = windows.groupBy("own").agg(F.min("first").alias("first"))
     known = windows.select("string", "at", "own").join(least, "own").groupBy("string").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("least"))
     places = packed.select("k1", "k2", "start", "string").join(known, "string").select("k1", "k2", "start", "least")
-    return places.mapInArrow(merge, "k1 long, k2 long, from int, to int")
+    return places.mapInArrow(freeing(merge), "k1 long, k2 long, from int, to int")
 
 
 def _removed_in_buckets(packed: DataFrame, window: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _removed_in_buckets(packed: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keys, pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["k1", "k2", "from", "to"])
 
     rows = packed.repartition("bucket").sortWithinPartitions("bucket", "k1")
-    return rows.mapInArrow(run, "k1 long, k2 long, from int, to int")
+    return rows.mapInArrow(freeing(run), "k1 long, k2 long, from int, to int")
 
 
 def removed_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
@@ -284,4 +284,4 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             )
 
     joined = rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "froms", "tos")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(freeing(cut), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -32,7 +32,7 @@ def _with_text(doc, text, columns: list[str]) -> list:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit_documents(docs)
-    kept = language_id.predict(docs.select(F.struct("*").alias("doc"), "text"), model)
+    kept = language_id.predict(docs.select(F.struct("*").alias("doc")), model, "doc.text")
     return kept.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
