@@ -12,7 +12,7 @@ from cloakframe.options import Options
 def mint_token(options: Options, scope: str, entity_type: str, value: str, again: int = 0) -> str:
     """<TYPE_hex> from a salted hash, so a recomputed task mints the same token."""
     tail = f", '{again}'" if again else ""
-    digest = f"sha2(concat_ws('|', {quote(options.salt)}, {scope}, {entity_type}, {value}{tail}), 256)"
+    digest = f"sha2(concat_ws('|', {quote(options.secret)}, {scope}, {entity_type}, {value}{tail}), 256)"
     return f"concat('<', {entity_type}, '_', left({digest}, {options.token_hex}), '>')"
 
 
@@ -21,7 +21,7 @@ def mapping_id(options: Options, *keys: str) -> str:
     cast = ", ".join(f"cast({k} AS string)" for k in keys)
     bounds = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     return let(
-        f"sha2(concat_ws('|', {quote(options.salt)}, {cast}), 256)",
+        f"sha2(concat_ws('|', {quote(options.secret)}, {cast}), 256)",
         lambda h: f"concat_ws('-', {', '.join(f'substr({h}, {a}, {n})' for a, n in bounds)})",
     )
 

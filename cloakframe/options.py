@@ -35,7 +35,7 @@ PRIORITY = {"exact": 0, "fuzzy": 1, "pattern": 2, "gazetteer": 3, "model": 4}
 class Options:
     """Everything a redaction or restoration job can be told."""
 
-    salt: str = "set-a-secret-salt"
+    salt: str | None = None  # must be set to mint tokens; keep it secret
     scope: str = "document"  # document | leaf | global
     token_hex: int = 8
     default_profile: str = "default"
@@ -61,6 +61,13 @@ class Options:
         if self.on_error not in ("closed", "raise"):
             raise ValueError("on_error must be 'closed' or 'raise'")
 
+    @property
+    def secret(self) -> str:
+        """The salt; without one, tokens of e-mails and phone numbers could be guessed back."""
+        if not self.salt:
+            raise ValueError("set Options(salt=...) to a secret of your own")
+        return self.salt
+
     @property
     def token_pattern(self) -> str:
         return TOKEN_PATTERN if self.token_hex == 8 else WIDE_TOKEN_PATTERN

@@ -38,6 +38,12 @@ def _each_batch(
     )
 
 
+def _place(batch: DataFrame, batch_id: int) -> str:
+    """A batch's folder name: the same when it runs again, another for a query with a new checkpoint."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    return f"{run}-{batch_id}"
+
+
 def redact_stream(
     stream: DataFrame, text: str, keys: list[str], out: str, mappings_out: str, checkpoint: str,
     options: Options = Options(), trigger: dict | None = None, **redact,
@@ -49,9 +55,9 @@ def redact_stream(
         try:
             if options.keep_mappings:
                 mapping_rows(done, text, options=options).write.mode("overwrite").parquet(
-                    f"{mappings_out}/batch_id={batch_id}"
+                    f"{mappings_out}/batch_id={_place(batch, batch_id)}"
                 )
-            done.drop("entities", text).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            done.drop("entities", text).write.mode("overwrite").parquet(f"{out}/batch_id={_place(batch, batch_id)}")
         finally:
             done.unpersist()
 
@@ -68,10 +74,10 @@ def restore_stream(
     def work(batch: DataFrame, batch_id: int) -> None:
         known = mappings()
         unresolved_tokens(batch, keys, text, known, options).write.mode("overwrite").parquet(
-            f"{unresolved_out}/batch_id={batch_id}"
+            f"{unresolved_out}/batch_id={_place(batch, batch_id)}"
         )
         restore_column(batch, text, known, keys, options=options).write.mode("overwrite").parquet(
-            f"{out}/batch_id={batch_id}"
+            f"{out}/batch_id={_place(batch, batch_id)}"
         )
 
     return _each_batch(stream, checkpoint, work, trigger)
@@ -85,13 +91,13 @@ def redact_payload_stream(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         readable, refused = split_quarantine(batch, body, options.on_error)
-        refused.write.mode("overwrite").parquet(f"{quarantine_out}/batch_id={batch_id}")
+        refused.write.mode("overwrite").parquet(f"{quarantine_out}/batch_id={_place(batch, batch_id)}")
         typed = parse_payloads(readable, body, schema, "_payload").select(*keys, "_payload.*")
         done = redact_payload(spread(typed, *keys), keys, options=options, **redact).persist()
         try:
             if options.keep_mappings:
-                payload_mapping_rows(done, options=options).write.mode("overwrite").parquet(f"{mappings_out}/batch_id={batch_id}")
-            done.drop("entities").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+                payload_mapping_rows(done, options=options).write.mode("overwrite").parquet(f"{mappings_out}/batch_id={_place(batch, batch_id)}")
+            done.drop("entities").write.mode("overwrite").parquet(f"{out}/batch_id={_place(batch, batch_id)}")
         finally:
             done.unpersist()
 
@@ -106,7 +112,7 @@ def restore_payload_stream(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         done = restore_payload(batch, mappings(), keys, options=options, **restore)
-        done.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        done.write.mode("overwrite").parquet(f"{out}/batch_id={_place(batch, batch_id)}")
 
     return _each_batch(stream, checkpoint, work, trigger)
 

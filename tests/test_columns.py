@@ -13,6 +13,7 @@ from cloakframe.options import Options
 from cloakframe.plans.columns import mapping_rows, redact_column
 from cloakframe.sources.profiles import ProfileSet
 
+SALTED = Options(salt="test")
 STAMP = "TIMESTAMP '2024-01-01 00:00:00'"
 SHORT = {
     "short": {
@@ -28,6 +29,7 @@ def texts(spark, *values):
 
 
 def redact(spark, values, profiles=None, profile=None, **how):
+    how.setdefault("options", SALTED)
     done = redact_column(texts(spark, *values), "text", ["id"], ProfileSet(profiles) if profiles else None, profile, **how)
     return done.cache()
 
@@ -104,7 +106,7 @@ def test_skip_terms_apply_to_the_whole_text(spark):
     assert [shape(t) for t in redacted(redact(spark, values, profile, "t"))] == [
         "TestCompany", "<ORGANIZATION_H>", "I work at <ORGANIZATION_H>.", "test@example.com",
     ]
-    parity = redact(spark, values[:1], profile, "t", options=Options(skip_parity=True))
+    parity = redact(spark, values[:1], profile, "t", options=Options(salt="test", skip_parity=True))
     assert shape(redacted(parity)[0]) == "<ORGANIZATION_H>"
 
 
@@ -184,7 +186,7 @@ def test_same_value_same_token_within_a_document(spark):
     done = redact(spark, ["a@b.co and a@b.co", "a@b.co again"])
     first, second = [re.findall(r"<\w+>", t) for t in redacted(done)]
     assert first[0] == first[1] and first[0] != second[0]
-    shared = redact(spark, ["a@b.co and a@b.co", "a@b.co again"], options=Options(scope="global"))
+    shared = redact(spark, ["a@b.co and a@b.co", "a@b.co again"], options=Options(salt="test", scope="global"))
     tokens = {t for r in redacted(shared) for t in re.findall(r"<\w+>", r)}
     assert len(tokens) == 1
 
@@ -197,7 +199,7 @@ def test_tokens_are_the_same_when_computed_again(spark):
 
 
 def test_wide_tokens_restore(spark):
-    wide = Options(token_hex=16)
+    wide = Options(salt="test", token_hex=16)
     done = redact(spark, ["mail a@b.co"], options=wide)
     assert re.fullmatch(r"mail <EMAIL_ADDRESS_[0-9a-f]{16}>", redacted(done)[0])
     assert restored(done, options=wide) == ["mail a@b.co"]
@@ -250,12 +252,12 @@ def test_type_fallback_stays_in_scope(spark):
 def test_profile_per_row(spark):
     profiles = ProfileSet({"default": {}, "strict": {"thresholds": {"IP_ADDRESS": 1.1}}})
     df = spark.createDataFrame([(1, None, "at 10.0.0.1"), (2, "strict", "at 10.0.0.1"), (3, "unknown", "at 10.0.0.1")], "id long, profile string, text string")
-    done = redact_column(df, "text", ["id"], profiles, profile_column="profile")
+    done = redact_column(df, "text", ["id"], profiles, profile_column="profile", options=SALTED)
     assert [shape(t) for t in redacted(done)] == ["at <IP_ADDRESS_H>", "at 10.0.0.1", "at <IP_ADDRESS_H>"]
 
 
 def test_disabled_types_and_one_way(spark):
-    done = redact(spark, ["a@b.co 10.0.0.1"], options=Options(disabled_types=frozenset({"IP_ADDRESS"})))
+    done = redact(spark, ["a@b.co 10.0.0.1"], options=Options(salt="test", disabled_types=frozenset({"IP_ADDRESS"})))
     assert shape(redacted(done)[0]) == "<EMAIL_ADDRESS_H> 10.0.0.1"
     assert mapping_rows(done, "text", options=Options(keep_mappings=False)).count() == 0
 
@@ -278,7 +280,7 @@ def test_round_trip_report_and_metrics(spark):
 
 
 def test_redaction_plan_has_no_shuffle(spark):
-    plan = redact_column(spark.range(10).selectExpr("id", "'a@b.co' AS text"), "text", ["id"])
+    plan = redact_column(spark.range(10).selectExpr("id", "'a@b.co' AS text"), "text", ["id"], options=SALTED)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
 
@@ -298,7 +300,7 @@ def test_written_products_restore(spark, tmp_path):
     from cloakframe.operators.store import read_mappings
     from cloakframe.sources.sinks import write_redacted_column
 
-    done = redact_column(texts(spark, "mail a@b.co", "plain words"), "text", ["id"])
+    done = redact_column(texts(spark, "mail a@b.co", "plain words"), "text", ["id"], options=SALTED)
     write_redacted_column(done, "text", str(tmp_path / "out"), str(tmp_path / "maps"))
     written = spark.read.parquet(str(tmp_path / "out"))
     assert set(written.columns) == {"id", "mapping_id", "redacted"}
@@ -349,3 +351,8 @@ def test_no_part_of_a_value_stays(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     rows = redact_column(df, "text", ["doc_id"], options=Options(salt="s")).collect()
     assert [re.sub("_[0-9a-f]{8}>", ">", r["redacted"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == list(texts.values())
+
+
+def test_a_salt_is_required(spark):
+    with pytest.raises(ValueError, match="salt"):
+        redact_column(texts(spark, "mail a@b.co"), "text", ["id"])

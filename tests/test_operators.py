@@ -104,7 +104,7 @@ def test_fuzzy_redaction_hides_the_misspelling(spark):
     df = spark.createDataFrame([(1, "I met Jon Doe today"), (2, "I met John Doe."), (3, "someone named Lee")], "id long, text string")
     hits = fuzzy.fuzzy_hits(df, ["id"], "text", profiles.resolve("t"))
     extra = df.join(fuzzy.fuzzy_candidates(hits, ["id"]), "id", "left")
-    out = {r["id"]: r for r in redact_column(extra, "text", ["id"], profiles, "t", extra="candidates").collect()}
+    out = {r["id"]: r for r in redact_column(extra, "text", ["id"], profiles, "t", options=Options(salt="test"), extra="candidates").collect()}
     assert out[1]["redacted"].startswith("I met <PERSON_") and out[1]["redacted"].endswith("> today")
     assert [(e["original"], e["source"]) for e in out[1]["entities"]] == [("Jon Doe", "fuzzy")]
     assert [(e["original"], e["source"]) for e in out[2]["entities"]] == [("John Doe", "exact")]
@@ -228,7 +228,7 @@ def test_gazetteer_and_model_as_extra_candidates(spark):
     spans = gazetteer_spans(df, ["id"], "text", places)
     assert sorted((r["start"], r["value"], r["entity_type"]) for r in spans.collect()) == [(13, "New York", "LOCATION"), (25, "Paris", "LOCATION")]
     extra = df.join(span_candidates(spans, ["id"]), "id", "left")
-    out = redact_column(extra, "text", ["id"], extra="candidates").where("id = 1").first()["redacted"]
+    out = redact_column(extra, "text", ["id"], options=Options(salt="test"), extra="candidates").where("id = 1").first()["redacted"]
     assert "Paris" not in out and "New  York" in out and out.count("<LOCATION_") == 2
 
     def load():
@@ -322,7 +322,7 @@ def test_asof_matches_brute_force(spark):
 
 
 def test_sql_functions(spark):
-    names = register_functions(spark)
+    names = register_functions(spark, Options(salt="test"))
     assert "anonymize_text" in names
     row = spark.sql(
         "SELECT is_uuid_shaped('x') a, round(indel_ratio('lea', 'lee'), 2) b, mint_token('s', 'PERSON', 'Ann') c, "

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.operators import nested
+from cloakframe.options import Options
 from cloakframe.plans.payloads import payload_mapping_rows, redact_json, redact_payload, restore_json, restore_payload
 from cloakframe.sources.payloads import parse_payloads, payloads_from_turns, read_payload_json, split_quarantine
 
@@ -16,6 +17,7 @@ SCHEMA = (
     "a STRUCT<messages: ARRAY<STRUCT<role: STRING, content: STRING>>, `b.c`: STRING, b: STRUCT<c: STRING>>, "
     "deep ARRAY<ARRAY<STRING>>, tags MAP<STRING, STRING>, metadata STRUCT<client: STRING>"
 )
+SALTED = Options(salt="test")
 BODY = {
     "messages": [
         {"role": "system", "content": "write to root@example.com"},
@@ -38,7 +40,7 @@ def payload(spark):
 
 
 def test_redact_and_restore_payload(payload):
-    done = redact_payload(payload, ["id"]).cache()
+    done = redact_payload(payload, ["id"], options=SALTED).cache()
     row = done.where("id = 1").first()
     assert row["messages"][0]["content"] == "write to root@example.com"
     assert re.fullmatch(r"My name is <PERSON_\w{8}>, <EMAIL_ADDRESS_\w{8}>", row["messages"][1]["content"])
@@ -61,7 +63,7 @@ def test_redact_and_restore_payload(payload):
 
 
 def test_no_shuffle_and_metadata_created(payload):
-    done = redact_payload(payload.drop("metadata"), ["id"])
+    done = redact_payload(payload.drop("metadata"), ["id"], options=SALTED)
     assert done.schema["metadata"].dataType.names == ["privacy_mapping_id"]
     assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
     emptied = nested.strip_metadata(done.select("id", "metadata"))
@@ -97,7 +99,7 @@ def test_variant_leaves_equal_a_walk(spark):
 
 def test_redact_json_of_any_shape(spark):
     df = spark.createDataFrame([(1, json.dumps(BODY)), (2, '{"x": 1}')], "id long, body string")
-    out, changed, refused = redact_json(df, ["id"], "body")
+    out, changed, refused = redact_json(df, ["id"], "body", options=SALTED)
     assert refused.count() == 0
     rows = {r["id"]: r["redacted"] for r in out.collect()}
     body = json.loads(rows[1])
@@ -117,7 +119,7 @@ def test_json_keeps_what_is_not_a_leaf(spark):
         5: '{"a[0]":"first x@y.co","a":["second words"]}',
     }
     df = spark.createDataFrame(list(bodies.items()), "id long, body string")
-    out, entities, refused = redact_json(df, ["id"], "body")
+    out, entities, refused = redact_json(df, ["id"], "body", options=SALTED)
     got = {r["id"]: r["redacted"] for r in out.collect()}
     token = r"<EMAIL_ADDRESS_[0-9a-f]{8}>"
     assert re.fullmatch(r'\{"a\.b":"mail ' + token + r'","a":\{"b":"plain words"\}\}', got[1])
@@ -136,7 +138,7 @@ def test_json_keeps_what_is_not_a_leaf(spark):
 
 def test_maps_of_maps(spark):
     df = spark.createDataFrame([(1, {"o": {"i": "write to x@y.co now", "k": "plain words"}})], "id long, m map<string, map<string, string>>")
-    row = redact_payload(df, ["id"]).first()
+    row = redact_payload(df, ["id"], options=SALTED).first()
     assert row["m"]["o"]["k"] == "plain words" and "x@y.co" not in row["m"]["o"]["i"]
     assert [e["path"] for e in row["entities"]] == ["m.o.i"]
 

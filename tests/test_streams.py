@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from cloakframe.options import Options
 from cloakframe.plans.columns import redact_column
 from cloakframe.streaming import streams
 
+SALTED = Options(salt="test")
+
 
 def test_redact_then_restore(spark, tmp_path):
     source = str(tmp_path / "in")
@@ -13,12 +16,12 @@ def test_redact_then_restore(spark, tmp_path):
     df.where("id < 3").write.parquet(source)
     stream = lambda: spark.readStream.schema(df.schema).parquet(source)
     where = {n: str(tmp_path / n) for n in ("texts", "mappings", "restored", "unresolved", "c1", "c2")}
-    streams.redact_stream(stream(), "text", ["id"], where["texts"], where["mappings"], where["c1"]).awaitTermination()
+    streams.redact_stream(stream(), "text", ["id"], where["texts"], where["mappings"], where["c1"], options=SALTED).awaitTermination()
     df.where("id = 3").write.mode("append").parquet(source)
-    streams.redact_stream(stream(), "text", ["id"], where["texts"], where["mappings"], where["c1"]).awaitTermination()
+    streams.redact_stream(stream(), "text", ["id"], where["texts"], where["mappings"], where["c1"], options=SALTED).awaitTermination()
     written = spark.read.parquet(where["texts"])
     assert "text" not in written.columns and "entities" not in written.columns
-    batch = redact_column(df, "text", ["id"])
+    batch = redact_column(df, "text", ["id"], options=SALTED)
     assert {(r["id"], r["redacted"]) for r in written.collect()} == {(r["id"], r["redacted"]) for r in batch.collect()}
 
     mappings = lambda: spark.read.parquet(where["mappings"]).where("entity_type <> 'IP_ADDRESS'")
@@ -85,7 +88,7 @@ def test_payload_requests_and_responses(spark, tmp_path):
     schema = "STRUCT<messages: ARRAY<STRUCT<role: STRING, content: STRING>>>"
     streams.redact_payload_stream(
         spark.readStream.schema(df.schema).parquet(where["in"]), ["id"], "body", schema,
-        where["out"], where["maps"], where["refused"], where["c1"],
+        where["out"], where["maps"], where["refused"], where["c1"], options=SALTED,
     ).awaitTermination()
     written = spark.read.parquet(where["out"])
     row = written.first()
