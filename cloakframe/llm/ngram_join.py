@@ -79,8 +79,16 @@ def keys_of(members: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) ->
     return members[np.argsort(sketch[_counter(members)], kind="stable")[:first]].view(np.int64)
 
 
-def counts_of(members: np.ndarray) -> np.ndarray:
-    return np.bincount((members & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def counts_of(members: np.ndarray) -> bytes:
+    """A set's point, in as few bytes a coordinate as hold its largest one."""
+    counts = np.bincount((members & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def points_of(data: list[bytes]) -> np.ndarray:
+    if all(len(d) == GROUPS for d in data):
+        return np.frombuffer(b"".join(data), np.uint8).reshape(-1, GROUPS).astype(np.int64)
+    return np.array([np.frombuffer(d, f"u{len(d) // GROUPS}") for d in data], dtype=np.int64).reshape(-1, GROUPS)
 
 
 class CountTree:
@@ -119,7 +127,7 @@ def described(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
             sums = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
             more = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(more, pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array([keys_of(s, sketch, percent) for s in sets], pa.list_(pa.int64()))],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(more, pa.int64()), pa.array([counts_of(s) for s in sets], pa.binary()), pa.array([keys_of(s, sketch, percent) for s in sets], pa.list_(pa.int64()))],
                 ["id", "n", "c1", "c2", "counts", "keys"],
             )
 
@@ -179,46 +187,68 @@ def allowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("counts", "counts2"))
+            a, b = (points_of(batch.column(c).to_pylist()) for c in ("counts", "counts2"))
             sizes = batch.column("n").to_numpy() + batch.column("n2").to_numpy()
-            fits = (100 + percent) * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= percent * sizes
+            fits = (100 + percent) * np.minimum(a, b).sum(axis=1) >= percent * sizes
             yield batch.select(["id", "partner", "times"]).filter(pa.array(fits))
 
     sized = pairs.join(own, "id").join(other, "partner").where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
     return sized.mapInArrow(freeing(run), "id long, partner long, times long")
 
 
-def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (id, partner) of rows (key, id, component, n, counts) whose points allow a link.
+def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (id, partner) of rows (key, id, component) whose points (id, n, counts) allow a link.
 
-    Members of a key come in blocks of about BLOCK, and each two blocks meet once.
+    Members of a key come in blocks of about BLOCK, and each two blocks meet once. A key of few members is a tree of one
+    leaf; these are scanned together.
     """
-    blocks = points.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
-    dealt = points.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = members.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
     place = ["key", "b1", "b2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, place):
-            cuts = group_starts(table, place).tolist()
+            cuts = group_starts(table, place)
             ids, comps, sizes, block, b1, b2 = (table[c].to_numpy() for c in ("id", "component", "n", "block", "b1", "b2"))
-            counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-            out: list[np.ndarray] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                here = np.arange(a, b)
-                left, right = here[block[a:b] == b1[a]], here[block[a:b] == b2[a]]
-                if not len(left) or not len(right):
+            counts = points_of(table["counts"].to_pylist())
+            group, few = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.diff(cuts) <= FANOUT
+            few &= b1[cuts[:-1]] == b2[cuts[:-1]]
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for step in range(1, FANOUT):
+                i = np.flatnonzero((group[step:] == group[: len(group) - step]) & few[group[step:]])
+                if not len(i):
+                    break
+                i = i[comps[i] != comps[i + step]]
+                left.append(i)
+                right.append(i + step)
+            i, j = np.concatenate(left), np.concatenate(right)
+            fits = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+            i, j = i[fits], j[fits]
+            pairs = np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], axis=1)
+            pairs, once = np.unique(pairs, axis=0, return_index=True)
+            i, j = i[once], j[once]
+            allowed_ = [np.empty(0, bool)]
+            for at in range(0, len(i), 20_000):
+                x, y = i[at : at + 20_000], j[at : at + 20_000]
+                allowed_.append((100 + percent) * np.minimum(counts[x], counts[y]).sum(axis=1) >= percent * (sizes[x] + sizes[y]))
+            out = [pairs[np.concatenate(allowed_)]]
+            for g in np.flatnonzero(~few).tolist():
+                here = np.arange(cuts[g], cuts[g + 1])
+                a, b = here[block[here] == b1[here]], here[block[here] == b2[here]]
+                if not len(a) or not len(b):
                     continue
-                tree = CountTree(counts[left], sizes[left])
-                for i in right:
-                    near = left[tree.near(counts[i], int(sizes[i]), percent)]
-                    near = near[comps[near] != comps[i]]
-                    out.append(np.stack([np.maximum(ids[near], ids[i]), np.minimum(ids[near], ids[i])], axis=1))
-            found = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+                tree = CountTree(counts[a], sizes[a])
+                for k in b:
+                    near = a[tree.near(counts[k], int(sizes[k]), percent)]
+                    near = near[comps[near] != comps[k]]
+                    out.append(np.stack([np.maximum(ids[near], ids[k]), np.minimum(ids[near], ids[k])], axis=1))
+            found = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "partner"])
 
-    rows = dealt.select(*place, "block", "id", "component", "n", "counts").repartition(*place).sortWithinPartitions(*place, "id")
+    rows = dealt.select(*place, "block", "id", "component").join(points, "id")
+    rows = rows.select(*place, "block", "id", "component", "n", "counts").repartition(*place).sortWithinPartitions(*place, "id")
     return rows.mapInArrow(freeing(run), "id long, partner long").where(F.col("id") != F.col("partner")).distinct()
 
 
@@ -248,8 +278,8 @@ def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
 
     labelled = members.select("key", "id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b"))
-    open_ = labelled.join(mixed_keys.select("key"), "key").join(firsts.select("id", "n", "counts").dropDuplicates(["id"]), "id")
-    more = tree_pairs(open_, percent).join(pairs, ["id", "partner"], "left_anti")
+    open_ = staged(labelled.join(mixed_keys.select("key"), "key").select("key", "id", "component"))
+    more = tree_pairs(open_, firsts.select("id", "n", "counts").dropDuplicates(["id"]), percent).join(pairs, ["id", "partner"], "left_anti")
     more = staged(more)
     if more.limit(1).count():
         links = links.unionByName(verified(texts, more, n, percent))
