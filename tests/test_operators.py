@@ -93,8 +93,11 @@ def test_fuzzy_hits_from_a_dictionary_table(spark):
     df = spark.createDataFrame([(1, "jon doe of Springfeld"), (2, "John Doe"), (3, None)], "id long, text string")
     got = {(r["id"], r["value"], r["phrase"]) for r in fuzzy.fuzzy_hits(df, ["id"], "text", dictionary=dictionary).collect()}
     assert got == {(1, "John Doe", "jon doe"), (1, "Springfield", "Springfeld"), (2, "John Doe", "John Doe")}
-    with pytest.raises(ValueError):
-        fuzzy.fuzzy_hits(df, ["id"], "text", dictionary=dictionary.withColumn("threshold", F.lit(50.0)))
+    low = fuzzy.fuzzy_hits(df, ["id"], "text", dictionary=dictionary.withColumn("threshold", F.lit(50.0))).collect()
+    texts = {1: "jon doe of Springfeld", 2: "John Doe"}
+    assert {(r["id"], r["value"], r["phrase"], round(r["score"], 6)) for r in low} == {
+        (i, *h) for i, t in texts.items() for h in brute_force(t, ["John Doe", "Springfield"], 50)
+    }
 
 
 def test_fuzzy_redaction_hides_the_misspelling(spark):
