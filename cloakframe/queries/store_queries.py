@@ -182,5 +182,5 @@ def stream_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = work_folder(spark, "stream-counts")
     log = streams.table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = streams.window_counts(log, "ts", "event_type", "1 hour")
-    streams.append_to(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/counts").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+    streams.keep_all(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    return streams.latest_counts(spark, f"{out}/counts").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")

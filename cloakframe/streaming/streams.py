@@ -166,3 +166,26 @@ def append_to(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def keep_all(counts: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Sink for counts that must be whole: each batch writes the counts of all rows so far, open windows and late rows
+    included, to a folder that `latest_counts` reads. State holds a row per window and type and is never dropped."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return (
+        counts.writeStream.foreachBatch(work)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of the last batch that `keep_all` wrote whole."""
+    written = spark.read.parquet(out)
+    last = written.agg(F.max("batch_id")).first()[0]
+    return written.where(F.col("batch_id") == F.lit(last)).drop("batch_id")

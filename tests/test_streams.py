@@ -100,3 +100,24 @@ def test_payload_requests_and_responses(spark, tmp_path):
         lambda: spark.read.parquet(where["maps"]), where["back"], where["c2"],
     ).awaitTermination()
     assert spark.read.parquet(where["back"]).first()["messages"][1]["content"] == "mail a@b.co"
+
+
+def test_streamed_counts_hold_open_windows_and_late_rows(spark, tmp_path):
+    def rows(ids):
+        return spark.sql(f"SELECT timestamp_seconds(1704067200 + id * 240) AS ts, concat('t', id % 2) AS kind FROM range({ids})")
+
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "c"))
+    for ids in ("50, 100", "0, 50"):  # the second batch is later than the delay
+        rows(ids).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows(ids).schema).parquet(source)
+        streams.keep_all(streams.window_counts(stream, "ts", "kind", "1 hour"), out, checkpoint).awaitTermination()
+    want = streams.window_counts(rows("0, 100"), "ts", "kind", "1 hour").collect()
+    assert sorted(streams.latest_counts(spark, out).collect()) == sorted(want) and len(want) == 14
+
+
+def test_window_counts_query_counts_every_event(spark):
+    from cloakframe.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["stream_window_counts"](spark, folder).agg(F.sum("n")).first()[0]
+    assert got == spark.read.parquet(f"{folder}/events.parquet").count()
