@@ -5,9 +5,14 @@ ends the open one; a cell outside a row opens one) and raw text elements. A rend
 leaves out what a page does not show, and keeps line breaks, blank lines between blocks, list marks with indent,
 preformatted text, and tables with aligned columns.
 
+Formulas and drawings: the text of MathML and SVG is visible, without SVG's titles, descriptions and metadata and MathML's
+annotations and phantoms. SVG's texts, foreign objects and MathML's table cells are set apart by blanks. In both, "/>"
+ends an element, CDATA is text, and tags of HTML blocks and text leave them.
+
 Defined results: null is null; an empty page is an empty text; unclosed tags, comments and quotes end with the page; a
 "<" that starts no tag is text; unknown tags are inline; character references are resolved, unknown ones kept; equal
-pages give equal texts; an empty table gives no rows. Only the named columns are read.
+pages give equal texts; numbers in attributes are ASCII digits after at most one "-", others give the default; an empty
+table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,18 +29,27 @@ from cloakframe.llm.common import freeing, slices
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>]+)))?")
+_INTEGER = re.compile(r"-?[0-9]+")
 _HIDING_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object svg math audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas".split())
+#: Elements of SVG and MathML: what they don't show, what blanks set apart, what holds HTML, and the tags that leave them.
+FOREIGN = frozenset(["svg", "math"])
+FOREIGN_UNSEEN = frozenset("title desc metadata annotation annotation-xml mphantom".split())
+APART = frozenset("text mtd foreignobject".split())
+_HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset menu".split())
 LINED = frozenset(
     "html body div section article aside main nav header footer address li dt dd tr caption legend details summary figcaption option center dialog".split()
 )
 #: What a start tag ends, looked for up to the nearest of the limits.
-_SCOPE = frozenset("table td th caption button template object html".split())
+_SCOPE = frozenset("table td th caption button template object html foreignobject".split())
 ENDS = {
     "li": (frozenset(["li"]), frozenset("ul ol menu".split()) | _SCOPE),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"]) | _SCOPE),
@@ -56,10 +70,19 @@ _HEAD_ONLY = frozenset("head base link meta title style script template noscript
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", foreign: bool = False):
         self.tag, self.attributes, self.children = tag, attributes, []  # children: nodes and texts
+        self.foreign = foreign
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a tag ends in "/>"; the "/" of an unquoted value does not count."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.rsplit(None, 1)[-1]
+    return "=" not in last or '"' in last or "'" in last
 
 
 class TreeBuilder:
@@ -85,16 +108,22 @@ class TreeBuilder:
             if self.stack[at].tag in limits:
                 return
 
+    def foreign(self) -> bool:
+        """Whether the next tag belongs to SVG or MathML."""
+        return self.stack[-1].foreign and self.stack[-1].tag not in _HOLDS_HTML
+
     def _push(self, tag: str, attributes: str) -> None:
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, tag in FOREIGN or self.foreign())
         self.stack[-1].children.append(node)
-        if tag not in VOID:
+        if not (_closed(attributes) if node.foreign else tag in VOID):
             self.stack.append(node)
             self.open[tag] = self.open.get(tag, 0) + 1
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "html":
             return
+        while tag in _LEAVES and self.foreign():
+            self._pop()
         if self.open.get("head") and tag not in _HEAD_ONLY:
             self._end(frozenset(["head"]), frozenset())
         if tag in _ENDS_P:
@@ -136,13 +165,18 @@ def parse(page: str) -> Node:
         at = found.end()
         closing, tag, attributes = found[1], found[2], found[3]
         if tag is None:
+            if builder.foreign() and page.startswith("<![CDATA[", found.start()):
+                stop = page.find("]]>", found.start())
+                builder.text(page[found.start() + 9 : stop if stop >= 0 else len(page)])
+                at = stop + 3 if stop >= 0 else len(page)
             continue
         tag = tag.lower()
         if closing:
             builder.end(tag)
             continue
+        raw = tag in RAW and not builder.foreign()
         builder.start(tag, attributes)
-        if tag in RAW:
+        if raw:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             inner = page[at : stop.start() if stop else len(page)]
             builder.text(html.unescape(inner) if tag in ("textarea", "title") else inner)
@@ -150,7 +184,7 @@ def parse(page: str) -> Node:
 
 
 def shown(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.foreign and node.tag in FOREIGN_UNSEEN:
         return False
     if not node.attributes or node.attributes.isspace():
         return True
@@ -163,7 +197,7 @@ def shown(node: Node) -> bool:
 
 def _number(node: Node, name: str, default: int) -> int:
     for key, *values in _ATTRIBUTE.findall(node.attributes):
-        if key.lower() == name and (value := "".join(values).strip()).lstrip("-").isdigit():
+        if key.lower() == name and _INTEGER.fullmatch(value := "".join(values).strip()):
             return int(value[:9])
     return default
 
@@ -255,9 +289,13 @@ def render(root: Node) -> str:
                 flow.parts = [line]
             continue
         tag = node.tag
+        if not leaving and not shown(node):
+            continue
+        if node.foreign and tag in APART:
+            if kept:
+                flow.parts.append(" ")
+            flow.space = True
         if not leaving:
-            if not shown(node):
-                continue
             if tag == "br":
                 if flow.parts:
                     flow.end()

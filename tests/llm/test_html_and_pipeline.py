@@ -38,6 +38,27 @@ def test_rendering(page, text):
     assert visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then", "if x=1 then"),
+        ("<math><semantics><mi>x</mi><annotation>\\x</annotation><annotation-xml><ci>x</ci></annotation-xml></semantics></math>y", "xy"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+        ("a<svg><title>t</title><desc>d</desc><metadata>m</metadata><text>one</text><text>two</text></svg>b", "a one two b"),
+        ("<svg><title/><desc/><path style='display:none' d='M0'/><text>one</text></svg>two", "one two"),
+        ("<svg><style>text > a {}</style><script>if(1)x()</script><text><![CDATA[1 < 2 > 0]]></text></svg>", "1 < 2 > 0"),
+        ("<p>a<svg><foreignObject><div>in</div></foreignObject><desc>d</desc><text>t</text></svg>b", "a\nin\nt b"),
+        ("<svg><metadata><p>out of it</svg><title>t</title>b", "out of itb"),
+        ("<svg hidden><text>x</text></svg>y", "y"),
+        ("<table><tr><td colspan='--1'>a<td colspan='\u00b2'>b</table>", "a | b"),
+        ("<ol start='\u00b2'><li>a<li value='-'>b<li value='--1'>c</ol>", "1. a\n2. b\n3. c"),
+        ("<ol start='-2'><li>a</ol>", "-2. a"),
+    ],
+)
+def test_formulas_drawings_and_numbers(page, text):
+    assert visible_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
     assert visible_text("<b>" * 50_000 + "x<p>y") == "x\n\ny"
