@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 from html.parser import HTMLParser
 
@@ -120,6 +122,20 @@ def test_near_copies_leave_one(spark, odd_docs, no_docs):
     assert ngram_join.join_near(kept, n=5, percent=80).where("component_id <> doc_id").count() == 0
 
 
+def test_repeated_and_null_ids_lose_copies_only(spark, sentences):
+    rng = random.Random(7)
+    t = [sentences(rng, 120) for _ in range(6)]
+    rows = [(1, t[0], "a"), (1, t[1], "a"), (2, t[2], "a"), (2, t[0] + " more", "a"), (3, t[3], "b"), (3, t[3], "a"), (4, "", "a"), (4, None, "a")]
+    rows += [(None, t[4], "b"), (None, t[4], "a"), (None, t[4] + " more", "a"), (None, t[5], "a"), (None, "", "a"), (None, "", "a"), (None, t[2], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())))
+    kept = [(1, t[0], "a"), (1, t[1], "a"), (2, t[2], "a"), (3, t[3], "a"), (4, "", "a"), (4, None, "a"), (None, t[5], "a"), (None, "", "a"), (None, "", "a"), (None, t[2], "a")]
+    least = min([t[4], t[4] + " more"], key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert got == sorted(map(str, [*kept, (None, least, "a")]))
+    again = sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(5), "").collect())))
+    assert again == got
+
+
 def test_whole_pipeline(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert pieces and max(r["offset"] + r["length"] for r in pieces) <= 2048
