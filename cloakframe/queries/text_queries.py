@@ -11,7 +11,7 @@ from cloakframe.functions.similarity import indel_ratio
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators import audit, fuzzy
 from cloakframe.operators.detect import Detector, DetectorRegistry, detect, rescore, span_rows
-from cloakframe.operators.gazetteer import WORD, gazetteer_spans
+from cloakframe.operators.gazetteer import WORD, gazetteer_spans, word_windows
 from cloakframe.operators.model import model_spans
 from cloakframe.operators.overlap import resolve_overlaps, spans_positioned
 from cloakframe.operators.restore import find_tokens, has_token, ids_in_text, restore_column, unresolved_tokens
@@ -146,13 +146,14 @@ SELECT doc_id, 'LOCATION' AS entity_type, CAST(s AS INT) AS span_start, CAST(s +
   CAST(0.85 AS DOUBLE) AS score FROM x JOIN gaz USING (value)""",
 )
 def detect_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    names = load_table(spark, folder, "benchmark").select(F.split("text", " ").alias("w"))
-    pairs = names.select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("value"))
-    singles = names.select(F.get("w", F.lit(0)).alias("value")).where(F.length("value") >= 6)
-    gazetteer = pairs.unionByName(singles).distinct().select(
-        "value", F.lit("LOCATION").alias("entity_type"), F.lit(0.85).alias("score")
-    )
-    return shown_spans(gazetteer_spans(documents(spark, folder), DOC, "text", gazetteer, 2), DOC)
+    return shown_spans(benchmark_places(documents(spark, folder), load_table(spark, folder, "benchmark")), DOC)
+
+
+def benchmark_places(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Spans of all longer words and all pairs of words of the benchmark."""
+    names = word_windows(benchmark, [], "text", 2).where("length(value) >= 6 OR contains(value, ' ')").select("value").distinct()
+    gazetteer = names.select("value", F.lit("LOCATION").alias("entity_type"), F.lit(0.85).alias("score"))
+    return gazetteer_spans(docs, DOC, "text", gazetteer, 2)
 
 
 @query("detect_model_hook")
@@ -197,13 +198,18 @@ JOIN (SELECT 'PERSON' AS entity_type, value FROM (SELECT DISTINCT string_split(t
       WHERE length(value) >= 5) v ON contains(text, v.value)""",
 )
 def dict_exact_join(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_hits(documents(spark, folder), load_table(spark, folder, "benchmark"))
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every longer word of the benchmark in every text."""
     from cloakframe.operators.dictionary import dictionary_hits_join
 
-    words = load_table(spark, folder, "benchmark").select(F.get(F.split("text", " "), F.lit(2)).alias("value"))
+    words = benchmark.select(F.explode(F.split("text", " ")).alias("value"))
     dictionary = words.where(F.length("value") >= 5).distinct().select(
         F.lit("PERSON").alias("entity_type"), F.lit(0).alias("type_ord"), "value", F.lit(0).alias("value_ord")
     )
-    return dictionary_hits_join(documents(spark, folder), DOC, "text", dictionary).select("doc_id", "entity_type", "value")
+    return dictionary_hits_join(docs, DOC, "text", dictionary).select("doc_id", "entity_type", "value")
 
 
 # -- profiles -------------------------------------------------------------------------------
@@ -365,13 +371,17 @@ def phrases(spark: SparkSession, folder: str) -> DataFrame:
 SELECT doc_id, w.a, w.b, round(ratio, 6) AS ratio FROM w JOIN scored USING (a, b)""",
 )
 def indel(spark: SparkSession, folder: str) -> DataFrame:
-    words = F.split("text", " ")
-    pairs = documents(spark, folder).select(
-        "doc_id", F.lower(F.get(words, F.lit(0))).alias("a"), F.lower(F.element_at(words, -1)).alias("b")
-    )
-    return pairs.where("a <> '' AND b <> ''").select(
-        "doc_id", "a", "b", F.round(F.expr(indel_ratio("a", "b")), 6).alias("ratio")
-    )
+    return word_ratios(documents(spark, folder))
+
+
+def word_ratios(docs: DataFrame) -> DataFrame:
+    """The ratio of each word of a text to the next one, and of the first to the last; equal pairs are scored once."""
+    split = docs.select("doc_id", F.expr("filter(split(lower(text), ' '), w -> w <> '')").alias("w")).where("size(w) > 0")
+    both = """array_distinct(concat(array(struct(w[0] AS a, element_at(w, -1) AS b)),
+        transform(slice(w, 2, size(w)), (x, i) -> struct(w[i] AS a, x AS b))))"""
+    pairs = split.select("doc_id", F.expr(f"inline({both})"))
+    scored = pairs.select("a", "b").distinct().withColumn("ratio", F.round(F.expr(indel_ratio("a", "b")), 6))
+    return pairs.join(scored, ["a", "b"]).select("doc_id", "a", "b", "ratio")
 
 
 _TYPOS = PROFILES.resolve("typos")
@@ -454,8 +464,13 @@ def mint(spark: SparkSession, folder: str) -> DataFrame:
 FROM (SELECT doc_id, text, string_split(text, ' ')[2] AS w FROM documents) WHERE length(w) > 1""",
 )
 def replace_values(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).withColumn("w", F.get(F.split("text", " "), F.lit(1))).where("length(w) > 1")
-    return docs.select("doc_id", F.replace("text", F.col("w"), F.expr(mint_token(OPTIONS, "'x'", "'WORD'", "w"))).alias("replaced"))
+    return replaced_words(documents(spark, folder))
+
+
+def replaced_words(docs: DataFrame) -> DataFrame:
+    """Every document, each word between blanks replaced with its token."""
+    token_of = f"transform(split(text, ' '), w -> CASE WHEN w = '' THEN w ELSE {mint_token(OPTIONS, chr(39) + 'x' + chr(39), chr(39) + 'WORD' + chr(39), 'w')} END)"
+    return docs.select("doc_id", F.array_join(F.expr(token_of), " ").alias("replaced"))
 
 
 _EMAIL = REGISTRY.get("email")
