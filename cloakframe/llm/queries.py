@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import html_text, imatch, language_id, line_dedup, ngram_join, packing, quality, source_mix, substring_dedup, topk_search
+from cloakframe.llm import (
+    embedding_dedup,
+    fill_middle,
+    html_text,
+    imatch,
+    language_id,
+    lexical_search,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    source_mix,
+    substring_dedup,
+    topk_search,
+)
 from cloakframe.llm.common import table
 
 
@@ -70,6 +84,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return done.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
@@ -81,9 +110,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_html_text": op10_html_text,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op1_topk_search": topk_search.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
+    "op13_embedding_dedup": embedding_dedup.ORACLE,
 }
