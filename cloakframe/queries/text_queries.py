@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions.similarity import indel_ratio
-from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
+from cloakframe.functions.sqltext import quote, struct, transform
+from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped, occurrences
 from cloakframe.operators import audit, fuzzy
 from cloakframe.operators.detect import Detector, DetectorRegistry, detect, rescore, span_rows
 from cloakframe.operators.gazetteer import WORD, gazetteer_spans, word_windows
 from cloakframe.operators.model import model_spans
 from cloakframe.operators.overlap import resolve_overlaps, spans_positioned
+from cloakframe.operators.redact import rebuild
 from cloakframe.operators.restore import find_tokens, has_token, ids_in_text, restore_column, unresolved_tokens
 from cloakframe.operators.tokens import mint_token
 from cloakframe.options import DEFAULT_THRESHOLDS
@@ -133,17 +135,21 @@ def detect_by_lang(spark: SparkSession, folder: str) -> DataFrame:
     return shown_spans(span_rows(df, DOC, detect("text", LANG_RULES, lang="lang")), DOC)
 
 
+def _windows_sql(table: str, key: str, name: str) -> str:
+    """CTEs whose last, `name`x (key, s, value), has all words of a table's texts and all pairs with one blank between."""
+    return f"""{name}w AS (SELECT {key}, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i
+  FROM (SELECT {key}, regexp_extract_all(text, {q(WORD)}) AS m, regexp_split_to_array(text, {q(WORD)}) AS g FROM {table})),
+{name}p AS (SELECT {key}, w, sum(length(gap) + length(w)) OVER o - length(w) AS s, lead(w) OVER o AS w2, lead(gap) OVER o AS gap2
+  FROM {name}w WINDOW o AS (PARTITION BY {key} ORDER BY i)),
+{name}x AS (SELECT {key}, s, w AS value FROM {name}p UNION ALL SELECT {key}, s, w || ' ' || w2 FROM {name}p WHERE gap2 = ' ')"""
+
+
 @query(
     "detect_gazetteer",
-    f"""WITH gaz AS (SELECT DISTINCT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS value FROM benchmark
-  UNION SELECT DISTINCT string_split(text, ' ')[1] FROM benchmark WHERE length(string_split(text, ' ')[1]) >= 6),
-w AS (SELECT doc_id, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i
-  FROM (SELECT doc_id, regexp_extract_all(text, {q(WORD)}) AS m, regexp_split_to_array(text, {q(WORD)}) AS g FROM documents)),
-p AS (SELECT doc_id, w, sum(length(gap) + length(w)) OVER o - length(w) AS s, lead(w) OVER o AS w2, lead(gap) OVER o AS gap2
-  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-x AS (SELECT doc_id, s, w AS value FROM p UNION ALL SELECT doc_id, s, w || ' ' || w2 FROM p WHERE gap2 = ' ')
+    f"""WITH {_windows_sql('benchmark', 'item_id', 'b')}, {_windows_sql('documents', 'doc_id', 'd')},
+gaz AS (SELECT DISTINCT value FROM bx WHERE length(value) >= 6 OR contains(value, ' '))
 SELECT doc_id, 'LOCATION' AS entity_type, CAST(s AS INT) AS span_start, CAST(s + length(value) AS INT) AS span_end, value,
-  CAST(0.85 AS DOUBLE) AS score FROM x JOIN gaz USING (value)""",
+  CAST(0.85 AS DOUBLE) AS score FROM dx JOIN gaz USING (value)""",
 )
 def detect_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
     return shown_spans(benchmark_places(documents(spark, folder), load_table(spark, folder, "benchmark")), DOC)
@@ -180,8 +186,6 @@ FROM documents JOIN {_WORD_VALUES} v ON contains(text, v.value)""",
 )
 def dict_exact(spark: SparkSession, folder: str) -> DataFrame:
     from cloakframe.operators.dictionary import dictionary_candidates
-    from cloakframe.functions.text import occurrences
-    from cloakframe.functions.sqltext import struct, transform
 
     found = transform(
         dictionary_candidates("text", list(_WORDS.dictionary)),
@@ -194,7 +198,7 @@ def dict_exact(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "dict_exact_join",
     f"""SELECT doc_id, v.entity_type, v.value FROM documents
-JOIN (SELECT 'PERSON' AS entity_type, value FROM (SELECT DISTINCT string_split(text, ' ')[3] AS value FROM benchmark)
+JOIN (SELECT 'PERSON' AS entity_type, value FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS value FROM benchmark)
       WHERE length(value) >= 5) v ON contains(text, v.value)""",
 )
 def dict_exact_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,8 +370,10 @@ def phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "indel_ratio",
-    f"""WITH RECURSIVE w AS (SELECT doc_id, lower(string_split(text, ' ')[1]) AS a, lower(string_split(text, ' ')[-1]) AS b FROM documents),
-{lcs_ctes("SELECT a, b FROM w WHERE a <> '' AND b <> ''")}
+    f"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS ws FROM documents),
+n AS (SELECT doc_id, unnest(ws) AS a, unnest(ws[2:] || [NULL]) AS b FROM t WHERE len(ws) > 0),
+w AS (SELECT doc_id, a, b FROM n WHERE b IS NOT NULL UNION SELECT doc_id, ws[1], ws[-1] FROM t WHERE len(ws) > 0),
+{lcs_ctes("SELECT a, b FROM w")}
 SELECT doc_id, w.a, w.b, round(ratio, 6) AS ratio FROM w JOIN scored USING (a, b)""",
 )
 def indel(spark: SparkSession, folder: str) -> DataFrame:
@@ -460,17 +466,24 @@ def mint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "replace_value",
-    f"""SELECT doc_id, replace(text, w, {token(q('x'), q('WORD'), 'w')}) AS replaced
-FROM (SELECT doc_id, text, string_split(text, ' ')[2] AS w FROM documents) WHERE length(w) > 1""",
+    f"""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS value FROM documents)
+SELECT doc_id, value, len(string_split(text, value)) - 1 AS n, md5(replace(text, value, {token(q('x'), q('WORD'), 'value')})) AS replaced_md5
+FROM documents JOIN w USING (doc_id) WHERE value <> ''""",
 )
 def replace_values(spark: SparkSession, folder: str) -> DataFrame:
-    return replaced_words(documents(spark, folder))
+    done = replaced_words(documents(spark, folder))
+    return done.select("doc_id", "value", F.col("n").cast("long").alias("n"), F.md5("replaced").alias("replaced_md5"))
 
 
 def replaced_words(docs: DataFrame) -> DataFrame:
-    """Every document, each word between blanks replaced with its token."""
-    token_of = f"transform(split(text, ' '), w -> CASE WHEN w = '' THEN w ELSE {mint_token(OPTIONS, chr(39) + 'x' + chr(39), chr(39) + 'WORD' + chr(39), 'w')} END)"
-    return docs.select("doc_id", F.array_join(F.expr(token_of), " ").alias("replaced"))
+    """(doc_id, value, n, replaced): for each distinct word of a text the text with the word replaced by its token
+    wherever it stands, inside other words too. Pieces between the places found are put together again."""
+    words = docs.select("doc_id", "text", F.explode(F.expr("array_distinct(filter(split(text, ' '), w -> w <> ''))")).alias("value"))
+    spans = transform(occurrences("text", "value"), lambda s: struct(start=s, end=f"{s} + length(value)"))
+    found = words.withColumn("spans", F.expr(spans)).withColumn(
+        "token", F.expr(mint_token(OPTIONS, quote("x"), quote("WORD"), "value"))
+    )
+    return found.select("doc_id", "value", F.size("spans").alias("n"), F.expr(rebuild("text", "spans", "array_repeat(token, size(spans))")).alias("replaced"))
 
 
 _EMAIL = REGISTRY.get("email")

@@ -13,10 +13,17 @@ def benchmark(spark):
 
 
 def test_every_word_of_every_document_is_replaced(spark):
-    got = {r["doc_id"]: r["replaced"] for r in text_queries.replaced_words(docs(spark)).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5] and got[3] == "" and got[4] is None
-    assert [w[:6] for w in got[1].split(" ")] == ["<WORD_", "<WORD_", "<WORD_", "", "<WORD_"]
-    assert got[1].split(" ")[2] == got[5].split(" ")[2] and got[2].startswith("<WORD_")
+    got = {(r["doc_id"], r["value"]): r for r in text_queries.replaced_words(docs(spark)).collect()}
+    assert set(got) == {
+        (1, "alpha"), (1, "b"), (1, "gamma"), (1, "delta"), (2, "zeta"),
+        (5, "one"), (5, "last"), (5, "gamma"), (5, "delta,"), (5, "Epsilon"),
+    }
+    assert got[1, "b"]["n"] == 1 and got[1, "alpha"]["replaced"].startswith("<WORD_")
+    assert got[1, "gamma"]["replaced"].split(" ")[0] == "alpha" and got[1, "gamma"]["replaced"].endswith("  delta")
+    inside = spark.createDataFrame([(1, "an ant and Jan. an")], "doc_id long, text string")
+    (an,) = [r for r in text_queries.replaced_words(inside).collect() if r["value"] == "an"]
+    token = an["replaced"][:15]
+    assert an["n"] == 5 and an["replaced"] == "an ant and Jan. an".replace("an", token)
 
 
 def test_ratios_of_all_neighbours(spark):
