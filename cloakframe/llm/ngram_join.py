@@ -16,8 +16,8 @@ the R-tree, in blocks of at most BLOCK documents, and pairs inside a component a
 components is lost, and no group gives all its pairs.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer words than n make one n-gram;
-a row with a null id has no component (null); rows with equal ids count as one document with the links of both; an
-empty table gives no rows. Only the named columns are read.
+a row with a null id has no component (null); rows with equal ids are searched for each on its own and count as linked,
+so they have one component with the links of all; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -252,9 +252,36 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
     return rows.mapInArrow(freeing(run), "id long, partner long").where(F.col("id") != F.col("partner")).distinct()
 
 
-def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def _repeats(docs: DataFrame, doc_id: str) -> bool:
+    known = docs.where(F.col(doc_id).isNotNull())
+    return known.groupBy(doc_id).count().where("count > 1").limit(1).count() > 0
+
+
+def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT, unique: bool | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; unique: whether ids are known not to repeat."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    if unique or (unique is None and not _repeats(docs, doc_id)):
+        about, links = linked_documents(rows, n, percent)
+        component = staged(components(links))
+        done = about.select("id", "n").join(component, "id", "left")
+        return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # each row is searched for on its own, and the rows of an id are linked
+    numbered = staged(rows.select(F.col("id").alias("own"), "text").withColumn("id", F.monotonically_increasing_id()))
+    ids = numbered.where(F.col("own").isNotNull()).select("id", "own")
+    about, links = linked_documents(numbered.where(F.col("own").isNotNull()).select("id", "text"), n, percent)
+    first = ids.groupBy("own").agg(F.min("id").alias("v"), F.count("*").alias("times")).where("times > 1")
+    same = ids.join(first, "own").where(F.col("id") != F.col("v")).select(F.col("id").alias("u"), "v")
+    component = staged(components(links.unionByName(same)))
+    placed = ids.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("own").alias("component_id"))
+    done = about.select("id", "n").join(placed, "id").join(least, "component").select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    nameless = described(rows.where(F.col("id").isNull()), np.zeros(SKETCH, dtype=np.int64), n, percent)
+    return done.unionByName(nameless.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def linked_documents(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What is known of each of rows (id, text), and links (u, v) between ids that connect all that are near; ids that
+    aren't null are unique."""
     about = staged(described(rows, frequency_sketch(rows, n), n, percent))
     known = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("n", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
@@ -283,6 +310,4 @@ def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     more = staged(more)
     if more.limit(1).count():
         links = links.unionByName(verified(texts, more, n, percent))
-    component = staged(components(links.unionByName(equal)))
-    done = about.select("id", "n").join(component, "id", "left")
-    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return about, links.unionByName(equal)

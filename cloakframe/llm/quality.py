@@ -3,9 +3,8 @@
 Features describe a text's shape: shares of character classes and of their pairs (letters by case, digits, blanks,
 line feeds, each ASCII sign), word lengths, repeated words and lines. Preference pairs of a good and a bad labelled
 document give feature differences; logistic loss on them fits weights whose product with a text's features is its
-score. The threshold is a quantile of the scores of all documents: a given one, or that at which the labelled rows of
-the fit are told apart best, each kind counted by its share of all labelled rows that may be learned from. Scores are
-reported as probabilities, moved so that the threshold lies at 0.3.
+score. The threshold is a quantile of the scores of all documents: a given one, or else the share of bad rows among all
+labels that may be learned from. Scores are reported as probabilities, moved so that the threshold lies at 0.3.
 
 Pairs come from about SAMPLE labelled rows of each kind, in one task.
 
@@ -96,19 +95,8 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, seed: int = 5) -> np.ndarray:
     return w
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray, bad_share: float) -> float:
-    """The score between two others with the fewest errors, kinds weighted by share; the middle of equals."""
-    raw = np.concatenate([good, bad])
-    order = np.argsort(raw, kind="stable")
-    step = np.concatenate([np.full(len(good), (1 - bad_share) / len(good)), np.full(len(bad), -bad_share / len(bad))])[order]
-    errors = np.cumsum(step)[:-1]  # good rows up to here, less bad ones
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    at = int(best[len(best) // 2])
-    return float((raw[order[at]] + raw[order[at + 1]]) / 2)
-
-
 def fit(rows: DataFrame, marks: DataFrame, sample: int = SAMPLE, seed: int = 5) -> tuple[np.ndarray, float] | None:
-    """(weights, score that tells the kinds apart) from (doc_id, text) and (doc_id, good), or None without both kinds."""
+    """(weights, share of bad rows among all labels) from (doc_id, text) and (doc_id, good), or None without both kinds."""
     counts = {r["good"]: r["n"] for r in marks.groupBy("good").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -127,14 +115,12 @@ def fit(rows: DataFrame, marks: DataFrame, sample: int = SAMPLE, seed: int = 5)
         x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
         good = np.array(table["good"].to_pylist())
         if good.all() or not good.any():
-            return pa.table({"weights": pa.array([], pa.binary()), "cut": pa.array([], pa.float64())})
-        w = fit_pairs(x[good], x[~good], seed)
-        cut = best_cut(x[good] @ w, x[~good] @ w, counts[False] / sum(counts.values()))
-        return pa.table({"weights": pa.array([w.tobytes()], pa.binary()), "cut": pa.array([cut])})
+            return pa.table({"weights": pa.array([], pa.binary())})
+        return pa.table({"weights": pa.array([fit_pairs(x[good], x[~good], seed).tobytes()], pa.binary())})
 
     found = picked.select("turn", "good", "text").mapInArrow(freeing(describe), "turn long, good boolean, x binary")
-    got = found.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "weights binary, cut double").collect()
-    return (np.frombuffer(got[0]["weights"], np.float64), got[0]["cut"]) if got else None
+    got = found.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "weights binary").collect()
+    return (np.frombuffer(got[0]["weights"], np.float64), counts[False] / sum(counts.values())) if got else None
 
 
 def raw_scores(rows: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -156,8 +142,8 @@ def held_out(doc_id: Column) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, quantile: float | None = None) -> DataFrame:
     """(doc_id, held_out, raw, score, predicted) of every document.
 
-    The threshold is the `quantile` of all documents' scores, or the score that tells the labelled rows apart best,
-    which is the quantile at the share of documents below it.
+    The threshold is the `quantile` of all documents' scores, by default at the share of bad rows among the labels that
+    may be learned from: as many documents of the corpus fall under it.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     marks = labels.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label) == 1).alias("good"))
@@ -166,9 +152,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     if model is None:
         scored = rows.select("doc_id", "held_out", F.lit(0.0).alias("raw"), F.lit(0.5).alias("score"))
     else:
-        weights, cut = model
+        weights, bad_share = model
         raw = staged(raw_scores(rows, weights))
-        at = cut if quantile is None else raw.agg(F.percentile_approx("raw", F.lit(quantile), F.lit(10_000)).alias("at")).first()["at"]
+        part = F.lit(float(bad_share if quantile is None else quantile))
+        at = raw.agg(F.percentile_approx("raw", part, F.lit(10_000)).alias("at")).first()["at"]
         above = float(np.log(THRESHOLD / (1 - THRESHOLD))) + F.col("raw") - F.lit(float(at or 0))
         scored = raw.withColumn("score", 1 / (1 + F.exp(-above)))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -70,9 +70,7 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     done = line_dedup.dedup_lines(docs)
-    return done.where("doc.text is not null").select(
-        "doc.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
-    )
+    return done.select("doc.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.llm.queries import QUERIES
 from cloakframe.llm import line_dedup, source_mix
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -118,3 +119,10 @@ def test_lines_hot_and_empty(spark, no_docs):
 def test_line_digest_is_of_whole_text(odd_docs):
     rows = line_dedup.dedup_lines(odd_docs, min_sites=50).select("doc.text", F.sha2("kept_text", 256).alias("h")).collect()
     assert all(r["h"] == (None if r["text"] is None else hashlib.sha256(r["text"].encode()).hexdigest()) for r in rows)
+
+
+def test_null_texts_are_in_the_query(spark, tmp_path):
+    rows = [(1, "a\nb", "s"), (2, None, "s"), (3, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["kept_sha256"] is None) for r in got) == [(1, 2, False), (2, 0, True), (3, 1, False)]

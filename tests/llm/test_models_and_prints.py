@@ -78,6 +78,8 @@ def test_quality_is_learned(spark):
     got = {r["doc_id"]: r for r in quality.score_documents(docs, labels).collect()}
     assert np.mean([got[i]["predicted"] == ("!" not in t) for i, t in rows if held(i, 5, 0)]) > 0.97
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 and r["held_out"] == held(r["doc_id"], 5, 0) for r in got.values())
+    bad = np.mean([m == 0 for i, m in marks if not held(i, 5, 0)])  # the default threshold is the scores' quantile there
+    assert np.mean([r["predicted"] == 0 for r in got.values()]) == pytest.approx(bad, abs=0.02)
     third = quality.score_documents(docs, labels, quantile=1 / 3)
     assert third.where("predicted = 0").count() == pytest.approx(500 / 3, abs=60)
 

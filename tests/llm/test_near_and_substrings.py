@@ -142,3 +142,12 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_ids_have_the_links_of_all_their_texts(spark, sentences):
+    rng = random.Random(5)
+    a, z = sentences(rng, 80), sentences(rng, 80, stem="v")
+    rows = [(1, a), (2, z + " more"), (2, a + " 1"), (3, z), (4, sentences(rng, 50)), (None, a)]
+    got = ngram_join.join_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (None, None)]
+    assert {r["n_shingles"] for r in got.where("doc_id is null or doc_id = 1").collect()} == {78}

@@ -63,15 +63,26 @@ def tokenizer():
 
 
 @pytest.fixture(scope="module")
-def word_tokens():
-    return packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))
+def ranked():
+    return packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@given(st.lists(st.text(alphabet=st.sampled_from("ab' .\n\t\xa0é漢1\x1c\x85sS<|>\U0001f600"), max_size=40), max_size=5))
-@settings(max_examples=150, deadline=None)
-def test_word_ids_equal_whole_ids(tokenizer, word_tokens, texts):
-    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    assert word_tokens.ids(texts) == want
+@given(st.text(alphabet=st.sampled_from("ab' .\n\t\xa0é漢1\x1c\x85sS<|>\U0001f600"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_ids_by_rank_equal_ids_by_merging(tokenizer, ranked, text):
+    assert isinstance(ranked, packing._Ranked)
+    assert ranked.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    special = text + "<|endoftext|>" + text
+    assert ranked.ids(special).tolist() == tokenizer.encode(special, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_encoded_by_their_own_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    text = "A few Words, and <|endoftext|>."
+    assert isinstance(packing.encoder(path), packing._Whole)
+    assert packing.encoder(path).ids(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(rows, tokenizer, texts):
@@ -125,6 +136,41 @@ def test_bounded_bins():
     assert bins.place(4) == (1, 5)
 
 
+def plain_best_fit(lengths, size, most):
+    """(bin, offset) of each piece by looking at every open bin."""
+    free, out, opened = [], [], 0  # open bins: [free space, when it came to this space, number]
+    for turn, n in enumerate(lengths):
+        fits = [b for b in free if b[0] >= n]
+        if fits:
+            bin_ = min(fits, key=lambda b: (b[0], -b[1]))
+            out.append((bin_[2], size - bin_[0]))
+            free.remove(bin_)
+            space, number = bin_[0] - n, bin_[2]
+        else:
+            if len(free) >= most:
+                free.remove(min(free, key=lambda b: (b[0], -b[1])))
+            out.append((opened, 0))
+            space, number, opened = size - n, opened, opened + 1
+        if space:
+            free.append([space, turn, number])
+    return out
+
+
+@given(st.lists(st.integers(1, 40), max_size=200), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_bins_against_a_plain_best_fit(lengths, most):
+    bins = packing.OpenBins(40, most)
+    assert [bins.place(n) for n in lengths] == plain_best_fit(lengths, 40, most)
+
+
+def test_packing_of_repeated_and_null_ids(spark, tokenizer):
+    rows = [(1, "one text"), (1, "one text"), (1, "another one"), (None, "no id"), (None, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes())
+    assert sorted(map(str, ((r["doc_id"], r["ids_crc32"]) for r in got))) == sorted(map(str, ((i, crc(t)) for i, t in rows)))
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
+
+
 def test_registered_top_k(spark):
     rows = QUERIES["op1_topk_search"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 50
