@@ -14,6 +14,8 @@ gives no pieces. Only the named columns are read, so further columns may have an
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,75 +30,54 @@ from cloakframe.llm.common import freeing, slices
 SEQUENCE = 2048
 OPEN_BINS = 1024
 PACKER_PIECES = 100_000
-#: Words whose ids a worker keeps, of each kind.
-_KEPT_WORDS = 250_000
+class _Ranked:
+    """Ids of texts by a byte-level vocabulary whose merges stand in the order of their ids: then an id is a rank, and
+    merging by rank gives the same ids several times faster, without words kept in memory."""
 
+    def __init__(self, spec: dict):
+        import public_tokenizers
+        import tiktoken
 
-class WordTokens:
-    """Ids of a text as bytes, from ids of its words.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        hidden = [b for b in range(256) if b not in visible]
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
+        self._encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    The byte-level vocabulary joins no characters across a single space or line feed between two characters that
-    aren't white space: a space goes with the word behind it, a line feed stands alone. So a text whose white space is
-    all of this kind is cut there, and the ids of its words are kept for the next time they occur. New words are
-    encoded together, one a line. Other texts are encoded whole.
-    """
+    @staticmethod
+    def fits(spec: dict) -> bool:
+        model, cut = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if model.get("type") != "BPE" or not plain or spec.get("normalizer") or cut.get("type") != "ByteLevel":
+            return False
+        if cut.get("add_prefix_space") or not cut.get("use_regex", True) or any(not t["special"] for t in spec.get("added_tokens", [])):
+            return False
+        vocab = model["vocab"]
+        return all(vocab.get("".join(m)) == 256 + i for i, m in enumerate(model["merges"])) and len(vocab) == 256 + len(model["merges"])
+
+    def ids(self, text: str) -> np.ndarray:
+        return self._encoding.encode_to_numpy(text, disallowed_special=())
+
+
+class _Whole:
+    """Ids of whole texts by any vocabulary file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._feed = int(self._encode("\n")[0])
-        self._feed_bytes = self._encode("\n").tobytes()
-        self._behind: dict[str, bytes] = {}  # words behind a space
-        self._first: dict[str, bytes] = {}  # words at a line's start
 
-    def _encode(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, kept: dict[str, bytes], new: list[str], space: str) -> None:
-        for at in range(0, len(new), 500):
-            some = new[at : at + 500]
-            ids = self._encode(space + ("\n" + space).join(some))
-            ends = [*(4 * np.flatnonzero(ids == self._feed)).tolist(), 4 * len(ids)]
-            if len(ends) != len(some):
-                raise ValueError("the vocabulary joins line feeds with words")
-            data, start = ids.tobytes(), 0
-            for word, end in zip(some, ends, strict=True):
-                kept[word] = data[start:end]
-                start = end + 4
-
-    def _cover(self, kept: dict[str, bytes], used: set[str], space: str) -> None:
-        new = used - kept.keys()
-        if len(kept) + len(new) > _KEPT_WORDS:
-            kept.clear()
-            new = used
-        self._learn(kept, list(new), space)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[list[str]] | None] = []
-        first: set[str] = set()
-        behind: set[str] = set()
-        for text in texts:
-            if not text or " ".join(text.split()) != text.replace("\n", " "):
-                cut.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                first.add(line[0])
-                behind.update(line[1:])
-            cut.append(lines)
-        self._cover(self._first, first, "")
-        self._cover(self._behind, behind, " ")
-        at_start, after = self._first.__getitem__, self._behind.__getitem__
-        out = []
-        for text, lines in zip(texts, cut, strict=True):
-            if lines is None:
-                out.append(self._encode(text).tobytes())
-            else:
-                out.append(self._feed_bytes.join(at_start(line[0]) + b"".join(map(after, line[1:])) for line in lines))
-        return out
+
+@functools.cache
+def encoder(path: str) -> _Ranked | _Whole:
+    """The ids of texts by a vocabulary file; read once a worker process, as that takes longer than many tasks."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return _Ranked(spec) if _Ranked.fits(spec) else _Whole(path)
 
 
 def cut_points(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -149,13 +130,12 @@ def tokenized(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = WordTokens(path or public_tokenizers.path("byte_bpe_50k.json"))
+        words = encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", 2 << 20):
             out: list[tuple] = []
-            for id_, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):
-                ids += end
+            for id_, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = words.ids(text.as_py() or "").astype("<u4", copy=False).tobytes() + end
                 for piece, (start, length) in enumerate(cut_points(len(ids) // 4, sequence)):
                     own = ids[4 * start : 4 * (start + length)]
                     out.append((id_, piece, start, length, zlib.crc32(own), own))
@@ -188,8 +168,8 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS
             yield pa.RecordBatch.from_arrays([*kept, pa.array(placed[:, 0]), pa.array(placed[:, 1])], [*kinds.names, "sequence_id", "offset"])
 
     key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(5))
-    rows = pieces.withColumn("packer", F.pmod(key, F.lit(packers))).withColumn("turn", F.xxhash64(key, F.lit(9)))
-    rows = rows.repartition(packers, "packer").sortWithinPartitions("packer", "turn", "doc_id", "piece", "length", "ids_crc32")
+    rows = pieces.withColumn("packer", F.pmod(key, F.lit(packers)).cast("int")).withColumn("turn", F.xxhash64(key, F.lit(9)))
+    rows = rows.repartitionById(packers, "packer").sortWithinPartitions("packer", "turn", "doc_id", "piece", "length", "ids_crc32")
     return rows.mapInArrow(freeing(run), T.StructType(kinds.fields).add("sequence_id", "long").add("offset", "long"))
 
 
