@@ -23,29 +23,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.llm.common import freeing, staged
 from cloakframe.llm.components import components
 
 LEAST = 0.95
-PIVOTS, PIVOT_ROWS = 256, 512
-TILE, VISITORS = 2_048, 1_024
+PIVOTS, PIVOT_ROWS = 1_024, 4_096
+TILE, VISITORS = 4_096, 1_024
+#: Groups of residents of similar steps in a tile.
+BANDS = 4
 #: What rounding of doubles can add to a bound.
 SLACK = 1e-9
 
 
-def usable_vectors(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows whose vector can be linked."""
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    fine = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    some = F.exists("v", lambda c: c != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
-    return rows.where(F.col("v").isNotNull() & fine & some & F.col("vec_id").isNotNull())
+def numbers(vectors: DataFrame, vector: str) -> Column:
+    """The vector as floats, or else as doubles."""
+    kind = vectors.schema[vector].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col(vector) if single else F.transform(F.col(vector), lambda c: c.cast("double"))
 
 
-def unit(vectors: list[list[float]] | np.ndarray) -> np.ndarray:
+def usable(v: Column) -> Column:
+    """Whether a vector can be linked."""
+    fine = F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda c: c != 0), F.lit(False))
+
+
+def matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows) for each length that vectors have."""
+    ends = vectors.offsets.to_numpy()
+    lengths, flat = np.diff(ends), vectors.flatten().to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        yield at, (flat if len(at) == len(lengths) else flat[(ends[at] - ends[0])[:, None] + np.arange(n)]).reshape(-1, n)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; scaled by the largest component first, so that no square overflows."""
     x = np.asarray(vectors, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -63,29 +79,45 @@ class Quantised:
         self.step, self.near = step[:, 0], np.sqrt((near * near).sum(axis=1))
         self.rest = np.sqrt(((x - near) ** 2).sum(axis=1))
 
-    def products(self, other: Quantised) -> np.ndarray:
-        """Integer products of all rows with all rows of `other`; sums of floats are exact below 2 ** 24."""
-        out = np.zeros((len(self.q), len(other.q)), dtype=np.float64)
+    def products(self, other: Quantised, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Integer products of all vectors with those of `other`; a sum of 1,024 of them is exact as a float."""
+        out = None
         for d in range(0, self.q.shape[1], 1024):
-            out += self.q[:, d : d + 1024].astype(np.float32) @ other.q[:, d : d + 1024].astype(np.float32).T
+            part = self.q[:, d : d + 1024].astype(np.float32) @ other.q[rows, d : d + 1024].astype(np.float32).T
+            out = part if out is None else out.astype(np.float64) + part
         return out
 
 
-def linked(a: Quantised, b: Quantised, least: float = LEAST) -> tuple[np.ndarray, int]:
-    """Which rows of a and b have a cosine of at least `least`, and how many pairs were computed in full precision."""
-    low = a.products(b)
-    low *= a.step[:, None]
-    low *= b.step
-    # x.y = (x' + r).(y' + s) = x'.y' + x'.s + r.y, and |y| = 1
-    error = np.outer(a.near, b.rest)
-    error += a.rest[:, None] + SLACK
-    sure = low - error >= least
-    open_ = (low + error >= least) & ~sure
-    i, j = np.nonzero(open_)
-    for s in range(0, len(i), 65_536):
-        x, y = i[s : s + 65_536], j[s : s + 65_536]
-        sure[x, y] = np.einsum("nd,nd->n", a.x[x], b.x[y]) >= least
-    return sure, len(i)
+class Tile(Quantised):
+    """Residents in BANDS groups by step, so that one number bounds the step of a group well."""
+
+    def __init__(self, x: np.ndarray):
+        super().__init__(x)
+        self.bands = [b for b in np.array_split(np.argsort(self.step, kind="stable"), BANDS) if len(b)]
+
+    def linked(self, other: Quantised, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+        """(i, j): pairs of a row i of `other` and a resident j with a cosine of at least `least`, and how many were
+        computed in full precision.
+
+        x.y = (x' + r).(y' + s) = x'.y' + x'.s + r.y with |y| = 1, so x'.y' is off by |x'||s| + |r| at most. A first
+        look takes the largest step and error of a band, so that a tile is compared with one number a row.
+        """
+        rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        computed = 0
+        for band in self.bands:
+            product = other.products(self, band)
+            most = other.near * self.rest[band].max() + other.rest + SLACK
+            floor = (least - most) / (other.step * self.step[band].max())
+            i, j = np.nonzero(product >= (floor * (1 - 1e-6) - 1e-3).astype(product.dtype)[:, None])
+            near, j = product[i, j] * (other.step[i] * self.step[band[j]]), band[j]
+            error = other.near[i] * self.rest[j] + other.rest[i] + SLACK
+            sure, open_ = near - error >= least, near + error >= least
+            computed += int((open_ & ~sure).sum())
+            for at in np.array_split(np.flatnonzero(open_ & ~sure), max(1, int((open_ & ~sure).sum()) // 16_384)):
+                sure[at] = np.einsum("nd,nd->n", other.x[i[at]], self.x[j[at]]) >= least
+            rows.append(i[sure])
+            columns.append(j[sure])
+        return np.concatenate(rows), np.concatenate(columns), computed
 
 
 class Forest:
@@ -100,13 +132,12 @@ class Forest:
             i = self.parent[i]
         return i
 
-    def join(self, links: np.ndarray, own: bool) -> list[tuple[int, int]]:
-        """Links (row, resident) that connect what was not connected; rows are residents (own) or visitors."""
-        shift = 0 if own else self.n
-        if not own:
-            self.parent += range(self.n, self.n + len(links))
+    def join(self, rows: np.ndarray, columns: np.ndarray, visitors: int | None = None) -> list[tuple[int, int]]:
+        """Of the links (row, resident), some that connect all that was not connected; rows are residents, or among
+        `visitors` rows that stay for this call."""
+        shift = 0 if visitors is None else self.n
+        self.parent += range(self.n, self.n + (visitors or 0))
         out = []
-        rows, columns = np.nonzero(links)
         while len(rows):
             # the first link of each row and of each column, then those that still join two trees
             first = np.unique(np.concatenate([np.unique(rows, return_index=True)[1], np.unique(columns, return_index=True)[1]]))
@@ -118,22 +149,20 @@ class Forest:
             label = np.array([self._root(i) for i in range(len(self.parent))])
             open_ = label[rows + shift] != label[columns]
             rows, columns = rows[open_], columns[open_]
-        if not own:
-            for i in range(self.n):
-                self.parent[i] = self._root(i)
+        if visitors is not None:
             del self.parent[self.n :]
         return out
 
 
 def pivots_of(classes: DataFrame, n: int) -> np.ndarray:
-    """Unit vectors of up to PIVOTS sampled rows, far from one another, of the most frequent length."""
+    """Unit vectors of up to PIVOTS rows, far from one another, of the most frequent length among 8 * PIVOTS sampled."""
     wanted = min(PIVOTS, max(1, n // PIVOT_ROWS))
     rows = classes.orderBy(F.xxhash64("cls", F.lit(11)), "cls").limit(8 * wanted).select("v").collect()
     if not rows:
         return np.empty((0, 0))
     lengths = [len(r["v"]) for r in rows]
     usual = max(set(lengths), key=lambda x: (lengths.count(x), x))
-    x = unit([r["v"] for r in rows if len(r["v"]) == usual])
+    x = unit(np.array([r["v"] for r in rows if len(r["v"]) == usual]))
     picked, near = [0], x @ x[0]
     while len(picked) < min(wanted, len(x)):
         picked.append(int(near.argmin()))
@@ -145,31 +174,25 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
-def by_length(vectors: list[list[float]]) -> Iterator[tuple[int, np.ndarray]]:
-    lengths = np.array([len(v) for v in vectors])
-    for n in np.unique(lengths).tolist():
-        yield n, np.flatnonzero(lengths == n)
-
-
 def in_cells(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds cell and angle to rows (cls, n, v); rows that are not as long as the pivots are in cell -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("v").to_pylist()
-            cell, angle = np.full(len(vectors), -1, np.int32), np.full(len(vectors), math.pi)
-            for n, at in by_length(vectors):
-                if n == pivots.shape[1]:
-                    all_ = _angles(unit([vectors[i] for i in at]), pivots)
+            cell, angle = np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, math.pi)
+            for at, x in matrices(batch.column("v")):
+                if x.shape[1] == pivots.shape[1]:
+                    all_ = _angles(unit(x), pivots)
                     cell[at] = all_.argmin(axis=1)
                     angle[at] = all_.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
 
-    return classes.mapInArrow(freeing(run), "cls long, n long, v array<double>, cell int, angle double")
+    kinds = [*classes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+    return classes.mapInArrow(freeing(run), T.StructType(kinds))
 
 
 def dealt(placed: DataFrame, pivots: np.ndarray, least: float, tile: int) -> DataFrame:
-    """(cell, block, visits, cls, n, v): each row in its own block, and as a visitor in the blocks it has to meet."""
+    """(place, visits, cls, n, v): each row in its own block, and as a visitor in the blocks it has to meet."""
     cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
     blocks = {c: -(-r["n"] // tile) for c, r in cells.items()}
     theta = math.acos(max(-1.0, min(1.0, least))) + 1e-6
@@ -177,85 +200,89 @@ def dealt(placed: DataFrame, pivots: np.ndarray, least: float, tile: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, own = batch.column("v").to_pylist(), batch.column("cell").to_numpy()
-            # the visited blocks as cell * 2 ** 32 + block
+            own = batch.column("cell").to_numpy()
+            # a place is cell * 2 ** 32 + block
             block = np.array([h % blocks[int(c)] for h, c in zip(batch.column("h").to_pylist(), own, strict=True)], dtype=np.int64)
             to = [[(int(c) << 32) + b for b in range(int(at) + 1, blocks[int(c)])] for c, at in zip(own, block, strict=True)]
-            for n, at in by_length(vectors):
-                if n != pivots.shape[1]:
+            for at, x in matrices(batch.column("v")):
+                if x.shape[1] != pivots.shape[1]:
                     continue
-                near = _angles(unit([vectors[i] for i in at]), pivots) <= radius + theta
+                near = _angles(unit(x), pivots) <= radius + theta
                 near &= np.arange(len(pivots)) > own[at][:, None]
                 for i, j in zip(*np.nonzero(near), strict=True):
                     to[at[i]] += [(int(j) << 32) + b for b in range(blocks[int(j)])]
-            kept = [batch.column(c) for c in ("cls", "n", "v", "cell")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(block), pa.array(to, pa.list_(pa.int64()))], ["cls", "n", "v", "cell", "block", "to"])
+            place = pa.array((own.astype(np.int64) << 32) + block)
+            kept = [batch.column(c) for c in ("cls", "n", "v")]
+            yield pa.RecordBatch.from_arrays([place, *kept, pa.array(to, pa.list_(pa.int64()))], ["place", "cls", "n", "v", "to"])
 
     hashed = placed.select("cls", "n", "v", "cell", F.pmod(F.xxhash64("cls", F.lit(13)), F.lit(1 << 40)).alias("h"))
-    rows = staged(hashed.mapInArrow(freeing(run), "cls long, n long, v array<double>, cell int, block long, to array<long>"))
-    place = (F.col("cell").cast("long") * (1 << 32) + F.col("block")).alias("place")
-    stay = rows.select(place, F.lit(0).alias("visits"), "cls", "n", "v")
+    kinds = [T.StructField("place", T.LongType()), *(placed.schema[c] for c in ("cls", "n", "v")), T.StructField("to", T.ArrayType(T.LongType()))]
+    rows = staged(hashed.mapInArrow(freeing(run), T.StructType(kinds)))
+    stay = rows.select("place", F.lit(0).alias("visits"), "cls", "n", "v")
     return stay.unionByName(rows.select(F.explode("to").alias("place"), F.lit(1).alias("visits"), "cls", "n", "v"))
 
 
+class Block:
+    """The residents of a place, and what has been found about them."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        self.cls, self.n, self.rows = rows.column("cls").to_numpy(), rows.column("n").to_numpy().astype(np.float64), rows
+        self.links = np.zeros(len(self.cls))
+        self.forest = Forest(len(self.cls))
+        self.parts = [(at, Tile(unit(x))) for at, x in matrices(rows.column("v"))]
+
+    def meet(self, batch: pa.RecordBatch, own: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """(ids, links, edges): how many links the rows of a batch have here, and links that connect; own: where the
+        batch begins among the residents, which meet all residents."""
+        cls, n = batch.column("cls").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+        rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, x in matrices(batch.column("v")):
+            other = Quantised(unit(x))
+            for where, part in self.parts:
+                if part.x.shape[1] == x.shape[1]:
+                    i, j, _ = part.linked(other, self.least)
+                    rows.append(at[i])
+                    columns.append(where[j])
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        if own is not None:
+            i, j = i[i + own != j], j[i + own != j]
+            edges = self.forest.join(i + own, j)
+            edges = [(int(self.cls[a]), int(self.cls[b])) for a, b in edges]
+        else:
+            edges = [(int(cls[a]), int(self.cls[b])) for a, b in self.forest.join(i, j, len(cls))]
+            self.links += np.bincount(j, n[i], len(self.cls))
+        return cls, np.bincount(i, self.n[j], len(cls)).astype(np.int64), edges
+
+    least = LEAST
+
+
 def tile_links(rows: DataFrame, least: float) -> DataFrame:
     """(cls, links, other) of rows (place, visits, cls, n, v): parts of each row's number of links, and the links of a
     spanning forest of each task (links null)."""
 
-    class Block:
-        def __init__(self, cls: np.ndarray, n: np.ndarray, vectors: list[list[float]]):
-            self.cls, self.n = cls, n
-            self.links = np.zeros(len(cls), np.int64)
-            self.forest = Forest(len(cls))
-            self.parts = [(at, Quantised(unit([vectors[i] for i in at]))) for _, at in by_length(vectors)]
-
-        def meet(self, cls: np.ndarray, n: np.ndarray, vectors: list[list[float]], own: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-            """Links of the given rows, and links that connect; own: places of residents that meet all residents."""
-            found = np.zeros((len(cls), len(self.cls)), dtype=bool)
-            for length, at in by_length(vectors):
-                x = Quantised(unit([vectors[i] for i in at]))
-                for where, part in self.parts:
-                    if part.x.shape[1] == length:
-                        found[np.ix_(at, where)] = linked(x, part, least)[0]
-            if own is not None:
-                found[np.arange(len(own)), own] = False
-                joined = np.zeros((len(self.cls), len(self.cls)), dtype=bool)
-                joined[own] = found
-                edges = [(int(self.cls[i]), int(self.cls[j])) for i, j in self.forest.join(joined, True)]
-            else:
-                edges = [(int(cls[i]), int(self.cls[j])) for i, j in self.forest.join(found, False)]
-                self.links += (n.astype(np.float64) @ found).astype(np.int64)
-            return (found @ self.n.astype(np.float64)).astype(np.int64), edges
+    def found(cls: np.ndarray, links: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        some = links > 0
+        cls, links = cls[some].tolist() + [u for u, _ in edges], links[some].tolist() + [None] * len(edges)
+        other = [None] * int(some.sum()) + [v for _, v in edges]
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], ["cls", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, block = None, [], None
 
-        def batch_of(counts: list[tuple[int, int]], edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            cls = [c for c, _ in counts] + [u for u, _ in edges]
-            links = [n for _, n in counts] + [None] * len(edges)
-            other = [None] * len(counts) + [v for _, v in edges]
-            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], ["cls", "links", "other"])
-
-        def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-            return batch.column("cls").to_numpy(), batch.column("n").to_numpy(), batch.column("v").to_pylist()
-
         def settle() -> Iterator[pa.RecordBatch]:
             """Residents are complete: they meet one another."""
             nonlocal block, held
-            cls, n, vectors = (list(x) for x in zip(*(columns(b) for b in held), strict=True))
-            held = []
-            cls, n, vectors = np.concatenate(cls), np.concatenate(n), sum(vectors, [])
-            block = Block(cls, n, vectors)
-            for s in range(0, len(cls), VISITORS):
-                e = min(len(cls), s + VISITORS)
-                counts, edges = block.meet(cls[s:e], n[s:e], vectors[s:e], np.arange(s, e))
-                yield batch_of(list(zip(cls[s:e].tolist(), counts.tolist(), strict=True)), edges)
+            block, held = Block(held), []
+            block.least = least
+            for s in range(0, block.rows.num_rows, VISITORS):
+                yield found(*block.meet(block.rows.slice(s, VISITORS), s))
 
         def leave() -> Iterator[pa.RecordBatch]:
             if held:
                 yield from settle()
             if block is not None:
-                yield batch_of(list(zip(block.cls.tolist(), block.links.tolist(), strict=True)), [])
+                yield found(block.cls, block.links.astype(np.int64), [])
 
         for batch in batches:
             at = np.stack([batch.column(c).to_numpy() for c in ("place", "visits")], axis=1)
@@ -272,10 +299,8 @@ def tile_links(rows: DataFrame, least: float) -> DataFrame:
                 if held:
                     yield from settle()
                 for s in range(a, b, VISITORS):
-                    cls, n, vectors = columns(batch.slice(s, min(b, s + VISITORS) - s))
                     if block is not None:
-                        counts, edges = block.meet(cls, n, vectors)
-                        yield batch_of(list(zip(cls.tolist(), counts.tolist(), strict=True)), edges)
+                        yield found(*block.meet(batch.slice(s, min(b, s + VISITORS) - s)))
         yield from leave()
 
     dealt_rows = rows.repartition("place").sortWithinPartitions("place", "visits", "cls")
@@ -286,7 +311,9 @@ def dedup_embeddings(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "
     """(vec_id, n_links, component_id, kept) of every vector; `least` must be positive."""
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
-    rows = usable_vectors(vectors, vec_id, vector)
+    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), numbers(vectors, vector).alias("v"))
+    can = F.col("vec_id").isNotNull() & usable(F.col("v"))
+    rows = every.where(can)
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = staged(classes)
     classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()))
@@ -301,10 +328,7 @@ def dedup_embeddings(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "
     least_id = tree.groupBy("component").agg(F.min("id").alias("component_id"))
     done = tree.join(least_id, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked_rows = rows.join(done, "v").select("vec_id", "n_links", "component_id")
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
-    bad = F.coalesce(~F.exists("v", lambda c: c != 0) | F.exists("v", lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))), F.lit(True))
-    alone = every.where(bad | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = every.where(~can).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     every = linked_rows.unionByName(alone)
     return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
