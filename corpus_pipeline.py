@@ -3,8 +3,8 @@
 1. language_id: documents without an identified language go (no letter, or a confidence under LEAST_SCORE).
 2. line_dedup: boilerplate lines leave their documents; documents that lose all their words go.
 3. ngram_join: of near-equal documents, five-word n-grams at a similarity of 0.8, the smallest id stays. Rows of one id
-   with different texts are documents of their own, rows equal in id and text are one. Of near-equal rows with null ids
-   one stays, also beside a document with an id; without words, all stay.
+   with different texts are documents of their own, rows equal in id and text are one. Rows with null ids come after
+   all others, so one of them stays only where no near-equal document has an id; without words, all stay.
 4. source_mix: sources are mixed to target weights; documents repeat once per epoch, and the last one of a source is cut
    at its budget.
 5. best_fit_packing: token pieces of the documents, packed into sequences.
@@ -49,7 +49,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc) with rows of equal id and text as one, numbered in the order of id and text; odd numbers have no id."""
+    """(row, doc) with rows of equal id and text as one, numbered in the order of id and text, rows without id last."""
     text, known = F.col("doc.text"), F.col("doc.doc_id").isNotNull()
     rows = docs.select(F.struct("*").alias("doc")).select(
         "doc", (~known).alias("k0"), F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NULL_ID)).alias("k1"),
@@ -57,7 +57,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     )
     place = ["k0", "k1", "k2"]
     keys = rows.groupBy(*place).agg(F.count("*").alias("times")).orderBy(*place)
-    keys = staged(keys.withColumn("row", F.monotonically_increasing_id() * 2 + F.col("k0").cast("long")))
+    keys = staged(keys.withColumn("row", F.monotonically_increasing_id()))
     own = rows.join(keys, place)
     others = F.to_json(F.struct(*(F.col("doc")[c].alias(c) for c in docs.columns if c != "text")))
     again = own.where("times > 1").groupBy("row").agg(F.min_by("doc", others).alias("doc"))
@@ -68,18 +68,15 @@ def _drop_near_rows(docs: DataFrame) -> DataFrame:
     """As drop_near_copies, for tables whose ids repeat or are null: each id and text is a row of its own."""
     nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = _numbered(docs.where(~nameless))
-    near = staged(ngram_join.join_near(rows.select("row", "doc.text"), "row", n=NGRAM, percent=PERCENT).select(F.col("doc_id").alias("row"), "component_id"))
-    odd = near.where("row % 2 = 1")
-    first = odd.groupBy("component_id").agg(F.min("row").alias("first"))
-    copies = near.where("row % 2 = 0 and row <> component_id").select("row")
-    copies = staged(copies.unionByName(odd.join(first, "component_id").where("row <> first").select("row")))
+    near = ngram_join.join_near(rows.select("row", "doc.text"), "row", n=NGRAM, percent=PERCENT, unique=True)
+    copies = staged(near.where("doc_id <> component_id").select(F.col("doc_id").alias("row")))
     return rows.join(if_small(copies), "row", "left_anti").select("doc.*").unionByName(docs.where(nameless))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         return _drop_near_rows(docs)
-    near = ngram_join.join_near(docs, n=NGRAM, percent=PERCENT)
+    near = ngram_join.join_near(docs, n=NGRAM, percent=PERCENT, unique=True)
     copies = staged(near.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
     return docs.join(if_small(copies), "doc_id", "left_anti").select(docs.columns)
 
