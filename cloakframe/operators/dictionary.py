@@ -1,23 +1,27 @@
 """Custom dictionary matching (E13), for small and for large dictionaries.
 
 `fold`: the values become a literal array inside the expression; no join, no shuffle.
-`join`: the text is cut into overlapping blocks, every window of a dictionary length is joined to
-the dictionary on the window itself. A window can only meet the value it equals, so nothing
-multiplies; the dictionary side is unique, so a frequent value is split by AQE's skew join.
+`automaton`: the dictionary is cut into parts of at most PART_BYTES by the first characters of its values, and each
+text is read once a part by an automaton, whatever the number of values and of their lengths. A dictionary of one part
+goes to the tasks as it is and texts stay where they lie; beyond, each part meets the texts in several tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cloakframe.functions.sqltext import empty, keep, quote, struct, transform
+from cloakframe.functions.sqltext import empty, keep, quote, struct
+from cloakframe.operators.automaton import find_by_part, find_with
 from cloakframe.options import PRIORITY
 from cloakframe.schemas import CANDIDATES
 from cloakframe.sources.profiles import DictionaryValue
 from cloakframe.sources.tables import broadcast_if_small
 
-BLOCK = 512
+# Bytes of values that one automaton holds at most, and characters of a value that choose its part.
+PART_BYTES = 2 << 20
+PREFIX = 3
 
 
 def literal_dictionary(values: list[DictionaryValue]) -> str:
@@ -38,31 +42,27 @@ def dictionary_candidates(text: str, values: list[DictionaryValue]) -> str:
     return keep(literal_dictionary(values), lambda v: f"contains({text}, {v}.value)")
 
 
-def text_blocks(text: str, overlap: int) -> str:
-    """ARRAY<STRING>: the whole text in blocks, each reaching `overlap` characters into the next."""
-    last = f"greatest(cast(ceil(length({text}) / {BLOCK}.0D) AS int), 1) - 1"
-    return transform(f"sequence(0, {last})", lambda b: f"substr({text}, {b} * {BLOCK} + 1, {BLOCK + overlap})")
-
-
-def dictionary_hits_join(leaves: DataFrame, keys: list[str], text: str, dictionary: DataFrame) -> DataFrame:
+def dictionary_hits_join(leaves: DataFrame, keys: list[str], text: str, dictionary: DataFrame, part_bytes: int | None = None) -> DataFrame:
     """(keys, entity_type, type_ord, value, value_ord): every dictionary value inside every text, for
     dictionaries too large to fold. `dictionary` has entity_type, type_ord, value, value_ord."""
     known = dictionary.where(F.length("value") > 0)
-    # Distinct value lengths only: as many rows as the longest value has characters, at most.
-    lengths = [r[0] for r in known.select(F.length("value")).distinct().collect()]
-    if not lengths:
-        return leaves.select(*keys).join(known, F.lit(False), "inner")
-    wanted = f"array({', '.join(str(n) for n in sorted(lengths))})"
-
-    def windows(block: str) -> str:
-        per_position = transform(
-            f"sequence(1, least(greatest(length({block}), 1), {BLOCK}))",
-            lambda pos: transform(wanted, lambda n: f"substr({block}, {pos}, {n})"),
-        )
-        return f"array_distinct(flatten({per_position}))"
-
-    blocks = leaves.select(*keys, F.explode(F.expr(text_blocks(text, max(lengths) - 1))).alias("_block"))
-    found = blocks.select(*keys, F.explode(F.expr(windows("_block"))).alias("value"))
+    values = known.select("value").distinct()
+    n_bytes = values.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    parts = max(1, -(-n_bytes // (part_bytes or PART_BYTES)))
+    texts = leaves.select(*[F.col(k) for k in keys], F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    schema = T.StructType([*(texts.schema[k] for k in keys), T.StructField("value", T.StringType())])
+    if parts == 1:
+        found = texts.mapInArrow(find_with(sorted(r["value"] for r in values.collect()), keys, "_text"), schema)
+    else:
+        salts = max(1, -(-leaves.sparkSession.sparkContext.defaultParallelism // parts))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        salt = F.pmod(F.xxhash64(*keys, "_text"), F.lit(salts)).cast("int").alias("_salt")
+        asked = texts.select("*", salt, F.lit(None).cast("string").alias("_value")).withColumn("_part", each(parts))
+        part = F.pmod(F.xxhash64(F.left("value", F.lit(PREFIX))), F.lit(parts)).cast("int").alias("_part")
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in texts.schema]
+        rows = asked.unionByName(values.select(*none, part, F.col("value").alias("_value")).withColumn("_salt", each(salts)))
+        rows = rows.repartition(parts * salts, "_part", "_salt").sortWithinPartitions("_part", "_salt", F.col("_value").isNull())
+        found = rows.mapInArrow(find_by_part(keys, "_text"), schema)
     return (
         found.join(broadcast_if_small(known, "value"), "value")
         .select(*keys, "entity_type", "type_ord", "value", "value_ord")

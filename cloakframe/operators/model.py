@@ -10,8 +10,13 @@ from pyspark.sql import types as T
 
 from cloakframe.options import PRIORITY, TYPE_NAME
 
-# text -> [(entity_type, start, end, score), ...]
-Model = Callable[[str], list[tuple[str, int, int, float]]]
+Found = list[tuple[str, int, int, float]]  # (entity_type, start, end, score)
+Model = Callable[[list[str]], list[Found]]  # all texts of an Arrow batch at once
+
+
+def each_text(model: Callable[[str], Found]) -> Model:
+    """A model that takes one text at a time."""
+    return lambda texts: [model(t) for t in texts]
 
 
 def model_spans(
@@ -36,9 +41,10 @@ def model_spans(
         model = load()
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
+            full = [row for row in batch.itertuples(index=False, name=None) if row[-1]]
+            for row, found in zip(full, model([row[-1] for row in full]), strict=True):
                 *key, content = row
-                for entity_type, start, end, score in model(content) if content else []:
+                for entity_type, start, end, score in found:
                     if not well_formed.match(entity_type):
                         raise ValueError(f"entity type must match [A-Z_]+: {entity_type!r}")
                     rows.append((*key, entity_type, start, end, content[start:end], float(score), "model", priority, 0, 0))

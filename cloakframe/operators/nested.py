@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,10 +54,10 @@ KEY_MARK = "\x01"
 
 def annotate(
     dtype: T.DataType, ref: str, path: str, body: LeafBody, skipped: str = "false",
-    name: str = "", top: bool = False, skip_system: bool = True, mark: str = ".",
+    name: str = "", top: bool = False, skip_system: bool = True, mark: str = ".", first: str | None = None,
 ) -> str:
     """A value of the same shape in which every string leaf became body(text, path, skipped).
-    `mark` stands between the keys of a path."""
+    `mark` stands between the keys of a path; `first` is the number of a list's first item, 0 if not given."""
     if isinstance(dtype, T.StringType):
         return body(ref, path, skipped)
     if not has_strings(dtype):
@@ -74,8 +76,9 @@ def annotate(
 
         def item(x: str, i: str) -> str:
             skip = f"({skipped} OR coalesce({x}.role = 'system', false))" if system else skipped
+            number = i if first is None else f"{i} + {first}"
             return annotate(
-                dtype.elementType, x, f"concat({path}, '[', {i}, ']')", body, skip, "", False, skip_system, mark
+                dtype.elementType, x, f"concat({path}, '[', {number}, ']')", body, skip, "", False, skip_system, mark
             )
 
         return transform(ref, item, 2)
@@ -105,7 +108,7 @@ def rewrite(dtype: T.DataType, ref: str, leaf: Callable[[str], str]) -> str:
     return annotate(dtype, ref, "''", lambda text, _path, _skip: leaf(text), skip_system=False)
 
 
-def leaf_array(schema: T.StructType, columns: list[str], skip_system: bool) -> str:
+def leaf_array(schema: T.StructType, columns: list[str], skip_system: bool, first: str | None = None) -> str:
     """SQL for LEAVES: key, path and text of every string leaf of the columns (N1, N3, N4); with
     `skip_system` without the system items of a top-level `messages` list (N5)."""
     parts = []
@@ -122,18 +125,20 @@ def leaf_array(schema: T.StructType, columns: list[str], skip_system: bool) -> s
             return f"CASE WHEN NOT {x}.skipped AND {x}.text IS NOT NULL THEN array({row}) END"
 
         marked = annotate(
-            dtype, f"`{c}`", quote(c), mark_leaf, name=c, top=True, skip_system=skip_system, mark=KEY_MARK
+            dtype, f"`{c}`", quote(c), mark_leaf, name=c, top=True, skip_system=skip_system, mark=KEY_MARK,
+            first=first if c == "messages" else None,
         )
         parts.append(let(marked, lambda m, d=dtype: gather(d, m, leaf, LEAVES)))
     return f"concat({', '.join(parts)})" if parts else empty(LEAVES)
 
 
 def typed_leaves(
-    df: DataFrame, keys: list[str], columns: list[str], skip_system: bool = False
+    df: DataFrame, keys: list[str], columns: list[str], skip_system: bool = False, first: str | None = None
 ) -> DataFrame:
-    """(keys, path, text): one row per string leaf of typed columns."""
+    """(keys, path, text): one row per string leaf of typed columns; `first`: a column with the number of the first
+    item of `messages`, where a list is cut into several rows."""
     return (
-        df.select(*keys, F.expr(leaf_array(df.schema, columns, skip_system)).alias("_leaves"))
+        df.select(*keys, F.expr(leaf_array(df.schema, columns, skip_system, first)).alias("_leaves"))
         .select(*keys, F.explode_outer("_leaves").alias("_l"))
         .where(F.col("_l").isNotNull())
         .select(*keys, "_l.path", "_l.text")
@@ -198,12 +203,12 @@ def system_items(body: str) -> str:
 _JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+|\s+')
 
 
-def with_new_leaves(body: str, new: dict[str, str]) -> str:
-    """The JSON text with string leaves replaced by address; all else stays as it is written."""
-    out: list[str] = []
+def json_parts(body: str) -> Iterator[tuple[str, str | None]]:
+    """The parts of a JSON text as they are written, with the address of each string leaf; of any depth."""
     places: list[list] = []  # of each open container: the address before it, the key or position in it
     at, key_next = "", False
     for part in _JSON_PART.findall(body):
+        leaf = None
         if part in "{[":
             places.append([at, None if part == "{" else 0])
             key_next = part == "{"
@@ -221,10 +226,135 @@ def with_new_leaves(body: str, new: dict[str, str]) -> str:
         elif part[0] == '"':
             if key_next:
                 at, key_next = f"{places[-1][0]}{KEY_MARK}{json.loads(part)}", False
-            elif at in new:
-                part = json.dumps(new[at], ensure_ascii=False)
-        out.append(part)
-    return "".join(out)
+            else:
+                leaf = at
+        yield part, leaf
+
+
+def with_new_leaves(body: str, new: dict[str, str]) -> str:
+    """The JSON text with string leaves replaced by address; all else stays as it is written."""
+    return "".join(json.dumps(new[at], ensure_ascii=False) if at in new else part for part, at in json_parts(body))
+
+
+def readable_path(address: str) -> str:
+    """`a.b[0]` for an address."""
+    return re.sub(f"{ITEM_MARK}([0-9]+)", r"[\1]", address).replace(KEY_MARK, ".").removeprefix(".")
+
+
+_LEAF = T.StructType([T.StructField(n, T.StringType()) for n in ("address", "path", "text")])
+
+
+@F.pandas_udf(T.ArrayType(_LEAF))
+def json_leaves(body: pd.Series) -> pd.Series:
+    """Address, path and text of every string leaf of JSON texts, however deep they are nested."""
+
+    def one(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        found = [(at, json.loads(part)) for part, at in json_parts(text) if at is not None]
+        whole = lambda t: t.encode("utf-8", "replace").decode() if not t.isascii() else t
+        return [{"address": whole(at), "path": whole(readable_path(at)), "text": whole(t)} for at, t in found]
+
+    return pd.Series([one(b) for b in body], dtype=object)
+
+
+def json_leaf_rows(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """(keys, path, address, text): string leaves of JSON of any shape and depth, in one pass over each text."""
+    rows = df.select(*keys, F.explode_outer(json_leaves(F.col(body))).alias("_l")).where(F.col("_l").isNotNull())
+    return rows.select(*keys, "_l.path", "_l.address", "_l.text")
+
+
+HANDLE = "privacy_mapping_id"
+
+
+def _split_handle(body: str) -> tuple[list[str], int | None, int | None]:
+    """The parts of a JSON object without the handle in its top-level `metadata`, the place behind the brace of that
+    object, and the place of the last brace; None where there is none."""
+    parts, inside, depth, key_next = [], None, 0, False
+    keys: dict[int, str] = {}
+    for part in _JSON_PART.findall(body):
+        if part in "{[":
+            depth += 1
+            key_next = part == "{"
+            parts.append(part)
+            if part == "{" and depth == 2 and keys.get(1) == "metadata":
+                inside = len(parts)
+            continue
+        if part in "}]":
+            depth -= 1
+            key_next = False
+        elif part == ",":
+            key_next = True
+        elif part[0] == '"' and key_next:
+            keys[depth], key_next = json.loads(part), False
+        parts.append(part)
+    return parts, inside, len(parts) - 1 - next(i for i, p in enumerate(reversed(parts)) if p == "}")
+
+
+def top_values(body: str) -> list[str]:
+    """Addresses of the top-level values of a JSON object that are no objects."""
+    depth, out = 0, []
+    parts = [p for p in _JSON_PART.findall(body) if p.strip()]
+    for i, part in enumerate(parts):
+        if depth == 1 and part == ":":
+            if parts[i + 1] != "{":
+                out.append(f"{KEY_MARK}{json.loads(parts[i - 1])}")
+        depth += (part in "{[") - (part in "}]")
+    return out
+
+
+def with_handle(body: str, handle: str) -> str:
+    """The JSON object with metadata.privacy_mapping_id set, in its own `metadata` where that is an object."""
+    parts, inside, last = _split_handle(without_handle(body))
+    pair = f'"{HANDLE}":{json.dumps(handle)}'
+    if inside is None and f"{KEY_MARK}metadata" in top_values(body):
+        return body  # a metadata that is no object stays as it is
+    if inside is not None:
+        rest = next(p for p in parts[inside:] if p.strip())
+        return "".join([*parts[:inside], pair, *([] if rest == "}" else [","]), *parts[inside:]])
+    before = next((p for p in reversed(parts[:last]) if p.strip()), "{")
+    return "".join([*parts[:last], *([] if before == "{" else [","]), f'"metadata":{{{pair}}}', *parts[last:]])
+
+
+def without_handle(body: str) -> str:
+    """The JSON object without metadata.privacy_mapping_id; `metadata` itself stays."""
+    parts, inside, _ = _split_handle(body)
+    if inside is None:
+        return body
+    depth, key_next, at = 0, True, inside
+    while depth >= 0:
+        part = parts[at]
+        if part in "{[":
+            depth += 1
+        elif part in "}]":
+            depth -= 1
+        elif part == "," and depth == 0:
+            key_next = True
+        elif part[0] == '"' and depth == 0 and key_next:
+            key_next = False
+            if json.loads(part) == HANDLE:
+                end, level = at + 1, 0
+                while level or parts[end] not in ",}":
+                    level += (parts[end] in "{[") - (parts[end] in "}]")
+                    end += 1
+                if parts[end] == ",":  # the comma behind goes, or else the one before
+                    return "".join(parts[:at] + parts[end + 1 :])
+                before = at - 1
+                while not parts[before].strip():
+                    before -= 1
+                return "".join(parts[: before if parts[before] == "," else at] + parts[end:])
+        at += 1
+    return body
+
+
+@F.pandas_udf(T.StringType())
+def stamp_json(body: pd.Series, handles: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else with_handle(b, h) for b, h in zip(body, handles, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def strip_json(body: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else without_handle(b) for b in body], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -281,3 +411,6 @@ def restore_missing_keys(df: DataFrame, before: list[str], after_prefix: str = "
         if c != "metadata" and f"{after_prefix}{c}" not in df.columns:
             df = df.withColumn(f"{after_prefix}{c}", F.col(c))
     return df
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package

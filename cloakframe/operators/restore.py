@@ -58,6 +58,12 @@ def ids_in_text(
     )
 
 
+def asked_for(mappings: DataFrame, needed: DataFrame, by: list[str]) -> DataFrame:
+    """The mapping rows that some row of `needed` asks for. Spark hands the smaller side's keys to the scan of the other
+    one where that pays; what is aggregated and joined afterwards is as large as the question, not as the store."""
+    return mappings.join(needed.select(*by).distinct(), by, "left_semi")
+
+
 def resolve_tokens(
     needed: DataFrame,
     keys: list[str],
@@ -72,15 +78,15 @@ def resolve_tokens(
     """
     if type_fallback not in ("off", "scoped"):
         raise ValueError("type_fallback must be 'off' or 'scoped'")
-    scoped = first_created(mappings, ["mapping_id", "placeholder"])
+    scoped = first_created(asked_for(mappings, needed, ["mapping_id", "placeholder"]), ["mapping_id", "placeholder"])
     found = needed.join(scoped, ["mapping_id", "placeholder"], "left")
     if any_mapping:
-        anywhere = first_created(mappings, ["placeholder"]).withColumnRenamed("original", "_any")
+        anywhere = first_created(asked_for(mappings, needed, ["placeholder"]), ["placeholder"]).withColumnRenamed("original", "_any")
         found = found.join(anywhere, "placeholder", "left").withColumn(
             "original", F.coalesce("original", "_any")
         ).drop("_any")
     if type_fallback == "scoped":
-        by_type = first_created(mappings, ["mapping_id", "entity_type"]).withColumnRenamed("original", "_type")
+        by_type = first_created(asked_for(mappings, needed, ["mapping_id"]), ["mapping_id", "entity_type"]).withColumnRenamed("original", "_type")
         found = (
             found.withColumn("entity_type", token_type(F.col("placeholder")))
             .join(by_type, ["mapping_id", "entity_type"], "left")

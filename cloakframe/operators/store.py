@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloakframe.sources.tables import stage
+
 # Up to here Spark cuts each map task's rows per tenant before the shuffle (window group limit).
 GROUP_LIMIT = 1000
 
@@ -48,8 +52,9 @@ def keep_recent(access: DataFrame, capacity: int, tenant: list[str] | None = Non
     `last_access`; ties go to the smaller id.
 
     Small capacities use Spark's per-task group limit, so a tenant with a third of all ids sends
-    only `capacity` rows per task. Large ones count ids per second first, keep whole seconds
-    that fit, and rank only inside the one second the limit falls into.
+    only `capacity` rows per task. Large ones count ids per second first and keep whole seconds that fit. The second
+    that the limit falls into may hold very many ids, so it is dealt by ranges of time and id: whole ranges that fit are
+    kept, and ranks are counted only inside the one range that is cut.
     """
     tenant = tenant or []
     order = [F.col("last_access").desc(), F.col(tie)]
@@ -67,9 +72,17 @@ def keep_recent(access: DataFrame, capacity: int, tenant: list[str] | None = Non
     room = counts.withColumn("_room", F.lit(capacity) - F.sum("_n").over(newest_first) + F.col("_n")).where("_room > 0")
     joined = rows.join(room, [*by, "_second"])
     whole = joined.where(F.col("_n") <= F.col("_room"))
-    within = Window.partitionBy(*by, "_second").orderBy(*order)
-    part = joined.where(F.col("_n") > F.col("_room")).withColumn("_rank", F.row_number().over(within))
-    return whole.select(*access.columns).unionByName(part.where("_rank <= _room").select(*access.columns))
+    part = joined.where(F.col("_n") > F.col("_room")).drop("_n")
+    ranges = part.repartitionByRange(*[F.col(c) for c in by], F.col("last_access").desc(), F.col(tie))
+    ranged = stage(ranges.withColumn("_range", F.spark_partition_id()), "eviction")
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.first("_room").alias("_all"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    left = sizes.withColumn("_left", F.col("_all") - before).where("_left > 0").select(*by, "_range", "_n", "_left")
+    cut = ranged.join(left, [*by, "_range"])
+    within = Window.partitionBy(*by, "_range").orderBy(*order)
+    last = cut.where("_n > _left").withColumn("_rank", F.row_number().over(within)).where("_rank <= _left")
+    kept = [whole, cut.where("_n <= _left"), last]
+    return reduce(DataFrame.unionByName, [k.select(*access.columns) for k in kept])
 
 
 def unexpired(rows: DataFrame, as_of: Column, ttl_seconds: int, created: str = "created_at") -> DataFrame:

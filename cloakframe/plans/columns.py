@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.sqltext import empty, keep, let, quote
+from cloakframe.functions.sqltext import empty, keep, let, quote, struct
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators.detect import BUILT_IN, Detector, detect
 from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join, literal_dictionary
@@ -20,9 +20,10 @@ from cloakframe.operators.fuzzy import (
     fuzzy_literal,
 )
 from cloakframe.operators.redact import redact_candidates, redact_spans, spans_to_candidates
+from cloakframe.operators.sweep import MANY, sweep_leaves
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import PRIORITY, Options
-from cloakframe.schemas import CANDIDATES, SPANS
+from cloakframe.schemas import CANDIDATES, ENTITIES, SPANS
 from cloakframe.sources.profiles import ProfileSet, ResolvedProfile, literal_table, type_cut
 
 
@@ -63,20 +64,22 @@ class RowProfiles:
         return f"coalesce(array_contains(try_element_at({self._map(terms, 'array<string>')}, {self.key}), lower({text})), false)"
 
 
-def redaction(
+def candidates_of(
     text: str,
     profile: ResolvedProfile | RowProfiles,
-    scope: str,
     options: Options = Options(),
     detectors: Iterable[Detector] | None = None,
     lang: str | None = None,
     extra: str | None = None,
     joined: bool = False,
-) -> str:
-    """SQL for STRUCT<text, entities> of one text expression; usable inside transform() as well.
+    fuzzy: bool = True,
+) -> tuple[str, bool]:
+    """SQL for what is found in one text expression, usable inside transform() as well, and whether these are exact
+    spans (ARRAY<span>) or candidates, all of whose occurrences count (ARRAY<candidate>).
 
     Dictionaries of any size and fuzzy matching are folded into the expression. `extra` is an ARRAY<candidate> from
     elsewhere: gazetteers, a model, or dictionaries joined by `redact_column` (with `joined`, not folded again).
+    Without `fuzzy` fuzzy matching is left to `extra`.
     """
     chosen = BUILT_IN if detectors is None else list(detectors)
     per_row = isinstance(profile, RowProfiles)
@@ -84,13 +87,13 @@ def redaction(
     if per_row:
         spans = profile.over_threshold(detect(text, chosen, None, lang, options.disabled_types))
         values = [profile.dictionary(text)] if n_values else []
-        if n_values and profile.fuzzy_enabled:
+        if n_values and fuzzy and profile.fuzzy_enabled:
             values.append(profile.fuzzy(text, options))
         skipped = profile.skipped(text, options.skip_parity)
     else:
         spans = detect(text, chosen, profile.thresholds, lang, options.disabled_types)
         values = [dictionary_candidates(text, list(profile.dictionary))] if n_values else []
-        if n_values and profile.fuzzy_enabled:
+        if n_values and fuzzy and profile.fuzzy_enabled:
             values.append(folded_fuzzy(text, fuzzy_literal(profile, options), fuzzy_bounds(profile, options), options))
         skipped = is_skip_term(text, list(profile.skip_terms), options.skip_parity)
     touched = (
@@ -98,12 +101,17 @@ def redaction(
         f" AND NOT {is_uuid_shaped(text, options.uuid_length, options.uuid_dashes)}"
     )
     if not options.all_occurrences and not n_values and extra is None:
-        return redact_spans(options, text, scope, f"CASE WHEN {touched} THEN {spans} ELSE {empty(SPANS)} END")
+        return f"CASE WHEN {touched} THEN {spans} ELSE {empty(SPANS)} END", True
     parts = [*values, spans_to_candidates(spans)]
     if extra is not None:
         parts.append(f"coalesce(cast({extra} AS {CANDIDATES}), {empty(CANDIDATES)})")
-    found = f"CASE WHEN {touched} THEN concat({', '.join(parts)}) ELSE {empty(CANDIDATES)} END"
-    return redact_candidates(options, text, scope, found)
+    return f"CASE WHEN {touched} THEN cast(concat({', '.join(parts)}) AS {CANDIDATES}) ELSE {empty(CANDIDATES)} END", False
+
+
+def redaction(text: str, profile: ResolvedProfile | RowProfiles, scope: str, options: Options = Options(), **how) -> str:
+    """SQL for STRUCT<text, entities> of one text expression alone, for SQL functions; `how` as in candidates_of."""
+    found, exact = candidates_of(text, profile, options, **how)
+    return (redact_spans if exact else redact_candidates)(options, text, scope, found)
 
 
 JOINED = "_dictionary_hits"
@@ -147,11 +155,13 @@ def redact_column(
     extra: str | None = None,
     path: str | None = None,
     path_column: str | None = None,
+    fuzzy: bool = True,
 ) -> DataFrame:
     """`df` plus mapping_id, redacted and entities. Narrow: no join, no shuffle, unless a dictionary has more than
     `options.fold_limit` values: those are found by joins on the text's hash, with the same result.
 
-    `keys` name the document; `profile_column` picks a profile per row (unknown: bare defaults).
+    `keys` name the document; `profile_column` picks a profile per row (unknown: bare defaults). Set `fuzzy` to False
+    where `extra` has the fuzzy hits already. Texts with very many candidates are swept in Arrow batches.
     """
     profiles = profiles or ProfileSet(default=options.default_profile)
     chosen = None if detectors is None else list(detectors)
@@ -163,10 +173,20 @@ def redact_column(
     if joined:
         df = with_dictionary_hits(df, text, settings, options, extra)
         extra = JOINED
-    result = redaction(text, settings, scope, options, chosen, lang, extra, joined)
+    found, exact = candidates_of(text, settings, options, chosen, lang, extra, joined, fuzzy)
     kept = [c for c in df.columns if c not in ("mapping_id", extra, given)]
     staged = df.select(*kept, *([extra] if extra else []), F.expr(mapping_id(options, *keys)).alias("mapping_id"))
-    return staged.withColumn("_redaction", F.expr(result)).select(
+    if exact:
+        done = staged.withColumn("_redaction", F.expr(redact_spans(options, text, scope, found)))
+    else:
+        leaf = struct(key="''", path="''", text=text, scope=scope, found="_found")
+        done = staged.withColumn("_found", F.expr(found)).withColumn(
+            "_swept", sweep_leaves(options, F.expr(f"CASE WHEN size(_found) > {MANY} THEN array({leaf}) END"))
+        )
+        few = redact_candidates(options, text, scope, "_found")
+        swept = struct(text="_swept[0].text", entities=f"cast(_swept[0].entities AS {ENTITIES})")
+        done = done.withColumn("_redaction", F.expr(f"CASE WHEN size(_found) > {MANY} THEN {swept} ELSE {few} END"))
+    return done.select(
         *kept,
         "mapping_id",
         F.col("_redaction.text").alias("redacted"),
@@ -174,6 +194,13 @@ def redact_column(
     )
 
 
+def combined(redacted: DataFrame) -> DataFrame:
+    """With global scope a value has one token everywhere: its rows of one mapping are combined map-side."""
+    rows = redacted.select("mapping_id", F.explode("entities").alias("e"))
+    one = rows.groupBy("mapping_id", "e.placeholder").agg(F.min("e").alias("e"))
+    return one.select("mapping_id", F.array("e").alias("entities"))
+
+
 def mapping_rows(
     redacted: DataFrame,
     path: Column | str,
@@ -185,8 +212,9 @@ def mapping_rows(
     entities are already distinct, so no shuffle; with global scope they are combined map-side."""
     stamp = F.expr(created_at or "current_timestamp()")
     where = F.lit(path) if isinstance(path, str) else path
+    found = redacted if options.scope != "global" else combined(redacted)
     rows = (
-        redacted.select("mapping_id", where.alias("path"), stamp.alias("created_at"), F.explode_outer("entities").alias("e"))
+        found.select("mapping_id", where.alias("path"), stamp.alias("created_at"), F.explode_outer("entities").alias("e"))
         .where(F.col("e").isNotNull())
         .select(
             "mapping_id", "path", "e.placeholder", "e.entity_type", "e.original", "e.score", "e.source",

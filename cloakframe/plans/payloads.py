@@ -7,28 +7,32 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.sqltext import keep, let, quote, struct, transform
+from cloakframe.functions.sqltext import fn, keep, let, quote, struct, transform
 from cloakframe.functions.text import substitute_tokens
 from cloakframe.operators.detect import Detector
 from cloakframe.operators.nested import (
-    DEEPER,
+    HANDLE,
     KEY_MARK,
     PATH_ENTITIES,
     annotate,
     gather,
     has_strings,
+    json_leaf_rows,
     leaf_array,
     rebuild_json,
     rewrite,
-    system_items,
+    stamp_json,
     stamp_metadata,
+    strip_json,
     strip_metadata,
-    variant_nodes,
+    system_items,
 )
+from cloakframe.operators.redact import redact_candidates, redact_spans
 from cloakframe.operators.restore import known_tokens, needed_tokens, restore_column
+from cloakframe.operators.sweep import LEAVES, MANY, sweep_leaves
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
-from cloakframe.plans.columns import redact_column, redaction
+from cloakframe.plans.columns import RowProfiles, candidates_of, redact_column
 from cloakframe.sources.payloads import split_quarantine
 from cloakframe.sources.profiles import ProfileSet
 
@@ -43,20 +47,50 @@ def redact_payload(
     detectors: Iterable[Detector] | None = None,
     skip_system: bool = True,
     metadata: str = "metadata",
+    profile_column: str | None = None,
+    lang: str | None = None,
+    extra: str | None = None,
+    scope_keys: list[str] | None = None,
+    first: str | None = None,
 ) -> DataFrame:
     """`df` with every string leaf of `columns` redacted in place, metadata stamped with the
-    mapping id, and `entities` (ARRAY<path, placeholder, ...>). Narrow: no join, no shuffle."""
-    resolved = (profiles or ProfileSet(default=options.default_profile)).resolve(profile)
+    mapping id, and `entities` (ARRAY<path, placeholder, ...>). Narrow: no join, no shuffle.
+
+    `profile_column` picks a profile per row, `lang` is a SQL expression of a row's language, and `extra` a column of
+    candidates from gazetteers or models, which are looked for in every leaf of the row.
+    Where a long `messages` list is cut into several rows, `scope_keys` name the document, whose rows share one mapping
+    id and its tokens, and `first` is the column with the number of a row's first message, for paths.
+    """
+    profiles = profiles or ProfileSet(default=options.default_profile)
     chosen = None if detectors is None else list(detectors)
-    walked = [c for c in (columns or df.columns) if c not in keys and has_strings(df.schema[c].dataType)]
+    walked = [c for c in (columns or df.columns) if c not in (*keys, profile_column, extra, first) and has_strings(df.schema[c].dataType)]
     scope = token_scope(options, "mapping_id", "{leaf}.path")
 
+    settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
+
+    def found_in(x: str) -> str:
+        found, _ = candidates_of(f"{x}.text", settings, options, chosen, lang, extra)
+        return struct(key=f"{x}.key", path=f"{x}.path", text=f"{x}.text", scope=scope.format(leaf=x), found=found)
+
+    spans_only = candidates_of("''", settings, options, chosen, lang, extra)[1]
+    located = redact_spans if spans_only else redact_candidates
+    swept = "false" if spans_only else "size({x}.found) > " + str(MANY)
+
     def redacted_leaf(x: str) -> str:
-        done = redaction(f"{x}.text", resolved, scope.format(leaf=x), options, chosen)
+        done = located(options, f"{x}.text", f"{x}.scope", f"{x}.found")
         return let(done, lambda r: struct(key=f"{x}.key", path=f"{x}.path", text=f"{r}.text", entities=f"{r}.entities"))
 
-    hits = keep(transform(leaf_array(df.schema, walked, skip_system), redacted_leaf), lambda x: f"size({x}.entities) > 0")
-    staged = df.select("*", F.expr(mapping_id(options, *keys)).alias("mapping_id")).withColumn("_hits", F.expr(hits))
+    leaves = keep(transform(leaf_array(df.schema, walked, skip_system, first), found_in), lambda x: f"size({x}.found) > 0")
+    staged = df.select("*", F.expr(mapping_id(options, *(scope_keys or keys))).alias("mapping_id")).withColumn("_leaves", F.expr(leaves))
+    few = transform(keep("_leaves", lambda x: f"NOT ({swept.format(x=x)})"), redacted_leaf)
+    if spans_only:
+        staged = staged.withColumn("_hits", F.expr(few))
+    else:
+        large = keep("_leaves", lambda x: swept.format(x=x))
+        staged = staged.withColumn("_swept", sweep_leaves(options, F.expr(f"CASE WHEN exists(_leaves, {fn(lambda x: swept.format(x=x))}) THEN {large} END")))
+        hits = f"CASE WHEN _swept IS NULL THEN {few} ELSE concat({few}, cast(_swept AS {LEAVES})) END"
+        staged = staged.withColumn("_hits", F.expr(hits))
+    staged = staged.withColumn("_hits", F.expr(keep("_hits", lambda x: f"size({x}.entities) > 0"))).drop("_leaves", "_swept")
     changed = staged.withColumn(
         "_changed", F.expr(f"map_from_entries({transform('_hits', lambda h: struct(k=f'{h}.key', v=f'{h}.text'))})")
     )
@@ -65,7 +99,7 @@ def redact_payload(
         new = annotate(
             df.schema[c].dataType, f"`{c}`", quote(c),
             lambda text, key, _: f"coalesce(try_element_at(_changed, {key}), {text})",
-            name=c, top=True, skip_system=False, mark=KEY_MARK,
+            name=c, top=True, skip_system=False, mark=KEY_MARK, first=first if c == "messages" else None,
         )
         return f"CASE WHEN size(_hits) = 0 THEN `{c}` ELSE {new} END"
 
@@ -112,10 +146,11 @@ def restore_payload(
     type_fallback: str = "off",
     metadata: str = "metadata",
 ) -> DataFrame:
-    """`df` with the originals back in every string leaf and the handle stripped from metadata."""
+    """`df` with the originals back in every string leaf, those of metadata too, and the handle stripped."""
     walked = [
-        c for c in (columns or df.columns) if c not in (*keys, metadata) and has_strings(df.schema[c].dataType)
+        c for c in {*(columns or df.columns), *({metadata} & {*df.columns})} if c not in keys and has_strings(df.schema[c].dataType)
     ]
+    walked.sort(key=df.columns.index)
     pattern = quote(options.token_pattern)
     tokens = [
         F.expr(gather(df.schema[c].dataType, f"`{c}`", lambda x: f"regexp_extract_all({x}, {pattern}, 0)", "array<string>"))
@@ -147,36 +182,39 @@ def redact_json(
     profile: str | None = None,
     options: Options = Options(),
     detectors: Iterable[Detector] | None = None,
-    max_depth: int = 8,
+    stamp: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with `redacted`, mapping entities per leaf, quarantine) for JSON text of unknown shape.
+    """(documents with `redacted`, mapping entities per leaf, quarantine) for JSON text of any shape and depth.
 
-    Bodies that are no JSON object, or nested deeper than `max_depth`, go to the quarantine with a `reason` and never
-    on; with on_error="raise" they fail the job. System items of a top-level `messages` list stay as they are. Declare
-    a schema and use redact_payload where the shape is known: that needs no shuffle.
+    Bodies that are no JSON object go to the quarantine with a `reason` and never on; with on_error="raise" they fail
+    the job. System items of a top-level `messages` list stay as they are. With `stamp` the mapping id is set in the
+    body's own metadata. Declare a schema and use redact_payload where the shape is known: that needs no shuffle.
     """
     readable, refused = split_quarantine(df, body, options.on_error)
-    nodes = variant_nodes(
-        readable.withColumn("_system", F.expr(system_items(body))), [*keys, "_system"], body, max_depth, options.on_error == "raise"
-    )
-    deep = nodes.where(F.col("kind") == DEEPER).select(*keys).distinct()
-    refused = refused.unionByName(readable.join(deep, keys, "left_semi").withColumn("reason", F.lit("too_deep")))
-    readable = readable.join(deep, keys, "left_anti")
-    leaves = nodes.where(F.col("kind") == "STRING").join(deep, keys, "left_anti").select(
-        *keys, "_system", "path", "address", F.variant_get("node", "$", "string").alias("text")
-    )
+    leaves = json_leaf_rows(readable.withColumn("_system", F.expr(system_items(body))), [*keys, "_system"], body)
     item = F.regexp_extract("path", r"^messages\[([0-9]+)\]\.", 1)
     scanned = leaves.where(~F.array_contains("_system", F.when(item != "", item.cast("int")).otherwise(F.lit(-1)))).drop("_system")
     done = redact_column(scanned, "text", keys, profiles, profile, options=options, detectors=detectors, path_column="path")
-    changed = done.where(~F.col("text").eqNullSafe(F.col("redacted")))
+    # explode_outer keeps Spark from computing the redaction a second time in a filter
+    one = F.when(~F.col("text").eqNullSafe(F.col("redacted")), F.array(F.struct("redacted", "entities")))
+    changed = done.select(*keys, "mapping_id", "path", "address", F.explode_outer(one).alias("_c")).where(F.col("_c").isNotNull())
+    changed = changed.select(*keys, "mapping_id", "path", "address", "_c.*")
     out = rebuild_json(readable, keys, body, changed.select(*keys, "address", F.col("redacted").alias("text")), "redacted")
+    if stamp:
+        out = out.withColumn("redacted", stamp_json(F.col("redacted"), F.expr(mapping_id(options, *keys))))
     return out, changed.select(*keys, "mapping_id", "path", "entities"), refused
 
 
 def restore_json(
     df: DataFrame, keys: list[str], body: str, mappings: DataFrame, options: Options = Options(), **how
 ) -> DataFrame:
-    """`df` plus `restored`: the JSON text with the originals of its tokens back, written as JSON strings are."""
+    """`df` plus `restored`: the JSON text with the originals of its tokens back, written as JSON strings are, and
+    without the handle in its metadata. Where `df` has no mapping_id, the handle is taken from the body."""
+    if "mapping_id" not in df.columns and "mapping_id" not in how:
+        how["mapping_id"] = F.get_json_object(body, f"$.metadata.{HANDLE}")
     written = F.to_json(F.struct(F.col("original").alias("o")))
     escaped = F.substring(written, F.lit(7), F.length(written) - 8)  # between {"o":" and "}
-    return restore_column(df, body, mappings.withColumn("original", escaped), keys, options=options, **how)
+    done = restore_column(df, body, mappings.withColumn("original", escaped), keys, options=options, **how)
+    to = how.get("to", "restored")
+    stamped = F.col(to).contains(HANDLE)
+    return done.withColumn(to, F.coalesce(strip_json(F.when(stamped, F.col(to))), F.col(to)))

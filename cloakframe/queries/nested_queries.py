@@ -7,51 +7,51 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import nested
 from cloakframe.operators.tokens import mapping_id
-from cloakframe.plans.payloads import payload_mapping_rows, redact_payload, restore_payload
+from cloakframe.plans.columns import mapping_rows
+from cloakframe.plans.payloads import payload_mapping_rows, redact_json, redact_payload, restore_json, restore_payload
 from cloakframe.queries.base import ALL, EPOCH, OPTIONS, documents, payloads, query
 from cloakframe.queries.sqlparts import mapping_id as mid_sql
 from cloakframe.queries.sqlparts import redaction_ctes
-from cloakframe.sources.payloads import MAX_TURNS, PAYLOAD, parse_payloads, split_quarantine
+from cloakframe.sources.payloads import PAYLOAD, parse_payloads, split_quarantine
 from cloakframe.sources.tables import load_table, stage
 
 CHUNK = ["conv_id", "chunk"]
-_TURNS = f"""t AS (SELECT conv_id, CAST(turn // {MAX_TURNS} AS BIGINT) AS chunk, turn, role, text,
-row_number() OVER (PARTITION BY conv_id, turn // {MAX_TURNS} ORDER BY turn) - 1 AS i FROM conversations)"""
-_LEAVES = """SELECT conv_id, chunk, 'messages[' || i || '].role' AS path, role AS text FROM t{0}
-UNION ALL SELECT conv_id, chunk, 'messages[' || i || '].content', text FROM t{0}"""
+_TURNS = """t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)"""
+_LEAVES = """SELECT conv_id, 'messages[' || i || '].role' AS path, role AS text FROM t{0}
+UNION ALL SELECT conv_id, 'messages[' || i || '].content', text FROM t{0}"""
 
 
 def bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Payloads as JSON text."""
-    return payloads(spark, folder).select(*CHUNK, F.to_json(F.struct("messages")).alias("body"))
+    """Payloads as JSON text; a long conversation has several."""
+    return payloads(spark, folder).select(*CHUNK, "first", F.to_json(F.struct("messages")).alias("body"))
 
 
 @query(
     "src_payload_json",
-    f"WITH {_TURNS} SELECT conv_id, chunk, CAST(count(*) AS INT) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM t GROUP BY 1, 2",
+    "SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1",
 )
 def src_payload_json(spark: SparkSession, folder: str) -> DataFrame:
     parsed = parse_payloads(bodies(spark, folder), "body", PAYLOAD)
-    return parsed.select(
-        *CHUNK,
-        F.size("payload.messages").alias("n_messages"),
-        F.expr("aggregate(payload.messages, 0L, (a, m) -> a + length(m.content))").alias("n_chars"),
-    )
+    n_chars = F.expr("aggregate(payload.messages, 0L, (a, m) -> a + length(m.content))")
+    return parsed.groupBy("conv_id").agg(F.sum(F.size("payload.messages")).alias("n_messages"), F.sum(n_chars).alias("n_chars"))
 
 
 @query("leaves_messages", f"WITH {_TURNS} {_LEAVES.format('')}")
 def leaves_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_leaves(payloads(spark, folder), CHUNK, ["messages"])
+    return nested.typed_leaves(payloads(spark, folder), ["conv_id"], ["messages"], first="first")
 
 
 @query("leaves_variant", f"WITH {_TURNS} {_LEAVES.format('')}")
 def leaves_variant(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.variant_leaves(bodies(spark, folder), CHUNK, "body", max_depth=3)
+    leaves = nested.variant_leaves(bodies(spark, folder), ["conv_id", "first"], "body", max_depth=3)
+    number = F.regexp_extract("path", r"^messages\[([0-9]+)", 1).cast("long") + F.col("first")
+    rest = F.regexp_extract("path", r"^messages\[[0-9]+(.*)$", 1)
+    return leaves.select("conv_id", F.concat(F.lit("messages["), number, rest).alias("path"), "text")
 
 
 @query("exclude_system", "WITH " + _TURNS + " " + _LEAVES.format(" WHERE role <> 'system'"))
 def exclude_system(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_leaves(payloads(spark, folder), CHUNK, ["messages"], skip_system=True)
+    return nested.typed_leaves(payloads(spark, folder), ["conv_id"], ["messages"], skip_system=True, first="first")
 
 
 @query(
@@ -71,11 +71,13 @@ def leaf_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "rebuild_messages",
-    f"""WITH {_TURNS} SELECT conv_id, chunk, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM t GROUP BY 1, 2""",
+    "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1",
 )
 def rebuild_messages(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"]))
-    return payloads(spark, folder).select(*CHUNK, F.array_join(lines, "\n").alias("transcript"))
+    parts = payloads(spark, folder).select(*CHUNK, F.array_join(lines, "\n").alias("part"))
+    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
+    return whole.select("conv_id", F.array_join("parts.part", "\n").alias("transcript"))
 
 
 def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,22 +146,63 @@ def restored_payload(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "stamp_metadata",
-    f"WITH {_TURNS} SELECT DISTINCT conv_id, chunk, {mid_sql('conv_id', 'chunk')} AS privacy_mapping_id FROM t",
+    f"SELECT DISTINCT conv_id, {mid_sql('conv_id')} AS privacy_mapping_id FROM conversations",
 )
 def stamp(spark: SparkSession, folder: str) -> DataFrame:
-    named = payloads(spark, folder).withColumn("mapping_id", F.expr(mapping_id(OPTIONS, *CHUNK)))
-    return nested.stamp_metadata(named).select(*CHUNK, "metadata.privacy_mapping_id")
+    named = payloads(spark, folder).withColumn("mapping_id", F.expr(mapping_id(OPTIONS, "conv_id")))
+    return nested.stamp_metadata(named).select("conv_id", "metadata.privacy_mapping_id").distinct()
 
 
 @query(
     "strip_metadata",
-    f"""WITH {_TURNS} SELECT conv_id, chunk, '{{"turns":' || count(*) || '}}' AS kept, '{{}}' AS emptied FROM t GROUP BY 1, 2""",
+    """SELECT DISTINCT conv_id, '{"conversation":' || conv_id || '}' AS kept, '{}' AS emptied FROM conversations""",
 )
 def strip(spark: SparkSession, folder: str) -> DataFrame:
-    named = payloads(spark, folder).withColumn("mapping_id", F.expr(mapping_id(OPTIONS, *CHUNK)))
+    named = payloads(spark, folder).withColumn("mapping_id", F.expr(mapping_id(OPTIONS, "conv_id")))
     bare = nested.strip_metadata(nested.stamp_metadata(named)).withColumn("emptied", F.to_json("metadata"))
-    full = bare.withColumn("metadata", F.struct(F.size("messages").alias("turns")))
-    return nested.strip_metadata(nested.stamp_metadata(full)).select(*CHUNK, F.to_json("metadata").alias("kept"), "emptied")
+    full = bare.withColumn("metadata", F.struct(F.col("conv_id").alias("conversation")))
+    return nested.strip_metadata(nested.stamp_metadata(full)).select("conv_id", F.to_json("metadata").alias("kept"), "emptied").distinct()
+
+
+NESTED = 11  # objects around the text in a document's JSON
+
+
+def document_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as JSON text: a system message that must stay, a user message, and the text deep inside."""
+    text = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")  # as a JSON string
+    deep = F.concat(F.lit('{"a":' * NESTED), text, F.lit("}" * NESTED))
+    body = F.concat(
+        F.lit('{"messages": [{"role": "system", "content": '), text, F.lit('}, {"role": "user", "content": '), text,
+        F.lit('}], "n": 1.50, "deep": '), deep, F.lit("}"),
+    )
+    return documents(spark, folder).select("doc_id", F.when(F.col("text").isNotNull(), body).alias("body"))
+
+
+def shown_body(df: DataFrame, body: str) -> DataFrame:
+    at = lambda path: F.get_json_object(body, f"$.{path}")
+    return df.select(
+        "doc_id", at("messages[0].content").alias("system_text"), at("messages[1].content").alias("user_text"),
+        at("deep" + ".a" * NESTED).alias("deep_text"), at("metadata.privacy_mapping_id").alias("privacy_mapping_id"),
+    )
+
+
+@query(
+    "anonymize_json",
+    f"WITH {_RED} SELECT doc_id, text AS system_text, redacted AS user_text, redacted AS deep_text, mid AS privacy_mapping_id FROM red",
+)
+def anonymize_json(spark: SparkSession, folder: str) -> DataFrame:
+    return shown_body(redact_json(document_bodies(spark, folder), ["doc_id"], "body", options=OPTIONS, stamp=True)[0], "redacted")
+
+
+@query(
+    "restore_json",
+    "SELECT doc_id, text AS system_text, text AS user_text, text AS deep_text, CAST(NULL AS VARCHAR) AS privacy_mapping_id FROM documents",
+)
+def restored_json(spark: SparkSession, folder: str) -> DataFrame:
+    done, found, _ = redact_json(document_bodies(spark, folder), ["doc_id"], "body", options=OPTIONS, stamp=True)
+    known = mapping_rows(stage(found, "json-mappings"), F.col("path"), created_at=EPOCH, options=OPTIONS)
+    back = restore_json(stage(done.select("doc_id", "redacted"), "json-bodies"), ["doc_id"], "redacted", known, OPTIONS)
+    return shown_body(back, "restored")
 
 
 _AFTER = """CASE event_type WHEN 'view' THEN '{"metadata": {"id": "x"}, "k": 1}' WHEN 'error' THEN '{}'

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from cloakframe.operators.detect import CONTEXT_BOOST, CONTEXT_WIDTH, Detector
+from cloakframe.operators.detect import CONTEXT_BOOST, CONTEXT_WIDTH, WIDE_ENDINGS, Detector
 from cloakframe.options import DEFAULT_THRESHOLDS
 
 SALT = "audit-salt"
@@ -52,6 +52,8 @@ def _valid(d: Detector, v: str) -> str:
             f"WHEN CAST(substr({digits}, k, 1) AS INT) > 4 THEN 2 * CAST(substr({digits}, k, 1) AS INT) - 9 "
             f"ELSE 2 * CAST(substr({digits}, k, 1) AS INT) END)) % 10 = 0"
         )
+    if kind == "ending_known":
+        return f"regexp_matches({v}, {q(rf'[.](?:{WIDE_ENDINGS})$')})"
     if kind == "octets_valid":
         return f"list_max(list_transform(string_split({v}, '.'), lambda o: CAST(o AS INT))) <= 255"
     if kind == "iso_date_valid":

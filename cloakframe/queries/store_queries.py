@@ -9,6 +9,7 @@ from cloakframe.operators import asof, audit, store
 from cloakframe.queries.base import OPTIONS, PROFILES, query
 from cloakframe.queries.text_queries import _REDACT_ALL_SQL
 from cloakframe.sources.tables import load_table, work_folder
+from cloakframe.streaming import store as store_stream
 from cloakframe.streaming import streams
 
 TTL = 6 * 3600
@@ -181,6 +182,65 @@ GROUP BY w, event_type""",
 def stream_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = work_folder(spark, "stream-counts")
     log = streams.table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = streams.window_counts(log, "ts", "event_type", "1 hour")
-    streams.keep_all(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
-    return streams.latest_counts(spark, f"{out}/counts").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+    run = streams.count_windows(log, "ts", "event_type", "1 hour", f"{out}/counts", f"{out}/checkpoint")
+    run.awaitTermination()
+    counts = streams.counted_windows(spark, f"{out}/counts", str(run.id))
+    return counts.select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+
+
+def _closing(log: DataFrame, days: int) -> DataFrame:
+    """One row after all others, which moves the watermark past them."""
+    return log.agg((F.max("ts") + F.make_dt_interval(F.lit(days))).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("closing").alias("event_type"), F.lit(0.0).alias("value")
+    )
+
+
+@query(
+    "stream_unresolved",
+    """SELECT event_id AS mapping_id, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 60000000 AS asked_us FROM events
+WHERE CAST(floor(value) AS BIGINT) * 60 > 3600""",
+)
+def stream_unresolved(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers that come more than an hour after their mapping."""
+    out = work_folder(spark, "stream-unresolved")
+    log = events(spark, folder).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    feed = f"{out}/events"
+    log.write.parquet(feed)
+    for days in (10, 20, 30):
+        come = lambda: spark.readStream.schema(log.schema).parquet(feed)
+        created = come().select(F.col("event_id").alias("mapping_id"), F.col("ts").alias("created_at"))
+        asked = come().select(
+            F.col("event_id").alias("mapping_id"), (F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int"))).alias("asked_at")
+        )
+        lost = streams.unresolved_responses(created, asked, "mapping_id", "created_at", "asked_at", 3600)
+        streams.append_to(lost, f"{out}/lost", f"{out}/checkpoint").awaitTermination()
+        _closing(log, days).write.mode("append").parquet(feed)
+    lost = spark.read.parquet(f"{out}/lost").where("mapping_id >= 0")
+    return lost.select("mapping_id", F.unix_micros("asked_at").alias("asked_us"))
+
+
+STORE_TTL = 5 * 86400
+
+
+@query(
+    "stream_bounded_store",
+    f"""WITH a AS (SELECT event_type AS tenant, user_id, max(ts) AS last FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY epoch_us(last) // 1000 DESC, user_id) AS rank FROM a)
+SELECT tenant, CAST(user_id AS VARCHAR) AS mapping_id, epoch_us(last) // 1000 AS last_access_ms FROM r
+WHERE rank <= {OPTIONS.store_capacity} AND epoch_us(last) // 1000 + {STORE_TTL * 1000} > (SELECT epoch_us(max(ts)) // 1000 FROM events)""",
+)
+def stream_bounded_store(spark: SparkSession, folder: str) -> DataFrame:
+    """What a store of limited capacity and age holds after all events."""
+    out = work_folder(spark, "stream-store")
+    log = events(spark, folder).select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    feed = f"{out}/events"
+    log.write.parquet(feed)
+    for _ in range(2):  # in the second run the watermark of the first one holds, and timers wake
+        accesses = spark.readStream.schema(log.schema).parquet(feed)
+        store_stream.keep_bounded(
+            accesses, "event_type", "user_id", "ts", OPTIONS.store_capacity, STORE_TTL, f"{out}/ops", f"{out}/checkpoint"
+        ).awaitTermination()
+        last = log.agg(F.max("ts").alias("ts")).select(F.lit("-1").alias("user_id"), "ts", F.lit("closing").alias("event_type"))
+        last.write.mode("append").parquet(feed)
+    kept = store_stream.bounded_contents(spark, f"{out}/ops").where("tenant <> 'closing'")
+    return kept.select("tenant", "mapping_id", F.unix_millis("last_access").alias("last_access_ms"))

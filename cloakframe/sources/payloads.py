@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Turns per payload document: bounds the array one row holds, however long a conversation is.
+# Turn numbers per row: bounds the array that a row holds. A conversation may have any number of rows.
 MAX_TURNS = 64
 
 MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
@@ -48,14 +48,17 @@ def split_quarantine(df: DataFrame, body: str, on_error: str = "closed") -> tupl
 def payloads_from_turns(
     turns: DataFrame, conversation: str, turn: str, role: str, content: str, max_turns: int = MAX_TURNS
 ) -> DataFrame:
-    """(conversation, chunk, messages): turns in order, at most `max_turns` turn numbers per document."""
+    """(conversation, chunk, first, messages): turns in order, at most `max_turns` turn numbers a row; `first` is the
+    number of a row's first message in the whole conversation, so paths and scopes are those of the conversation."""
     chunk = F.floor(F.col(turn) / max_turns).cast("long")
+    before = Window.partitionBy(conversation).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     return (
         turns.groupBy(conversation, chunk.alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct(turn, role, content))).alias("_turns"))
         .select(
             conversation,
             "chunk",
+            F.coalesce(F.sum(F.size("_turns")).over(before), F.lit(0)).cast("long").alias("first"),
             F.transform(
                 "_turns", lambda t: F.struct(t[role].alias("role"), t[content].alias("content"))
             ).alias("messages"),

@@ -99,21 +99,24 @@ STARTER_PROFILES: dict[str, dict] = {
 
 
 def load_profiles(path: str | None = None) -> dict[str, dict]:
-    """Profiles from YAML (S2); a missing, empty or unreadable file gives the built-in default."""
+    """Profiles from YAML (S2); no file or an empty one gives the built-in default. A file that can't be read fails the
+    job: without its dictionaries texts would pass unredacted."""
     if path is None or not os.path.exists(path):
         return default_profiles()
-    try:
-        import yaml
+    import yaml
 
-        with open(path, encoding="utf-8") as handle:
+    with open(path, encoding="utf-8") as handle:
+        try:
             content = yaml.safe_load(handle)
-        found = content["profiles"] if content else None
-        if not isinstance(found, dict):
-            return default_profiles()
-        ProfileSet(found)
-        return found
-    except Exception:  # any unreadable source falls back, by contract
+        except (yaml.YAMLError, UnicodeDecodeError) as e:
+            raise ValueError(f"profiles can't be read: {path}") from e
+    if content is None:
         return default_profiles()
+    found = content.get("profiles") if isinstance(content, dict) else None
+    if not isinstance(found, dict) or not all(isinstance(p, dict) for p in found.values()):
+        raise ValueError(f"no mapping `profiles` of names to settings in {path}")
+    ProfileSet(found)
+    return found
 
 
 def write_profile_template(path: str) -> bool:

@@ -168,24 +168,39 @@ def append_to(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None
     )
 
 
-def keep_all(counts: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Sink for counts that must be whole: each batch writes the counts of all rows so far, open windows and late rows
-    included, to a folder that `latest_counts` reads. State holds a row per window and type and is never dropped."""
+def count_windows(
+    events: DataFrame, time: str, by: str, width: str, out: str, checkpoint: str, slide: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Whole counts per time window and type (ST5) without state: each batch writes the counts of its own rows, however
+    late they are, to a folder of its own, and `counted_windows` adds them up. A batch that runs again replaces its
+    folder; a query with a new checkpoint is another run."""
+    window = F.window(time, width, slide) if slide else F.window(time, width)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        counts = batch.groupBy(window.alias("_w"), by).agg(F.count("*").alias("n"))
+        rows = counts.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), by, "n")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        rows.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/run={run}/batch_id={batch_id}")
 
-    return (
-        counts.writeStream.foreachBatch(work)
-        .outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _each_batch(events, checkpoint, work, trigger)
 
 
-def latest_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The counts of the last batch that `keep_all` wrote whole."""
+def counted_windows(spark: SparkSession, out: str, run: str | None = None) -> DataFrame:
+    """The counts of a run of `count_windows` (a query's id), by default of the one that wrote last."""
     written = spark.read.parquet(out)
-    last = written.agg(F.max("batch_id")).first()[0]
-    return written.where(F.col("batch_id") == F.lit(last)).drop("batch_id")
+    if run is None:
+        last = written.groupBy("run").agg(F.max("written_at").alias("at")).orderBy(F.desc("at"), "run").first()
+        run = last["run"] if last else ""
+    rows = written.where(F.col("run") == run)
+    keys = [c for c in rows.columns if c not in ("n", "run", "batch_id", "written_at")]
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def unresolved_responses(
+    mappings: DataFrame, responses: DataFrame, on: str, created: str, asked: str, ttl_seconds: int, delay: str = "10 minutes"
+) -> DataFrame:
+    """Responses whose mapping never came, or had expired (ST4): the outer side of the expiry join, which state
+    eviction emits once the watermark has passed."""
+    joined = ttl_join(mappings, responses, on, created, asked, ttl_seconds, delay, "left_outer")
+    return joined.where(F.col(created).isNull()).select(*responses.columns)

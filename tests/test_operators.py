@@ -13,7 +13,7 @@ from cloakframe.operators import asof, fuzzy, store
 from cloakframe.operators.detect import Detector, DetectorRegistry, detect, span_rows
 from cloakframe.operators.dictionary import dictionary_hits_join
 from cloakframe.operators.gazetteer import gazetteer_spans, span_candidates
-from cloakframe.operators.model import model_spans
+from cloakframe.operators.model import each_text, model_spans
 from cloakframe.operators.overlap import resolve_overlaps
 from cloakframe.options import Options, check_type_name
 from cloakframe.plans.columns import redact_column
@@ -235,7 +235,7 @@ def test_gazetteer_and_model_as_extra_candidates(spark):
     assert "Paris" not in out and "New  York" in out and out.count("<LOCATION_") == 2
 
     def load():
-        return lambda t: [("PERSON", 0, 2, 0.9)] if t.startswith("We") else []
+        return each_text(lambda t: [("PERSON", 0, 2, 0.9)] if t.startswith("We") else [])
 
     assert [(r["value"], r["source"]) for r in model_spans(df, ["id"], "text", load).collect()] == [("We", "model")]
 
@@ -251,9 +251,12 @@ def test_profiles_load_and_fall_back(tmp_path):
     assert loaded.resolve("high_security").fuzzy_threshold("PERSON") == 75
     assert [v.value for v in loaded.resolve("default").dictionary][:2] == ["John Doe", "Jane Smith"]
     assert loaded.resolve("nobody").dictionary == ()
-    for content in ("", "profiles: [1]", "a: b", ":\n :"):
+    path.write_text("")
+    assert load_profiles(str(path)) == default_profiles()
+    for content in ("profiles: [1]", "a: b", ":\n :", "profiles: {a: 1}", "{"):
         path.write_text(content)
-        assert load_profiles(str(path)) == default_profiles()
+        with pytest.raises(ValueError):
+            load_profiles(str(path))
 
 
 def test_lru_follows_the_event_order(spark):

@@ -120,6 +120,7 @@ def test_json_keeps_what_is_not_a_leaf(spark):
     }
     df = spark.createDataFrame(list(bodies.items()), "id long, body string")
     out, entities, refused = redact_json(df, ["id"], "body", options=SALTED)
+    out, entities = out.cache(), entities.cache()
     got = {r["id"]: r["redacted"] for r in out.collect()}
     token = r"<EMAIL_ADDRESS_[0-9a-f]{8}>"
     assert re.fullmatch(r'\{"a\.b":"mail ' + token + r'","a":\{"b":"plain words"\}\}', got[1])
@@ -127,13 +128,84 @@ def test_json_keeps_what_is_not_a_leaf(spark):
         r'\{ "n": 1\.10, "s":"at ' + token + r' \\"q\\" é\\n", "l":\["keep this", "or ' + token + r'"\], "e": \[\], "o": \{\} \}', got[2]
     )
     assert re.fullmatch(r'\{"a\[0\]":"first ' + token + r'","a":\["second words"\]\}', got[5])
-    assert {r["id"]: r["reason"] for r in refused.collect()} == {3: "invalid_json", 4: "too_deep"}
+    assert {r["id"]: r["reason"] for r in refused.collect()} == {3: "invalid_json"}
+    assert "a@b.co" not in got[4] and got[4].startswith('{"d":' * 12)
     mappings = entities.select("id", "mapping_id", F.explode("entities").alias("e")).select(
         "mapping_id", "e.placeholder", "e.entity_type", "e.original", F.lit("2024-01-01").cast("timestamp").alias("created_at")
     )
     handles = entities.select("id", "mapping_id").distinct()
     back = restore_json(out.join(handles, "id").select("id", "mapping_id", "redacted"), ["id"], "redacted", mappings)
-    assert {r["id"]: r["restored"] for r in back.collect()} == {i: bodies[i] for i in (1, 2, 5)}
+    assert {r["id"]: r["restored"] for r in back.collect()} == {i: bodies[i] for i in (1, 2, 4, 5)}
+
+
+def test_json_of_depth_200_with_a_handle(spark):
+    bodies = {
+        1: '{"a":' * 200 + '["x", "mail x@y.co"]' + "}" * 200,
+        2: '{"metadata": {"k": [1, {"b": 2}], "privacy_mapping_id": "old"}, "t": "plain words"}',
+        3: "{}",
+        4: '{"metadata":{"privacy_mapping_id":"old","z":null},"t":"mail x@y.co"}',
+        5: '{"metadata": "a text", "t": "words"}',
+        6: '{"t": {"metadata": {"z": 1}}, "metadata": { } }',
+    }
+    df = spark.createDataFrame(list(bodies.items()), "id long, body string")
+    out, found, refused = redact_json(df, ["id"], "body", options=SALTED, stamp=True)
+    out, found = out.cache(), found.cache()
+    got = {r["id"]: r["redacted"] for r in out.collect()}
+    assert refused.count() == 0 and "x@y.co" not in got[1] + got[4]
+    handles = {i: json.loads(b).get("metadata") for i, b in got.items()}
+    assert all(len(handles[i]["privacy_mapping_id"]) == 36 for i in (1, 2, 3, 4, 6))
+    assert handles[2]["k"] == [1, {"b": 2}] and handles[4]["z"] is None and "old" not in got[2] + got[4]
+    rows = found.select("mapping_id", F.explode("entities").alias("e")).select(
+        "mapping_id", "e.placeholder", "e.entity_type", "e.original", F.lit("2024-01-01").cast("timestamp").alias("created_at")
+    )
+    back = {r["id"]: r["restored"] for r in restore_json(out.select("id", "redacted"), ["id"], "redacted", rows).collect()}
+    assert json.loads(back[1]) == json.loads(bodies[1]) | {"metadata": {}}
+    assert json.loads(back[2])["metadata"] == {"k": [1, {"b": 2}]} and json.loads(back[6])["metadata"] == {}
+    assert json.loads(back[4]) == {"metadata": {"z": None}, "t": "mail x@y.co"}
+
+
+def test_metadata_is_restored(spark):
+    df = spark.sql("SELECT 1L AS id, 'plain words' AS t, named_struct('author', 'bob@example.com') AS metadata")
+    done = redact_payload(df, ["id"], options=SALTED)
+    assert "bob" not in done.first()["metadata"]["author"]
+    known = payload_mapping_rows(done, created_at="TIMESTAMP '2024-01-01 00:00:00'", options=SALTED)
+    back = restore_payload(done.drop("entities", "mapping_id"), known, ["id"], options=SALTED).first()
+    assert back["metadata"].asDict() == {"author": "bob@example.com"}
+
+
+def test_a_long_conversation_keeps_one_token_a_person(spark):
+    turns = spark.createDataFrame([(1, t, "user", f"turn {t} of x@y.co") for t in range(200)], "conv long, turn long, role string, text string")
+    rows = payloads_from_turns(turns, "conv", "turn", "role", "text")
+    assert rows.count() > 1
+    done = redact_payload(rows, ["conv", "chunk"], ["messages"], options=SALTED, scope_keys=["conv"], first="first")
+    found = payload_mapping_rows(done, options=SALTED).collect()
+    assert len({r["placeholder"] for r in found}) == 1 == len({r["mapping_id"] for r in found})
+    assert {r["path"] for r in found} == {f"messages[{t}].content" for t in range(200)}
+    shown = [m["content"] for r in done.orderBy("chunk").collect() for m in r["messages"]]
+    assert not any("x@y.co" in c for c in shown) and shown[150].startswith("turn 150 of <EMAIL")
+
+
+def test_payloads_with_a_profile_per_row_and_candidates(spark):
+    from cloakframe.sources.profiles import ProfileSet
+
+    profiles = ProfileSet({"default": {}, "names": {"custom_entities": {"PERSON": ["Zorro"]}}})
+    df = spark.sql("SELECT * FROM VALUES (1, 'names', 'ask Zorro or Bernardo', 'Bernardo'), (2, 'default', 'ask Zorro or Bernardo', 'nobody') AS v(id, p, t, w)")
+    df = df.selectExpr(
+        "id", "p", "named_struct('text', t) AS doc",
+        "array(named_struct('priority', 3, 'type_ord', 0, 'value_ord', 0, 'neg_score', -0.9D, 'entity_type', 'PERSON', 'value', w, 'source', 'gazetteer')) AS c",
+    )
+    done = redact_payload(df, ["id"], ["doc"], profiles, profile_column="p", extra="c", options=SALTED).orderBy("id").collect()
+    assert [len(r["entities"]) for r in done] == [2, 0] and done[1]["doc"]["text"] == "ask Zorro or Bernardo"
+
+
+def test_payload_leaves_with_many_values_are_swept(spark):
+    text = " ".join(f"u{i}@example.com" for i in range(300))
+    df = spark.createDataFrame([(1, [text, "few@example.com", text[:100]])], "id long, parts array<string>")
+    done = redact_payload(df, ["id"], options=SALTED)
+    row = done.first()
+    assert "@example.com" not in "".join(row["parts"]) and len(row["entities"]) == 300 + 1 + text[:100].count("@example.com")
+    known = payload_mapping_rows(done, created_at="TIMESTAMP '2024-01-01 00:00:00'", options=SALTED)
+    assert restore_payload(done.drop("entities", "mapping_id"), known, ["id"], options=SALTED).first()["parts"][0] == text
 
 
 def test_maps_of_maps(spark):

@@ -110,9 +110,59 @@ def test_streamed_counts_hold_open_windows_and_late_rows(spark, tmp_path):
     for ids in ("50, 100", "0, 50"):  # the second batch is later than the delay
         rows(ids).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows(ids).schema).parquet(source)
-        streams.keep_all(streams.window_counts(stream, "ts", "kind", "1 hour"), out, checkpoint).awaitTermination()
+        first = streams.count_windows(stream, "ts", "kind", "1 hour", out, checkpoint)
+        first.awaitTermination()
     want = streams.window_counts(rows("0, 100"), "ts", "kind", "1 hour").collect()
-    assert sorted(streams.latest_counts(spark, out).collect()) == sorted(want) and len(want) == 14
+    assert sorted(streams.counted_windows(spark, out).collect()) == sorted(want) and len(want) == 14
+    # another run into the same folder gives its own counts, and those of the first one stay
+    other = str(tmp_path / "other")
+    rows("0, 30").write.parquet(other)
+    stream = spark.readStream.schema(rows("0, 1").schema).parquet(other)
+    second = streams.count_windows(stream, "ts", "kind", "1 hour", out, str(tmp_path / "c2"))
+    second.awaitTermination()
+    few = streams.window_counts(rows("0, 30"), "ts", "kind", "1 hour").collect()
+    assert sorted(streams.counted_windows(spark, out).collect()) == sorted(few)
+    assert sorted(streams.counted_windows(spark, out, str(first.id)).collect()) == sorted(want)
+
+
+def test_bounded_store_in_state_follows_the_event_order(spark, tmp_path):
+    from cloakframe.streaming.store import bounded_contents, keep_bounded
+
+    feed, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "c"))
+    schema = "tenant string, id string, ts timestamp"
+
+    def batch(*rows):
+        values = ", ".join(f"('{t}', '{i}', timestamp_seconds(1704067200 + {s}))" for t, i, s in rows)
+        spark.sql(f"SELECT * FROM VALUES {values} AS v(tenant, id, ts)").coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(schema).parquet(feed)
+        keep_bounded(stream, "tenant", "id", "ts", 3, 100, out, checkpoint).awaitTermination()
+        return {(r["tenant"], r["mapping_id"]) for r in bounded_contents(spark, out).collect()}
+
+    a = lambda *ids: {("a", str(i)) for i in ids}
+    assert batch(("a", 1, 1), ("a", 2, 2), ("a", 3, 3)) == a(1, 2, 3)
+    assert batch(("a", 1, 4), ("a", 4, 5)) == a(1, 3, 4)  # 2 was used least recently
+    assert batch(("a", 10, 6), ("a", 9, 6), ("b", 1, 60)) == a(4, 9, 10) | {("b", "1")}
+    assert batch(("b", 2, 90)) == a(4, 9, 10) | {("b", "1"), ("b", "2")}
+    batch(("b", 3, 110))
+    assert batch(("b", 3, 120)) == {("b", "1"), ("b", "2"), ("b", "3")}  # all of a have expired
+
+
+def test_unresolved_responses_leave_the_state(spark, tmp_path):
+    feeds = {n: str(tmp_path / n) for n in ("m", "r", "out", "c")}
+    rows = lambda name, *v: spark.sql(f"SELECT * FROM VALUES {', '.join(f'({i!r}, timestamp_seconds({s}))' for i, s in v)} AS t(id, {name})")
+
+    def run(created, asked):
+        rows("created_at", *created).write.mode("append").parquet(feeds["m"])
+        rows("asked_at", *asked).write.mode("append").parquet(feeds["r"])
+        m = spark.readStream.schema("id string, created_at timestamp").parquet(feeds["m"])
+        r = spark.readStream.schema("id string, asked_at timestamp").parquet(feeds["r"])
+        lost = streams.unresolved_responses(m, r, "id", "created_at", "asked_at", 60, "1 second")
+        streams.append_to(lost, feeds["out"], feeds["c"]).awaitTermination()
+
+    run([("x", 1000), ("y", 1000)], [("x", 1030), ("y", 1100), ("z", 1001)])
+    for at in (9000, 9500):
+        run([("end", at)], [("end", at)])
+    assert sorted(r["id"] for r in spark.read.parquet(feeds["out"]).collect()) == ["y", "z"]
 
 
 def test_window_counts_query_counts_every_event(spark):
