@@ -38,6 +38,8 @@ PERCENT, NGRAM = 90, 3
 GROUPS, BLOCK, FANOUT = 128, 512, 16
 #: Counters of document frequencies.
 SKETCH = 1 << 16
+#: Rounds in which documents of large keys look for their nearest partner, before all pairs that are still open.
+ROUNDS = 2
 #: Members of one task's share of a partner's documents.
 SHARE = 5_000
 
@@ -196,13 +198,17 @@ def allowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(freeing(run), "id long, partner long, times long")
 
 
-def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def tree_pairs(members: DataFrame, points: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """Distinct pairs (id, partner) of rows (key, id, component) whose points (id, n, counts) allow a link.
 
     Members of a key come in blocks of about BLOCK, and each two blocks meet once. A key of few members is a tree of one
-    leaf; these are scanned together.
+    leaf; these are scanned together. With `best` only keys of more than FANOUT members count, and each document gets
+    one partner, the one whose point is nearest.
     """
-    blocks = members.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+    blocks = members.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"), F.count("*").alias("all"))
+    if best:
+        blocks = blocks.where(F.col("all") > FANOUT)
+    blocks = blocks.select("key", "blocks")
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
@@ -214,7 +220,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
             ids, comps, sizes, block, b1, b2 = (table[c].to_numpy() for c in ("id", "component", "n", "block", "b1", "b2"))
             counts = points_of(table["counts"].to_pylist())
             group, few = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.diff(cuts) <= FANOUT
-            few &= b1[cuts[:-1]] == b2[cuts[:-1]]
+            few &= (b1[cuts[:-1]] == b2[cuts[:-1]]) & (not best)
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for step in range(1, FANOUT):
                 i = np.flatnonzero((group[step:] == group[: len(group) - step]) & few[group[step:]])
@@ -233,7 +239,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
             for at in range(0, len(i), 20_000):
                 x, y = i[at : at + 20_000], j[at : at + 20_000]
                 allowed_.append((100 + percent) * np.minimum(counts[x], counts[y]).sum(axis=1) >= percent * (sizes[x] + sizes[y]))
-            out = [pairs[np.concatenate(allowed_)]]
+            out, shared = [pairs[np.concatenate(allowed_)]], [np.empty(0, np.int64)]
             for g in np.flatnonzero(~few).tolist():
                 here = np.arange(cuts[g], cuts[g + 1])
                 a, b = here[block[here] == b1[here]], here[block[here] == b2[here]]
@@ -243,15 +249,36 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
                 for k in b:
                     near = a[tree.near(counts[k], int(sizes[k]), percent)]
                     near = near[comps[near] != comps[k]]
+                    if best and len(near):
+                        overlap = 1_000_000 * np.minimum(counts[near], counts[k]).sum(axis=1) // (sizes[near] + sizes[k])
+                        near = near[[int(overlap.argmax())]]
+                        out.append(np.stack([ids[[k]], ids[near]], axis=1))
+                        shared.append(overlap.max(keepdims=True))
+                        continue
                     out.append(np.stack([np.maximum(ids[near], ids[k]), np.minimum(ids[near], ids[k])], axis=1))
-            found = np.unique(np.concatenate(out), axis=0)
+            found = np.concatenate(out)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.concatenate(shared))], ["id", "partner", "shared"])
+                continue
+            found = np.unique(found, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "partner"])
 
     rows = dealt.select(*place, "block", "id", "component").join(points, "id")
     rows = rows.select(*place, "block", "id", "component", "n", "counts").repartition(*place).sortWithinPartitions(*place, "id")
+    if best:
+        found = rows.mapInArrow(freeing(run), "id long, partner long, shared long").where(F.col("id") != F.col("partner"))
+        nearest = found.groupBy("id").agg(F.max_by("partner", F.struct("shared", "partner")).alias("partner"))
+        return nearest.select(F.greatest("id", "partner").alias("id"), F.least("id", "partner").alias("partner")).distinct()
     return rows.mapInArrow(freeing(run), "id long, partner long").where(F.col("id") != F.col("partner")).distinct()
 
 
+def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, component) of the keys whose documents are in more than one component."""
+    labelled = members.select("key", "id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b"))
+    return staged(labelled.join(mixed_keys.select("key"), "key").select("key", "id", "component"))
+
+
 def _repeats(docs: DataFrame, doc_id: str) -> bool:
     known = docs.where(F.col(doc_id).isNotNull())
     return known.groupBy(doc_id).count().where("count > 1").limit(1).count() > 0
@@ -303,11 +330,18 @@ def linked_documents(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     links = staged(verified(texts, pairs, n, percent))
     found = staged(components(links))
 
-    labelled = members.select("key", "id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b"))
-    open_ = staged(labelled.join(mixed_keys.select("key"), "key").select("key", "id", "component"))
-    more = tree_pairs(open_, firsts.select("id", "n", "counts").dropDuplicates(["id"]), percent).join(pairs, ["id", "partner"], "left_anti")
-    more = staged(more)
+    known_points = firsts.select("id", "n", "counts").dropDuplicates(["id"])
+    open_ = open_members(members, found)
+    for _ in range(ROUNDS):
+        # in large keys first the nearest partner of each, so that a group of near copies becomes one component
+        nearest = staged(tree_pairs(open_, known_points, percent, best=True).join(pairs, ["id", "partner"], "left_anti"))
+        new = staged(verified(texts, nearest, n, percent))
+        pairs = pairs.unionByName(nearest)
+        if not new.limit(1).count():
+            break
+        links = staged(links.unionByName(new))
+        open_ = open_members(members, staged(components(links)))
+    more = staged(tree_pairs(open_, known_points, percent).join(pairs, ["id", "partner"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(verified(texts, more, n, percent))
     return about, links.unionByName(equal)
