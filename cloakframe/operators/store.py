@@ -75,9 +75,9 @@ def keep_recent(access: DataFrame, capacity: int, tenant: list[str] | None = Non
     part = joined.where(F.col("_n") > F.col("_room")).drop("_n")
     ranges = part.repartitionByRange(*[F.col(c) for c in by], F.col("last_access").desc(), F.col(tie))
     ranged = stage(ranges.withColumn("_range", F.spark_partition_id()), "eviction")
-    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.first("_room").alias("_all"))
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.first("_room").alias("_most"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")
-    left = sizes.withColumn("_left", F.col("_all") - before).where("_left > 0").select(*by, "_range", "_n", "_left")
+    left = sizes.withColumn("_left", F.col("_most") - before).where("_left > 0").select(*by, "_range", "_n", "_left")
     cut = ranged.join(left, [*by, "_range"])
     within = Window.partitionBy(*by, "_range").orderBy(*order)
     last = cut.where("_n > _left").withColumn("_rank", F.row_number().over(within)).where("_rank <= _left")
