@@ -38,8 +38,6 @@ PERCENT, NGRAM = 90, 3
 GROUPS, BLOCK, FANOUT = 128, 512, 16
 #: Counters of document frequencies.
 SKETCH = 1 << 16
-#: Rounds in which documents of large keys look for their nearest partner, before all pairs that are still open.
-ROUNDS = 2
 #: Members of one task's share of a partner's documents.
 SHARE = 5_000
 
@@ -284,18 +282,22 @@ def _repeats(docs: DataFrame, doc_id: str) -> bool:
     return known.groupBy(doc_id).count().where("count > 1").limit(1).count() > 0
 
 
-def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT, unique: bool | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; unique: whether ids are known not to repeat."""
+def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT, unique: bool | None = None, rounds: int = 0) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    unique: whether ids are known not to repeat. rounds: how often documents of large keys look for their nearest
+    partner before all open pairs meet; the result is the same, and large groups near the threshold make fewer pairs.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     if unique or (unique is None and not _repeats(docs, doc_id)):
-        about, links = linked_documents(rows, n, percent)
+        about, links = linked_documents(rows, n, percent, rounds)
         component = staged(components(links))
         done = about.select("id", "n").join(component, "id", "left")
         return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     # each row is searched for on its own, and the rows of an id are linked
     numbered = staged(rows.select(F.col("id").alias("own"), "text").withColumn("id", F.monotonically_increasing_id()))
     ids = numbered.where(F.col("own").isNotNull()).select("id", "own")
-    about, links = linked_documents(numbered.where(F.col("own").isNotNull()).select("id", "text"), n, percent)
+    about, links = linked_documents(numbered.where(F.col("own").isNotNull()).select("id", "text"), n, percent, rounds)
     first = ids.groupBy("own").agg(F.min("id").alias("v"), F.count("*").alias("times")).where("times > 1")
     same = ids.join(first, "own").where(F.col("id") != F.col("v")).select(F.col("id").alias("u"), "v")
     component = staged(components(links.unionByName(same)))
@@ -306,7 +308,7 @@ def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     return done.unionByName(nameless.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
-def linked_documents(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked_documents(rows: DataFrame, n: int, percent: int, rounds: int = 0) -> tuple[DataFrame, DataFrame]:
     """What is known of each of rows (id, text), and links (u, v) between ids that connect all that are near; ids that
     aren't null are unique."""
     about = staged(described(rows, frequency_sketch(rows, n), n, percent))
@@ -332,7 +334,7 @@ def linked_documents(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame,
 
     known_points = firsts.select("id", "n", "counts").dropDuplicates(["id"])
     open_ = open_members(members, found)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         # in large keys first the nearest partner of each, so that a group of near copies becomes one component
         nearest = staged(tree_pairs(open_, known_points, percent, best=True).join(pairs, ["id", "partner"], "left_anti"))
         new = staged(verified(texts, nearest, n, percent))
