@@ -24,7 +24,7 @@ from cloakframe.llm import language_id, line_dedup, ngram_join, packing, source_
 from cloakframe.llm.common import NULL_ID, WORD, if_small, staged, staging_folder, table
 
 LEAST_SCORE = 0.5
-NGRAM, PERCENT = 5, 80
+NGRAM, PERCENT, ROUNDS = 5, 80, 2
 
 
 def _with_text(doc, text, columns: list[str]) -> list:
@@ -68,7 +68,7 @@ def _drop_near_rows(docs: DataFrame) -> DataFrame:
     """As drop_near_copies, for tables whose ids repeat or are null: each id and text is a row of its own."""
     nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = _numbered(docs.where(~nameless))
-    near = ngram_join.join_near(rows.select("row", "doc.text"), "row", n=NGRAM, percent=PERCENT, unique=True)
+    near = ngram_join.join_near(rows.select("row", "doc.text"), "row", n=NGRAM, percent=PERCENT, unique=True, rounds=ROUNDS)
     copies = staged(near.where("doc_id <> component_id").select(F.col("doc_id").alias("row")))
     return rows.join(if_small(copies), "row", "left_anti").select("doc.*").unionByName(docs.where(nameless))
 
@@ -76,7 +76,7 @@ def _drop_near_rows(docs: DataFrame) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         return _drop_near_rows(docs)
-    near = ngram_join.join_near(docs, n=NGRAM, percent=PERCENT, unique=True)
+    near = ngram_join.join_near(docs, n=NGRAM, percent=PERCENT, unique=True, rounds=ROUNDS)
     copies = staged(near.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
     return docs.join(if_small(copies), "doc_id", "left_anti").select(docs.columns)
 
