@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.operators import asof, audit, store
-from cloakframe.queries.base import OPTIONS, PROFILES, query
+from cloakframe.operators.restore import restore_column
+from cloakframe.plans.columns import redact_column
+from cloakframe.queries.base import ORACLE, OPTIONS, PROFILES, documents, query
 from cloakframe.queries.text_queries import _REDACT_ALL_SQL
+from cloakframe.sources import runs
+from cloakframe.sources.sinks import write_redacted_column
 from cloakframe.sources.tables import load_table, work_folder
 from cloakframe.streaming import store as store_stream
 from cloakframe.streaming import streams
@@ -126,6 +130,35 @@ def agg_store_growth(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, folder: str) -> str:
+    """A store of two runs, texts in English and all others; both jobs are run twice, as after a failure."""
+    out = work_folder(spark, "store-runs")
+    docs = documents(spark, folder)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for run, part in (("english", docs.where(english)), ("others", docs.where(~english))) * 2:
+        done = redact_column(part, "text", ["doc_id"], PROFILES, "bare", options=OPTIONS)
+        write_redacted_column(done, "text", f"{out}/texts", f"{out}/mappings", OPTIONS, run=run)
+    return out
+
+
+@query("store_runs", ORACLE["mapping_rows"])
+def store_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All mappings (M3) of a store of repeated jobs, after its runs became one."""
+    out = _stored(spark, folder)
+    runs.compact(spark, f"{out}/mappings", "compacted")
+    rows = runs.read_runs(spark, f"{out}/mappings")
+    return rows.select("mapping_id", "path", "placeholder", "entity_type", "original", "score", "source")
+
+
+@query("store_restore", "SELECT doc_id, text AS restored FROM documents")
+def store_restore(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and mappings read back from their runs and put together."""
+    out = _stored(spark, folder)
+    texts = runs.read_runs(spark, f"{out}/texts").select("doc_id", "mapping_id", "redacted")
+    back = restore_column(texts, "redacted", runs.read_runs(spark, f"{out}/mappings"), ["doc_id"], options=OPTIONS)
+    return back.select("doc_id", "restored")
+
+
 # -- streams --------------------------------------------------------------------------------
 
 

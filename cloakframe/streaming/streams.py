@@ -18,6 +18,7 @@ from cloakframe.options import Options
 from cloakframe.plans.columns import mapping_rows, redact_column
 from cloakframe.plans.payloads import payload_mapping_rows, redact_payload, restore_payload
 from cloakframe.sources.payloads import parse_payloads, split_quarantine
+from cloakframe.sources.sinks import write_redacted_column
 from cloakframe.sources.tables import spread
 
 
@@ -46,12 +47,16 @@ def _place(batch: DataFrame, batch_id: int) -> str:
 
 def redact_stream(
     stream: DataFrame, text: str, keys: list[str], out: str, mappings_out: str, checkpoint: str,
-    options: Options = Options(), trigger: dict | None = None, **redact,
+    options: Options = Options(), trigger: dict | None = None, runs: bool = False, **redact,
 ) -> StreamingQuery:
-    """Redact each micro-batch (ST1): mappings first, then the redacted rows without entities."""
+    """Redact each micro-batch (ST1): mappings first, then the redacted rows without entities. With `runs` each batch is a
+    run of the tables that batch jobs write (`sources.runs`), so both share one store."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        done = redact_column(spread(batch, *keys), text, keys, options=options, **redact).persist()
+        done = redact_column(spread(batch, *keys), text, keys, options=options, **redact)
+        if runs:
+            return write_redacted_column(done, text, out, mappings_out, options, run=_place(batch, batch_id))
+        done = done.persist()
         try:
             if options.keep_mappings:
                 mapping_rows(done, text, options=options).write.mode("overwrite").parquet(
