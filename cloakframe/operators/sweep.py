@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from bisect import bisect_left
+from itertools import count
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -56,8 +57,8 @@ def claimed(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def redacted(text: str, scope: str, candidates: list[dict], secret: str, n_hex: int) -> tuple[str, list[dict]]:
-    """(text, entities) as `redact.redact_candidates` gives them."""
+def redacted(text: str, scope: str, candidates: list[dict], secret: str, n_hex: int, again_hex: int | None = None) -> tuple[str, list[dict]]:
+    """(text, entities) as `redact.redact_candidates` gives them; tokens minted again have `again_hex` digits."""
     best: dict[str, dict[str, tuple]] = {}
     for c in candidates:
         rank = (c["priority"], c["type_ord"], c["value_ord"], c["neg_score"], c["source"])
@@ -72,14 +73,21 @@ def redacted(text: str, scope: str, candidates: list[dict], secret: str, n_hex:
             spans.append((start, end, rank, kind, value, -neg_score, source))
     kept = claimed(spans)
 
-    def mint(kind: str, value: str, tail: str) -> str:
+    def mint(kind: str, value: str, again: int) -> str:
+        tail = f"|{again}" if again else ""
         digest = hashlib.sha256(f"{secret}|{scope}|{kind}|{value}{tail}".encode("utf-8", "surrogatepass")).hexdigest()
-        return f"<{kind}_{digest[:n_hex]}>"
+        return f"<{kind}_{digest[: (again_hex or n_hex) if again else n_hex]}>"
 
     values = {(s[3], s[4]) for s in kept}
-    tokens = {v: mint(*v, "") for v in values}
-    if len(set(tokens.values())) != len({f"{k}|{v}" for k, v in values}):
-        tokens = {v: mint(*v, "|1") for v in values}
+    tokens = {v: mint(*v, 0) for v in values}
+    if len(set(tokens.values())) != len(values):
+        tokens = {v: mint(*v, 1) for v in values}
+    if len(set(tokens.values())) != len(values):  # very many values: each takes its first free token, in their order
+        tokens, taken = {}, set()
+        for v in sorted(values):
+            token = next(t for again in count() if (t := mint(*v, again)) not in taken)
+            taken.add(token)
+            tokens[v] = token
     parts, at, rows = [], 0, {}
     for start, end, _, kind, value, score, source in kept:
         token = tokens[kind, value]
@@ -94,14 +102,14 @@ def redacted(text: str, scope: str, candidates: list[dict], secret: str, n_hex:
 def sweep_leaves(options: Options, leaves: Column) -> Column:
     """ARRAY<key, path, text, entities> of ARRAY<key, path, text, scope, found>; null for null, so that rows without
     such leaves cost next to nothing."""
-    secret, n_hex = options.secret, options.token_hex
+    secret, n_hex, again_hex = options.secret, options.digits(0), options.digits(1)
 
     def of(rows) -> list[dict] | None:
         if rows is None:
             return None
         out = []
         for r in rows:
-            text, entities = redacted(r["text"], r["scope"], list(r["found"]), secret, n_hex)
+            text, entities = redacted(r["text"], r["scope"], list(r["found"]), secret, n_hex, again_hex)
             out.append({"key": r["key"], "path": r["path"], "text": text, "entities": entities})
         return out
 

@@ -13,7 +13,7 @@ def mint_token(options: Options, scope: str, entity_type: str, value: str, again
     """<TYPE_hex> from a salted hash, so a recomputed task mints the same token."""
     tail = f", '{again}'" if again else ""
     digest = f"sha2(concat_ws('|', {quote(options.secret)}, {scope}, {entity_type}, {value}{tail}), 256)"
-    return f"concat('<', {entity_type}, '_', left({digest}, {options.token_hex}), '>')"
+    return f"concat('<', {entity_type}, '_', left({digest}, {options.digits(again)}), '>')"
 
 
 def mapping_id(options: Options, *keys: str) -> str:

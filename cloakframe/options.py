@@ -37,7 +37,7 @@ class Options:
 
     salt: str | None = None  # must be set to mint tokens; keep it secret
     scope: str = "document"  # document | leaf | global
-    token_hex: int = 8
+    token_hex: int = 8  # 2 to 32; short ones need operators.unique
     default_profile: str = "default"
     min_text_length: int = 5
     min_entity_length: int = 2
@@ -56,8 +56,8 @@ class Options:
     def __post_init__(self) -> None:
         if self.scope not in ("document", "leaf", "global"):
             raise ValueError(f"unknown token scope: {self.scope}")
-        if self.token_hex not in (8, 16):
-            raise ValueError("token_hex must be 8 or 16")
+        if not 2 <= self.token_hex <= 32:
+            raise ValueError("token_hex must be 2 to 32")
         if self.on_error not in ("closed", "raise"):
             raise ValueError("on_error must be 'closed' or 'raise'")
 
@@ -70,8 +70,18 @@ class Options:
 
     @property
     def token_pattern(self) -> str:
+        if self.grows:
+            return f"<[A-Z_]+_[0-9a-f]{{{self.token_hex},64}}>"
         return TOKEN_PATTERN if self.token_hex == 8 else WIDE_TOKEN_PATTERN
 
+    @property
+    def grows(self) -> bool:
+        """Tokens of 8 and 16 digits keep their length when they are minted again, others get 16 digits more."""
+        return self.token_hex not in (8, 16)
+
+    def digits(self, again: int) -> int:
+        return min(self.token_hex + 16 * again, 64) if self.grows else self.token_hex
+
 
 def check_type_name(entity_type: str) -> str:
     """Only names the placeholder pattern can read back are allowed."""

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.operators import asof, audit, store
+from cloakframe.operators import asof, audit, store, unique
 from cloakframe.operators.restore import restore_column
-from cloakframe.plans.columns import redact_column
+from cloakframe.plans.columns import mapping_rows, redact_column
 from cloakframe.queries.base import ORACLE, OPTIONS, PROFILES, documents, query
 from cloakframe.queries.text_queries import _REDACT_ALL_SQL
 from cloakframe.sources import runs
 from cloakframe.sources.sinks import write_redacted_column
-from cloakframe.sources.tables import load_table, work_folder
+from cloakframe.sources.tables import load_table, stage, work_folder
 from cloakframe.streaming import store as store_stream
 from cloakframe.streaming import streams
 
@@ -159,6 +161,21 @@ def store_restore(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "restored")
 
 
+SHORT = replace(OPTIONS, scope="global", token_hex=4)
+
+
+@query("unique_tokens", "SELECT doc_id, text AS restored FROM documents")
+def unique_tokens_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts whose tokens of four digits would clash, restored without their ids: each token has one value in the table."""
+    done = redact_column(documents(spark, folder), "text", ["doc_id"], PROFILES, "bare", options=SHORT)
+    settled = stage(unique.unique_tokens(done.drop("text"), SHORT), "settled")
+    known = mapping_rows(settled, "text", options=SHORT)
+    back = restore_column(
+        settled.select("doc_id", "redacted"), "redacted", known, ["doc_id"], mapping_id=F.lit("unknown"), options=SHORT, any_mapping=True
+    )
+    return back.select("doc_id", "restored")
+
+
 # -- streams --------------------------------------------------------------------------------
 
 
