@@ -22,6 +22,8 @@ from cloakframe.sources.tables import broadcast_if_small
 # Bytes of values that one automaton holds at most, and characters of a value that choose its part.
 PART_BYTES = 2 << 20
 PREFIX = 3
+# Bytes of texts of one group that one task reads.
+TEXT_BYTES = 32 << 20
 
 
 def literal_dictionary(values: list[DictionaryValue]) -> str:
@@ -68,3 +70,33 @@ def dictionary_hits_join(leaves: DataFrame, keys: list[str], text: str, dictiona
         .select(*keys, "entity_type", "type_ord", "value", "value_ord")
         .distinct()
     )
+
+
+def group_hits_join(
+    leaves: DataFrame, keys: list[str], text: str, dictionary: DataFrame, group: str,
+    part_bytes: int = PART_BYTES, text_bytes: int = TEXT_BYTES,
+) -> DataFrame:
+    """As `dictionary_hits_join`, for texts that meet the values of their own group only, a column of both sides and one
+    of `keys`. A group's values are cut into parts and its texts into shares by their measured bytes, so that neither
+    a hot group nor one with a large dictionary stays in one task."""
+    known = dictionary.where(F.length("value") > 0)
+    values = known.select(group, "value").distinct()
+    pieces = lambda n_bytes, limit: F.ceil(F.sum(F.octet_length(n_bytes)) / limit).cast("int")
+    parts = values.groupBy(group).agg(pieces("value", part_bytes).alias("_parts"))
+    texts = leaves.select(*keys, F.col(text).alias("_text")).where("_text <> ''")
+    shares = texts.groupBy(group).agg(pieces("_text", text_bytes).alias("_shares"))
+    sizes = broadcast_if_small(parts.join(shares, group), group)
+    schema = T.StructType([*(texts.schema[k] for k in keys), T.StructField("value", T.StringType())])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = (
+        texts.join(sizes, group)
+        .withColumn("_salt", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}, _text), _shares) AS int)"))
+        .select(*keys, "_text", "_salt", F.lit(None).cast("string").alias("_value"), each("_parts").alias("_p"))
+    )
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in texts.schema if f.name != group]
+    part = F.expr("cast(pmod(xxhash64(value), _parts) AS int)").alias("_p")
+    given = values.join(sizes, group).select(group, *none, part, F.col("value").alias("_value"), each("_shares").alias("_salt"))
+    rows = asked.unionByName(given).withColumn("_part", F.concat_ws(":", "_p", group)).drop("_p")
+    order = ["_part", "_salt", F.col("_value").isNull()]
+    found = rows.repartition("_part", "_salt").sortWithinPartitions(*order).mapInArrow(find_by_part(keys, "_text"), schema)
+    return found.join(known, [group, "value"]).select(*keys, "entity_type", "type_ord", "value", "value_ord").distinct()

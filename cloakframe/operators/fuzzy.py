@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from cloakframe.functions.sqltext import keep, let, quote, struct, transform
 from cloakframe.functions.similarity import indel_ratio, longest_partner, may_reach, shortest_partner
 from cloakframe.functions.text import shifted, words
-from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join
+from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join, group_hits_join
 from cloakframe.options import PRIORITY, Options
-from cloakframe.schemas import CANDIDATES
+from cloakframe.schemas import CANDIDATES, FUZZY_VALUES
 from cloakframe.sources.profiles import ResolvedProfile, literal_table
 
 DICTIONARY = "entity_type STRING, type_ord INT, value STRING, value_ord INT, threshold DOUBLE"
@@ -113,8 +113,10 @@ def _piece_table(combos: DataFrame) -> DataFrame:
     )
 
 
-def piece_pairs(phrase: DataFrame, keys: list[str], banded: DataFrame) -> DataFrame:
-    """Candidate pairs over a shared piece. `phrase` has keys, i, n, phrase, _p, _length."""
+def piece_pairs(phrase: DataFrame, keys: list[str], banded: DataFrame, group: str | None = None) -> DataFrame:
+    """Candidate pairs over a shared piece, with a `group` column of both sides within a group only. `phrase` has keys, i,
+    n, phrase, _p, _length."""
+    within = [group] if group else []
     values = banded.withColumn("_value_length", F.length("_lowered"))
     # Bounded by the lengths and thresholds that occur, not by the number of values.
     cuts = _piece_table(values.select("threshold", "_value_length", "_length").distinct())
@@ -133,18 +135,19 @@ def piece_pairs(phrase: DataFrame, keys: list[str], banded: DataFrame) -> DataFr
     probes = phrase.join(shifts, "_length").withColumn(
         "_piece", F.expr("substr(_p, cast(_at + 1 AS int), cast(_size AS int))")
     )
-    met = probes.join(pieces.select(*by, "_k", "_piece", "_lowered", *COLUMNS), [*by, "_k", "_piece"])
+    met = probes.join(pieces.select(*within, *by, "_k", "_piece", "_lowered", *COLUMNS), [*within, *by, "_k", "_piece"])
     return met.select(*keys, "i", "n", "phrase", "_p", "_lowered", "threshold", *COLUMNS).distinct()
 
 
 def fuzzy_hits(
     leaves: DataFrame, keys: list[str], text: str, profile: ResolvedProfile | None = None,
-    options: Options = Options(), dictionary: DataFrame | None = None,
+    options: Options = Options(), dictionary: DataFrame | None = None, group: str | None = None,
 ) -> DataFrame:
     """(keys, entity_type, type_ord, value, value_ord, phrase, score): per value the exact hit
     (score 100) or the first phrase over the threshold in (start, words) order (Z3).
 
-    The values come from `profile`, or from a `dictionary` table with the DICTIONARY columns.
+    The values come from `profile`, or from a `dictionary` table with the DICTIONARY columns. With `group`, a column of the
+    table and one of `keys`, texts meet the values of their own group only.
     """
     if profile is not None and dictionary is None and not profile.fuzzy_enabled:
         profile = replace(profile, dictionary=())
@@ -164,8 +167,8 @@ def fuzzy_hits(
         phrase = lowered.withColumn("phrase", F.expr(written_phrase(options))).select(*keys, "i", "n", "phrase", "_p", "_length")
         by_piece = banded.where(F.col("threshold") >= LOWEST_PIECE_THRESHOLD)
         by_length = banded.where(F.col("threshold") < LOWEST_PIECE_THRESHOLD)
-        pairs = piece_pairs(phrase, keys, by_piece)
-        pairs = pairs.unionByName(phrase.join(by_length, "_length").select(pairs.columns))
+        pairs = piece_pairs(phrase, keys, by_piece, group)
+        pairs = pairs.unionByName(phrase.join(by_length, [group, "_length"] if group else "_length").select(pairs.columns))
     near = (
         pairs.where(F.expr(may_reach("_p", "_lowered", "threshold")))
         .withColumn("score", F.expr(indel_ratio("_p", "_lowered")))
@@ -180,6 +183,8 @@ def fuzzy_hits(
             .where(F.col("_v").isNotNull())
             .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in COLUMNS])
         )
+    elif group:
+        exact = group_hits_join(leaves, keys, text, known.drop("threshold"), group)
     else:
         exact = dictionary_hits_join(leaves, keys, text, known.drop("threshold"))
     whole = exact.select(
@@ -236,10 +241,6 @@ def folded_fuzzy(text: str, dictionary: str, bounds: tuple[int, int], options: O
     return let(struct(w=words(text), l=words(f"lower({text})")), lambda split: let(phrases(split), hits))
 
 
-FUZZY_VALUES = (
-    "ARRAY<STRUCT<entity_type: STRING, type_ord: INT, value: STRING, value_ord: INT, lowered: STRING, "
-    "threshold: DOUBLE, lo: INT, hi: INT>>"
-)
 PUNCTUATION = r"^[\p{Punct}]+|[\p{Punct}]+$"
 
 

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from cloakframe.functions.sqltext import empty, keep, let, quote, struct
 from cloakframe.functions.text import eligible, is_skip_term, is_uuid_shaped
 from cloakframe.operators.detect import BUILT_IN, Detector, detect
-from cloakframe.operators.dictionary import dictionary_candidates, dictionary_hits_join, literal_dictionary
+from cloakframe.operators.dictionary import (
+    dictionary_candidates,
+    dictionary_hits_join,
+    group_hits_join,
+    literal_dictionary,
+)
 from cloakframe.operators.fuzzy import (
-    FUZZY_VALUES,
     folded_fuzzy,
     fuzzy_bounds,
     fuzzy_candidates,
@@ -23,8 +27,10 @@ from cloakframe.operators.redact import redact_candidates, redact_spans, spans_t
 from cloakframe.operators.sweep import MANY, sweep_leaves
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import PRIORITY, Options
-from cloakframe.schemas import CANDIDATES, ENTITIES, SPANS
+from cloakframe.schemas import CANDIDATES, ENTITIES, FUZZY_VALUES, SPANS
+from cloakframe.sources.profile_tables import DEFAULT_CUTS, PROFILE, SETTINGS, ProfileTables
 from cloakframe.sources.profiles import ProfileSet, ResolvedProfile, literal_table, type_cut
+from cloakframe.sources.tables import stage
 
 
 class RowProfiles:
@@ -64,6 +70,25 @@ class RowProfiles:
         return f"coalesce(array_contains(try_element_at({self._map(terms, 'array<string>')}, {self.key}), lower({text})), false)"
 
 
+class TableProfiles(RowProfiles):
+    """Settings that `ProfileTables.attach` joined to the row: one expression, whatever the profile."""
+
+    def __init__(self) -> None:
+        self.cuts = f"coalesce({SETTINGS}.cuts, {DEFAULT_CUTS})"
+        self.largest, self.fuzzy_enabled = 1, True
+
+    def dictionary(self, text: str) -> str:
+        known = f"coalesce({SETTINGS}.values, {empty(CANDIDATES)})"
+        return keep(known, lambda v: f"contains({text}, {v}.value)")
+
+    def fuzzy(self, text: str, options: Options) -> str:
+        hits = folded_fuzzy(text, f"{SETTINGS}.near", (f"{SETTINGS}.lo", f"{SETTINGS}.hi"), options)
+        return f"CASE WHEN size({SETTINGS}.near) > 0 THEN {hits} ELSE {empty(CANDIDATES)} END"
+
+    def skipped(self, text: str, parity: bool) -> str:
+        return f"coalesce(array_contains({SETTINGS}.skips, lower({text})), false)"
+
+
 def candidates_of(
     text: str,
     profile: ResolvedProfile | RowProfiles,
@@ -120,33 +145,58 @@ JOINED = "_dictionary_hits"
 def with_dictionary_hits(df: DataFrame, text: str, profile: ResolvedProfile, options: Options, extra: str | None) -> DataFrame:
     """`df` with the dictionary and fuzzy hits of its texts, and the candidates of `extra`, as column JOINED.
 
-    Hits depend on the text alone, so they are found once for each distinct text and joined on its hash.
+    Hits depend on the text alone, so they are found once for each distinct text and joined on its SHA-256.
     """
-    rows = df.withColumn("_text_hash", F.xxhash64(text))
-    texts = rows.where(F.col(text).isNotNull()).select("_text_hash", F.col(text).alias("_text")).dropDuplicates(["_text_hash", "_text"])
+    rows = df.withColumn("_text_hash", F.sha2(text, 256))
+    texts = rows.where(F.col(text).isNotNull()).select("_text_hash", F.col(text).alias("_text")).dropDuplicates(["_text_hash"])
     every = [(v.entity_type, v.type_ord, v.value, v.value_ord) for v in profile.dictionary]
     known = literal_table(df.sparkSession, every, "entity_type STRING, type_ord INT, value STRING, value_ord INT")
     exact = dictionary_hits_join(texts, ["_text_hash"], "_text", known)
+    near = fuzzy_hits(texts, ["_text_hash"], "_text", profile, options) if profile.fuzzy_enabled else None
+    return joined_hits(rows, ["_text_hash"], exact, near, extra).drop("_text_hash")
+
+
+def joined_hits(rows: DataFrame, by: list[str], exact: DataFrame, near: DataFrame | None, extra: str | None) -> DataFrame:
+    """`rows` with the hits of their text and the candidates of `extra`, as column JOINED."""
     one = F.struct(
         F.lit(PRIORITY["exact"]).alias("priority"), "type_ord", "value_ord", F.lit(-1.0).alias("neg_score"),
         "entity_type", "value", F.lit("exact").alias("source"),
     )
-    hits = exact.select("_text_hash", F.array(one).cast(CANDIDATES).alias("_c"))
-    if profile.fuzzy_enabled:
-        fuzzy = fuzzy_candidates(fuzzy_hits(texts, ["_text_hash"], "_text", profile, options), ["_text_hash"])
-        hits = hits.unionByName(fuzzy.select("_text_hash", F.col("candidates").cast(CANDIDATES).alias("_c")))
-    grouped = hits.groupBy("_text_hash").agg(F.flatten(F.collect_list("_c")).alias(JOINED))
-    found = rows.join(grouped, "_text_hash", "left").drop("_text_hash")
+    hits = exact.select(*by, F.array(one).cast(CANDIDATES).alias("_c"))
+    if near is not None:
+        hits = hits.unionByName(fuzzy_candidates(near, by).select(*by, F.col("candidates").cast(CANDIDATES).alias("_c")))
+    found = rows.join(hits.groupBy(*by).agg(F.flatten(F.collect_list("_c")).alias(JOINED)), by, "left")
+    return found.withColumn(JOINED, F.concat(F.coalesce(F.col(JOINED), F.expr(empty(CANDIDATES))), own_candidates(extra)))
+
+
+def own_candidates(extra: str | None) -> Column:
     none = F.expr(empty(CANDIDATES))
-    own = F.coalesce(F.col(extra).cast(CANDIDATES), none) if extra else none
-    return found.withColumn(JOINED, F.concat(F.coalesce(F.col(JOINED), none), own))
+    return F.coalesce(F.col(extra).cast(CANDIDATES), none) if extra else none
+
+
+def with_table_hits(df: DataFrame, text: str, tables: ProfileTables, options: Options, extra: str | None) -> DataFrame:
+    """`df`, which has the settings of its rows, with the hits of dictionaries too large to fold and the candidates of
+    `extra` as column JOINED. Only rows of such profiles are shuffled, and each distinct text of a profile is read once."""
+    is_large = F.coalesce(F.col(f"{SETTINGS}.large"), F.lit(False)) & F.col(text).isNotNull()
+    by = [PROFILE, "_text_hash"]
+    rows = df.where(is_large).withColumn("_text_hash", F.sha2(text, 256))
+    texts = rows.select(*by, F.col(text).alias("_text")).dropDuplicates(by)
+    known = stage(tables.large_values(options), "dictionaries")
+    exact = group_hits_join(texts, by, "_text", known.drop("threshold"), PROFILE)
+    fuzzy = known.where("threshold IS NOT NULL")
+    near = None
+    if not fuzzy.isEmpty():
+        asked = texts.join(fuzzy.select(PROFILE).distinct(), PROFILE, "left_semi")
+        near = fuzzy_hits(asked, by, "_text", options=options, dictionary=fuzzy, group=PROFILE)
+    found = joined_hits(rows, by, exact, near, extra).drop("_text_hash")
+    return df.where(~is_large).withColumn(JOINED, own_candidates(extra)).unionByName(found)
 
 
 def redact_column(
     df: DataFrame,
     text: str,
     keys: list[str],
-    profiles: ProfileSet | None = None,
+    profiles: ProfileSet | ProfileTables | None = None,
     profile: str | None = None,
     profile_column: str | None = None,
     options: Options = Options(),
@@ -161,21 +211,32 @@ def redact_column(
     `options.fold_limit` values: those are found by joins on the text's hash, with the same result.
 
     `keys` name the document; `profile_column` picks a profile per row (unknown: bare defaults). Set `fuzzy` to False
-    where `extra` has the fuzzy hits already. Texts with very many candidates are swept in Arrow batches.
+    where `extra` has the fuzzy hits already. Texts with very many candidates are swept in Arrow batches. Profiles of very
+    many tenants are given as `ProfileTables`, which are joined to the rows by `profile_column`.
     """
     profiles = profiles or ProfileSet(default=options.default_profile)
     chosen = None if detectors is None else list(detectors)
     scope = token_scope(options, "mapping_id", f"`{path_column}`" if path_column else quote(path or text))
 
-    settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
-    joined = isinstance(settings, ResolvedProfile) and len(settings.dictionary) > options.fold_limit
-    given = extra
+    given, columns = extra, df.columns
+    if isinstance(profiles, ProfileTables):
+        if profile:
+            raise ValueError("name the profiles of ProfileTables by profile_column")
+        settings, joined = TableProfiles(), False
+        df = profiles.attach(df, profile_column, options)
+        if profiles.any_large(options):
+            df = with_table_hits(df, text, profiles, options, extra)
+            extra = JOINED
+    else:
+        settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
+        joined = isinstance(settings, ResolvedProfile) and len(settings.dictionary) > options.fold_limit
     if joined:
         df = with_dictionary_hits(df, text, settings, options, extra)
         extra = JOINED
     found, exact = candidates_of(text, settings, options, chosen, lang, extra, joined, fuzzy)
-    kept = [c for c in df.columns if c not in ("mapping_id", extra, given)]
-    staged = df.select(*kept, *([extra] if extra else []), F.expr(mapping_id(options, *keys)).alias("mapping_id"))
+    kept = [c for c in columns if c not in ("mapping_id", extra, given)]
+    used = [*([extra] if extra else []), *([SETTINGS] if isinstance(settings, TableProfiles) else [])]
+    staged = df.select(*kept, *used, F.expr(mapping_id(options, *keys)).alias("mapping_id"))
     if exact:
         done = staged.withColumn("_redaction", F.expr(redact_spans(options, text, scope, found)))
     else:

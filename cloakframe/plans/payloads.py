@@ -32,8 +32,9 @@ from cloakframe.operators.restore import known_tokens, needed_tokens, restore_co
 from cloakframe.operators.sweep import LEAVES, MANY, sweep_leaves
 from cloakframe.operators.tokens import mapping_id, token_scope
 from cloakframe.options import Options
-from cloakframe.plans.columns import RowProfiles, candidates_of, redact_column
+from cloakframe.plans.columns import RowProfiles, TableProfiles, candidates_of, redact_column
 from cloakframe.sources.payloads import split_quarantine
+from cloakframe.sources.profile_tables import ProfileTables
 from cloakframe.sources.profiles import ProfileSet
 
 
@@ -41,7 +42,7 @@ def redact_payload(
     df: DataFrame,
     keys: list[str],
     columns: list[str] | None = None,
-    profiles: ProfileSet | None = None,
+    profiles: ProfileSet | ProfileTables | None = None,
     profile: str | None = None,
     options: Options = Options(),
     detectors: Iterable[Detector] | None = None,
@@ -57,7 +58,8 @@ def redact_payload(
     mapping id, and `entities` (ARRAY<path, placeholder, ...>). Narrow: no join, no shuffle.
 
     `profile_column` picks a profile per row, `lang` is a SQL expression of a row's language, and `extra` a column of
-    candidates from gazetteers or models, which are looked for in every leaf of the row.
+    candidates from gazetteers or models, which are looked for in every leaf of the row. `ProfileTables` are joined to the
+    rows by `profile_column`; a profile's dictionary goes along with its rows here, whatever its size.
     Where a long `messages` list is cut into several rows, `scope_keys` name the document, whose rows share one mapping
     id and its tokens, and `first` is the column with the number of a row's first message, for paths.
     """
@@ -66,7 +68,13 @@ def redact_payload(
     walked = [c for c in (columns or df.columns) if c not in (*keys, profile_column, extra, first) and has_strings(df.schema[c].dataType)]
     scope = token_scope(options, "mapping_id", "{leaf}.path")
 
-    settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
+    source = df
+    if isinstance(profiles, ProfileTables):
+        if profile:
+            raise ValueError("name the profiles of ProfileTables by profile_column")
+        settings, source = TableProfiles(), profiles.attach(df, profile_column, options, fold_all=True)
+    else:
+        settings = RowProfiles(profile_column, profiles) if profile_column else profiles.resolve(profile)
 
     def found_in(x: str) -> str:
         found, _ = candidates_of(f"{x}.text", settings, options, chosen, lang, extra)
@@ -81,7 +89,7 @@ def redact_payload(
         return let(done, lambda r: struct(key=f"{x}.key", path=f"{x}.path", text=f"{r}.text", entities=f"{r}.entities"))
 
     leaves = keep(transform(leaf_array(df.schema, walked, skip_system, first), found_in), lambda x: f"size({x}.found) > 0")
-    staged = df.select("*", F.expr(mapping_id(options, *(scope_keys or keys))).alias("mapping_id")).withColumn("_leaves", F.expr(leaves))
+    staged = source.select("*", F.expr(mapping_id(options, *(scope_keys or keys))).alias("mapping_id")).withColumn("_leaves", F.expr(leaves))
     few = transform(keep("_leaves", lambda x: f"NOT ({swept.format(x=x)})"), redacted_leaf)
     if spans_only:
         staged = staged.withColumn("_hits", F.expr(few))
@@ -178,23 +186,30 @@ def redact_json(
     df: DataFrame,
     keys: list[str],
     body: str,
-    profiles: ProfileSet | None = None,
+    profiles: ProfileSet | ProfileTables | None = None,
     profile: str | None = None,
     options: Options = Options(),
     detectors: Iterable[Detector] | None = None,
     stamp: bool = False,
+    profile_column: str | None = None,
+    lang_column: str | None = None,
+    extra: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with `redacted`, mapping entities per leaf, quarantine) for JSON text of any shape and depth.
 
     Bodies that are no JSON object go to the quarantine with a `reason` and never on; with on_error="raise" they fail
     the job. System items of a top-level `messages` list stay as they are. With `stamp` the mapping id is set in the
-    body's own metadata. Declare a schema and use redact_payload where the shape is known: that needs no shuffle.
+    body's own metadata. `profile_column`, `lang_column` and `extra` are columns of `df` with a row's profile, language and
+    candidates from elsewhere, which hold for all its leaves. Declare a schema and use redact_payload where the shape is known: that needs no shuffle.
     """
     readable, refused = split_quarantine(df, body, options.on_error)
-    leaves = json_leaf_rows(readable.withColumn("_system", F.expr(system_items(body))), [*keys, "_system"], body)
+    along = list(dict.fromkeys(c for c in (profile_column, lang_column, extra) if c and c not in keys))
+    leaves = json_leaf_rows(readable.withColumn("_system", F.expr(system_items(body))), [*keys, *along, "_system"], body)
     item = F.regexp_extract("path", r"^messages\[([0-9]+)\]\.", 1)
     scanned = leaves.where(~F.array_contains("_system", F.when(item != "", item.cast("int")).otherwise(F.lit(-1)))).drop("_system")
-    done = redact_column(scanned, "text", keys, profiles, profile, options=options, detectors=detectors, path_column="path")
+    done = redact_column(
+        scanned, "text", keys, profiles, profile, profile_column, options, detectors, lang_column, extra, path_column="path"
+    )
     # explode_outer keeps Spark from computing the redaction a second time in a filter
     one = F.when(~F.col("text").eqNullSafe(F.col("redacted")), F.array(F.struct("redacted", "entities")))
     changed = done.select(*keys, "mapping_id", "path", "address", F.explode_outer(one).alias("_c")).where(F.col("_c").isNotNull())

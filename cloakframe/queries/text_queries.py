@@ -27,6 +27,7 @@ from cloakframe.queries.base import (
 from cloakframe.queries.sqlparts import (
     claim, lcs_ctes, mapping_id, over_threshold, q, rebuilt, redaction_ctes, spans, token, values,
 )
+from cloakframe.sources.profile_tables import ProfileTables
 from cloakframe.sources.tables import load_table
 
 REGISTRY = DetectorRegistry()
@@ -581,6 +582,35 @@ def anonymize_by_profile(spark: SparkSession, folder: str) -> DataFrame:
     return redact_column(docs, "text", DOC, PROFILES, profile_column="profile", options=OPTIONS).select("doc_id", "redacted")
 
 
+# Profiles that Spark derives from the documents, one for each source: the second words of its texts are names, and its
+# thresholds depend on the number of its documents. Sources with more than 16 names take the route of large dictionaries.
+_TENANT_THRESHOLDS = """SELECT source AS profile, CASE WHEN count(*) % 2 = 0 THEN 'DOMAIN_NAME' ELSE 'EMAIL_ADDRESS' END AS entity_type,
+ CAST(CASE WHEN count(*) % 2 = 0 THEN 0.5 ELSE 1.5 END AS DOUBLE) AS threshold FROM documents GROUP BY source"""
+_TENANT_NAMES = """SELECT DISTINCT source AS profile, w AS value FROM (SELECT source, {word} AS w FROM documents) WHERE length(w) >= 5"""
+_TENANT_SPANS = f"""SELECT doc_id, 2, 0, 0, entity_type, value, score, 'pattern' FROM (
+ SELECT f.*, coalesce(t.threshold, b.threshold, {DEFAULT_THRESHOLDS['DEFAULT']}) AS cut FROM found f
+ JOIN (SELECT doc_id, source FROM documents) USING (doc_id) LEFT JOIN ({_TENANT_THRESHOLDS}) t
+ ON t.profile = source AND t.entity_type = f.entity_type LEFT JOIN {values(list(DEFAULT_THRESHOLDS.items()), 'entity_type, threshold')} b
+ ON b.entity_type = f.entity_type) WHERE score >= cut"""
+_TENANT_HITS = f"""SELECT doc_id, 0, 0, 0, 'PERSON', value, CAST(1 AS DOUBLE), 'exact' FROM base
+ JOIN ({_TENANT_NAMES.format(word="string_split(text, ' ')[2]")}) n ON n.profile = base.source AND contains(base.text, n.value)"""
+
+
+@query(
+    "anonymize_by_tables",
+    f"""WITH {redaction_ctes('documents', DOC, 'text', ALL, thresholds={'DEFAULT': 2.0}, extra=f'{_TENANT_SPANS} UNION ALL {_TENANT_HITS}')}
+SELECT doc_id, redacted FROM red""",
+)
+def anonymize_by_tables(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    thresholds = spark.sql(_TENANT_THRESHOLDS.replace("FROM documents", "FROM {docs}"), docs=docs)
+    names = spark.sql(_TENANT_NAMES.replace("FROM documents", "FROM {docs}").format(word="try_element_at(split(text, ' '), 2)", docs="{docs}"), docs=docs)
+    entities = names.selectExpr("profile", "'PERSON' AS entity_type", "0 AS type_ord", "value", "0 AS value_ord")
+    tables = ProfileTables(thresholds, entities, PROFILES.fuzzy_table(spark), PROFILES.skip_table(spark))
+    options = replace(OPTIONS, fold_limit=16)
+    return redact_column(docs, "text", DOC, tables, profile_column="source", options=options).select("doc_id", "redacted")
+
+
 @query(
     "mapping_rows",
     f"""WITH {_RED} SELECT mid AS mapping_id, 'text' AS path, placeholder, entity_type, original, score, source FROM maps""",

@@ -13,6 +13,12 @@ CANDIDATE = (
 )
 CANDIDATES = f"ARRAY<{CANDIDATE}>"
 
+# A dictionary value that is matched fuzzily, with the lengths its partners can have.
+FUZZY_VALUES = (
+    "ARRAY<STRUCT<entity_type: STRING, type_ord: INT, value: STRING, value_ord: INT, lowered: STRING, "
+    "threshold: DOUBLE, lo: INT, hi: INT>>"
+)
+
 ENTITY = "STRUCT<placeholder: STRING, entity_type: STRING, original: STRING, score: DOUBLE, source: STRING>"
 ENTITIES = f"ARRAY<{ENTITY}>"
 
