@@ -55,6 +55,23 @@ def test_top_k_in_small_cells(spark, monkeypatch):
     assert topk_search.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers_repeated_ids_and_small_batches(spark, monkeypatch):
+    rng = random.Random(3)
+    for name, value in (("GROUP_ROWS", 40), ("SAMPLE", 3), ("CHUNK", 16), ("BLOCK", 2), ("QUERY_BATCH", 2)):
+        monkeypatch.setattr(topk_search, name, value)
+    for scale in (1.0, 1e5):  # sums within doubles, and beyond them
+        rows = [(i, [rng.gauss(0, scale) * 0.5**d for d in range(9)]) for i in range(500)]
+        vectors = topk_search.scaled(spark.createDataFrame([*rows, (None, rows[0][1])], "vec_id long, embedding array<double>"))
+        found = topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), 4).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert got == brute_top(rows, 4)
+    twice = spark.createDataFrame([(0, [1]), (0, [2]), (1, [5]), (1, [7]), (2, [6])], "vec_id long, v array<long>")
+    found = topk_search.top_k(twice, twice.where("vec_id = 0"), 2).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 7), (0, 2, 6)]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
