@@ -223,8 +223,9 @@ def redact_column(
         if profile:
             raise ValueError("name the profiles of ProfileTables by profile_column")
         settings, joined = TableProfiles(), False
-        df = profiles.attach(df, profile_column, options)
-        if profiles.any_large(options):
+        large = profiles.any_large(options)
+        df = profiles.attach(df, profile_column, options, once=large)
+        if large:
             df = with_table_hits(df, text, profiles, options, extra)
             extra = JOINED
     else:

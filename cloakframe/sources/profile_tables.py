@@ -22,6 +22,7 @@ from cloakframe.functions.sqltext import empty, keep, quote, struct, transform
 from cloakframe.options import DEFAULT_FUZZY_THRESHOLD, DEFAULT_THRESHOLDS, PRIORITY, TYPE_NAME, Options
 from cloakframe.schemas import CANDIDATES, FUZZY_VALUES
 from cloakframe.sources.profiles import ProfileSet
+from cloakframe.sources.tables import stage
 
 SETTINGS = "_settings"
 PROFILE = "_profile"
@@ -137,10 +138,12 @@ class ProfileTables:
             ).alias(SETTINGS),
         )
 
-    def attach(self, df: DataFrame, column: str | None, options: Options, fold_all: bool = False) -> DataFrame:
-        """`df` with the columns _profile and _settings; the settings of an unknown profile are null."""
+    def attach(self, df: DataFrame, column: str | None, options: Options, fold_all: bool = False, once: bool = False) -> DataFrame:
+        """`df` with the columns _profile and _settings; the settings of an unknown profile are null. With `once` the
+        settings are written to the shared folder first, for plans that use them several times."""
         asked = F.coalesce(F.col(column), F.lit(self.default)) if column else F.lit(self.default)
-        return df.withColumn(PROFILE, asked).join(self.settings(options, fold_all), PROFILE, "left")
+        settings = self.settings(options, fold_all)
+        return df.withColumn(PROFILE, asked).join(stage(settings, "settings") if once else settings, PROFILE, "left")
 
 
 def _near_threshold(entity_type: str, near: str = "near") -> str:
