@@ -171,3 +171,16 @@ def test_window_counts_query_counts_every_event(spark):
     folder = "/root/testdata/sf0.001"
     got = QUERIES["stream_window_counts"](spark, folder).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_a_stream_over_a_table_reads_a_file_and_a_folder_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for kind in ("many", "one"):
+        rows.limit(1).write.parquet(str(tmp_path / kind / "others.parquet"))
+        stream = streams.table_stream(spark, str(tmp_path / kind), "documents")
+        streams.append_to(stream, str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-checkpoint")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"{kind}-out")).count() == 6
