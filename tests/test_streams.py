@@ -184,3 +184,12 @@ def test_a_stream_over_a_table_reads_a_file_and_a_folder_of_files(spark, tmp_pat
         stream = streams.table_stream(spark, str(tmp_path / kind), "documents")
         streams.append_to(stream, str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-checkpoint")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"{kind}-out")).count() == 6
+
+
+def test_registered_restore_stream_over_a_folder_of_files(spark, tmp_path):
+    from cloakframe.queries import QUERIES
+
+    rows = spark.createDataFrame([(1, "mail a@b.co"), (2, "plain"), (3, None)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["restored"] for r in QUERIES["stream_restore"](spark, str(tmp_path)).collect()}
+    assert got == {1: "mail a@b.co", 2: "plain", 3: None}
