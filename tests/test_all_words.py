@@ -40,3 +40,22 @@ def test_all_words_of_the_benchmark_are_looked_for(spark):
     assert sorted(map(tuple, found)) == [(5, 9, "gamma delta"), (5, 22, "Epsilon")]
     hits = text_queries.benchmark_hits(docs(spark), benchmark(spark)).select("doc_id", "value").collect()
     assert sorted(map(tuple, hits)) == [(1, "gamma"), (5, "Epsilon"), (5, "delta,"), (5, "gamma")]
+
+
+def test_ratios_by_batches_are_those_of_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    from cloakframe.functions.similarity import indel_ratio, indel_ratio_column
+
+    odd = ["", "a", "ab\0", "\0ba", "straße", "😀é😀", "abc" * 20 + "de", "abc" * 21, "cab" * 30, "x" * 100, None]
+    pairs = spark.createDataFrame([(a, b) for a in odd for b in odd], "a string, b string")
+    rows = pairs.select("a", "b", F.expr(indel_ratio("a", "b")).alias("r"), indel_ratio_column("a", "b").alias("s")).collect()
+    assert len(rows) == 121 and all(r["r"] == r["s"] for r in rows)
+
+
+def test_ratios_of_texts_need_no_shuffle_and_keep_rows_of_equal_ids(spark):
+    twice = spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (None, "c")], "doc_id long, text string")
+    done = text_queries.word_ratios(twice)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, map(tuple, done.collect())))
+    assert got == ["(1, 'a', 'b', 0.0)"] * 2 + ["(1, 'b', 'a', 0.0)"] * 2 + ["(None, 'c', 'c', 100.0)"]
