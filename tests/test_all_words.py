@@ -59,3 +59,29 @@ def test_ratios_of_texts_need_no_shuffle_and_keep_rows_of_equal_ids(spark):
     assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(str, map(tuple, done.collect())))
     assert got == ["(1, 'a', 'b', 0.0)"] * 2 + ["(1, 'b', 'a', 0.0)"] * 2 + ["(None, 'c', 'c', 100.0)"]
+
+
+def test_replacing_each_value_is_what_the_row_expressions_do(spark):
+    from pyspark.sql import functions as F
+
+    from cloakframe.functions.sqltext import struct, transform
+    from cloakframe.functions.text import occurrences
+    from cloakframe.operators.redact import rebuild
+
+    texts = ["aa aaa a aaaa", "é éa 😀é aé", "an ant and Jan. an", "one  two one", "", None, "ab " * 300 + "b a"]
+    rows = [(i % 5, t) for i, t in enumerate(texts)] + [(None, "null id")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    words = odd.select("doc_id", "text", F.explode(F.expr("array_distinct(filter(split(text, ' '), w -> w <> ''))")).alias("value"))
+    places = transform(occurrences("text", "value"), lambda s: struct(start=s, end=f"{s} + length(value)"))
+    known = text_queries.replaced_words(odd)
+    tokens = known.select("value", F.regexp_extract("replaced", "<WORD_[0-9a-f]{8}>", 0).alias("token")).distinct()
+    plain = words.join(tokens, "value").withColumn("s", F.expr(places)).select(
+        "doc_id", "value", F.size("s").alias("n"), F.expr(rebuild("text", "s", "array_repeat(token, size(s))")).alias("replaced")
+    )
+    want = sorted(map(str, map(tuple, plain.collect())))
+    assert len(want) == 19 and sorted(map(str, map(tuple, known.collect()))) == want
+    digests = text_queries.replaced_words(odd, digest=True).collect()
+    hashed = plain.withColumn("replaced", F.md5("replaced")).collect()
+    assert sorted(map(str, map(tuple, digests))) == sorted(map(str, map(tuple, hashed)))
+    assert "BatchEvalPython" not in known._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in known._jdf.queryExecution().executedPlan().toString()
