@@ -25,3 +25,8 @@ def rows(spark, folder, name):
 def test_parsed_payloads_are_counted_one_by_one(spark, folder):
     got = rows(spark, folder, "src_payload_json")
     assert [r[:3] for r in got] == [(1, 0, 64), (1, 1, 64), (1, 2, 22), (2, 0, 3), (3, 1, 1)] and got[-1][3] is None
+
+
+def test_metadata_of_each_payload_is_kept_and_emptied(spark, folder):
+    got = rows(spark, folder, "strip_metadata")
+    assert got[:3] == [(1, 0, '{"turns":64}', "{}"), (1, 1, '{"turns":64}', "{}"), (1, 2, '{"turns":22}', "{}")]
