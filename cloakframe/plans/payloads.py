@@ -36,6 +36,7 @@ from cloakframe.plans.columns import RowProfiles, TableProfiles, candidates_of,
 from cloakframe.sources.payloads import split_quarantine
 from cloakframe.sources.profile_tables import ProfileTables
 from cloakframe.sources.profiles import ProfileSet
+from cloakframe.sources.tables import stage
 
 
 def redact_payload(
@@ -194,13 +195,15 @@ def redact_json(
     profile_column: str | None = None,
     lang_column: str | None = None,
     extra: str | None = None,
+    once: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with `redacted`, mapping entities per leaf, quarantine) for JSON text of any shape and depth.
 
     Bodies that are no JSON object go to the quarantine with a `reason` and never on; with on_error="raise" they fail
     the job. System items of a top-level `messages` list stay as they are. With `stamp` the mapping id is set in the
     body's own metadata. `profile_column`, `lang_column` and `extra` are columns of `df` with a row's profile, language and
-    candidates from elsewhere, which hold for all its leaves. Declare a schema and use redact_payload where the shape is known: that needs no shuffle.
+    candidates from elsewhere, which hold for all its leaves. With `once` the changed leaves are written to the
+    shared folder, for jobs that use both the documents and the entities. Declare a schema and use redact_payload where the shape is known: that needs no shuffle.
     """
     readable, refused = split_quarantine(df, body, options.on_error)
     along = list(dict.fromkeys(c for c in (profile_column, lang_column, extra) if c and c not in keys))
@@ -214,6 +217,8 @@ def redact_json(
     one = F.when(~F.col("text").eqNullSafe(F.col("redacted")), F.array(F.struct("redacted", "entities")))
     changed = done.select(*keys, "mapping_id", "path", "address", F.explode_outer(one).alias("_c")).where(F.col("_c").isNotNull())
     changed = changed.select(*keys, "mapping_id", "path", "address", "_c.*")
+    if once:
+        changed = stage(changed, "json-leaves")
     out = rebuild_json(readable, keys, body, changed.select(*keys, "address", F.col("redacted").alias("text")), "redacted")
     if stamp:
         out = out.withColumn("redacted", stamp_json(F.col("redacted"), F.expr(mapping_id(options, *keys))))
