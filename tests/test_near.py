@@ -60,3 +60,13 @@ def test_few_windows_are_scored():
     words = [f"word{i}" for i in range(5000)] + ["pathetic"]
     assert [h[:5] for h in near.hits(pa.array(words), np.array([len(words)]))] == [(0, 0, 5000, 1, "pathetic")]
     assert len(near.seen[0]) == 1
+
+
+def test_hits_of_a_small_dictionary_join_no_windows(spark):
+    from cloakframe.operators.fuzzy import fuzzy_hits
+
+    docs = spark.createDataFrame([(1, "a pathetik man"), (1, "Pathetic"), (2, "pathetic")], "id long, text string")
+    hits = fuzzy_hits(docs, ["id"], "text", ProfileSet({"t": FUZZY}).resolve("t"))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "stack(" not in plan
+    assert sorted((r["id"], r["phrase"], r["score"]) for r in hits.collect()) == [(1, "Pathetic", 100.0), (2, "pathetic", 100.0)]
