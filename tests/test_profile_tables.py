@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.operators.dictionary import group_hits_join
+from cloakframe.operators.dictionary import group_hits_join, with_group_hits
 from cloakframe.options import Options
 from cloakframe.plans.columns import redact_column
 from cloakframe.plans.payloads import redact_json, redact_payload
@@ -132,3 +132,26 @@ def test_payloads_and_json_by_tables(spark):
         texts = {r["id"]: json.loads(r["redacted"])["messages"][0]["content"] for r in out.collect()}
         shape = lambda t: t and __import__("re").sub(r"_[0-9a-f]{8}>", ">", t)
         assert {k: shape(t) for k, t in texts.items()} == {k: shape(t) for k, t in typed.items()}
+
+
+def test_rows_meet_large_dictionaries_whole(spark):
+    plain = ProfileSet({n: {k: v for k, v in c.items() if k != "fuzzy_match"} for n, c in (
+        ("names", {"custom_entities": {"PERSON": ["Bob", "Jonathan Smithers", "Ann Lee", "x"], "ORGANIZATION": ["Ann", "Bob"]}}),
+        ("one", {"custom_entities": {"PERSON": ["Acme"]}}),
+    )})
+    df = rows(spark)
+    folded = redact_column(df, "text", ["id"], plain, profile_column="profile", options=SALTED)
+    few = replace(SALTED, fold_limit=2)
+    done = redact_column(df, "text", ["id"], ProfileTables.of(spark, plain), profile_column="profile", options=few)
+    assert sorted(map(repr, done.collect())) == sorted(map(repr, folded.collect()))
+    assert "_text_hash" not in done._jdf.queryExecution().optimizedPlan().toString()  # rows are not joined to their texts again
+
+
+def test_a_hot_group_meets_its_values_in_shares(spark):
+    docs = spark.range(400).selectExpr("id", "'hot' AS g", "concat('name', id % 7, ' and ', repeat('x ', 50)) AS text", "map('k', id) AS m")
+    known = spark.range(7).selectExpr("'hot' AS g", "'PERSON' AS entity_type", "0 AS type_ord", "concat('name', id) AS value", "0 AS value_ord")
+    met = with_group_hits(docs, "text", known, "g", text_bytes=4_000)
+    found = met.selectExpr("id", "m['k'] AS k", "transform(_hits, h -> h.value) AS v").collect()
+    assert sorted((r["id"], r["k"], r["v"]) for r in found) == [(i, i, [f"name{i % 7}"]) for i in range(400)]
+    assert met.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).filter(lambda n: n > 0).count() > 3
+    assert with_group_hits(docs, "text", known, "g", part_bytes=5) is None
