@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 SEGMENTS, WINDOW = 3_000, 40
 SHARDS, EPOCHS = 4, 5
+PIECE = 1 << 20  # characters of texts that are tagged at once
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -39,20 +40,57 @@ def shape(word: str) -> str:
     return out
 
 
+def _hashed(feature: str, before: int = 0) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass"), before)
+
+
+class Features:
+    """Hashed features of words, one row a word. What depends on one word, or on the shapes of a few, is hashed once."""
+
+    KEPT = 1 << 18  # words and shapes that are kept at most
+
+    def __init__(self) -> None:
+        self.words: dict[str, tuple] = {}
+        self.shapes: dict[tuple, tuple] = {}
+
+    def of_word(self, w: str) -> tuple:
+        """The word's shape, its features as such, before and behind another one, and what hashes of two words begin with."""
+        low, form = w.lower(), shape(w)
+        own = [_hashed(f) for f in (f"w{low}", f"s{form}", f"l{len(low) if len(low) < 12 else 12}{form}", f"p{low[:3]}", f"e{low[-3:]}")]
+        return form, own, _hashed(f"b{low}"), _hashed(f"a{low}"), _hashed(f"2{low}|"), low.encode("utf-8", "surrogatepass")
+
+    def of_shapes(self, s: tuple) -> tuple:
+        """Features of a shape with the two before and the two behind it."""
+        return tuple(map(_hashed, (f"B{s[1]}{s[2]}", f"A{s[2]}{s[3]}", f"3{s[0]}{s[1]}{s[2]}", f"4{s[2]}{s[3]}{s[4]}")))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if max(len(self.words), len(self.shapes)) > self.KEPT:
+            self.words.clear()
+            self.shapes.clear()
+        none = ("<>", [], _hashed("b<>"), _hashed("a<>"), _hashed("2<>|"), b"<>")
+        known, shapes = self.words, self.shapes
+        each = [none, none]
+        for w in words:
+            found = known.get(w)
+            if found is None:
+                found = known[w] = self.of_word(w)
+            each.append(found)
+        each += [none, none]
+        out = []
+        for i in range(2, len(each) - 2):
+            before, after = each[i - 1], each[i + 1]
+            key = (each[i - 2][0], before[0], each[i][0], after[0], each[i + 2][0])
+            forms = shapes.get(key)
+            if forms is None:
+                forms = shapes[key] = self.of_shapes(key)
+            pair = zlib.crc32(before[5], each[i - 2][4])
+            out.append((*each[i][1], before[2], after[3], forms[0], forms[1], pair, forms[2], forms[3]))
+        return np.array(out, np.int64).reshape(len(words), 12) & (BUCKETS - 1)
+
+
 def feature_rows(words: list[str]) -> np.ndarray:
     """Hashed features of each word, one row a word."""
-    low, shapes = [w.lower() for w in words], [shape(w) for w in words]
-    at = lambda xs, i: xs[i] if 0 <= i < len(xs) else "<>"
-    out = np.empty((len(words), 12), dtype=np.int64)
-    for i, w in enumerate(low):
-        before, after = at(low, i - 1), at(low, i + 1)
-        found = (
-            f"w{w}", f"s{shapes[i]}", f"l{len(w) if len(w) < 12 else 12}{shapes[i]}", f"p{w[:3]}", f"e{w[-3:]}",
-            f"b{before}", f"a{after}", f"B{at(shapes, i - 1)}{shapes[i]}", f"A{shapes[i]}{at(shapes, i + 1)}",
-            f"2{at(low, i - 2)}|{before}", f"3{at(shapes, i - 2)}{at(shapes, i - 1)}{shapes[i]}", f"4{shapes[i]}{at(shapes, i + 1)}{at(shapes, i + 2)}",
-        )
-        out[i] = [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for f in found]
-    return out
+    return Features().rows(words)
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray, allowed: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -73,6 +111,40 @@ def viterbi(emit: np.ndarray, trans: np.ndarray, allowed: np.ndarray, first: np.
     return tags
 
 
+def viterbi_of_many(emits: list[np.ndarray], trans: np.ndarray, allowed: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """`viterbi` of many texts, word by word of all of them at once, in the same operations."""
+    sizes = np.array([len(e) for e in emits], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[: np.count_nonzero(sizes)]
+    out = [np.empty(0, np.int64)] * len(emits)
+    if not len(order):
+        return out
+    sizes = sizes[order]
+    flat, starts = np.concatenate([emits[k] for k in order]), np.cumsum(sizes) - sizes
+    step = np.where(allowed, trans, -np.inf)
+    score = np.where(first, flat[starts], -np.inf)
+    back = np.zeros(flat.shape, np.int8)
+    active = len(order) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")  # texts longer than i words
+    for i, n in enumerate(active.tolist()):
+        if i:
+            both = score[:n, :, None] + step
+            best = both.argmax(axis=1)
+            back[starts[:n] + i] = best
+            score[:n] = np.take_along_axis(both, best[:, None, :], axis=1)[:, 0] + flat[starts[:n] + i]
+    tags = np.empty(len(flat), np.int64)
+    last = score.argmax(axis=1)
+    for i in range(len(active) - 1, -1, -1):
+        n = active[i]
+        at = starts[:n] + i
+        ends = sizes[:n] == i + 1
+        tags[at[ends]] = last[:n][ends]
+        if i:
+            tags[at - 1] = back[at, tags[at]]
+    for k, start, size in zip(order.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+        out[k] = tags[start : start + size]
+    return out
+
+
 def tag_names(types: list[str]) -> list[str]:
     return ["O", *(f"{p}-{t}" for t in types for p in "BI")]
 
@@ -102,50 +174,82 @@ class Tagger:
         dense = dense.reshape(BUCKETS, len(tags))
         allowed, first = order_of(tags)
 
-        def one(text: str) -> list[tuple[str, int, int, float]]:
-            words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-            emit = dense[feature_rows([text[a:b] for a, b in words])].sum(axis=1) if words else np.zeros((0, len(tags)))
-            best = viterbi(emit, self.trans, allowed, first).tolist()
+        features = Features()
+
+        def spans(words: list[tuple[int, int]], emit: np.ndarray, path: np.ndarray) -> list[tuple[str, int, int, float]]:
+            best = path.tolist()
             if not any(best):
                 return []
             rest = emit.copy()
             rest[np.arange(len(best)), best] = -np.inf
             sure = 1 / (1 + np.exp(-np.clip(emit[np.arange(len(best)), best] - rest.max(axis=1), -30, 30)))
             out: list[tuple[str, int, int, float]] = []
-            for i, tag in enumerate(best):
+            for i in np.flatnonzero(path).tolist():
+                tag = best[i]
                 if tags[tag].startswith("B-"):
                     out.append((tags[tag][2:], *words[i], float(sure[i])))
-                elif tag:
+                else:
                     kind, start, _, score = out[-1]
                     out[-1] = (kind, start, words[i][1], min(score, float(sure[i])))
             return out
 
-        return lambda texts: [one(t) for t in texts]
+        def many(texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+            words = [[(m.start(), m.end()) for m in _WORD.finditer(t)] for t in texts]
+            emits = [dense[features.rows([t[a:b] for a, b in own])].sum(axis=1) if own else np.zeros((0, len(tags))) for t, own in zip(texts, words, strict=True)]
+            return [spans(*each) for each in zip(words, emits, viterbi_of_many(emits, self.trans, allowed, first), strict=True)]
+
+        def run(texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+            """Texts of similar lengths are tagged together, about PIECE characters at once."""
+            out: list[list] = [[] for _ in texts]
+            held, size = [], 0
+            for at in sorted(range(len(texts)), key=lambda k: len(texts[k])):
+                held.append(at)
+                size += len(texts[at])
+                if size >= PIECE:
+                    for k, found in zip(held, many([texts[k] for k in held]), strict=True):
+                        out[k] = found
+                    held, size = [], 0
+            for k, found in zip(held, many([texts[k] for k in held]), strict=True):
+                out[k] = found
+            return out
+
+        return run
+
 
+def segments(texts: DataFrame, text: str = "text", spans: str = "spans", mark: bool | None = None) -> DataFrame:
+    """(words, tags, labelled): texts with ARRAY<STRUCT<start, end, entity_type>> in windows of WINDOW words; with `mark`
+    only those that are labelled, or not."""
 
-def segments(texts: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """(words, tags, labelled): texts with ARRAY<STRUCT<start, end, entity_type>> in windows of WINDOW words."""
+    def lists(flat: list[str], sizes: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, tags, labelled = [], [], []
+            words, tags, sizes, labelled = [], [], [], []
             for t, own in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                found = [(m.start(), m.end()) for m in _WORD.finditer(t or "")]
-                names = ["O"] * len(found)
-                ordered, at = sorted(own or [], key=lambda s: s["start"]), 0
-                for s in ordered:
-                    while at < len(found) and found[at][0] < s["start"]:
-                        at += 1
-                    begin = at
-                    while at < len(found) and found[at][1] <= s["end"]:
-                        names[at] = f"{'B' if at == begin else 'I'}-{s['entity_type']}"
-                        at += 1
-                for k in range(0, len(found), WINDOW):
-                    words.append([t[a:b] for a, b in found[k : k + WINDOW]])
-                    tags.append(names[k : k + WINDOW])
-                    labelled.append(any(n != "O" for n in tags[-1]))
-            strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(words, strings), pa.array(tags, strings), pa.array(labelled)], ["words", "tags", "labelled"])
+                if not own and mark:
+                    continue
+                each = _WORD.findall(t or "")
+                names = ["O"] * len(each)
+                if own:
+                    found = [(m.start(), m.end()) for m in _WORD.finditer(t or "")]
+                    at = 0
+                    for s in sorted(own, key=lambda s: s["start"]):
+                        while at < len(found) and found[at][0] < s["start"]:
+                            at += 1
+                        begin = at
+                        while at < len(found) and found[at][1] <= s["end"]:
+                            names[at] = f"{'B' if at == begin else 'I'}-{s['entity_type']}"
+                            at += 1
+                for k in range(0, len(each), WINDOW):
+                    some = names[k : k + WINDOW]
+                    is_labelled = bool(own) and any(n != "O" for n in some)
+                    if mark is None or is_labelled == mark:
+                        words += each[k : k + WINDOW]
+                        tags += some
+                        sizes.append(len(some))
+                        labelled.append(is_labelled)
+            yield pa.RecordBatch.from_arrays([lists(words, sizes), lists(tags, sizes), pa.array(labelled, pa.bool_())], ["words", "tags", "labelled"])
 
     rows = texts.select(F.col(text).alias("t"), F.col(spans).alias("s"))
     return rows.mapInArrow(run, "words array<string>, tags array<string>, labelled boolean")
@@ -157,8 +261,9 @@ def _pass(rows: list[tuple[list[str], list[str]]], tags: list[str], weights: np.
     allowed, first = order_of(tags)
     weights, trans = weights.copy(), trans.copy()
     sum_w, sum_t = np.zeros_like(weights), np.zeros_like(trans)
+    hashes = Features()
     for step, (words, names) in enumerate(rows):
-        features = feature_rows(words)
+        features = hashes.rows(words)
         gold = np.array([number.get(n, 0) for n in names])
         guess = viterbi(weights[features].sum(axis=1), trans, allowed, first)
         for i in np.flatnonzero(guess != gold):
@@ -179,9 +284,9 @@ def fit(texts: DataFrame, text: str = "text", spans: str = "spans", sample: int
     """A tagger from texts with the spans that they should get."""
     from cloakframe.sources.tables import stage
 
-    cut = segments(texts, text, spans)
+    cuts = {True: segments(texts.where(F.size(spans) > 0), text, spans, True), False: segments(texts, text, spans, False)}
     turn = F.xxhash64("words", "tags")
-    picked = [cut.where(F.col("labelled") == mark).withColumn("turn", turn).orderBy("turn", "words", "tags").limit(sample) for mark in (True, False)]
+    picked = [cuts[mark].withColumn("turn", turn).orderBy("turn", "words", "tags").limit(sample) for mark in (True, False)]
     rows = stage(picked[0].unionByName(picked[1]).withColumn("shard", F.pmod(F.xxhash64("turn", F.lit(1)), F.lit(SHARDS))), "tagger")
     kinds = rows.select(F.explode("tags").alias("tag")).where("tag <> 'O'").select(F.substring("tag", 3, 1000).alias("type")).distinct()
     types = sorted(r["type"] for r in kinds.collect())
