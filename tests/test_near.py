@@ -70,3 +70,31 @@ def test_hits_of_a_small_dictionary_join_no_windows(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "stack(" not in plan
     assert sorted((r["id"], r["phrase"], r["score"]) for r in hits.collect()) == [(1, "Pathetic", 100.0), (2, "pathetic", 100.0)]
+
+
+def test_texts_are_split_where_they_are_matched(spark):
+    """At the white space of functions.text, read once for both kinds of hits, and sent whole."""
+    from cloakframe.functions.text import words
+    from cloakframe.operators.fuzzy import fuzzy_hits
+
+    every = "".join(f"jon{chr(c)}x{chr(c)}{chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000)
+    docs = spark.createDataFrame([(1, every), (2, None), (3, " \n"), (4, "\u3000jon\x1fsmith ")], "id long, text string")
+    split = docs.select("id", F.expr(f"filter({words('text')}, w -> w = 'jon' OR w = 'smith')").alias("w")).collect()
+    values = "array(named_struct('lowered', 'jon', 'threshold', 100.0D), named_struct('lowered', 'smith', 'threshold', 100.0D))"
+    known = docs.withColumn("v", F.expr(values)).select("id", near_column("text", "v", Options(max_phrase_words=1)).alias("near")).collect()
+    assert {r["id"]: sorted({w for w in r["w"] or []}) for r in split} == {r["id"]: sorted(h["phrase"] for h in r["near"]) for r in known}
+
+    plan = fuzzy_hits(docs, ["id"], "text", ProfileSet({"t": FUZZY}).resolve("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+
+
+def test_few_candidates_leave_texts_where_they_lie(spark):
+    from cloakframe.operators.fuzzy import fuzzy_hits, with_fuzzy_candidates
+
+    rows = [(1, "a pathetik man"), (1, "no more"), (2, "nothing"), (None, "pathetik"), (3, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = with_fuzzy_candidates(docs, ["id"], fuzzy_hits(docs, ["id"], "text", ProfileSet({"t": FUZZY}).resolve("t")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    got = [(r["id"], r["text"], [c["value"] for c in r["candidates"] or []]) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted([(1, "a pathetik man", ["pathetik"]), (1, "no more", ["pathetik"]), (2, "nothing", []), (None, "pathetik", []), (3, None, [])], key=repr)
