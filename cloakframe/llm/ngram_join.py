@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import freeing, group_starts, if_small, slices, sorted_groups, staged
+from cloakframe.llm.common import freeing, group_starts, if_small, slices, small_batches, sorted_groups, staged
 from cloakframe.llm.components import components
 from cloakframe.llm.substring_dedup import WordCodes, mixed, runs_of
 
@@ -67,8 +67,10 @@ def frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["counter", "n"])
 
     out = np.zeros(SKETCH, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(freeing(run), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
-        out[r["counter"]] = r["n"]
+    counted = rows.select("text").mapInArrow(freeing(run), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    with small_batches(rows.sparkSession):
+        for r in counted.collect():
+            out[r["counter"]] = r["n"]
     return out
 
 
@@ -311,7 +313,7 @@ def join_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
 def linked_documents(rows: DataFrame, n: int, percent: int, rounds: int = 0) -> tuple[DataFrame, DataFrame]:
     """What is known of each of rows (id, text), and links (u, v) between ids that connect all that are near; ids that
     aren't null are unique."""
-    about = staged(described(rows, frequency_sketch(rows, n), n, percent))
+    about = staged(described(rows, frequency_sketch(rows, n), n, percent), small=True)
     known = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("n", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     equal = known.select("id", "n", "c1", "c2").join(
@@ -329,7 +331,7 @@ def linked_documents(rows: DataFrame, n: int, percent: int, rounds: int = 0) ->
     often = allowed(often, firsts, percent)
     pairs = staged(often.withColumn("turn", F.row_number().over(best)).where("turn = 1").select("id", "partner"))
     texts = rows.where(F.col("id").isNotNull())
-    links = staged(verified(texts, pairs, n, percent))
+    links = staged(verified(texts, pairs, n, percent), small=True)
     found = staged(components(links))
 
     known_points = firsts.select("id", "n", "counts").dropDuplicates(["id"])
@@ -337,7 +339,7 @@ def linked_documents(rows: DataFrame, n: int, percent: int, rounds: int = 0) ->
     for _ in range(rounds):
         # in large keys first the nearest partner of each, so that a group of near copies becomes one component
         nearest = staged(tree_pairs(open_, known_points, percent, best=True).join(pairs, ["id", "partner"], "left_anti"))
-        new = staged(verified(texts, nearest, n, percent))
+        new = staged(verified(texts, nearest, n, percent), small=True)
         pairs = pairs.unionByName(nearest)
         if not new.limit(1).count():
             break
@@ -345,5 +347,5 @@ def linked_documents(rows: DataFrame, n: int, percent: int, rounds: int = 0) ->
         open_ = open_members(members, staged(components(links)))
     more = staged(tree_pairs(open_, known_points, percent).join(pairs, ["id", "partner"], "left_anti"))
     if more.limit(1).count():
-        links = links.unionByName(verified(texts, more, n, percent))
+        links = links.unionByName(staged(verified(texts, more, n, percent), small=True))
     return about, links.unionByName(equal)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import freeing, slices
+from cloakframe.llm.common import freeing, slices, staged
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
@@ -179,6 +179,8 @@ def pack_documents(
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents.
 
     The number of packers follows the number of documents; each piece of a longer document adds a whole sequence.
+    The pieces, which are short, are written before they are packed, so that texts come in small batches.
     """
     packers = max(1, -(-docs.count() // PACKER_PIECES))
-    return pack(tokenized(docs, path, doc_id, text, sequence=sequence), sequence, open_bins, packers)
+    pieces = staged(tokenized(docs, path, doc_id, text, sequence=sequence), small=True)
+    return pack(pieces, sequence, open_bins, packers)

@@ -191,3 +191,27 @@ def test_packing_of_repeated_and_null_ids(spark, tokenizer):
 def test_registered_top_k(spark):
     rows = QUERIES["op1_topk_search"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 50
+
+
+def test_texts_are_packed_in_small_batches(spark, monkeypatch):
+    """A batch of long texts is bounded by bytes, not by 10,000 rows, and the session's own limit stays."""
+    from cloakframe.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"n_bytes": [batch.nbytes]})
+
+    texts = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("some words "), 5000).alias("text"))
+    whole = [r["n_bytes"] for r in common.staged(texts.mapInArrow(sizes, "n_bytes long")).collect()]
+    small = [r["n_bytes"] for r in common.staged(texts.mapInArrow(sizes, "n_bytes long"), small=True).collect()]
+    assert max(whole) > 4 * common.BATCH_BYTES and max(small) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(name, None) == before
+
+    seen = []
+    monkeypatch.setattr(packing, "tokenized", lambda docs, *args, **how: docs.mapInArrow(sizes, "n_bytes long"))
+    monkeypatch.setattr(packing, "pack", lambda pieces, *args: seen.extend(r["n_bytes"] for r in pieces.collect()))
+    packing.pack_documents(texts, doc_id="id")
+    assert seen and max(seen) < 2 * common.BATCH_BYTES
